@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .embedding_dedup import near_vectors
+from .imatch import edit_report
+from .language_id import languages
 from .ngram_join import ngram_jaccard_components
+from .packing import pack_documents
 from .suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,13 +21,39 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), length=100)
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(read(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
