@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import conversation_report
 from .common import read
 from .embedding_dedup import near_vectors
 from .imatch import edit_report
 from .language_id import languages
+from .line_dedup import line_report
+from .mixing import mix_documents
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
+from .url_filters import filter_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +39,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_tokens", "probability", "weight")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return conversation_report(turns.unionByName(more), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_pages(read(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), length=100)
 
@@ -51,6 +76,10 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_url_filters": op7_url_filters,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -78,4 +107,47 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
         FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
     """,
+    "op4_line_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l, text IS NULL AS none
+            FROM documents WHERE doc_id IS NOT NULL),
+        lines AS (SELECT doc_id, unnest(range(len(l))) AS p, unnest(l) AS x FROM docs),
+        pairs AS (SELECT a.doc_id, a.p, a.x AS x, b.x AS y FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.p = a.p + 1),
+        firsts AS (SELECT x, y, min(struct_pack(d := doc_id, p := p)) AS f FROM pairs GROUP BY x, y),
+        late AS (SELECT q.doc_id, q.p FROM pairs q JOIN firsts f ON q.x = f.x AND q.y = f.y WHERE struct_pack(d := q.doc_id, p := q.p) <> f.f),
+        gone AS (SELECT doc_id, p FROM late UNION SELECT doc_id, p + 1 FROM late),
+        marked AS (SELECT l.doc_id, l.p, l.x, g.p IS NOT NULL AS out FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p),
+        edges AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked),
+        sums AS (
+            SELECT doc_id, count(*) AS n, count(*) FILTER (out) AS r, count(*) FILTER (opens) AS k,
+                coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT out), '') AS kept
+            FROM edges GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_lines, coalesce(s.r, 0) AS n_removed, coalesce(s.k, 0) AS n_runs, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM docs d LEFT JOIN sums s ON s.doc_id = d.doc_id
+    """,
+    "op7_url_filters": r"""
+        WITH hosts AS (
+            SELECT page_id, lower(regexp_replace(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''), '\.+$', '')) AS host,
+                DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched
+            FROM pages),
+        names AS (
+            SELECT DISTINCT unnest([host, CASE WHEN len(string_split(host, '.')) >= 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END]) AS rule
+            FROM hosts WHERE host <> ''),
+        rules AS (
+            SELECT rule, CAST('0x' || substr(md5(rule), 1, 2) AS BIGINT) AS h, CAST(CAST('0x' || substr(md5(rule), 3, 3) AS BIGINT) % 200 AS INTEGER) AS day
+            FROM names),
+        listed AS (
+            SELECT rule, ['adult', 'malware', 'spam', 'gambling'][h % 4 + 1] AS category, DATE '2024-01-01' + day AS since,
+                CASE WHEN h % 3 >= 1 THEN DATE '2024-01-01' + (day + 60) END AS until
+            FROM rules WHERE h < 128
+            UNION ALL
+            SELECT rule, ['adult', 'malware', 'spam', 'gambling'][h % 4 + 1], DATE '2024-01-01' + (day + 120), NULL
+            FROM rules WHERE h < 128 AND h % 3 = 2),
+        met AS (
+            SELECT h.page_id, r.category
+            FROM hosts h JOIN listed r ON (h.host = r.rule OR ends_with(h.host, '.' || r.rule)) AND h.fetched >= r.since AND (r.until IS NULL OR h.fetched < r.until)),
+        sums AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(category))), ',') AS c FROM met GROUP BY page_id)
+        SELECT h.page_id, h.host, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(s.n, 0) AS n_rules, coalesce(s.c, '') AS categories, s.n IS NOT NULL AS blocked
+        FROM hosts h LEFT JOIN sums s ON s.page_id = h.page_id
+    """,
 }
