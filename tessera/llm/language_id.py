@@ -217,10 +217,10 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    plain = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    names = [c for c in docs.columns if c != text_col]
+    plain = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string", "score double"])
     out = plain.mapInArrow(run, fields)
-    names = [c for c in docs.columns if c != text_col]
     own = [F.col("_text").alias(text_col) if c == text_col else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
     return out.select(*own, "lang_pred", "score")
 
