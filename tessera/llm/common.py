@@ -176,6 +176,11 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def spans_of(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of each run."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n][: len(starts)], strict=True))
+
+
 def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges [start, end), and each one's range."""
     n = ends - starts

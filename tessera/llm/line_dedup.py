@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BYTES, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, text_bytes, unpack
+from .common import U64, _BYTES, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack
 
 _SECOND = mix(_BYTES ^ U64(0x5851F42D4C957F2D))
 
@@ -115,7 +115,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((pos, ids))
     ids, pos = ids[order], pos[order]
     first, _ = runs(ids)
-    yield batch(pa.schema([("id", pa.int64()), ("late", pa.binary())]), ids[first], [pos[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(ids)), strict=True)])
+    yield batch(pa.schema([("id", pa.int64()), ("late", pa.binary())]), ids[first], [pos[i:j].tobytes() for i, j in spans_of(first, len(ids))])
 
 
 def _cutter(min_lines: int):

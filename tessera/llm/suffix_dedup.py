@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spread, text_bytes, unpack
+from .common import U64, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack
 
 GRAM = 32
 _POS = U64((1 << 28) - 1)
@@ -278,7 +278,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, start, end = ids[o], start[o], (start + size)[o]
     first, _ = runs(ids)
     out = []
-    for i, j in zip(first, np.append(first[1:], len(ids)), strict=True):
+    for i, j in spans_of(first, len(ids)):
         out.append(np.stack(union_spans(start[i:j], end[i:j]), 1).tobytes())
     yield batch(schema, ids[first], out)
 
