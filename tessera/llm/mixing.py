@@ -94,7 +94,8 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], mar
     values = [[*targets[m], OTHER] for m in names]
     cells = [F.when(e.isin(list(t)), e).otherwise(F.lit(OTHER)) if t else F.lit(OTHER) for e, t in zip(exprs, (targets[m] for m in names), strict=True)]
     count = n_tokens(F.col(text_col)) if tokens is None else tokens
-    marked = docs.select("*", count.alias("_tokens"), *[c.alias(f"_m{i}") for i, c in enumerate(cells)])
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), count.alias("_tokens"), u.alias("_u"), *[c.alias(f"_m{i}") for i, c in enumerate(cells)])
     keys = [f"_m{i}" for i in range(len(names))]
     table = np.zeros([len(v) for v in values])
     for r in marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect():  # at most one row for each combination
@@ -114,10 +115,9 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], mar
     rows = [(*(v[i] for v, i in zip(values, at, strict=True)), float(p[tuple(at)]), float(w[tuple(at)])) for at in np.argwhere(table > 0)]
     schema = ", ".join([f"{k} string" for k in keys] + ["_p double, _w double"])
     known = docs.sparkSession.createDataFrame(rows, schema)
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    drawn = marked.join(F.broadcast(known), keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(keep)))).withColumn("_w", F.coalesce("_w", F.lit(1.0))).filter(u < F.col("_p"))
+    drawn = marked.join(F.broadcast(known), keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(keep)))).withColumn("_w", F.coalesce("_w", F.lit(1.0))).filter("_u < _p")
     own = [c for c in docs.columns if c not in ("n_tokens", "probability", "weight")]
-    return drawn.select(*own, F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_w").alias("weight"))
+    return drawn.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_w").alias("weight"))
 
 
 def length_class(text: Column) -> Column:
