@@ -20,7 +20,7 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of steps grows with the logarithm of the longest chain.
     """
     now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        seen = now.select(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(seen) == mark or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        mark = tuple(seen)
-        now = materialize(_step(_step(now, True), False))
+    while not _all_stars(now):
+        now = materialize(_step(_step(now, True), False).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other, which hangs on none."""
+    both = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return both.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0

@@ -30,6 +30,8 @@ from .components import connected_components
 
 BROADCAST_IDS = 1_000_000
 SMALL_GROUP = 8
+#: Rounds over the subsets with many sets: the closest partners of each set first, at last all that are left.
+CLOSEST = (2, None)
 _STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
 
@@ -256,73 +258,155 @@ def _reducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(_FOUND, np.full(len(k), 2, np.int32), k, f, np.zeros(len(k), np.int64))
 
 
-_CHECKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64())])
+# --- parity bitmaps: a lower bound of the difference of two sets, without their texts ------------
 
 
-def _verifier(n: int):
+def bitmap(h: np.ndarray) -> bytes:
+    """Parity of the hashes that fall on each of about twice as many bits as the set has members."""
+    bits = 1 << max(6, int(2 * len(h) - 1).bit_length())
+    at = (mix(h ^ U64(0xE7037ED1A0B428DB)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _fold(m: np.ndarray) -> np.ndarray:
+    return m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+
+
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
+
+
+def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Differing bits of each pair's bitmaps, the longer one folded: at most the sets' difference."""
+    out = np.zeros(len(a), np.int64)
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for wa, wb in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths == (wa, wb)).all(1))
+        x, y = _matrix([a[i] for i in at]), _matrix([b[i] for i in at])
+        while x.shape[1] > y.shape[1]:
+            x = _fold(x)
+        while y.shape[1] > x.shape[1]:
+            y = _fold(y)
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+def _sketcher(n: int):
+    """Texts whose sets are the ones looked for (a repeated id may have other texts too), with the sets' bitmaps."""
+    schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("bits", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (b.column(k).to_numpy() for k in (0, 1))
-            sets: dict[int, np.ndarray] = {}
-            for ids, col in ((a, b.column(2)), (c, b.column(3))):
-                some = np.unique(ids, return_index=True)[1]
-                some = np.array([i for i in some if int(ids[i]) not in sets], np.int64)
-                data, off = text_bytes(col.take(pa.array(some, pa.int64())))
-                for i, j in chunks(off):
-                    _, h, size = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                    at = np.append(0, np.cumsum(size))
-                    sets.update((int(ids[some[x]]), h[at[x - i] : at[x - i + 1]]) for x in range(i, j))
-            inter = [len(np.intersect1d(sets[int(x)], sets[int(y)], assume_unique=True)) for x, y in zip(a, c, strict=True)]
-            yield batch(_CHECKED, a, c, np.array(inter, np.int64))
+            data, off = text_bytes(b.column(2))
+            fp, bits = [np.zeros(0, np.int64)], []
+            for i, j in chunks(off):
+                row, h, size = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                fp.append(fingerprints(row, h, size))
+                at = np.append(0, np.cumsum(size))
+                bits += [bitmap(h[at[x] : at[x + 1]]) for x in range(j - i)]
+            own = pa.array(np.concatenate(fp) == b.column(0).to_numpy())
+            yield batch(schema, b.column(0), b.column(1), b.column(2), bits).filter(own)
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) of fingerprints -> a, b, inter, na, nb; sets: fp, n, doc."""
-    one = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("doc").alias(f"d{x}"))
-    able = materialize(pairs.join(one("a"), "a").join(one("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
-    needed = able.select(F.col("da").alias("doc")).unionByName(able.select(F.col("db").alias("doc"))).distinct()
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    some = materialize(texts.join(needed, texts["_id"] == needed["doc"], "left_semi"))
-    side = lambda x: some.select(F.col("_id").alias(f"d{x}"), F.col("_text").alias(f"t{x}"))
-    full = able.join(side("b"), "db").join(side("a"), "da").select("a", "b", "ta", "tb")
-    got = full.mapInArrow(_verifier(n), "a long, b long, inter long")
-    return materialize(got.dropDuplicates(["a", "b"]).join(able.select("a", "b", "na", "nb"), ["a", "b"]))
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _sieve(num: int, den: int):
+    """Pairs (a, b, na, nb, bits of both) whose bitmaps leave the similarity possible."""
+    most = Bands(num, den).most
 
-_CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            a, b, na, nb = (t.column(k).to_numpy() for k in range(4))
+            ok = least_difference(t.column(4).to_pylist(), t.column(5).to_pylist()) <= most(na, nb)
+            yield batch(_PAIRS, a[ok], b[ok])
+
+    return run
 
 
-def _cross(num: int, den: int):
-    """Pairs of sets of one subset in different components that sizes and distances to a common set don't rule out.
+def _cross(num: int, den: int, most_each: int | None):
+    """Pairs of sets of one subset that are in different components and that sizes and bitmaps don't rule out.
 
-    A set that its size kept from being compared with the common set has no distance (NaN), which rules out nothing.
+    The largest component of a subset leaves it to the others to pair up. most_each keeps each set's closest partners;
+    a subset where that left some out is named in a row of its own.
     """
+    schema = pa.schema([*_PAIRS, ("sig", pa.int64())])
+    most = Bands(num, den).most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if batches else None
-        if t is None or not t.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
-        key, fp, comp, n, dist = (t.column(c).to_numpy() for c in ("sig", "fp", "comp", "n", "dist"))
-        order = np.lexsort((n, key))
-        key, fp, comp, n, dist = (x[order] for x in (key, fp, comp, n, dist))
-        starts, group = runs(key)
-        ends = np.append(starts[1:], len(key))
+        t = pa.Table.from_batches(held)
+        key, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "fp", "comp", "n"))
+        bits = t.column("bits").to_pylist()
+        order = np.argsort(key, kind="stable")
+        key, fp, comp, n = (x[order] for x in (key, fp, comp, n))
+        width = np.array([len(bits[i]) // 8 for i in order])
+        starts, _ = runs(key)
         out: list[np.ndarray] = []
-        for i in range(len(key)):
-            j = np.arange(i + 1, ends[group[i]])
-            j = j[(num * n[j] <= den * n[i]) & (comp[j] != comp[i]) & ~(np.abs(dist[j] - dist[i]) > 1 - num / den + 1e-9)]
-            if len(j):
-                out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
-            if out and sum(map(len, out[-64:])) > 100_000:
-                p = np.unique(np.concatenate(out), axis=0)
-                yield batch(_CROSS, p[:, 0], p[:, 1])
-                out = []
+        left: set[int] = set()
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            at = {}
+            for w in np.unique(np.append(width[s:e], width[s:e] // 2)):  # every member at its own width and at half of it
+                own, wide = s + np.flatnonzero(width[s:e] == w), s + np.flatnonzero(width[s:e] == 2 * w)
+                m = [_matrix([bits[i] for i in order[x]]) for x in (own, wide) if len(x)]
+                if len(wide):
+                    m[-1] = _fold(m[-1])
+                if m:
+                    at[w] = np.concatenate([own, wide]), np.concatenate(m)
+            names, sizes = np.unique(comp[s:e], return_counts=True)
+            for i in s + np.flatnonzero(comp[s:e] != names[sizes.argmax()]):
+                partners, gaps = [], []
+                for w in (width[i], width[i] // 2):
+                    if w not in at:
+                        continue
+                    who, m = at[w]
+                    ok = (num * n[who] <= den * n[i]) & (num * n[i] <= den * n[who]) & (comp[who] != comp[i])
+                    k = np.flatnonzero(ok if w == width[i] else ok & (width[who] == w))
+                    gap = np.bitwise_count(m[k] ^ m[who == i]).sum(1)
+                    fine = gap <= most(n[i], n[who[k]])
+                    partners.append(who[k[fine]])
+                    gaps.append(gap[fine])
+                j, gap = np.concatenate(partners), np.concatenate(gaps)
+                if most_each is not None and len(j) > most_each:
+                    j = j[np.argpartition(gap, most_each)[:most_each]]
+                    left.add(int(key[s]))
+                if len(j):
+                    out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
+            if len(out) > 10_000:
+                out = [np.unique(np.concatenate(out), axis=0)]
         if out:
             p = np.unique(np.concatenate(out), axis=0)
-            yield batch(_CROSS, p[:, 0], p[:, 1])
+            yield batch(schema, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()))
+        yield batch(schema, pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int64()), list(left))
+
+    return run
+
+
+def _verifier(n: int, num: int, den: int):
+    """Links among the pairs, by the exact sets of both texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).to_numpy() for k in (0, 1))
+            sets: dict[int, np.ndarray] = {}
+            for ids, col in ((a, b.column(2)), (c, b.column(3))):
+                some = np.unique(ids, return_index=True)[1]
+                some = np.array([i for i in some if int(ids[i]) not in sets], np.int64)
+                data, off = text_bytes(col.take(pa.array(some, pa.int64())))
+                for i, j in chunks(off):
+                    _, h, size = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                    at = np.append(0, np.cumsum(size))
+                    sets.update((int(ids[some[x]]), h[at[x - i] : at[x - i + 1]]) for x in range(i, j))
+            ok = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(a, c, strict=True)):
+                x, y = sets[int(x)], sets[int(y)]
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = den * inter >= num * (len(x) + len(y) - inter)
+            yield batch(_PAIRS, a[ok], c[ok])
 
     return run
 
@@ -338,22 +422,43 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     documents = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("fp"))
     sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc")))
     pairs = found.filter("kind = 1").select("a", "b").distinct()
-    checked = _checked(pairs, sets, texts, n, num, den)
-    is_link = f"{den} * inter >= {num} * (na + nb - inter)"
-    links = checked.filter(is_link).select("a", "b")
-    comps = connected_components(links)
+    many = found.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
 
-    many = found.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("fp")).distinct()
-    placed = many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
-    open_ = placed.groupBy("sig").agg(F.min("fp").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig", "hub")
-    near = checked.select(F.col("a").alias("hub"), F.col("b").alias("fp"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("dist"))
-    rest = placed.join(open_, "sig").join(near, ["hub", "fp"], "left").join(sets.select("fp", "n"), "fp")
-    rest = rest.withColumn("dist", F.when(F.col("fp") == F.col("hub"), 0.0).otherwise(F.col("dist"))).select("sig", "fp", "comp", "n", F.coalesce("dist", F.lit(float("nan"))).alias("dist"))
-    cross = materialize(rest.repartition("sig").mapInArrow(_cross(num, den), "a long, b long").distinct())
-    if cross.limit(1).count():
-        more = _checked(cross.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, texts, n, num, den).filter(is_link).select("a", "b")
+    fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(many.select("fp")).distinct()
+    needed = sets.join(fps, "fp", "left_semi")
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    some = texts.join(needed, texts["_id"] == needed["doc"]).select("fp", "n", "_text")
+    some = materialize(some.mapInArrow(_sketcher(n), "fp long, n long, text string, bits binary"))
+
+    def verified(able: DataFrame) -> DataFrame:
+        ends = able.select(F.col("a").alias("fp")).unionByName(able.select(F.col("b").alias("fp"))).distinct()
+        if ends.count() <= BROADCAST_IDS:
+            ends = F.broadcast(ends)
+        own = some.join(ends, "fp", "left_semi")
+        side = lambda x: own.select(F.col("fp").alias(x), F.col("text").alias(f"t{x}"))
+        return materialize(able.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_verifier(n, num, den), "a long, b long"))
+
+    side = lambda x: some.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_sieve(num, den), "a long, b long"))
+    links = verified(tested)
+    comps = connected_components(links)
+    for most_each in CLOSEST:
+        placed = many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+        open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+        rest = placed.join(open_, "sig").join(some.select("fp", "n", "bits"), "fp").select("sig", "fp", "comp", "n", "bits")
+        cross = materialize(rest.repartition("sig").mapInArrow(_cross(num, den, most_each), "a long, b long, sig long"))
+        fresh = materialize(cross.filter("sig is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = verified(fresh)
         if more.limit(1).count():
-            comps = connected_components(links.unionByName(more))
+            links = links.unionByName(more)
+            comps = connected_components(links)
+        left = cross.filter("sig is not null").select("sig")
+        if not left.limit(1).count():
+            break
+        tested = tested.unionByName(fresh)
+        many = many.join(left, "sig", "left_semi")
 
     class_of = sets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     class_of = class_of.join(class_of.groupBy("class").agg(F.min("doc").alias("component_id")), "class")
