@@ -224,21 +224,23 @@ def train(samples: DataFrame, epochs: int = 1, batch_size: int = 32, rate: float
     return net, costs
 
 
+def _trainer(params: dict[str, np.ndarray], epochs: int, rate: float):
+    def of_user(rows: pd.DataFrame) -> pd.DataFrame:
+        own = ListNet(params)
+        for _ in range(epochs):
+            for r in rows.sort_values("sample_id").itertuples(index=False):
+                g, _ = own.gradients(np.array([list(v) for v in r.inputs], float), np.asarray(r.target, float))
+                own = own.step(g, rate)
+        return pd.DataFrame({"net": [own.flat()]})
+
+    return of_user
+
+
 def train_federated(samples: DataFrame, user_col: str, rounds: int = 1, users: int = 10, epochs: int = 1, rate: float = 0.1, seed: int = 0, net: ListNet | None = None) -> ListNet:
     """Each round, some users train copies of the network on their own samples; their mean is the next network."""
     net = net or ListNet.random(seed)
     for k in range(rounds):
         chosen = samples.select(user_col).distinct().orderBy(F.xxhash64(user_col, F.lit(seed), F.lit(k)), user_col).limit(users)
-        params = net.params
-
-        def of_user(rows: pd.DataFrame, params=params) -> pd.DataFrame:
-            own = ListNet(params)
-            for _ in range(epochs):
-                for r in rows.sort_values("sample_id").itertuples(index=False):
-                    g, _ = own.gradients(np.array([list(v) for v in r.inputs], float), np.asarray(r.target, float))
-                    own = own.step(g, rate)
-            return pd.DataFrame({"net": [own.flat()]})
-
-        nets = samples.join(F.broadcast(chosen), user_col).groupBy(user_col).applyInPandas(of_user, "net array<double>").collect()  # at most ``users`` rows
+        nets = samples.join(F.broadcast(chosen), user_col).groupBy(user_col).applyInPandas(_trainer(net.params, epochs, rate), "net array<double>").collect()  # at most ``users`` rows
         net = merge_nets([ListNet.of_flat(np.array(r["net"])) for r in nets]) or net
     return net
