@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import dot
 
 MERGE_DISTANCE = 4.5
 NO_COI = -1.0
@@ -55,22 +55,35 @@ class Config:
 # --- assignment ---------------------------------------------------------------------------------
 
 
-def closest(documents: DataFrame, interests: DataFrame, polarity: str, keys: list[str]) -> DataFrame:
-    """-> keys, coi_id, similarity, last_view of the closest interest of a polarity (ties: the first in order).
+def interest_lists(interests: DataFrame, *more: str) -> DataFrame:
+    """-> user_id, pos, neg: each user's interests as arrays, so that documents meet them by one join on the user."""
+    item = F.struct("coi_pos", "coi_id", "point", F.sqrt(dot(F.col("point"), F.col("point"))).alias("norm"), "last_view", *more)
+    of = lambda p: F.collect_list(F.when(F.col("polarity") == p, item)).alias(p)
+    return interests.groupBy("user_id").agg(of("pos"), of("neg"))
 
-    keys must hold user_id and identify a document.
-    """
-    own = interests.filter(F.col("polarity") == polarity).select("user_id", "coi_pos", "coi_id", "point", "last_view")
-    pairs = documents.select(*keys, "embedding").join(own, "user_id").withColumn("similarity", cosine(F.col("embedding"), F.col("point")))
-    best = pairs.groupBy(*keys).agg(F.max(F.struct("similarity", (-F.col("coi_pos")).alias("p"), "coi_id", "last_view")).alias("b"))
-    return best.select(*keys, F.col("b.coi_id").alias("coi_id"), F.col("b.similarity").alias("similarity"), F.col("b.last_view").alias("last_view"))
+
+def nearest(cois: Column, embedding: Column, norm: Column, *more: str) -> Column:
+    """The most similar interest of an array (ties: the first in order): similarity, coi_id, last_view; null without any."""
+
+    def candidate(c: Column) -> Column:
+        s = F.when(c["norm"] * norm == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(embedding, c["point"]) / (c["norm"] * norm))))
+        return F.struct(s.alias("similarity"), (-c["coi_pos"]).alias("p"), c["coi_id"].alias("coi_id"), c["last_view"].alias("last_view"), *[c[m].alias(m) for m in more])
+
+    return F.array_max(F.transform(cois, candidate))
+
+
+def with_nearest(documents: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
+    """documents with _pos and _neg, their users' nearest interests of either polarity."""
+    rows = documents.join(lists, "user_id", "left").withColumn("_norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    found = [nearest(F.col(p), F.col("embedding"), F.col("_norm"), *more).alias(f"_{p}") for p in ("pos", "neg")]
+    return rows.select(*documents.columns, *found)
 
 
-def assign(documents: DataFrame, interests: DataFrame, keys: list[str]) -> DataFrame:
+def assign(documents: DataFrame, interests: DataFrame) -> DataFrame:
     """documents with coi_id, pos_similarity, neg_similarity; null coi_id where a user has no positive interest."""
-    pos = closest(documents, interests, "pos", keys).select(*keys, "coi_id", F.col("similarity").alias("pos_similarity"))
-    neg = closest(documents, interests, "neg", keys).select(*keys, F.col("similarity").alias("neg_similarity"))
-    return documents.join(pos, keys, "left").join(neg, keys, "left").withColumn("neg_similarity", F.coalesce("neg_similarity", F.lit(NO_COI)))
+    return with_nearest(documents, interest_lists(interests)).select(
+        *documents.columns, F.col("_pos.coi_id").alias("coi_id"), F.col("_pos.similarity").alias("pos_similarity"), F.coalesce("_neg.similarity", F.lit(NO_COI)).alias("neg_similarity")
+    )
 
 
 def has_enough(interests: DataFrame, config: Config) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vector import EPSILON32, decay, nan_lowest_desc
-from .interests import Config, closest, has_enough
+from .interests import Config, interest_lists, with_nearest
 
 REQUEST = ["user_id", "request_id"]
 NEUTRAL_SIMILARITY = 0.5
@@ -46,13 +46,17 @@ def rank_by_identity(documents: DataFrame) -> DataFrame:
 # --- analytics ----------------------------------------------------------------------------------
 
 
-def gains(scored: DataFrame, score: str, keys: list[str], k: int = TOP) -> DataFrame:
-    """-> keys, ndcg of the order by a score (NaN lowest); the gain itself where the ideal gain is 0."""
-    by_score = F.row_number().over(Window.partitionBy(*keys).orderBy(*nan_lowest_desc(F.col(score)), "doc_pos"))
-    ideal = F.row_number().over(Window.partitionBy(*keys).orderBy(*nan_lowest_desc(F.col("relevance").cast("double")), "doc_pos"))
+def gains(scored: DataFrame, scores: dict[str, str], keys: list[str], k: int = TOP) -> DataFrame:
+    """-> keys and for each name the nDCG of the order by its score (NaN lowest); the gain itself where the ideal is 0.
+
+    All orders are windows over one partitioning, and one aggregation follows.
+    """
+    w = Window.partitionBy(*keys)
+    place = lambda c: F.row_number().over(w.orderBy(*nan_lowest_desc(F.col(c).cast("double")), "doc_pos"))
+    placed = scored.select("*", place("relevance").alias("_best"), *[place(c).alias(f"_{name}") for name, c in scores.items()])
     gain = lambda i: F.sum(F.when(F.col(i) <= k, (F.pow(F.lit(2.0), F.col("relevance").cast("double")) - 1) / F.log2(F.col(i) + 1.0)).otherwise(0.0))
-    sums = scored.withColumn("_i", by_score).withColumn("_j", ideal).groupBy(*keys).agg(gain("_i").alias("d"), gain("_j").alias("e"))
-    return sums.select(*keys, F.when(F.col("e") == 0, F.col("d")).otherwise(F.col("d") / F.when(F.col("e") != 0, F.col("e"))).alias("ndcg"))
+    sums = placed.groupBy(*keys).agg(gain("_best").alias("_best"), *[gain(f"_{name}").alias(name) for name in scores])
+    return sums.select(*keys, *[F.when(F.col("_best") == 0, F.col(n)).otherwise(F.col(n) / F.when(F.col("_best") != 0, F.col("_best"))).alias(n) for n in scores])
 
 
 def analytics(ranked: DataFrame, history: DataFrame, keys: list[str] = REQUEST, k: int = TOP) -> DataFrame:
@@ -60,12 +64,9 @@ def analytics(ranked: DataFrame, history: DataFrame, keys: list[str] = REQUEST,
     from .history import latest_by_id
 
     own = [*(c for c in keys if c in history.columns), "id"]
-    rows = ranked.join(latest_by_id(history, own).select(*own, "relevance"), own).withColumn("_final", -F.col("final_rank").cast("double")).withColumn("_initial", -F.col("rank").cast("double"))
-    out = None
-    for name, score in (("ndcg_ltr", "ltr_score"), ("ndcg_context", "context"), ("ndcg_final_ranking", "_final"), ("ndcg_initial_ranking", "_initial")):
-        one = gains(rows, score, keys, k).withColumnRenamed("ndcg", name)
-        out = one if out is None else out.join(one, keys)
-    return out
+    rows = ranked.join(latest_by_id(history, own).select(*own, "relevance"), own)
+    rows = rows.select(*keys, "doc_pos", "relevance", "ltr_score", "context", (-F.col("final_rank")).alias("final"), (-F.col("rank")).alias("initial"))
+    return gains(rows, {"ndcg_ltr": "ltr_score", "ndcg_context": "context", "ndcg_final_ranking": "final", "ndcg_initial_ranking": "initial"}, keys, k)
 
 
 # --- relevance and score of interests -------------------------------------------------------------
@@ -81,24 +82,22 @@ def coi_relevance(interests: DataFrame, as_of: Column, horizon_days: float = 30.
     return pos.select("user_id", "coi_id", value.alias("relevance"))
 
 
-def document_scores(documents: DataFrame, interests: DataFrame, as_of: Column, config: Config = Config(), keys: list[str] | None = None) -> DataFrame:  # noqa: B008
-    """-> keys, score; null for users with too few interests. keys (default user_id, id) identify a document."""
-    keys = keys or ["user_id", "id"]
-    able = documents.join(has_enough(interests, config).filter("enough").select("user_id"), "user_id", "left_semi")
-    pos = closest(able, interests, "pos", keys).select(*keys, F.col("coi_id"), F.col("similarity").alias("ps"), decay(config.horizon_days, as_of, F.col("last_view")).alias("pd"))
-    neg = closest(able, interests, "neg", keys).select(*keys, F.col("similarity").alias("ns"), decay(config.horizon_days, as_of, F.col("last_view")).alias("nd"))
-    scored = pos.join(neg, keys).join(coi_relevance(interests, as_of, config.horizon_days), ["user_id", "coi_id"])
-    scored = scored.select(*keys, (F.col("ps") * F.col("pd") + F.col("relevance") - F.col("ns") * F.col("nd")).alias("score"))
-    return documents.select(*keys).join(scored, keys, "left")
+def document_scores(documents: DataFrame, interests: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:  # noqa: B008
+    """documents with score; null for users with too few interests."""
+    relevant = interests.join(coi_relevance(interests, as_of, config.horizon_days), ["user_id", "coi_id"], "left")
+    enough = (F.size("pos") >= config.min_positive) & (F.size("neg") >= config.min_negative)
+    lists = interest_lists(relevant, "relevance").filter(enough)
+    rows = with_nearest(documents, lists, "relevance")
+    faded = lambda p: F.col(f"_{p}.similarity") * decay(config.horizon_days, as_of, F.col(f"_{p}.last_view"))
+    return rows.select(*documents.columns, (faded("pos") + F.col("_pos.relevance") - faded("neg")).alias("score"))
 
 
-def rank_documents(documents: DataFrame, interests: DataFrame, as_of: Column, config: Config = Config(), keys: list[str] | None = None) -> DataFrame:  # noqa: B008
+def rank_documents(documents: DataFrame, interests: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Adds score and position: score ascending; for users with a document without a score the newest first.
 
-    documents: user_id, doc_pos, published, embedding and the keys.
+    documents: user_id, doc_pos, published, embedding.
     """
-    keys = keys or ["user_id", "id"]
-    rows = documents.join(document_scores(documents, interests, as_of, config, keys), keys)
+    rows = document_scores(documents, interests, as_of, config)
     fails = F.max(F.col("score").isNull().cast("int")).over(Window.partitionBy("user_id"))
     rows = rows.withColumn("_fails", fails)
     order = Window.partitionBy("user_id").orderBy(F.when(F.col("_fails") == 0, F.col("score")).asc_nulls_last(), F.when(F.col("_fails") == 1, F.col("published")).desc_nulls_last(), "doc_pos")

@@ -185,7 +185,7 @@ def target_distribution(spark, sf_dir):
 
 @query
 def coi_assign(spark, sf_dir):
-    a = it.assign(d.requests(spark, sf_dir), d.interests(spark, sf_dir), ["user_id", "request_id", "id"])
+    a = it.assign(d.requests(spark, sf_dir), d.interests(spark, sf_dir))
     return a.select("request_id", "id", "coi_id", _r("pos_similarity").alias("pos_similarity"), _r("neg_similarity").alias("neg_similarity"))
 
 

@@ -74,10 +74,9 @@ def rerank(mode: Mode, documents: DataFrame, interests: DataFrame | None = None,
     """documents (user_id, request_id, doc_pos, id, rank; embedding if personalised; texts and query_words if searched)."""
     spark = documents.sparkSession
     faults = spark.createDataFrame([], FAULTS)
-    keys = [*REQUEST, "id"]
     rows = documents
     if mode.personalized:
-        rows = assign(rows, interests, keys)
+        rows = assign(rows, interests)
         missing = rows.filter("coi_id is null").select(*REQUEST).distinct()
         faults = faults.unionByName(missing.select(*REQUEST, F.lit("coi").alias("stage"), F.lit("NoCoi").alias("code")))
         rows = rows.withColumn("neg_similarity", F.when(F.col("coi_id").isNull(), 0.0).otherwise(F.col("neg_similarity"))).withColumn("pos_similarity", F.coalesce("pos_similarity", F.lit(0.0))).withColumn("coi_id", F.coalesce("coi_id", F.lit(NIL)))

@@ -141,12 +141,11 @@ def interests(spark, pos, neg=()):
 def test_assign(spark):
     docs = spark.createDataFrame([(0, 0, "d", [2.0, 3.0, 4.0])], "user_id long, request_id long, id string, embedding array<double>")
     pos, neg = [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [[10, 10, 0], [0, 10, 10], [10, 0, 10]]
-    keys = ["user_id", "request_id", "id"]
-    r = it.assign(docs, interests(spark, pos, neg), keys).first()
+    r = it.assign(docs, interests(spark, pos, neg)).first()
     assert (r["coi_id"], r["pos_similarity"], r["neg_similarity"]) == ("pos2", pytest.approx(0.74278134, abs=1e-6), pytest.approx(0.91914505, abs=1e-6))
-    assert it.assign(docs, interests(spark, pos), keys).first()["neg_similarity"] == -1
-    assert it.assign(docs, interests(spark, [], neg), keys).first()["coi_id"] is None
-    tie = it.assign(docs, interests(spark, [[1, 1, 1], [2, 2, 2]]), keys).first()
+    assert it.assign(docs, interests(spark, pos)).first()["neg_similarity"] == -1
+    assert it.assign(docs, interests(spark, [], neg)).first()["coi_id"] is None
+    tie = it.assign(docs, interests(spark, [[1, 1, 1], [2, 2, 2]])).first()
     assert tie["coi_id"] == "pos0"
 
 
@@ -212,7 +211,7 @@ def test_context(spark):
 def test_ndcg(spark, k, want):
     rows = [(0, 0, i, float(r), float(s)) for i, (r, s) in enumerate([(1, 12), (4, 9), (10, 7), (3, 5), (0, 4), (6, 1)])]
     docs = spark.createDataFrame(rows, "user_id long, request_id long, doc_pos int, relevance double, s double")
-    assert rk.gains(docs, "s", ["user_id"], k).first()["ndcg"] == pytest.approx(want, abs=1e-6)
+    assert rk.gains(docs, {"ndcg": "s"}, ["user_id"], k).first()["ndcg"] == pytest.approx(want, abs=1e-6)
 
 
 def test_rank_by_score_ascending_or_date(spark):
