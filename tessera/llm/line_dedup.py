@@ -153,7 +153,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     packed = materialize(late.repartition("id").mapInArrow(_collect, "id long, late binary"))
     others = [c for c in docs.columns if c != text_col]
     plain = rows.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    full = plain.join(packed.withColumnRenamed("id", "_id"), "_id", "left").select("_text", "late", *[f"c{i}" for i in range(len(others))])
+    # by shuffle at any size: a broadcast that fits small tables would only change the plan where it counts
+    full = plain.join(packed.withColumnRenamed("id", "_id").hint("merge"), "_id", "left").select("_text", "late", *[f"c{i}" for i in range(len(others))])
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in full.schema[2:]] + ["_kept string, _n_lines long, _n_removed long, _n_runs long"])
     out = full.mapInArrow(_cutter(min_lines), schema)
     own = [F.col("_kept").alias(c) if c == text_col else F.col(f"c{others.index(c)}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
