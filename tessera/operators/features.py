@@ -76,16 +76,23 @@ def _mask(name: str) -> Column:
 
 
 def key_features(history: DataFrame, documents: DataFrame) -> DataFrame:
-    """-> user_id, rank, kind and for each predicate its sums and snippet quality."""
+    """-> user_id, rank and for url (u_) and domain (d_) and each predicate its sums and snippet quality.
+
+    Counts and both kinds of run scores are stacked to one table of facts, so that documents meet them by one join.
+    """
     docs = _kinds(documents.withColumnRenamed("query_id", "d_query_id").withColumnRenamed("session", "d_session"), "user_id", "rank", "d_query_id", "d_session")
-    on = ["user_id", "kind", "key"]
+    facts = outcome_sums(history)
+    for by_query, name in ((False, "run_score"), (True, "query_score")):
+        facts = facts.unionByName(snippet_scores(history, by_query).withColumnRenamed("score", name), allowMissingColumns=True)
     sums = ["n", "n_miss", "n_skip", "n_click", "n_click2", "r", "r_miss", "r_skip", "r_click"]
-    out = docs.join(outcome_sums(history), on, "left").groupBy("user_id", "rank", "kind").agg(*[F.sum(F.when(_mask(p), F.coalesce(F.col(s), F.lit(0))).otherwise(0)).alias(f"{p}_{s}") for p in PREDICATES for s in sums])
-    for by_query, names in ((False, ("base", "ant")), (True, ("q", "q_ant"))):
-        scores = docs.join(snippet_scores(history, by_query), on, "left").groupBy("user_id", "rank", "kind")
-        out = out.join(scores.agg(*[F.sum(F.when(_mask(p), F.coalesce("score", F.lit(0.0))).otherwise(0.0)).alias(f"{p}_score") for p in names]), ["user_id", "rank", "kind"])
-    quality = lambda p: F.when(F.col(f"{p}_n_miss") + F.col(f"{p}_n_skip") == 0, 0.0).otherwise(F.col(f"{p}_score") / (F.col(f"{p}_n_miss") + F.col(f"{p}_n_skip")))
-    return out.select("*", *[quality(p).alias(f"{p}_sq") for p in ("base", "ant", "q", "q_ant")])
+    rows = docs.join(facts, ["user_id", "kind", "key"], "left")
+    of = lambda k, p, c: F.sum(F.when((F.col("kind") == k) & _mask(p), F.coalesce(F.col(c), F.lit(0))).otherwise(0))
+    values = [of(k, p, s).alias(f"{k}_{p}_{s}") for k in "ud" for p in PREDICATES for s in sums]
+    values += [of(k, p, c).alias(f"{k}_{p}_score") for k in "ud" for p, c in (("base", "run_score"), ("ant", "run_score"), ("q", "query_score"), ("q_ant", "query_score"))]
+    out = rows.groupBy("user_id", "rank").agg(*values)
+    poor = lambda k: F.col(f"{k}_n_miss") + F.col(f"{k}_n_skip")
+    quality = lambda k: F.when(poor(k) == 0, 0.0).otherwise(F.col(f"{k}_score") / F.when(poor(k) != 0, poor(k)))
+    return out.select("*", *[quality(f"{k}_{p}").alias(f"{k}_{p}_sq") for k in "ud" for p in ("base", "ant", "q", "q_ant")])
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -127,10 +134,11 @@ def seasonality(history: DataFrame) -> DataFrame:
     return history.filter("clicked").groupBy("user_id", "domain").agg((2.5 * (1 + _count(weekend)) / (1 + _count(~weekend))).alias("seasonality"))
 
 
-def cumulated(keyed: DataFrame) -> DataFrame:
-    """keyed: user_id, rank and p_skip, p_click1, p_click2 of the url -> their sums over better ranks."""
+def with_cumulated(keyed: DataFrame) -> DataFrame:
+    """Adds cum_skip, cum_click1, cum_click2: sums of the urls' probabilities over better ranks."""
     before = Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.select("user_id", "rank", *[F.coalesce(F.sum(f"p_{x}").over(before), F.lit(0.0)).alias(f"cum_{x}") for x in ("skip", "click1", "click2")])
+    n = {"skip": F.col("u_base_n_skip"), "click1": F.col("u_base_n_click") - F.col("u_base_n_click2"), "click2": F.col("u_base_n_click2")}
+    return keyed.select("*", *[F.coalesce(F.sum(conditional_probability(c, F.col("u_base_n"))).over(before), F.lit(0.0)).alias(f"cum_{x}") for x, c in n.items()])
 
 
 def features_50(history: DataFrame, documents: DataFrame) -> DataFrame:
@@ -141,12 +149,7 @@ def features_50(history: DataFrame, documents: DataFrame) -> DataFrame:
     """
     bad = documents.groupBy("user_id").agg((F.count("*") != F.countDistinct("rank")) | (F.max("rank") != F.count("*") - 1) | (F.count_distinct(F.struct("session", "query_id")) > 1)).toDF("user_id", "bad")
     checked = documents.join(bad, "user_id").filter(F.when(F.col("bad"), F.raise_error(F.lit("ranks must be 0..n-1 of one query")).cast("boolean")).otherwise(True)).drop("bad")
-    keyed = key_features(history, checked)
-    u, d = (keyed.filter(F.col("kind") == k).drop("kind") for k in "ud")
-    u, d = (t.select("user_id", "rank", *[F.col(c).alias(f"{k}_{c}") for c in t.columns if c not in ("user_id", "rank")]) for k, t in (("u", u), ("d", d)))
-    click1 = F.col("u_base_n_click") - F.col("u_base_n_click2")
-    probs = u.select("user_id", "rank", conditional_probability(F.col("u_base_n_skip"), F.col("u_base_n")).alias("p_skip"), conditional_probability(click1, F.col("u_base_n")).alias("p_click1"), conditional_probability(F.col("u_base_n_click2"), F.col("u_base_n")).alias("p_click2"))
-    rows = checked.join(u, ["user_id", "rank"]).join(d, ["user_id", "rank"]).join(cumulated(probs), ["user_id", "rank"])
+    rows = checked.join(with_cumulated(key_features(history, checked)), ["user_id", "rank"])
     q = query_features(history)
     rows = rows.join(q.select("user_id", "query_id", F.struct(*[c for c in q.columns if c not in ("user_id", "query_id")]).alias("q")), ["user_id", "query_id"], "left")
     s = user_features(history)
