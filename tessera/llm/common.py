@@ -38,6 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most so many rows from now on, as rows may hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,7 +75,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i up to n."""
     if len(_POWERS.get("p", ())) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 5 << 18)
         for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, base, dtype=U64)
             a[0] = 1

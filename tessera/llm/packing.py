@@ -23,18 +23,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, materialize, prefix_hashes, span_hashes, spread, text_bytes, word_spans
+from .common import bound_batches, chunks, materialize, prefix_hashes, span_hashes, spread, text_bytes, word_spans
 
 SLOTS = 64
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
+def split_ends(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with up to three stops after an ASCII letter become two: a letter before a stop always ends a token."""
+    cut = end.copy()
+    for _ in range(3):
+        cut -= (cut - 1 > start) & _STOP[data[cut - 1]]
+    two = (cut < end) & _LETTER[data[cut - 1]] if len(cut) else np.zeros(0, bool)
+    at = np.cumsum(1 + two) - 1  # each word's last part
+    n = int(at[-1]) + 1 if len(at) else 0
+    s, e, r = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    s[at], e[at], r[at] = np.where(two, cut, start), end, row
+    s[at[two] - 1], e[at[two] - 1], r[at[two] - 1] = start[two], cut[two], row[two]
+    return s, e, r
+
+
+def lower_plain(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, but in words with other bytes than ASCII (they may compose) or with < (a special token)."""
+    odd = np.append(0, np.cumsum((data >= 128) | (data == 60)))
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    keep = np.flatnonzero(odd[end] > odd[start])
+    at, _ = spread(start[keep], end[keep])
+    low[at] = data[at]
+    return low
+
+
+def _merge(*tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Tables of columns, the first of them sorted, as one."""
+    if not tables:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    columns = [np.concatenate(c) for c in zip(*tables, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
+
+
 class WordTokenizer:
-    """Ids of white-space separated words, each tokenized once and remembered (up to a bound).
+    """Ids of words, each tokenized once and remembered (up to a bound).
 
-    For tokenizers whose pieces never cross white space: the ids of a text are those of its words, one after another.
+    For lower-casing tokenizers whose tokens never cross white space nor the border between letters and stops: the ids
+    of a text are those of its words, one after another.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,8 +82,9 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Sorted hashes with places and numbers of their ids: of most words, and of those met lately.
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.late = none, none
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
@@ -61,31 +102,51 @@ class WordTokenizer:
         self.ids[self.used : self.used + len(new)] = new
         at = self.used + np.cumsum(n) - n
         self.used += len(new)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.late = _merge(self.late, (hashes, at, n.astype(np.int32)))
+        if len(self.late[0]) > 60_000:
+            self.known, self.late = _merge(self.known, self.late), _merge()
+
+    def _look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each word; place -1 if it isn't known."""
+        first, n = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, at, count in (self.known, self.late):
+            if len(known):
+                k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[k] == hashes
+                first[hit], n[hit] = at[k[hit]], count[k[hit]]
+        return first, n
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after another, and each row's number of them."""
-        start, end, row = word_spans(data, off)
         rows = len(off) - 1
+        start, end, row = split_ends(data, *word_spans(data, off))
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        h = span_hashes(prefix_hashes(data), start, end)
+        h = span_hashes(prefix_hashes(lower_plain(data, start, end)), start, end)
         distinct, index, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
+        if len(self.known[0]) > self.most:
             self.clear()
-        at = np.searchsorted(self.known, distinct)
-        fresh = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        first, n = self._look(distinct)
+        fresh = np.flatnonzero(first < 0)
         if len(fresh):
             raw = data.tobytes()
             self._learn(distinct[fresh], [raw[s:e] for s, e in zip(start[index[fresh]].tolist(), end[index[fresh]].tolist(), strict=True)])
-            at = np.searchsorted(self.known, distinct)
-        first, n = self.at[at][back], self.n[at][back]
+            first[fresh], n[fresh] = self._look(distinct[fresh])
+        first, n = first[back], n[back]
         places, _ = spread(first, first + n)
         return self.ids[places], np.bincount(row, weights=n, minlength=rows).astype(np.int64)
 
 
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def kept_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer with all words this worker has met, in this task or before."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
+
+
 # --- the plan -----------------------------------------------------------------------------------
 
 
@@ -179,10 +240,10 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
         for b in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
+            tokenizer = tokenizer or kept_tokenizer(path)
             data, off = text_bytes(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off):
                 flat, n = tokenizer.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 flat = np.insert(flat, np.cumsum(n), np.uint32(end_id)).astype("<u4")
                 n = n + 1
@@ -217,6 +278,7 @@ def _placer(plan: Plan, before: np.ndarray):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """-> id, piece, start, length, ids_crc32, sequence_id, offset (with_ids: also ids)."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     more = ", ids array<int>" if with_ids else ""
     schema = f"id long, piece int, start long, length long, ids_crc32 long{more}"
