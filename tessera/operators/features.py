@@ -75,24 +75,26 @@ def _mask(name: str) -> Column:
     return F.coalesce(m, F.lit(False))
 
 
+SUMS = ("n", "n_miss", "n_skip", "n_click", "n_click2", "r", "r_miss", "r_skip", "r_click")
+
+
 def key_features(history: DataFrame, documents: DataFrame) -> DataFrame:
-    """-> user_id, rank and for url (u_) and domain (d_) and each predicate its sums and snippet quality.
+    """-> user_id, rank, m: a map from u_<predicate> (url) and d_<predicate> (domain) to sums and snippet quality (sq).
 
-    Counts and both kinds of run scores are stacked to one table of facts, so that documents meet them by one join.
+    Counts and both kinds of run scores are stacked to one table of facts, so that documents meet them by one join. A
+    pair goes on once for each predicate that holds, and what follows are plain sums.
     """
     docs = _kinds(documents.withColumnRenamed("query_id", "d_query_id").withColumnRenamed("session", "d_session"), "user_id", "rank", "d_query_id", "d_session")
     facts = outcome_sums(history)
     for by_query, name in ((False, "run_score"), (True, "query_score")):
         facts = facts.unionByName(snippet_scores(history, by_query).withColumnRenamed("score", name), allowMissingColumns=True)
-    sums = ["n", "n_miss", "n_skip", "n_click", "n_click2", "r", "r_miss", "r_skip", "r_click"]
-    rows = docs.join(facts, ["user_id", "kind", "key"], "left")
-    of = lambda k, p, c: F.sum(F.when((F.col("kind") == k) & _mask(p), F.coalesce(F.col(c), F.lit(0))).otherwise(0))
-    values = [of(k, p, s).alias(f"{k}_{p}_{s}") for k in "ud" for p in PREDICATES for s in sums]
-    values += [of(k, p, c).alias(f"{k}_{p}_score") for k in "ud" for p, c in (("base", "run_score"), ("ant", "run_score"), ("q", "query_score"), ("q_ant", "query_score"))]
-    out = rows.groupBy("user_id", "rank").agg(*values)
-    poor = lambda k: F.col(f"{k}_n_miss") + F.col(f"{k}_n_skip")
-    quality = lambda k: F.when(poor(k) == 0, 0.0).otherwise(F.col(f"{k}_score") / F.when(poor(k) != 0, poor(k)))
-    return out.select("*", *[quality(f"{k}_{p}").alias(f"{k}_{p}_sq") for k in "ud" for p in ("base", "ant", "q", "q_ant")])
+    holds = F.filter(F.array(*[F.when(_mask(p), F.lit(p)) for p in PREDICATES]), lambda p: p.isNotNull())
+    rows = docs.join(facts, ["user_id", "kind", "key"], "left").withColumn("pred", F.explode(holds))
+    sums = rows.groupBy("user_id", "rank", "kind", "pred").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in (*SUMS, "run_score", "query_score")])
+    poor = F.col("n_miss") + F.col("n_skip")
+    score = F.when(F.col("pred").isin("base", "ant"), F.col("run_score")).otherwise(F.col("query_score"))
+    item = F.struct(F.concat_ws("_", "kind", "pred").alias("k"), F.struct(*SUMS, F.when(poor == 0, 0.0).otherwise(score / F.when(poor != 0, poor)).alias("sq")).alias("v"))
+    return sums.groupBy("user_id", "rank").agg(F.map_from_entries(F.collect_list(item)).alias("m"))
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -137,8 +139,9 @@ def seasonality(history: DataFrame) -> DataFrame:
 def with_cumulated(keyed: DataFrame) -> DataFrame:
     """Adds cum_skip, cum_click1, cum_click2: sums of the urls' probabilities over better ranks."""
     before = Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    n = {"skip": F.col("u_base_n_skip"), "click1": F.col("u_base_n_click") - F.col("u_base_n_click2"), "click2": F.col("u_base_n_click2")}
-    return keyed.select("*", *[F.coalesce(F.sum(conditional_probability(c, F.col("u_base_n"))).over(before), F.lit(0.0)).alias(f"cum_{x}") for x, c in n.items()])
+    u = F.col("m")["u_base"]
+    n = {"skip": u["n_skip"], "click1": u["n_click"] - u["n_click2"], "click2": u["n_click2"]}
+    return keyed.select("*", *[F.coalesce(F.sum(conditional_probability(c, u["n"])).over(before), F.lit(0.0)).alias(f"cum_{x}") for x, c in n.items()])
 
 
 def features_50(history: DataFrame, documents: DataFrame) -> DataFrame:
@@ -157,13 +160,13 @@ def features_50(history: DataFrame, documents: DataFrame) -> DataFrame:
 
     def mrr(k: str, outcome: str = "") -> Column:
         end = f"_{outcome}" if outcome else ""
-        return mean_reciprocal_rank(F.col(f"{k}_r{end}"), F.col(f"{k}_n{end}"))
+        return mean_reciprocal_rank(F.col("m")[k][f"r{end}"], F.col("m")[k][f"n{end}"])
 
     def prob(k: str, outcome: str) -> Column:
-        return conditional_probability(F.col(f"{k}_n_{outcome}"), F.col(f"{k}_n"), outcome == "miss")
+        return conditional_probability(F.col("m")[k][f"n_{outcome}"], F.col("m")[k]["n"], outcome == "miss")
 
     def sq(k: str) -> Column:
-        return F.col(f"{k}_sq")
+        return F.coalesce(F.col("m")[k]["sq"], F.lit(0.0))
 
     values = [
         F.col("rank") + 1,

@@ -15,6 +15,7 @@ from ..operators import interests as it
 from ..operators import keyphrase as kp
 from ..operators import ranking as rk
 from ..operators.listnet import ListNet, listnet_scores
+from ..sources.scratch import materialize
 from . import derived as d
 from .rerank import Mode, qa_distances, rerank
 
@@ -154,7 +155,9 @@ def seasonality(spark, sf_dir):
 
 def _features(spark, sf_dir):
     now, past = d.current_and_past(spark, sf_dir)
-    return ft.features_50(hs.with_runs(hs.with_actions(past)), now.withColumn("terms", hs.query_terms(F.col("query_words"))))
+    # a dozen aggregations read the prepared history: it is made once
+    past, now = materialize(hs.with_runs(hs.with_actions(past))), materialize(now.withColumn("terms", hs.query_terms(F.col("query_words"))))
+    return ft.features_50(past, now)
 
 
 @query
