@@ -238,3 +238,59 @@ ORACLE_SQL["ranked_phrases"] = f"""
     WITH {WORDS}, m AS (SELECT item_id, unnest(w) AS phrase, unnest(range(len(w))) AS p FROM w),
     b AS (SELECT item_id, phrase, max(round(1.0 / (p + 1), 6)) AS score FROM m GROUP BY item_id, phrase)
     SELECT * FROM (SELECT item_id, phrase, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, phrase) AS position FROM b WHERE score >= 0.01) WHERE position <= 5"""
+
+# --- column types -------------------------------------------------------------------------------
+
+#: Columns of the results: b BIGINT, d DOUBLE, s VARCHAR, t BOOLEAN.
+SCHEMAS = """
+vec_l2_norm: vec_id b, norm d
+vec_l2_distance_pairs: vec_id b, distance d, cosine d
+vec_mean_shift: vec_id b, mid1 d, shift2 d
+vec_softmax_kl: vec_id b, p1 d, kl d
+vec_cosine_topk: id b, coi_pos b, cosine d, place b
+coi_assign: request_id b, id b, coi_id s, pos_similarity d, neg_similarity d
+context_score: request_id b, id b, context d
+rerank_personalized_news: request_id b, id b, coi_id s, context d, final_rank b
+rerank_standard_news: request_id b, id b, context d, final_rank b
+rerank_faults: user_id b, request_id b, stage s, code s
+initial_ranking: request_id b, id b, final_rank b
+ndcg_at_2: request_id b, ndcg_ltr d, ndcg_context d, ndcg_final_ranking d, ndcg_initial_ranking d
+coi_decay: coi_id s, decay d
+coi_relevance: coi_id s, relevance d
+ranker_score: id b, score d
+ranker_rank: request_id b, id b, score d
+rank_by_date_fallback: request_id b, id b, position b
+top_key_phrases: position b, coi_id s, words s, score d
+sync_append: polarity s, coi_pos b, coi_id s, view_count b
+history_actions: user_id b, hist_pos b, action b, clicked t, n_terms b
+history_runs: user_id b, hist_pos b, run_id b, click_index b, run_clicks b
+user_action_inference: user_id b, hist_pos b, inferred_action b
+feedback_classification: user_id b, n_negative b, n_positive b
+last_query_start: user_id b, start b
+mrr_by_url: user_id b, url s, mrr d, mrr_miss d, mrr_skip d, mrr_click d
+cond_prob_by_domain: user_id b, domain s, p_miss d, p_skip d, p_click2 d
+snippet_quality_by_url: user_id b, url s, quality d
+click_entropy_by_user: user_id b, click_entropy d
+query_features: user_id b, query_id b, num_occurs b, click_entropy d, mean_query_count d, occurs_per_session d, click_mrr d, mean_clicks d, mean_non_clicks d
+user_features: user_id b, click12 b, click345 b, click6up b, num_queries b, click_entropy d, words_per_query d, unique_words_per_session d
+seasonality: user_id b, domain s, seasonality d
+terms_variety: user_id b, rank b, terms_variety b
+target_distribution: user_id b, rank b, target d
+cumulated_features: user_id b, rank b, cum_skip d, cum_click1 d, cum_click2 d
+clean_key_phrase: item_id b, cleaned s
+ngram_candidates: item_id b, n b, phrase s, first_pos b, mentions b
+ranked_phrases: item_id b, phrase s, score d, position b
+""".strip().splitlines()
+_KINDS = {"b": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "t": "BOOLEAN"}
+
+
+def _cast(sql: str, columns: list[str]) -> str:
+    """The query with its columns cast, in this order."""
+    names = [c.split() for c in columns]
+    return f"SELECT {', '.join(f'CAST({n} AS {_KINDS[k]}) AS {n}' for n, k in names)} FROM ({sql}) AS q"
+
+
+for _line in SCHEMAS:
+    _name, _, _columns = _line.partition(": ")
+    ORACLE_SQL[_name] = _cast(ORACLE_SQL[_name], _columns.split(", "))
+ORACLE_SQL["features_50"] = _cast(ORACLE_SQL["features_50"], ["user_id b", "rank b", *(f"f{i:02d} d" for i in range(50))])

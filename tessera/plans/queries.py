@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Register a query; its whole numbers are longs and its others doubles."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(spark, sf_dir)
+        wide = {"int": "long", "smallint": "long", "tinyint": "long", "float": "double"}
+        return out.select(*[F.col(c).cast(wide[t]).alias(c) if t in wide else F.col(c) for c, t in out.dtypes])
+
+    QUERIES[f.__name__] = run
     return f
 
 
