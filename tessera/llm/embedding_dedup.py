@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, deal, materialize, mix, partitions, runs, unpack
+from .common import U64, batch, deal, materialize, mix, partitions, runs, spans_of, unpack
 from .components import connected_components
 
 TABLES = 6
@@ -101,8 +101,7 @@ def _bucket(table: int, side: int, low: int, codes: np.ndarray, mult: np.ndarray
     other = codes[:, table] & ((1 << low) - 1) if side == 0 else codes[:, table] >> low
     order = np.argsort(other, kind="stable")
     starts, _ = runs(other[order])
-    ends = np.append(starts[1:], n)
-    place = {int(other[order[s]]): (s, e) for s, e in zip(starts, ends, strict=True)}
+    place = {int(other[order[s]]): (s, e) for s, e in spans_of(starts, n)}
     for c, (s, e) in place.items():
         mates = [place[c ^ (1 << j)] for j in range(16) if c < c ^ (1 << j) and c ^ (1 << j) in place]
         spans = ([(s, e)] if side == 0 else []) + mates
@@ -141,7 +140,7 @@ def _reducer(dim: int, width: int, tables: int, threshold: float):
         del blobs
         order = np.argsort(key, kind="stable")
         starts, _ = runs(key[order])
-        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+        for s, e in spans_of(starts, len(key)):
             if e - s < 2:
                 continue
             at = order[s:e]
