@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: The markers, in the order of their ids above the vocabulary.
 MARKERS = ("### ", ": ", " </turn>\n")
 _CONTROL = re.compile(r"\\|###|</turn>")
@@ -135,6 +137,7 @@ def _assembler(path: str, pattern: str):
 
 def format_conversations(turns: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
     """turns (conv_id, turn, role, text) -> conv_id, ids, loss_mask."""
+    bound_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text")).filter("conv_id is not null")
     coded = rows.mapInArrow(_encoder(tokenizer_path, pattern), "conv_id long, turn long, role string, text string, r binary, t binary")

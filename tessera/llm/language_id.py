@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, mix, powers, spread
+from .common import U64, bound_batches, mix, powers, spread
 
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
@@ -172,8 +172,9 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([k] * len(some), pa.int32()), pa.array([r[0] for r in some]), pa.array([r[1] for r in some], pa.int64())], schema=schema)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8_000, words: int = 30_000, grams: int = 20_000, langs: int = 200) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8_000, words: int = 20_000, grams: int = 8_000, langs: int = 200) -> Model:
     """The model has at most langs * (words + 5 * grams) entries, whatever the table's size."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = rows.count()
     part = min(1.0, sample_rows / max(total, 1))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BYTES, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack
+from .common import U64, _BYTES, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack
 
 _SECOND = mix(_BYTES ^ U64(0x5851F42D4C957F2D))
 
@@ -146,6 +146,7 @@ def _cutter(min_lines: int):
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
     """docs with the kept text in place of the text, and n_lines, n_removed, n_runs."""
+    bound_batches(docs.sparkSession)
     n_parts = min(60_000, 4 * partitions(docs.sparkSession))
     rows = docs.filter(F.col(id_col).isNotNull())
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")

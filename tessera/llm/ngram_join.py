@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, chunks, deal, materialize, mix, partitions, runs, spread, text_bytes, unpack, word_hashes
+from .common import U64, batch, bound_batches, chunks, deal, materialize, mix, partitions, runs, spread, text_bytes, unpack, word_hashes
 from .components import connected_components
 
 BROADCAST_IDS = 1_000_000
@@ -414,6 +414,7 @@ def _verifier(n: int, num: int, den: int):
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """-> id, n_shingles, component_id: sets link when den * |intersection| >= num * |union|."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     bands = Bands(num, den)
     n_parts = min(60_000, 4 * partitions(spark))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack
+from .common import U64, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack
 
 GRAM = 32
 _POS = U64((1 << 28) - 1)
@@ -317,6 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same document. Strings are judged on the input.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     n_parts = min(60_000, 4 * partitions(spark))
     blocks = texts.mapInArrow(_mapper(length, n_parts), "part int, blob binary")
