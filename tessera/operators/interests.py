@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot
+from ..functions.vector import dot, l2_distance
 
 MERGE_DISTANCE = 4.5
 NO_COI = -1.0
@@ -226,3 +226,10 @@ def append_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def synchronize(local: DataFrame, remote: DataFrame) -> DataFrame:
     return merge(append_remote(local, remote))
+
+
+def close_pairs(interests: DataFrame, below: float = MERGE_DISTANCE) -> DataFrame:
+    """-> user_id, polarity, id0 < id1, distance of interests nearer to each other than ``below``."""
+    one = lambda k: interests.select("user_id", "polarity", F.col("coi_id").alias(f"id{k}"), F.col("point").alias(f"p{k}"))
+    pairs = one(0).join(one(1), ["user_id", "polarity"]).filter("id0 < id1")
+    return pairs.select("user_id", "polarity", "id0", "id1", l2_distance(F.col("p0"), F.col("p1")).alias("distance")).filter(F.col("distance") < below)

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.layers import PhraseScorer
+from ..functions.wordpiece import Encoder
+
 MAX_WORDS = 5
 
 
@@ -119,3 +122,30 @@ def select_for_interests(phrases: DataFrame, interests: DataFrame, most: int = 3
         return pd.DataFrame([(*key, w, r) for w, r in found], columns=["user_id", "coi_id", "words", "relevance"])
 
     return rows.groupBy("user_id", "coi_id").applyInPandas(of_coi, "user_id long, coi_id string, words string, relevance double")
+
+
+def extract(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder, scorer: PhraseScorer, max_count: int | None = None, min_score: float | None = None) -> DataFrame:
+    """-> id, position, phrase, score of each document's best phrases; documents of too few words have none.
+
+    Words are encoded, all runs of one to five scored in Arrow batches; ranking is a window.
+    """
+    if max_count is not None and max_count < 1:
+        raise ValueError("max_count must be positive")
+    if min_score is not None and not np.isfinite(min_score):
+        raise ValueError("min_score must be finite")
+
+    @F.pandas_udf("array<struct<phrase:string,score:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            words = (text or "").split()
+            if len(words) < max(scorer.lengths):
+                out.append([])
+                continue
+            scores = scorer.scores(encoder.encode(words))
+            phrases = [" ".join(words[i : i + n]) for n in scorer.lengths for i in range(len(words) - n + 1)]
+            out.append([{"phrase": p, "score": float(s)} for p, s in zip(phrases, scores, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    mentions = docs.select(F.col(id_col), F.explode(run(F.col(text_col))).alias("m")).select(id_col, "m.phrase", "m.score")
+    return rank_phrases(mentions, id_col, max_count, min_score)

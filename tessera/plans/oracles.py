@@ -110,6 +110,12 @@ ORACLE_SQL["sync_append"] = f"""
     SELECT * FROM local
     UNION ALL SELECT c.polarity, c.label + n.n, c.coi_id, c.view_count + 100 FROM cois c JOIN n ON n.polarity = c.polarity WHERE c.label % 2 = 1"""
 
+ORACLE_SQL["coi_close_pairs"] = f"WITH {COIS} SELECT a.polarity, a.coi_id AS id0, b.coi_id AS id1, round(list_distance(a.point, b.point), 6) AS distance FROM cois a JOIN cois b ON a.polarity = b.polarity AND a.coi_id < b.coi_id"
+ORACLE_SQL["encoder_agreement"] = f"""
+    WITH e AS (SELECT a.vec_id, abs(({A})[i] - ({B})[i]) AS x FROM {NEXT}, range(1, 65) t(i)),
+    m AS (SELECT vec_id, avg(x) AS mae, avg(x * x) AS mse FROM e GROUP BY vec_id)
+    SELECT round(avg(m.mae), 6) AS mae, round(avg(m.mse), 6) AS mse, round(avg(list_cosine_similarity({A}, {B})), 6) AS mean_cosine FROM {NEXT} JOIN m ON m.vec_id = a.vec_id"""
+
 ORACLE_SQL["history_actions"] = f"WITH {HIST} SELECT user_id, hist_pos, action, action >= 3 AS clicked, 2 AS n_terms FROM hist"
 ORACLE_SQL["history_runs"] = f"WITH {HRUN} SELECT user_id, hist_pos, run_id, click_index, run_clicks FROM h"
 ORACLE_SQL["user_action_inference"] = f"""
@@ -277,6 +283,8 @@ seasonality: user_id b, domain s, seasonality d
 terms_variety: user_id b, rank b, terms_variety b
 target_distribution: user_id b, rank b, target d
 cumulated_features: user_id b, rank b, cum_skip d, cum_click1 d, cum_click2 d
+coi_close_pairs: polarity s, id0 s, id1 s, distance d
+encoder_agreement: mae d, mse d, mean_cosine d
 clean_key_phrase: item_id b, cleaned s
 ngram_candidates: item_id b, n b, phrase s, first_pos b, mentions b
 ranked_phrases: item_id b, phrase s, score d, position b

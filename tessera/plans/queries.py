@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
+from ..functions.layers import PhraseScorer
 from ..functions.wordpiece import ByteEncoder, WordPiece
 from ..operators import features as ft
 from ..operators import history as hs
 from ..operators import interests as it
 from ..operators import keyphrase as kp
+from ..operators import phrase_state as ps
 from ..operators import ranking as rk
+from ..operators import samples as sm
 from ..operators.listnet import ListNet, listnet_scores
 from ..sources.scratch import materialize
 from . import derived as d
@@ -322,6 +325,19 @@ def initial_ranking(spark, sf_dir):
     return initial_outcomes(d.requests(spark, sf_dir)).select("request_id", "id", "final_rank")
 
 
+@query
+def coi_close_pairs(spark, sf_dir):
+    return it.close_pairs(d.interests(spark, sf_dir), 1e9).select("polarity", "id0", "id1", _r("distance").alias("distance"))
+
+
+@query
+def encoder_agreement(spark, sf_dir):
+    n = _neighbours(spark, sf_dir)
+    wide = lambda c: F.transform(c, lambda x: x.cast("double"))
+    a = sm.agreement(n.select(wide("embedding").alias("want"), wide("other").alias("got")))
+    return a.select(*[_r(c).alias(c) for c in ("mae", "mse", "mean_cosine")])
+
+
 # --- without SQL --------------------------------------------------------------------------------
 
 
@@ -371,3 +387,27 @@ def wordpiece_encode(spark, sf_dir):
 def qa_distance(spark, sf_dir):
     c = d.table(spark, sf_dir, "conversations").select(F.lit(0).cast("long").alias("user_id"), F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("doc_pos"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").cast("int").alias("rank"), F.col("role").alias("title"), F.col("text").alias("snippet"), F.col("text").alias("query_words"))
     return qa_distances(c, ByteEncoder(32)).select("request_id", "id", _r("similarity").alias("similarity"))
+
+
+@query
+def sample_spans(spark, sf_dir):
+    return sm.sample_spans(d.history(spark, sf_dir))
+
+
+@query
+def training_samples(spark, sf_dir):
+    return sm.training_samples(materialize(d.history(spark, sf_dir))).select("sample_id", F.size("inputs").alias("n"), F.transform("target", lambda x: F.round(x, 6)).alias("target"))
+
+
+@query
+def key_phrase_extraction(spark, sf_dir):
+    docs = d.table(spark, sf_dir, "benchmark")
+    return kp.extract(docs, "item_id", "text", ByteEncoder(16), PhraseScorer.random(16), 5).withColumn("score", _r("score"))
+
+
+@query
+def phrases_taken(spark, sf_dir):
+    """Phrases left after the top ten were shown."""
+    rows = _phrases(spark, sf_dir).select("user_id", "coi_id", "words", F.transform("point", lambda x: x.cast("double")).alias("point"), F.lit(0.5).alias("relevance"), F.lit(False).alias("cleaned"))
+    _, after = ps.take_top(rows, d.interests(spark, sf_dir), _as_of(), 10)
+    return after.select("coi_id", "words", "cleaned")

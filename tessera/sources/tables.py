@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,22 @@ def synthetic_calls(spark: SparkSession, users: int, queries: int = 5, documents
         F.concat(F.lit("w"), F.col("q") % 7).alias("query_words"), "rank", F.concat(F.lit("u"), F.col("id") % 97).alias("url"), F.concat(F.lit("d"), F.col("id") % 13).alias("domain"), (F.col("id") % 7).cast("int").alias("day"),
         relevance.alias("relevance"), F.lit(2).alias("user_feedback"), F.when(clicked, 2).otherwise(1).alias("user_action"),
     )
+
+
+def write_results(outcomes: DataFrame, faults: DataFrame, path: str, analytics: DataFrame | None = None) -> None:
+    """Outcomes, analytics and faults of calls as JSON lines, each in a folder of its own."""
+    for name, rows in (("outcomes", outcomes), ("faults", faults), ("analytics", analytics)):
+        if rows is not None:
+            rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_manifest(path: str) -> dict[str, dict]:
+    """Model assets by id: url_suffix and, where an asset comes in chunks, chunk_size."""
+    with open(path) as f:
+        assets = json.load(f)
+    out = {}
+    for a in assets["assets"] if isinstance(assets, dict) else assets:
+        if not {"id", "url_suffix"} <= set(a) or a["id"] in out:
+            raise ValueError("assets need an id of their own and a url_suffix")
+        out[a["id"]] = {k: a.get(k) for k in ("url_suffix", "chunk_size")}
+    return out
