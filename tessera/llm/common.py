@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import materialize as materialize  # the operators take it from here
+
 U64 = np.uint64
 
 
@@ -18,26 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# --- scratch tables -----------------------------------------------------------------------------
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most so many rows from now on, as rows may hold long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
