@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rounding unit of single precision, which several formulas add to their denominators.
+# The rounding unit of single precision, which several formulas add to their denominators; a day.
 EPSILON32 = 1.1920928955078125e-07
 SECONDS_PER_DAY = 86400.0
 

@@ -13,9 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code point ranges of CJK ideographs, isolated as words of their own.
+# The code point ranges that are isolated as words of their own, and the clean-ups of decoded English, in order.
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
-#: Clean-ups of decoded English, in order.
 CONTRACTIONS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
 ENCODING = "ids array<int>, type_ids array<int>, tokens array<string>, word_indices array<int>, offsets array<struct<start:int,end:int>>, special_tokens_mask array<int>, attention_mask array<int>, overflowing int"
 

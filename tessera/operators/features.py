@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from .history import CLICK1, CLICK2, MISS, SKIP
 
+# The prior of reciprocal ranks; the predicates (same query or any, and which sessions).
 PRIOR = 0.283
-#: Predicates: same query or any, and which sessions.
 PREDICATES = {"base": (False, None), "ant": (False, "ant"), "q": (True, None), "q_ant": (True, "ant"), "q_cur": (True, "cur")}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Action codes, in their order: skipped, missed, clicked without, with medium and with high relevance.
+# Action codes, in their order: skipped, missed, clicked without, with medium and with high relevance.
 SKIP, MISS, CLICK0, CLICK1, CLICK2 = range(5)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import dot, l2_distance
 
+# Interests nearer than this merge; the similarity to no interest.
 MERGE_DISTANCE = 4.5
 NO_COI = -1.0
 INTERESTS = "user_id long, polarity string, coi_pos int, coi_id string, point array<double>, view_count long, view_time double, last_view timestamp"
@@ -23,7 +24,7 @@ INTERESTS = "user_id long, polarity string, coi_pos int, coi_id string, point ar
 
 @dataclass(frozen=True)
 class Config:
-    """Bounds as in the checks below."""
+    """Parameters; their defaults are fixed values, their bounds stand in the checks below."""
 
     shift_factor: float = 0.1
     threshold: float = 0.67

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Sizes of the network and of its groups.
 N_FEATURES, N_DOCUMENTS, CHUNK = 50, 10, 5
 EPSILON32 = np.float64(np.finfo(np.float32).eps)
 SHAPES = {"dense1": (N_FEATURES, 48), "dense2": (48, 8), "scores": (8, 1), "prob_dist": (N_DOCUMENTS, N_DOCUMENTS)}

@@ -10,6 +10,7 @@ from ..functions.vector import EPSILON32, decay, nan_lowest_desc
 from .interests import Config, interest_lists, with_nearest
 
 REQUEST = ["user_id", "request_id"]
+# What stages that are switched off give, and how far gains look.
 NEUTRAL_SIMILARITY = 0.5
 NEUTRAL_LTR = 0.5
 NIL = "00000000-0000-0000-0000-000000000000"

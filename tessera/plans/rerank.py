@@ -91,13 +91,13 @@ def rerank(mode: Mode, documents: DataFrame, interests: DataFrame | None = None,
 def outcomes(ranked: DataFrame, mode: Mode) -> DataFrame:
     """-> user_id, request_id, id, final_rank and the scores the mode reports."""
     none = F.lit(None).cast("double")
-    return ranked.select(*REQUEST, "id", "final_rank", (F.col("similarity") if mode.search else none).alias("qambert_similarity"), (F.col("context") if mode.personalized else none).alias("context_score"))
+    return ranked.select(*REQUEST, "id", "final_rank", (F.col("similarity") if mode.search else none).alias("qa_similarity"), (F.col("context") if mode.personalized else none).alias("context_score"))
 
 
 def initial_outcomes(documents: DataFrame) -> DataFrame:
     """What a request gets when nothing can be computed: the ranks it came with."""
     none = F.lit(None).cast("double")
-    return documents.select(*REQUEST, "id", F.col("rank").alias("final_rank"), none.alias("qambert_similarity"), none.alias("context_score"))
+    return documents.select(*REQUEST, "id", F.col("rank").alias("final_rank"), none.alias("qa_similarity"), none.alias("context_score"))
 
 
 @dataclass

@@ -173,7 +173,7 @@ def test_modes(spark, sf_dir, mode):
     assert len(out) == 60
     for k in range(3):
         assert sorted(r["final_rank"] for r in out if r["request_id"] == k) == list(range(20))
-    assert all((r["context_score"] is not None) == mode.personalized and (r["qambert_similarity"] is not None) == mode.search for r in out)
+    assert all((r["context_score"] is not None) == mode.personalized and (r["qa_similarity"] is not None) == mode.search for r in out)
 
 
 def test_faults_leave_neutral_values(spark, sf_dir):
