@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # The code point ranges that are isolated as words of their own, and the clean-ups of decoded English, in order.
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 CONTRACTIONS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
+_CHUNK = re.compile("[^ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+")
 ENCODING = "ids array<int>, type_ids array<int>, tokens array<string>, word_indices array<int>, offsets array<struct<start:int,end:int>>, special_tokens_mask array<int>, attention_mask array<int>, overflowing int"
 
 
@@ -66,6 +67,7 @@ class WordPiece:
     padding: bool = True
 
     def __post_init__(self) -> None:
+        self._known: dict[str, list] = {}
         for name in (self.unknown, self.cls, self.sep, *([self.pad] if self.padding else [])):
             if name not in self.vocab:
                 raise ValueError(f"the vocabulary lacks {name}")
@@ -126,11 +128,24 @@ class WordPiece:
                 return [whole]
         return out
 
+    def chunk_words(self, chunk: str) -> list[list[tuple[str, int, int]]]:
+        """Tokens of the words of a text without white space, with offsets in it; remembered, as chunks come again."""
+        if chunk not in self._known:
+            if len(self._known) >= 200_000:
+                self._known.clear()
+            self._known[chunk] = [self.pieces(w) for w in self.words(chunk)]
+        return self._known[chunk]
+
     def encode(self, text: str | None) -> Encoding:
-        e = Encoding()
-        for k, word in enumerate(self.words(text or "")):
-            for t, s, z in self.pieces(word):
-                e.add(self.vocab[t], t, k, (s, z))
+        e, text = Encoding(), text or ""
+        k, at, done = 0, 0, 0  # words; bytes and characters so far
+        for m in _CHUNK.finditer(text):
+            at += len(text[done : m.start()].encode("utf-8", "surrogatepass"))
+            done = m.start()
+            for word in self.chunk_words(m[0]):
+                for t, s, z in word:
+                    e.add(self.vocab[t], t, k, (at + s, at + z))
+                k += 1
         parts = [e]
         if self.max_length is not None and len(e.ids) > (room := self.max_length - 2):
             step = room - self.stride
