@@ -233,7 +233,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_CUT, key, ids[row], start, [raw[x : x + m] for x, m in zip(at, size, strict=True)])
 
 
-def _expander(length: int, limit: int = 4 << 20):
+def _expander(length: int, limit: int = 1 << 17):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors arrive in order; as many as fit in limit bytes share a transform, and one anchor is never split."""
         held: list[tuple[int, int, int, bytes]] = []
