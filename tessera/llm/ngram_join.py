@@ -172,7 +172,7 @@ def _mapper(n: int, bands: Bands, n_parts: int):
 
         def flush(last: bool = False):
             nonlocal held, rows, count
-            if not count or not (last or count >= 2_000_000):
+            if not count or not (last or count >= 600_000):
                 return
             key, fp = (np.concatenate(x) if x else np.zeros(0, U64) for x in held)
             blocks = list(deal((key >> U64(40)) % U64(n_parts), n_parts, [key, fp.view(np.int64)])) if len(key) else []
