@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 CODES = 1 << 18
 SUBSETS = 32
 TIERS = 4
-BUCKET_ROWS = 2_000
-MOST_BUCKETS = 10_000
+RANGES = 256
+BUCKET_ROWS = 200
+MOST_PARTS = 500
 
 
 def term_codes(text: Column) -> Column:
@@ -95,18 +96,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return add_slots(texts, "text", "slots", bitmap).withColumn("fingerprint", as_string(F.col("slots"), F.col("text")))
 
 
+def _bucket(id_: Column, bounds: list[int], parts: int) -> Column:
+    """A number that never falls as the id grows: the quantile range of the id, cut into parts of equal width."""
+    starts = F.array(*[F.lit(b).cast("long") for b in bounds])
+    k = F.size(F.filter(starts, lambda b: b <= id_)) - 1
+    lo, hi = F.element_at(starts, k + 1).cast("double"), F.element_at(starts, F.least(k + 2, F.lit(len(bounds)))).cast("double")
+    part = F.when(hi > lo, F.floor((id_.cast("double") - lo) / F.when(hi > lo, hi - lo) * parts)).otherwise(0)
+    return k.cast("long") * parts + F.least(F.greatest(part.cast("long"), F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, bitmap: list[int]) -> DataFrame:
     """-> id, text, slots, and next_text, next_slots of the next row by id (ties by text), after the last the first.
 
-    Rows are dealt into ranges of ids, at most MOST_BUCKETS of them; each range's first row is also sent to the range
-    before it, so that no task sees more than a range and its successor.
+    Rows are dealt into ranges of ids, between RANGES quantiles and finer where there are more rows; each range's first
+    row is also sent to the range before it, so that no task sees more than ranges and their successors.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    stats = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    n = max(1, min(MOST_BUCKETS, stats["n"] // BUCKET_ROWS))
-    width = ((stats["hi"] or 0) - (stats["lo"] or 0)) // n + 1
-    rows = rows.withColumn("bucket", F.expr(f"(id - {stats['lo'] or 0}) div {width}"))
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())  # at most n rows
+    stats = rows.agg(F.percentile_approx("id", [i / RANGES for i in range(RANGES)] + [1.0], 100_000).alias("q"), F.min("id").alias("lo"), F.count("*").alias("n")).first()
+    bounds = sorted({stats["lo"] or 0, *(stats["q"] or [])})
+    parts = max(1, min(MOST_PARTS, stats["n"] // (RANGES * BUCKET_ROWS)))
+    rows = rows.withColumn("bucket", _bucket(F.col("id"), bounds, parts))
+    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())  # at most (RANGES + 2) * MOST_PARTS rows
     back = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
     sent = rows.drop("bucket").join(F.broadcast(docs.sparkSession.createDataFrame(back, "id long, bucket long")), "id")
     both = rows.withColumn("tail", F.lit(0)).unionByName(sent.withColumn("tail", F.lit(1)))

@@ -356,9 +356,10 @@ def test_suffix_dedup(spark, length):
 
 
 def test_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(imatch, "RANGES", 4)
     rows = awkward(9, 30)
-    rows = [(i * 3 - 50, t) for i, t in rows]
+    rows = [(i * 3 - 50 if i < 40 else 10**18 + i * i if i < 100 else 2**63 - 1000 + i, t) for i, t in rows]
     docs = make(spark, [*rows, (None, "no id")])
     got = {r["doc_id"]: r for r in imatch.edit_report(docs, idf=(0.0, 9.0)).collect()}
     assert len(got) == len(rows)
