@@ -1,8 +1,10 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation that balances binary codes is learned on a bounded sample (``sample``): principal axes, then alternately the
-codes of the rotated sample and the rotation that fits them best. Every vector gets ``tables`` substrings of bits (from
-several rotations where one has too few). Two vectors are compared if some substring differs in at most one bit. Of such
+codes of the rotated sample and the rotation that fits them best. Every vector gets ``tables`` substrings of bits or more
+(from several rotations where one has too few), as many as it takes for pairs at the threshold to be missed with a
+probability of at most MISS, which is measured on the sample; substrings get shorter where MOST_TABLES of them don't do,
+down to one bit, which compares all pairs. Two vectors are compared if some substring differs in at most one bit. Of such
 substrings one half is equal, so a vector goes to one bucket for each half of each substring; buckets compare their
 vectors in blocks, in double precision, and count a pair where its first substring qualifies, so that it counts once.
 
@@ -28,7 +30,11 @@ from .common import U64, batch, deal, materialize, mix, partitions, runs, spans_
 from .components import connected_components
 
 TABLES = 6
+MOST_TABLES = 64
 ROWS = 256
+#: Bound of the share of pairs at the threshold that no substring brings together, and the pairs it is measured on.
+MISS = 0.01
+PAIRS = 4000
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
@@ -46,18 +52,52 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.
     return w @ r
 
 
+def pairs_at(x: np.ndarray, cosine: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample and partners at a cosine, away in random directions and in those of the sample's differences."""
+    rng = np.random.default_rng(seed)
+    a = x[rng.integers(len(x), size=PAIRS)]
+    out = []
+    for u in (rng.standard_normal(a.shape), x[rng.integers(len(x), size=PAIRS)] - x[rng.integers(len(x), size=PAIRS)]):
+        u = u - np.einsum("ij,ij->i", u, a)[:, None] * a
+        size = np.linalg.norm(u, axis=1)
+        some = size > 1e-6
+        out.append((a[some], cosine * a[some] + math.sqrt(max(0.0, 1 - cosine * cosine)) * u[some] / size[some, None]))
+    return out[0], out[1]
+
+
 class Coder:
-    """Normalised, centred vectors to substrings of bits."""
+    """Normalised, centred vectors to substrings of bits; ``miss`` bounds the share of pairs at the cosine that share none."""
 
-    def __init__(self, sample: np.ndarray, width: int, tables: int = TABLES):
+    def __init__(self, sample: np.ndarray, width: int, tables: int = TABLES, cosine: float = 0.9):
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.width, self.tables = width, tables
         self.mean = sample.mean(axis=0)
-        need, axes, seed = width * tables, [], 0
-        while sum(a.shape[1] for a in axes) < need:
-            axes.append(learn_rotation(sample - self.mean, need, seed))
-            seed += 1
-        self.axes = np.concatenate(axes, axis=1)[:, :need]
+        pairs = [p for p in pairs_at(sample, cosine) if len(p[0])]
+        while True:
+            axes, seed, most, self.width, self.tables = [], 0, tables, width, tables
+            while True:
+                while sum(a.shape[1] for a in axes) < width * most:
+                    axes.append(learn_rotation(sample - self.mean, width * tables, seed))
+                    seed += 1
+                self.tables = most
+                self.axes = np.concatenate(axes, axis=1)[:, : width * most]
+                missed = self._missed(pairs)
+                if missed[-1] <= MISS or most >= MOST_TABLES:
+                    break
+                most = min(MOST_TABLES, most + tables)
+            if missed[-1] <= MISS or width == 1:
+                break
+            width -= 1
+        self.tables = max(min(tables, most), int(np.argmax(missed <= MISS)) + 1)
+        self.axes, self.miss = self.axes[:, : width * self.tables], float(missed[self.tables - 1])
+
+    def _missed(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The share of pairs missed by the first table, by the first two, and so on, and three standard errors; the worst kind's."""
+        out = np.zeros(self.tables)
+        for a, b in pairs:
+            met = np.logical_or.accumulate(_popcount_le1(self.encode(a) ^ self.encode(b)), axis=1)
+            miss = 1 - met.mean(axis=0)
+            out = np.maximum(out, miss + 3 * np.sqrt(miss * (1 - miss) / len(a)))
+        return out
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         signs = ((x - self.mean) @ self.axes >= 0).reshape(len(x), self.tables, self.width)
@@ -118,6 +158,8 @@ def _bucket(table: int, side: int, low: int, codes: np.ndarray, mult: np.ndarray
                 continue
             hit, rows = hit[at], rows[at]
             for t in range(table):
+                if not hit.any():
+                    break
                 hit &= ~_popcount_le1(codes[rows, t][:, None] ^ codes[cols, t][None, :])
             links[rows] += hit @ mult[cols]
             links[cols] += mult[rows] @ hit
@@ -152,8 +194,8 @@ def _reducer(dim: int, width: int, tables: int, threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, tables: int = TABLES) -> DataFrame:
-    """-> id, n_links, component_id, kept: one row per id."""
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, tables: int = TABLES, width: int | None = None) -> DataFrame:
+    """-> id, n_links, component_id, kept: one row per id; width: of the substrings at most, else by the number of vectors."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id is not null")
     fine = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
@@ -168,10 +210,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         x = chosen.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
         if not len(x):
             x = np.ones((1, dim))
-        width = min(16, max(6, int(math.log2(n + 1)) - 5))
-        coder = Coder(x, width, tables)
+        coder = Coder(x, width or min(16, max(6, int(math.log2(n + 1)) - 5)), tables, threshold)
         blocks = own.select("rep", "mult", "v").mapInArrow(_mapper(coder, n_parts, dim), "part int, blob binary")
-        got = blocks.repartition("part").mapInArrow(_reducer(dim, width, tables, threshold), "a long, b long, links long")
+        got = blocks.repartition("part").mapInArrow(_reducer(dim, coder.width, coder.tables, threshold), "a long, b long, links long")
         found = got if found is None else found.unionByName(got)
     if found is None:
         return rows.groupBy("id").agg(F.lit(0).cast("long").alias("n_links")).select(F.col("id").alias(id_col), "n_links", F.col("id").alias("component_id"), F.lit(True).alias("kept"))

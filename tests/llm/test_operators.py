@@ -400,3 +400,22 @@ def test_near_vectors(spark):
     assert [got[i]["n_links"] for i in (9001, 9002, 9003, 9004, 9007)] == [0] * 5 and got[9006]["component_id"] == 9005
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("width,mean", [(12, 0.6), (16, 0.6), (16, 0.75)])
+def test_near_vectors_off_centre_at_any_width(spark, width, mean):
+    rng = np.random.default_rng(width)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = np.zeros(64)
+    m[0] = mean
+    a = unit(m + np.sqrt(1 - mean**2) * unit(rng.standard_normal((600, 64))))
+    cos = rng.uniform(0.902, 0.93, 600)[:, None]
+    u = rng.standard_normal(a.shape)
+    u = unit(u - (u * a).sum(axis=1, keepdims=True) * a)
+    v = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * u]).astype(np.float32)
+    x = unit(v.astype(float))
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<float>")
+    found = np.array([r["n_links"] for r in embedding_dedup.near_vectors(rows, width=width).orderBy("vec_id").collect()])
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.98 * links.sum() > 0
