@@ -20,6 +20,8 @@ from tessera.llm.queries import word_tokenizer_path
 
 #: A prediction below this share of the languages' likelihood rejects the document.
 LEAST_SCORE = 0.5
+#: A line of more words than this is a repeated passage by itself.
+LONG_WORDS = 50
 #: Share of the tokens that the source mix keeps.
 KEEP = 0.8
 
@@ -32,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of two or more lines that occur before; those with nothing else left go."""
-    out = remove_repeated_lines(docs, min_lines=2)
+    """Documents without the runs of two or more lines, and the lines of over 50 words, that occur before; those with nothing else left go."""
+    out = remove_repeated_lines(docs, min_lines=2, long_words=LONG_WORDS)
     left = out.filter("n_removed < n_lines or n_removed = 0")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

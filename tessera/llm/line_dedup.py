@@ -6,7 +6,8 @@ hashes of names, so that a doubling step needs no exchange. One exchange then de
 them into a suffix array, cut at that depth (its order among different names is that of the hashes): the intervals of
 suffixes with at least min_lines in common are the runs of equal names. All but the earliest of an interval (smaller
 id, or earlier in the document) are repeats. A longer repeated run is the union of its runs of min_lines lines, and
-the union of a document's repeats is its maximal removed runs.
+the union of a document's repeats is its maximal removed runs. Where ``long_words`` is given, a line of more words than
+that is a run by itself too, under a name of its own kind.
 
 Cases: a null id leaves the row out; null text is left as it is, empty text has one empty line; repeated rows (same id)
 count as one place, so that they don't remove each other; lines are what stands between line feeds, compared whole;
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BYTES, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack
+from .common import U64, _BYTES, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack, word_spans
 
 _SECOND = mix(_BYTES ^ U64(0x5851F42D4C957F2D))
 
@@ -50,7 +51,7 @@ def run_names(names: np.ndarray, length: int) -> np.ndarray:
     return names
 
 
-def _mapper(min_lines: int, n_parts: int):
+def _mapper(min_lines: int, n_parts: int, long_words: int | None = None):
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +80,13 @@ def _mapper(min_lines: int, n_parts: int):
                 count = np.bincount(row, minlength=j - i)
                 place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                 ok = place + min_lines <= count[row]
-                names = [run_names(span_hashes(prefix_hashes(part, t), start, end), min_lines)[ok] for t in (_BYTES, _SECOND)]
-                held.append((*names, ids[i:j][row[ok]], place[ok].astype(np.int64)))
+                lines = [span_hashes(prefix_hashes(part, t), start, end) for t in (_BYTES, _SECOND)]
+                # positions are doubled; odd ones are those of single lines
+                held.append((*(run_names(x, min_lines)[ok] for x in lines), ids[i:j][row[ok]], 2 * place[ok].astype(np.int64)))
+                if long_words is not None:
+                    words = np.searchsorted(start, word_spans(part, o)[0], side="right") - 1
+                    long_ = np.bincount(words, minlength=len(start)) > long_words
+                    held.append((*(mix(x[long_] + U64(min_lines)) for x in lines), ids[i:j][row[long_]], 2 * place[long_].astype(np.int64) + 1))
             if sum(len(h[0]) for h in held) >= 500_000:
                 yield flush()
         if held:
@@ -131,9 +137,10 @@ def _cutter(min_lines: int):
                     lines = text.split("\n")
                     gone = np.zeros(len(lines) + 1, np.int64)
                     pos = np.frombuffer(late, np.int64)
-                    pos = pos[pos + min_lines <= len(lines)]  # a repeated id may be a shorter text
-                    np.add.at(gone, pos, 1)
-                    np.add.at(gone, pos + min_lines, -1)
+                    pos, size = pos >> 1, np.where(pos & 1, 1, min_lines)
+                    fits = pos + size <= len(lines)  # a repeated id may be a shorter text
+                    np.add.at(gone, pos[fits], 1)
+                    np.add.at(gone, (pos + size)[fits], -1)
                     out = np.cumsum(gone)[:-1] > 0
                     rows = ("\n".join(x for x, o in zip(lines, out, strict=True) if not o), len(lines), int(out.sum()), int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
                 for x, y in zip((kept, n_lines, n_removed, n_runs), rows, strict=True):
@@ -144,13 +151,13 @@ def _cutter(min_lines: int):
     return run
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """docs with the kept text in place of the text, and n_lines, n_removed, n_runs."""
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int | None = None) -> DataFrame:
+    """docs with the kept text in place of the text, and n_lines, n_removed, n_runs; lines of over long_words words also count alone."""
     bound_batches(docs.sparkSession)
     n_parts = min(60_000, 4 * partitions(docs.sparkSession))
     rows = docs.filter(F.col(id_col).isNotNull())
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    late = texts.mapInArrow(_mapper(min_lines, n_parts), "part int, blob binary").repartition("part").mapInArrow(_reducer, "id long, pos long")
+    late = texts.mapInArrow(_mapper(min_lines, n_parts, long_words), "part int, blob binary").repartition("part").mapInArrow(_reducer, "id long, pos long")
     packed = materialize(late.repartition("id").mapInArrow(_collect, "id long, late binary"))
     others = [c for c in docs.columns if c != text_col]
     plain = rows.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])

@@ -224,6 +224,14 @@ def test_line_dedup_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_report(docs).collect()) == [(1, 0), (1, 0), (2, 2)]
 
 
+def test_line_dedup_long_lines(spark):
+    long_, edge = " ".join(f"w{k}" for k in range(51)), " ".join(f"v{k}" for k in range(50))
+    rows = [(1, f"a\n{long_}\n{edge}\nb"), (2, long_), (3, f"c\n{long_}\nd"), (4, edge), (5, f"e\n\n{long_}\n{edge}\nb\nf\n{long_}"), (6, "")]
+    out = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in line_dedup.remove_repeated_lines(make(spark, rows), long_words=50).collect()}
+    assert out == {1: (rows[0][1], 0, 0), 2: ("", 1, 1), 3: ("c\nd", 1, 1), 4: (edge, 0, 0), 5: ("e\n\nf", 4, 2), 6: ("", 0, 0)}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_repeated_lines(make(spark, rows)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3, 6: 0}
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
