@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, read
 from tessera.llm.language_id import held_out, predict_languages, train
 from tessera.llm.line_dedup import remove_repeated_lines
-from tessera.llm.mixing import length_class, mix_sources, n_tokens, tempered
+from tessera.llm.mixing import length_class, mix_tempered
 from tessera.llm.ngram_join import BROADCAST_IDS, ngram_jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.queries import word_tokenizer_path
@@ -51,12 +51,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources and languages have shares nearer to each other than before."""
-    kinds = docs.select("source", "lang", length_class(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n"))
-    targets = {}
-    for margin, most in (("source", 200), ("lang", 200), ("topic", 4)):
-        rows = kinds.filter(f"{margin} is not null and n > 0").groupBy(margin).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), margin).limit(most).collect()
-        targets[margin] = tempered({r[margin]: float(r["n"]) for r in rows}, 0.8)
-    return mix_sources(docs, targets, {"topic": length_class(F.col("text"))}, keep=KEEP).select(docs.columns)
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": length_class(F.col("text"))}
+    return mix_tempered(docs, margins, 0.8, keep=KEEP).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ target shares; a document's inclusion probability follows from its cell's share
 the expected sample has ``keep`` of all tokens; cells that would be wanted more than once are taken whole, and their
 documents carry the rest as a weight. A document is in the sample if a hash of its id falls below its probability.
 
-There are at most as many cells as the targets have combinations (each margin with one cell more for all other values
-and null), so that fitting on the driver is bounded by the targets, not by the table.
+With given targets (``mix_sources``) there are at most as many cells as the targets have combinations (each margin with
+one cell more for all other values and null), so that fitting on the driver is bounded by the targets, not by the table.
+``mix_tempered`` has a target for every value that there is: up to DRIVER_CELLS cells are raked on the driver, more of
+them by alternate sums and joins with written tables of factors; both give the same shares.
 
 Cases: null or unlisted values of a margin share its OTHER category, whose target is its observed share unless given;
 null and empty texts have no tokens and are kept at their cell's probability; a null id is a value like others; repeated
@@ -19,10 +21,14 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 OTHER = "\0other"
+DRIVER_CELLS = 200_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -84,6 +90,17 @@ def tempered(observed: Mapping[str, float], power: float = 0.5) -> dict[str, flo
     return {k: v**power / total for k, v in observed.items()}
 
 
+def _marked(docs: DataFrame, cells: list[Column], tokens: Column, id_col: str, seed: int) -> DataFrame:
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), tokens.alias("_tokens"), u.alias("_u"), *[c.alias(f"_m{i}") for i, c in enumerate(cells)])
+
+
+def _draw(docs: DataFrame, marked: DataFrame, known: DataFrame, keys: list[str], keep: float) -> DataFrame:
+    drawn = marked.join(known, keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(keep)))).withColumn("_w", F.coalesce("_w", F.lit(1.0))).filter("_u < _p")
+    own = [c for c in docs.columns if c not in ("n_tokens", "probability", "weight")]
+    return drawn.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_w").alias("weight"))
+
+
 def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], margins: Mapping[str, Column] | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5, seed: int = 0) -> DataFrame:
     """docs in the sample, with n_tokens, probability and weight.
 
@@ -94,8 +111,7 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], mar
     values = [[*targets[m], OTHER] for m in names]
     cells = [F.when(e.isin(list(t)), e).otherwise(F.lit(OTHER)) if t else F.lit(OTHER) for e, t in zip(exprs, (targets[m] for m in names), strict=True)]
     count = n_tokens(F.col(text_col)) if tokens is None else tokens
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), count.alias("_tokens"), u.alias("_u"), *[c.alias(f"_m{i}") for i, c in enumerate(cells)])
+    marked = _marked(docs, cells, count, id_col, seed)
     keys = [f"_m{i}" for i in range(len(names))]
     table = np.zeros([len(v) for v in values])
     for r in marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect():  # at most one row for each combination
@@ -115,9 +131,7 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], mar
     rows = [(*(v[i] for v, i in zip(values, at, strict=True)), float(p[tuple(at)]), float(w[tuple(at)])) for at in np.argwhere(table > 0)]
     schema = ", ".join([f"{k} string" for k in keys] + ["_p double, _w double"])
     known = docs.sparkSession.createDataFrame(rows, schema)
-    drawn = marked.join(F.broadcast(known), keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(keep)))).withColumn("_w", F.coalesce("_w", F.lit(1.0))).filter("_u < _p")
-    own = [c for c in docs.columns if c not in ("n_tokens", "probability", "weight")]
-    return drawn.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_w").alias("weight"))
+    return _draw(docs, marked, F.broadcast(known), keys, keep)
 
 
 def length_class(text: Column) -> Column:
@@ -126,14 +140,82 @@ def length_class(text: Column) -> Column:
     return F.when(n < 500, "note").when(n < 2000, "short").when(n < 8000, "article").otherwise("long")
 
 
-def mix_documents(docs: DataFrame, keep: float = 0.5, most_sources: int = 200, seed: int = 0) -> DataFrame:
-    """documents drawn to sources, languages and topics in proportion to the roots of their tokens.
+def _rake_here(cells: DataFrame, keys: list[str], power: float, keep: float, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """The cells' probabilities and weights, fitted on the driver."""
+    t = cells.toArrow().sort_by([(k, "ascending") for k in keys])
+    n = t.column("n").to_numpy().astype(float)
+    total, axes = n.sum(), []
+    for k in keys:
+        values, code = np.unique(t.column(k).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        seen = np.bincount(code, weights=n)
+        rest = float(seen[values == OTHER].sum() / total)
+        goal = np.where(values == OTHER, 0.0, seen**power)
+        goal *= (1 - rest) / max(goal.sum(), 1e-300)
+        axes.append((code, goal + np.where(values == OTHER, rest, 0.0)))
+    x = n / total
+    for _ in range(most):
+        for code, goal in axes:
+            x = x * (goal / np.bincount(code, weights=x))[code]
+        if max(np.abs(np.bincount(code, weights=x) - goal).max() for code, goal in axes) < tolerance:
+            break
+    p, w = probabilities(n, x, keep)
+    return cells.sparkSession.createDataFrame(pa.table([*(t.column(k).cast(pa.string()) for k in keys), pa.array(p), pa.array(w)], names=[*keys, "_p", "_w"]))
+
+
+def _rake_there(cells: DataFrame, keys: list[str], power: float, keep: float, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
+    """The same by sums and joins: x is n times a factor for each value; a margin's factors follow from the others'."""
+    total = float(cells.agg(F.sum("n")).first()[0])
+    factors = []
+    for k in keys:
+        sums = materialize(cells.groupBy(k).agg(F.sum("n").cast("double").alias("s")))
+        rest, roots = sums.agg(F.coalesce(F.sum(F.when(F.col(k) == OTHER, F.col("s"))), F.lit(0.0)) / total, F.sum(F.when(F.col(k) != OTHER, F.pow("s", F.lit(power))))).first()
+        goal = F.when(F.col(k) == OTHER, F.col("s") / total).otherwise(F.pow("s", F.lit(power)) / (roots or 1.0) * (1 - rest))
+        factors.append(materialize(sums.select(k, goal.alias("goal"), F.lit(1.0).alias("f"))))
+
+    def scaled(but: int | None = None) -> DataFrame:
+        x, share = cells, F.col("n") / total
+        for j, k in enumerate(keys):
+            if j != but:
+                x, share = x.join(factors[j].select(k, F.col("f").alias(f"_f{j}")), k), share * F.col(f"_f{j}")
+        return x.select(*keys, "n", share.alias("x"))
+
+    for _ in range(most):
+        gap = 0.0
+        for i, k in enumerate(keys):
+            own = scaled(i).groupBy(k).agg(F.sum("x").alias("own")).join(factors[i], k)
+            new = materialize(own.select(k, "goal", (F.col("goal") / F.col("own")).alias("f"), F.abs(F.col("own") * F.col("f") - F.col("goal")).alias("gap")))
+            gap = max(gap, new.agg(F.max("gap")).first()[0])
+            factors[i] = new
+        if gap < tolerance:
+            break
+    rates = materialize(scaled())
+    # wanted is what c times the shares give, where no cell gives more than it has: c only grows as cells are used up
+    want, c = keep * total, 0.0
+    while True:
+        full = F.col("x") * c >= F.col("n")
+        used, left, most_c = rates.agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~full, F.col("x"))), F.lit(0.0)), F.max(F.col("n") / F.col("x"))).first()
+        before, c = c, min((want - used) / left if left > 0 else most_c, most_c)
+        if c <= before * (1 + 1e-12):
+            break
+    raw = F.col("x") * c / F.col("n")
+    return rates.select(*keys, F.least(F.lit(1.0), raw).alias("_p"), F.greatest(F.lit(1.0), raw).alias("_w"))
+
+
+def mix_tempered(docs: DataFrame, margins: Mapping[str, Column], power: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5, seed: int = 0) -> DataFrame:
+    """docs in the sample, drawn to shares in proportion to a power of each margin value's tokens; null keeps its share."""
+    keys = [f"_m{i}" for i in range(len(margins))]
+    marked = _marked(docs, [F.coalesce(m.cast("string"), F.lit(OTHER)) for m in margins.values()], n_tokens(F.col(text_col)), id_col, seed)
+    cells = materialize(marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).filter("n > 0"))
+    n_cells = cells.count()
+    if not n_cells:
+        known = cells.select(*keys, F.lit(float(keep)).alias("_p"), F.lit(1.0).alias("_w"))
+    elif n_cells <= DRIVER_CELLS:
+        known = F.broadcast(_rake_here(cells, keys, power, keep))
+    else:
+        known = _rake_there(cells, keys, power, keep)
+    return _draw(docs, marked, known, keys, keep)
 
-    Targets are given for the most_sources largest sources (and 200 languages); all others share one category.
-    """
-    top = docs.groupBy("source").agg(F.sum(n_tokens(F.col("text"))).alias("n")).filter("source is not null and n > 0").orderBy(F.desc("n"), "source").limit(most_sources).collect()
-    sums = docs.select("lang", length_class(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n")).groupBy("lang", "topic").agg(F.sum("n").alias("n"))
-    langs = sums.filter("lang is not null and n > 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()
-    topics = sums.filter("n > 0").groupBy("topic").agg(F.sum("n").alias("n")).collect()
-    targets = {m: tempered({r[m]: float(r["n"]) for r in rows}) for m, rows in (("source", top), ("lang", langs), ("topic", topics))}
-    return mix_sources(docs, targets, {"topic": length_class(F.col("text"))}, keep=keep, seed=seed)
+
+def mix_documents(docs: DataFrame, keep: float = 0.5, seed: int = 0) -> DataFrame:
+    """documents drawn to sources, languages and topics in proportion to the roots of their tokens."""
+    return mix_tempered(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": length_class(F.col("text"))}, keep=keep, seed=seed)

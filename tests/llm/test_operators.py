@@ -265,6 +265,30 @@ def test_mix_sources(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix_documents(docs).count() > 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_mix_documents_fits_every_source(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+    rows = [(1000 * s + k, "x " * (s % 7) + "y", "en", f"s{s}", None, 0, "x", 0) for s in range(300) for k in range(8 + s % 11)]
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    out = mixing.mix_documents(spark.createDataFrame(rows, DOCS)).collect()
+    rate = {r["source"]: r["probability"] * r["weight"] * size[r["source"]] ** 0.5 for r in out}
+    assert len(rate) > 290 and max(rate.values()) == pytest.approx(min(rate.values()), rel=1e-6)
+    assert sum(r["n_tokens"] for r in out) == pytest.approx(0.5 * sum(size.values()), rel=0.1)
+
+
+def test_mix_documents_same_on_driver_and_cluster(spark, monkeypatch):
+    rnd = random.Random(1)
+    rows = [(k, "x " * int(rnd.choice([3, 300, 1500]) * rnd.random()) + "y", rnd.choice(["en", "en", "de", None]), rnd.choice(["a", "a", "a", "b", "c", None]), None, 0, "x", 0) for k in range(600)]
+    docs = spark.createDataFrame([*rows, (9000, "", "fr", "d", None, 0, "x", 0)], DOCS)
+    here = {r["doc_id"]: (r["probability"], r["weight"]) for r in mixing.mix_documents(docs, keep=0.7).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    there = {r["doc_id"]: (r["probability"], r["weight"]) for r in mixing.mix_documents(docs, keep=0.7).collect()}
+    assert set(here) == set(there) and all(there[k] == pytest.approx(v, rel=1e-5) for k, v in here.items())
+    assert any(w > 1 for _, w in here.values()) or any(p < 1 for p, _ in here.values())
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 
