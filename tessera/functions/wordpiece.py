@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 CONTRACTIONS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
 _CHUNK = re.compile("[^ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+")
-ENCODING = "ids array<int>, type_ids array<int>, tokens array<string>, word_indices array<int>, offsets array<struct<start:int,end:int>>, special_tokens_mask array<int>, attention_mask array<int>, overflowing int"
+PART = {"ids": "array<int>", "type_ids": "array<int>", "tokens": "array<string>", "word_indices": "array<int>", "offsets": "array<struct<start:int,end:int>>", "special_tokens_mask": "array<int>", "attention_mask": "array<int>"}
+ENCODING = f"{', '.join(f'{k} {t}' for k, t in PART.items())}, overflowing array<struct<{','.join(f'{k}:{t}' for k, t in PART.items())}>>"
 
 
 def read_vocabulary(lines: Iterable[str]) -> dict[str, int]:
@@ -68,6 +70,7 @@ class WordPiece:
 
     def __post_init__(self) -> None:
         self._known: dict[str, list] = {}
+        self._known_ids: dict[str, np.ndarray] = {}
         for name in (self.unknown, self.cls, self.sep, *([self.pad] if self.padding else [])):
             if name not in self.vocab:
                 raise ValueError(f"the vocabulary lacks {name}")
@@ -180,14 +183,57 @@ class WordPiece:
         return text
 
     def encode_column(self, text: Column) -> Column:
-        """The encoding as a struct, in Arrow batches."""
+        """The encoding as a struct, in Arrow batches; overflowing has the other parts' structs."""
+
+        def part(e: Encoding) -> dict:
+            return {c: [{"start": i, "end": j} for i, j in e.offsets] if c == "offsets" else getattr(e, c) for c in PART}
 
         @F.pandas_udf(ENCODING)
         def run(texts: pd.Series) -> pd.DataFrame:
-            rows = [self.encode(t) for t in texts]
-            cols = {c: [getattr(r, c) for r in rows] for c in ("ids", "type_ids", "tokens", "word_indices", "special_tokens_mask", "attention_mask")}
-            cols["offsets"] = [[{"start": s, "end": e} for s, e in r.offsets] for r in rows]
-            return pd.DataFrame(cols | {"overflowing": [len(r.overflowing) for r in rows]})[[c.split()[0] for c in re.split(r", (?=\w+ )", ENCODING)]]
+            rows = []
+            for e in map(self.encode, texts):
+                rows.append(part(e) | {"overflowing": [part(o) for o in e.overflowing]})
+            return pd.DataFrame(rows, columns=[*PART, "overflowing"])
+
+        return run(text)
+
+    def encode_ids(self, text: str | None) -> list[np.ndarray]:
+        """The ids of all parts as in encode, without what else an encoding holds."""
+        pieces = [np.zeros(0, np.int32)]
+        for m in _CHUNK.finditer(text or ""):
+            chunk = m[0]
+            if chunk not in self._known_ids:
+                if len(self._known_ids) >= 200_000:
+                    self._known_ids.clear()
+                self._known_ids[chunk] = np.array([self.vocab[t] for w in self.words(chunk) for t, _, _ in self.pieces(w)], np.int32)
+            pieces.append(self._known_ids[chunk])
+        ids = np.concatenate(pieces)
+        room = len(ids) if self.max_length is None else self.max_length - 2
+        starts = range(0, len(ids), room - self.stride) if 0 < room < len(ids) else [0]
+        out = []
+        for i in starts:
+            own = ids[i : i + room]
+            size = max(len(own) + 2, self.max_length if self.padding and self.max_length else 0)
+            part = np.full(size, self.vocab[self.pad] if size > len(own) + 2 else 0, np.int32)
+            part[0], part[1 : len(own) + 1], part[len(own) + 1] = self.vocab[self.cls], own, self.vocab[self.sep]
+            out.append(part)
+            if i + room >= len(ids):
+                break
+        return out
+
+    def ids_column(self, text: Column) -> Column:
+        """The ids of all parts, an array for each."""
+
+        @F.arrow_udf("array<array<int>>")
+        def run(texts: pa.Array) -> pa.Array:
+            flat, size, count = [np.zeros(0, np.int32)], [0], [0]
+            for t in texts:
+                parts = self.encode_ids(t.as_py())
+                flat += parts
+                size += map(len, parts)
+                count.append(len(parts))
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(np.concatenate(flat)))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), inner)
 
         return run(text)
 

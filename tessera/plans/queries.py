@@ -379,8 +379,10 @@ def listnet_ltr_scores(spark, sf_dir):
 def wordpiece_encode(spark, sf_dir):
     vocab = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *map(chr, range(97, 123)), *(f"##{chr(c)}" for c in range(97, 123)), "the", "##tion", "ing", "##ing", ".", ","]
     w = WordPiece({t: i for i, t in enumerate(vocab)}, max_length=52)
-    rows = d.table(spark, sf_dir, "documents").select("doc_id", w.encode_column(F.col("text")).alias("e"))
-    return rows.select("doc_id", "e.ids", F.col("e.overflowing").alias("overflowing"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # rows hold whole texts
+    spark.conf.set(key, str(min(1_000, int(spark.conf.get(key)) or 1_000)))
+    rows = d.table(spark, sf_dir, "documents").select("doc_id", w.ids_column(F.col("text")).alias("parts"))
+    return rows.select("doc_id", F.col("parts")[0].alias("ids"), F.slice("parts", 2, 1 << 30).alias("overflowing"))
 
 
 @query

@@ -104,6 +104,26 @@ def test_encoders(spark):
     assert wp.pool_average(tokens, np.array([1, 1, 0])).tolist() == [1, 2] and wp.pool_average(tokens, np.zeros(3)).tolist() == [0, 0] and wp.pool_first(tokens, np.ones(3)).tolist() == [0, 1]
 
 
+def test_overflowing_parts_are_columns(spark):
+    texts = ["a a a a foobar", "", None, "foobar né xyz a a", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for w in (piece(max_length=4, stride=1), piece(max_length=5), piece(max_length=4, padding=False), piece(max_length=2), piece()):
+        got = docs.select(w.encode_column(F.col("t")).alias("e"), w.ids_column(F.col("t")).alias("ids")).orderBy("k").collect()
+        for t, r in zip(texts, got, strict=True):
+            e = w.encode(t)
+            parts = [e, *e.overflowing]
+            assert r["ids"] == [p.ids for p in parts]
+            for p, row in zip(parts, [r["e"], *r["e"]["overflowing"]], strict=True):
+                assert (row["ids"], row["tokens"], row["word_indices"], [tuple(o) for o in row["offsets"]]) == (p.ids, p.tokens, p.word_indices, p.offsets)
+
+
+def test_wordpiece_query_keeps_whole_texts(spark, sf_dir):
+    rows = {r["doc_id"]: r for r in entry.queries()["wordpiece_encode"](spark, sf_dir).collect()}
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect():
+        r, words = rows[d["doc_id"]], len(d["text"].split())
+        assert sum(len(p) - 2 for p in [r["ids"], *r["overflowing"]]) >= words and all(len(p) == 52 for p in [r["ids"], *r["overflowing"]])
+
+
 def test_layers(tmp_path):
     conv = layers.Conv1D(np.array([[[1.0, 2.0]]]), np.array([0.5]))
     assert conv.run(np.array([[1.0, 2, 3]])).tolist() == [[5.5, 8.5]]
