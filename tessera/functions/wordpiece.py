@@ -286,6 +286,31 @@ class ByteEncoder:
         return out
 
 
+@dataclass
+class NgramEncoder:
+    """A stand-in for a model that reads all of a text: counts of its bytes' n-grams, hashed into as many places as there are.
+
+    A text that is shorter than an n-gram counts as one, behind zero bytes; an empty text has none.
+    """
+
+    size: int = 128
+    n: int = 3
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for k, t in enumerate(texts):
+            b = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+            if not len(b):
+                continue
+            b = np.concatenate([np.zeros(max(0, self.n - len(b)), np.uint64), b])
+            h = np.zeros(len(b) - self.n + 1, np.uint64)
+            for i in range(self.n):
+                h = (h ^ b[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[k] = np.bincount((h % np.uint64(self.size)).astype(np.int64), minlength=self.size)
+        return out
+
+
 @dataclass
 class OnnxEncoder:
     """A transformer of ids, attention mask and type ids; the session is made once in each worker."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as v
 from ..functions.layers import PhraseScorer
-from ..functions.wordpiece import ByteEncoder, WordPiece
+from ..functions.wordpiece import ByteEncoder, NgramEncoder, WordPiece
 from ..operators import features as ft
 from ..operators import history as hs
 from ..operators import interests as it
@@ -388,7 +388,7 @@ def wordpiece_encode(spark, sf_dir):
 @query
 def qa_distance(spark, sf_dir):
     c = d.table(spark, sf_dir, "conversations").select(F.lit(0).cast("long").alias("user_id"), F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("doc_pos"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").cast("int").alias("rank"), F.col("role").alias("title"), F.col("text").alias("snippet"), F.col("text").alias("query_words"))
-    return qa_distances(c, ByteEncoder(32)).select("request_id", "id", _r("similarity").alias("similarity"))
+    return qa_distances(c, NgramEncoder(32)).select("request_id", "id", _r("similarity").alias("similarity"))
 
 
 @query

@@ -124,6 +124,20 @@ def test_wordpiece_query_keeps_whole_texts(spark, sf_dir):
         assert sum(len(p) - 2 for p in [r["ids"], *r["overflowing"]]) >= words and all(len(p) == 52 for p in [r["ids"], *r["overflowing"]])
 
 
+def test_ngram_encoder_reads_whole_texts():
+    same = "x" * 200
+    e = wp.NgramEncoder(32).encode([same + "abc", same + "abd", "ab", "", None])
+    assert (e[0] != e[1]).any() and e.sum(axis=1).tolist() == [201, 201, 1, 0, 0]
+
+
+def test_qa_distance_query_reads_behind_equal_beginnings(spark, tmp_path):
+    start = "the same beginning of more than 32 bytes, "
+    rows = [(1, 0, "user", start + "then one thing"), (1, 1, "user", start + "and something else"), (1, 2, "user", start + "then one thing")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["id"]: r["similarity"] for r in entry.queries()["qa_distance"](spark, str(tmp_path)).collect()}
+    assert got["1-0"] == got["1-2"] == 0 and got["1-1"] > 0
+
+
 def test_layers(tmp_path):
     conv = layers.Conv1D(np.array([[[1.0, 2.0]]]), np.array([0.5]))
     assert conv.run(np.array([[1.0, 2, 3]])).tolist() == [[5.5, 8.5]]
