@@ -61,6 +61,11 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarra
     return g[anchor[first]], span_hashes(h, lo, hi + length), row, lo - off[row], hi - lo
 
 
+def _width(length: int) -> type:
+    """What a stretch's last start less its first fits in."""
+    return np.uint8 if length - min(GRAM, length) < 1 << 8 else np.uint32
+
+
 def _mapper(length: int, n_parts: int):
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
@@ -70,7 +75,7 @@ def _mapper(length: int, n_parts: int):
         def flush():
             g, s, ids, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            blocks = list(deal((g >> U64(40)) % U64(n_parts), n_parts, [g, s, ids, lo.astype(np.uint32), n.astype(np.uint8)]))
+            blocks = list(deal((g >> U64(40)) % U64(n_parts), n_parts, [g, s, ids, lo.astype(np.uint32), n.astype(_width(length))]))
             return batch(schema, [p for p, _ in blocks], [b for _, b in blocks])
 
         for b in batches:
@@ -94,7 +99,7 @@ _SPANS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()
 def _reducer(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x.as_py() for b in batches for x in b.column(1)]
-        g, s, ids, lo, n = unpack(blobs, [U64, U64, np.int64, np.uint32, np.uint8])
+        g, s, ids, lo, n = unpack(blobs, [U64, U64, np.int64, np.uint32, _width(length)])
         del blobs
         order = np.argsort(g)
         same = np.zeros(len(g), bool)

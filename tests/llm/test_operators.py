@@ -384,6 +384,24 @@ def test_suffix_dedup(spark, length):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_long_lengths(spark):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(3000)) for _ in range(6)]
+    length = 700
+    rows = list(enumerate([*texts, *[t[200:2600] for t in texts], *["".join(rnd.choice("abcdefgh") for _ in range(50)) + t[100:1500] for t in texts]]))
+    seen, want = set(), {}
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - length + 1):
+            if t[s : s + length] in seen:
+                gone[s : s + length] = True
+            seen.add(t[s : s + length])
+        want[i] = int(gone.sum())
+    got = suffix_dedup.remove_repeats(make(spark, rows), length=length)
+    column = next(c for c in got.columns if c in ("n_removed", "removed_bytes", "n_removed_bytes"))
+    assert {r["doc_id"]: r[column] for r in got.collect()} == want and sum(want.values()) > 0
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 
 
