@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, bound_batches, mix, powers, spread
+from .common import U64, bound_batches, materialize, mix, powers, spread
 
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
@@ -172,20 +172,25 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([k] * len(some), pa.int32()), pa.array([r[0] for r in some]), pa.array([r[1] for r in some], pa.int64())], schema=schema)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8_000, words: int = 20_000, grams: int = 8_000, langs: int = 200) -> Model:
-    """The model has at most langs * (words + 5 * grams) entries, whatever the table's size."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8_000, words: int = 20_000, grams: int = 8_000, lang_rows: int = 2_000) -> Model:
+    """Learned on about sample_rows rows in equal parts, or lang_rows for each language if that is more; a language with fewer gives all.
+
+    The model has at most words + 5 * grams entries for each language, whatever the table's size.
+    """
     bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.count()
-    part = min(1.0, sample_rows / max(total, 1))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30)) + (part == 1)).select(lang_col, text_col)
+    sizes = materialize(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows")))
+    most = max(lang_rows, sample_rows // max(sizes.count(), 1))
+    part = F.floor(F.lit(most * (1 << 30)) / F.col("_rows")).cast("long")  # of 1 << 30; all rows of a language that has no more
+    chosen = rows.select(lang_col, text_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("_u")).join(F.broadcast(sizes), F.col(lang_col) == F.col("_lang"))
+    chosen = chosen.filter(F.col("_u") < part).select(lang_col, text_col)
     counts = chosen.mapInArrow(_counter, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry")
     top = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "kind"))).withColumn("k", F.row_number().over(order))
     top = top.filter(F.col("k") <= F.when(F.col("kind") == 0, words).otherwise(grams)).drop("k").toPandas()
-    names = sorted(top["lang"].unique())[:langs]
+    names = sorted(top["lang"].unique())
     keys, logs = {}, {}
-    for kind, t in top[top["lang"].isin(names)].groupby("kind"):
+    for kind, t in top.groupby("kind"):
         entries = sorted(set(t["entry"]))
         place = {e: i for i, e in enumerate(entries)}
         n = np.zeros((len(entries), len(names)))

@@ -127,6 +127,13 @@ def test_language_id_backs_off(spark):
     assert model.predict(["zabcd", "bxyz", "v"])[0] == ["en", "de", "de"]
 
 
+def test_language_id_learns_every_label(spark):
+    texts = [(k, "the cat sat on the mat") for k in range(400)] + [(1000, "zzyx qwvk jjpq")] + [(2000 + k, f"w{chr(97 + k % 26)}{chr(97 + k // 26)}q") for k in range(230)] + [(3000 + k, "der hund und die katze") for k in range(50)]
+    docs = make(spark, texts, ["en"] * 400 + ["aa-rare"] + [f"l{k:03}" for k in range(230)] + ["zz"] * 50)
+    model = language_id.train(docs, sample_rows=20)
+    assert model.predict(["zzyx jjpq", "der hund", "the mat", "waaq"])[0] == ["aa-rare", "zz", "en", "l000"]
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
