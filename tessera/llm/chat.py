@@ -3,11 +3,14 @@
 Every turn is encoded by segments, its role and its text each on their own, and reserved ids are spliced between them:
 START role MIDDLE text END. Nothing in a text can so become a marker. For models that see the formatted text, control
 strings inside roles and texts are escaped as well (a backslash before each ``###``, ``</turn>`` and backslash), which
-reads back without loss. The loss mask is the prefix sum of +1 and -1 marks at the borders of the assistants' texts.
+reads back without loss; in roles a colon is escaped too, as it ends them. The loss mask is the prefix sum of +1 and -1
+marks at the borders of the assistants' texts.
 
 Cases: a null conversation id leaves the row out; null roles and texts are empty; turns go by number (null first), ties
-by role and text, and repeated rows are turns of their own; very long texts are encoded whole; other columns aren't read.
-A conversation is one row of the result and is put together in one task as its turns arrive in order.
+by role and text, and repeated rows are turns of their own; other columns aren't read. Texts of over STEP code points
+are encoded piece by piece, cut before white space that follows something else, where the tokenizer's pattern ends a
+token anyway; only in a longer run without such a place (a million blanks or letters) a cut changes the ids, never the
+text. A conversation is one row of the result and is put together in one task as its turns arrive in order.
 """
 
 from __future__ import annotations
@@ -27,11 +30,14 @@ from .common import bound_batches
 #: The markers, in the order of their ids above the vocabulary.
 MARKERS = ("### ", ": ", " </turn>\n")
 _CONTROL = re.compile(r"\\|###|</turn>")
-_ESCAPED = re.compile(r"\\(\\|###|</turn>)")
+_CONTROL_OR_COLON = re.compile(r"\\|###|</turn>|:")
+_ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
+STEP = 4096
+_BORDER = re.compile(r".{0,4094}\S(?=\s)", re.DOTALL)
 
 
-def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+def escape(text: str, role: bool = False) -> str:
+    return (_CONTROL_OR_COLON if role else _CONTROL).sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
@@ -50,14 +56,20 @@ class ByteTokenizer:
         self.start, self.middle, self.end = (max(ranks.values()) + 1 + k for k in range(3))
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+        ids, at = [], 0
+        while len(text) - at > STEP:
+            m = _BORDER.match(text, at)
+            end = m.end() if m else at + STEP
+            ids += self.encoding.encode_ordinary(text[at:end])
+            at = end
+        return ids + self.encoding.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         return self.encoding.decode_bytes(ids).decode("utf-8")
 
 
 def segments(tokenizer: ByteTokenizer, role: str, text: str) -> tuple[list[int], list[int]]:
-    return tokenizer.encode(escape(role)), tokenizer.encode(escape(text))
+    return tokenizer.encode(escape(role, True)), tokenizer.encode(escape(text))
 
 
 def assemble(tokenizer: ByteTokenizer, turns: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +105,45 @@ def read_back(tokenizer: ByteTokenizer, ids: np.ndarray, mask: np.ndarray) -> tu
     return turns, learned, "".join(formatted)
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Two bytes an id where that is enough; the width is told by a leading byte."""
+    a = np.array(ids, np.int64)
+    small = not len(a) or a.max() < 1 << 16
+    return (b"\2" if small else b"\4") + a.astype("<u2" if small else "<u4").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.int32)
+
+
 def _encoder(path: str, pattern: str):
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("r", pa.binary()), ("t", pa.binary())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("r", pa.binary()), ("t", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
         for b in batches:
             tokenizer = tokenizer or ByteTokenizer(path, pattern)
             pairs = [segments(tokenizer, r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            cols = [pa.array([np.array(p[k], "<i4").tobytes() for p in pairs], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema=schema)
+            cols = [pa.array([_packed(p[k]) for p in pairs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=schema)
 
     return run
 
 
+def _in_order(tokenizer: ByteTokenizer, turns: list[tuple[int | None, bytes, bytes]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """role, ids of the role and of the text; turns of one number by role and text."""
+    read = lambda ids: unescape(tokenizer.decode(ids.tolist()))
+    out, i = [], 0
+    while i < len(turns):
+        j = i + 1
+        while j < len(turns) and turns[j][0] == turns[i][0]:
+            j += 1
+        same = [(read(r), r, t) for r, t in ((_unpacked(r), _unpacked(t)) for _, r, t in turns[i:j])]
+        out += same if len(same) == 1 else sorted(same, key=lambda x: (x[0], read(x[2])))
+        i = j
+    return out
+
+
 def _assembler(path: str, pattern: str):
     schema = pa.schema([("conv_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))])
 
@@ -116,17 +153,17 @@ def _assembler(path: str, pattern: str):
         turns: list = []
 
         def done(rows):
-            ids, mask = zip(*(assemble(tokenizer, t) for _, t in rows), strict=True)
+            ids, mask = zip(*(assemble(tokenizer, _in_order(tokenizer, t)) for _, t in rows), strict=True)
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array(list(ids), schema.types[1]), pa.array(list(mask), schema.types[2])], schema=schema)
 
         for b in batches:
             rows = []
-            for conv, role, r, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, turn, r, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if conv != now:
                     if turns:
                         rows.append((now, turns))
                     now, turns = conv, []
-                turns.append((role, np.frombuffer(r, "<i4"), np.frombuffer(t, "<i4")))
+                turns.append((turn, r, t))
             if rows:
                 yield done(rows)
         if turns:
@@ -140,8 +177,9 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, pattern: str) ->
     bound_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text")).filter("conv_id is not null")
-    coded = rows.mapInArrow(_encoder(tokenizer_path, pattern), "conv_id long, turn long, role string, text string, r binary, t binary")
-    dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "r", "t")
+    coded = rows.mapInArrow(_encoder(tokenizer_path, pattern), "conv_id long, turn long, r binary, t binary")
+    # only ids travel, two bytes each
+    dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     return dealt.mapInArrow(_assembler(tokenizer_path, pattern), "conv_id long, ids array<int>, loss_mask array<tinyint>")
 
 

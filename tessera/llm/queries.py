@@ -127,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_url_filters": r"""
         WITH hosts AS (
-            SELECT page_id, lower(regexp_replace(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''), '\.+$', '')) AS host,
+            SELECT page_id, lower(regexp_replace(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*)', 1), ''), '\.+$', '')) AS host,
                 DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched
             FROM pages),
         names AS (

@@ -11,8 +11,14 @@ are independent of each other. The strings of one anchor occurrence overlap and
    order, and the expansion stops at the minimum length: borders without a value join suffixes with at least that much
    in common, whose later starts are repeats.
 
-Cases: a null id leaves the row out; null and empty texts have no bytes and the hash of nothing; repeated rows (same
-id) count as one after the other in no defined order of starts, the first kept; other columns are not read.
+An anchor with very many different stretches (a passage that many documents share, each going on in its own way) would
+be one block's work: its strings are dealt on by their own hash, which again depends on the string alone, into as many
+blocks as its bytes ask for.
+
+Cases: a null id leaves the row out; null and empty texts have no bytes and the hash of nothing; repeated rows (same id
+and text) are one place, so that they don't remove each other, and each gets the same result; rows with the same id and
+different texts are documents one after another, in the order of their texts' hashes; texts of any length a string
+column holds are cut in overlapping windows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack
 
 GRAM = 32
 _POS = U64((1 << 28) - 1)
+#: Bytes of a text that are looked at together, and of one anchor's stretches from which its strings are dealt on.
+WINDOW = 1 << 26
+HOT_BYTES = 1 << 21
+BROADCAST_ROWS = 1_000_000
+#: Starts in the versions of a repeated id with different texts are so far apart.
+VERSION = 1 << 40
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -66,7 +79,33 @@ def _width(length: int) -> type:
     return np.uint8 if length - min(GRAM, length) < 1 << 8 else np.uint32
 
 
-def _mapper(length: int, n_parts: int):
+def _windows(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Row range, bytes and offsets of the pieces of a batch, and the start of the bytes in their text: every string is in one."""
+    for i, j in chunks(off):
+        part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        for at in range(0, max(len(part), 1), WINDOW):
+            if len(part) <= WINDOW:
+                yield i, j, part, o, 0
+            else:  # one text
+                some = part[at : at + WINDOW + length - 1]
+                yield i, j, some, np.array([0, len(some)], np.int64), at
+
+
+def _settled(g: np.ndarray, s: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the rows by stretch and place, without repeated places; marks of the first of each stretch and of its anchor."""
+    order = np.lexsort((lo, ids, s, g))
+    g, s, ids, lo = g[order], s[order], ids[order], lo[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (ids[1:] != ids[:-1]) | (lo[1:] != lo[:-1])
+    order, g, s = order[new], g[new], s[new]
+    anchor = np.ones(len(g), bool)
+    anchor[1:] = g[1:] != g[:-1]
+    first = anchor.copy()
+    first[1:] |= s[1:] != s[:-1]
+    return order, first, anchor
+
+
+def _mapper(length: int, n_parts: int, place: type):
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,15 +114,20 @@ def _mapper(length: int, n_parts: int):
         def flush():
             g, s, ids, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            blocks = list(deal((g >> U64(40)) % U64(n_parts), n_parts, [g, s, ids, lo.astype(np.uint32), n.astype(_width(length))]))
+            # a stretch's earliest place here is compared with others' elsewhere; the rest are repeats whatever is found there
+            order, first, _ = _settled(g, s, ids, lo)
+            own, late = order[first], order[~first]
+            blocks = list(deal((g[own] >> U64(40)) % U64(n_parts), n_parts, [g[own], s[own], ids[own], lo[own].astype(place), n[own].astype(_width(length))]))
+            blocks += [(-1 - p, v) for p, v in deal(mix(ids[late].view(U64)) % U64(n_parts), n_parts, [ids[late], lo[late].astype(np.int64), n[late].astype(np.int64) + length])]
             return batch(schema, [p for p, _ in blocks], [b for _, b in blocks])
 
         for b in batches:
             data, off = text_bytes(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in chunks(off):
-                g, s, row, lo, n = stretches(data[off[i] : off[j]], off[i : j + 1] - off[i], length)
-                held.append((g, s, ids[i:j][row], lo, n))
+            base = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, part, o, at in _windows(data, off, length):
+                g, s, row, lo, n = stretches(part, o, length)
+                held.append((g, s, ids[i:j][row], lo + at + base[i:j][row], n))
                 if sum(len(x[0]) for x in held) >= 400_000:
                     yield flush()
         if held:
@@ -96,25 +140,29 @@ def _mapper(length: int, n_parts: int):
 _SPANS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
 
 
-def _reducer(length: int):
+def _reducer(length: int, place: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_py() for b in batches for x in b.column(1)]
-        g, s, ids, lo, n = unpack(blobs, [U64, U64, np.int64, np.uint32, _width(length)])
+        blobs: list[bytes] = []
+        for b in batches:
+            part = b.column(0).to_numpy()
+            blobs += [b.column(1)[int(i)].as_py() for i in np.flatnonzero(part >= 0)]
+            ids, lo, size = unpack((b.column(1)[int(i)].as_py() for i in np.flatnonzero(part < 0)), [np.int64] * 3)
+            yield batch(_SPANS, np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64), ids, lo, size)
+        g, s, ids, lo, n = unpack(blobs, [U64, U64, np.int64, place, _width(length)])
         del blobs
         order = np.argsort(g)
         same = np.zeros(len(g), bool)
         same[1:] = g[order][1:] == g[order][:-1]
         same[:-1] |= same[1:]
         order = order[same]
-        order = order[np.lexsort((lo[order], ids[order], s[order], g[order]))]
-        g, s, ids, lo, size = g[order], s[order], ids[order], lo[order].astype(np.int64), n[order].astype(np.int64) + length
-        if not len(g):
+        if not len(order):
             return
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+        g, s, ids, lo, size = g[order], s[order], ids[order], lo[order].astype(np.int64), n[order].astype(np.int64) + length
+        order, first, anchor = _settled(g, s, ids, lo)
+        g, ids, lo, size = g[order], ids[order], lo[order], size[order]
         r = np.flatnonzero(~first)
         yield batch(_SPANS, np.zeros(len(r), np.int32), np.zeros(len(r), np.int64), ids[r], lo[r], size[r])
-        _, group = runs(g)
+        group = np.cumsum(anchor) - 1
         mixed = np.bincount(group, weights=first)[group] > 1
         r = np.flatnonzero(first & mixed)
         yield batch(_SPANS, np.ones(len(r), np.int32), g[r].view(np.int64), ids[r], lo[r], size[r])
@@ -223,19 +271,38 @@ def repeated_starts(parts: list[bytes], ids: np.ndarray, starts: np.ndarray, len
 _CUT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches asked of each document."""
-    for b in batches:
-        data, off = text_bytes(b.column(1))
-        raw = data.tobytes()
-        want = b.column(2)
-        flat = want.flatten()
-        n = np.diff(want.offsets.to_numpy()) if len(want) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(want)), n)
-        key, start, size = (flat.field(k).to_numpy() for k in ("key", "start", "size"))
-        ids = b.column(0).to_numpy()
-        at = off[row] + start
-        yield batch(_CUT, key, ids[row], start, [raw[x : x + m] for x, m in zip(at, size, strict=True)])
+def _deal_on(raw: bytes, parts: int, length: int) -> list[tuple[int, int, int]]:
+    """(block, first byte, end) of the runs of strings of a stretch whose hashes are of the same block."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.arange(len(data) - length + 1)
+    block = (span_hashes(prefix_hashes(data), at, at + length) % U64(parts)).astype(np.int64)
+    first, _ = runs(block)
+    return [(int(block[i]), i, j - 1 + length) for i, j in spans_of(first, len(block))]
+
+
+def _cutter(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches asked of each document; those of anchors in several blocks by the blocks of their strings."""
+        for b in batches:
+            data, off = text_bytes(b.column(1))
+            raw = data.tobytes()
+            ids, base = b.column(0).to_numpy(), b.column(2).to_numpy()
+            out: list[tuple] = []
+            for k, want in enumerate(b.column(3).to_pylist()):
+                for w in want:
+                    if w["start"] // VERSION != base[k] // VERSION:
+                        continue
+                    at = off[k] + w["start"] - base[k]
+                    text = raw[at : at + w["size"]]
+                    if w["parts"] == 1:
+                        out.append((w["key"], ids[k], w["start"], text))
+                    else:
+                        for p, i, j in _deal_on(text, w["parts"], length):
+                            key = int(mix(np.array([w["key"]], np.int64).view(U64) + U64(p + 1)).view(np.int64)[0])
+                            out.append((key, ids[k], w["start"] + i, text[i:j]))
+            yield batch(_CUT, *([x[c] for x in out] for c in range(4)))
+
+    return run
 
 
 def _expander(length: int, limit: int = 1 << 17):
@@ -295,9 +362,10 @@ def _keeper(with_text: bool):
         for b in batches:
             data, off = text_bytes(b.column(1))
             raw = data.tobytes()
-            rows = []
+            base, rows = b.column(3).to_numpy(), []
             for k, spans in enumerate(b.column(2)):
                 text, cut = raw[off[k] : off[k + 1]], np.frombuffer(spans.as_py() or b"", np.int64).reshape(-1, 2)
+                cut = cut[cut[:, 0] // VERSION == base[k] // VERSION] - base[k]
                 if len(cut):
                     edges = [0, *cut.ravel().tolist(), len(text)]
                     kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
@@ -323,15 +391,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    texts, place = _with_base(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"))
     n_parts = min(60_000, 4 * partitions(spark))
-    blocks = texts.mapInArrow(_mapper(length, n_parts), "part int, blob binary")
-    found = materialize(blocks.repartition("part").mapInArrow(_reducer(length), "kind int, key long, id long, start long, size long"))
-    asked = found.filter("kind = 1").groupBy("id").agg(F.collect_list(F.struct("key", "start", "size")).alias("want"))
-    cut = texts.join(asked, "id").select("id", "text", "want").mapInArrow(_cutter, "key long, id long, start long, text binary")
+    blocks = texts.mapInArrow(_mapper(length, n_parts, place), "part int, blob binary")
+    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(_reducer(length, place), "kind int, key long, id long, start long, size long"))
+    mixed = found.filter("kind = 1")
+    hot = mixed.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > HOT_BYTES).select("key", F.ceil(F.col("bytes") / HOT_BYTES).cast("int").alias("parts"))
+    hot = materialize(hot)
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    asked = mixed.join(hot, "key", "left").groupBy("id").agg(F.collect_list(F.struct("key", "start", "size", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("want"))
+    cut = texts.join(asked, "id").select("id", "text", "base", "want").mapInArrow(_cutter(length), "key long, id long, start long, text binary")
     late = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_expander(length), "kind int, key long, id long, start long, size long")
     spans = found.filter("kind = 0").select("id", "start", "size").unionByName(late.select("id", "start", "size"))
     merged = materialize(spans.repartition("id").mapInArrow(_merge, "id long, spans binary"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, removed array<long>" if with_text else "")
-    out = texts.join(merged, "id", "left").select("id", "text", "spans").mapInArrow(_keeper(with_text), schema)
+    out = texts.join(merged, "id", "left").select("id", "text", "spans", "base").mapInArrow(_keeper(with_text), schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def _with_base(texts: DataFrame) -> tuple[DataFrame, type]:
+    """texts with base, what is added to starts in them: 0 but in further texts of one id; and the type of the sums."""
+    h = F.xxhash64("text")
+    ids = texts.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("id")
+    if not ids.limit(1).count():
+        return texts.withColumn("base", F.lit(0).cast("long")), np.uint32
+    versions = texts.select("id", h.alias("h")).join(ids, "id").distinct()
+    versions = materialize(versions.select("id", "h", ((F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1) * F.lit(VERSION)).alias("base")))
+    return texts.withColumn("h", h).join(versions, ["id", "h"], "left").select("id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base")), np.int64

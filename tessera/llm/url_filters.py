@@ -5,12 +5,15 @@ Each rule's entries become validity intervals; a capture is matched as of its fe
 the hosts above it and the interval around the time, so that an entry applies only to captures fetched while it held.
 
 Captures are reduced to distinct (host, time) pairs before they meet the list, so that a host with a large share of the
-captures meets its rules once for each time. A list of at most BROADCAST_RULES intervals is broadcast; a longer one is
-joined by shuffle, the captures salted and the intervals copied once for each salt.
-
-Cases: a null, empty or hostless URL and a null fetch time match nothing; hosts are compared in lower case, without user,
-port and a final dot; entries with null rule, category or time are ignored; of several entries of a rule at one time,
-delisting wins; repeated captures each get their row; a null id stays a row; empty tables give no rows or no matches.
+captures meets its rules once for each time. A list of at most BROADCAST_RULES intervals is broadcast; of a longer one
+only the intervals of rules that very many hosts lie below (there are few such rules, counted at the keys) are broadcast,
+and the others are joined by shuffle.
+
+Cases: a null, empty or hostless URL and a null fetch time match nothing; hosts and rules are compared in lower case and
+without final dots, hosts also without user (all up to the last @) and port, an address in brackets being a host; entries
+with null or empty rule, null category or time are ignored; of several entries of a rule at one time, delisting wins;
+repeated captures each get their row; a null id stays a row; URLs of any length are taken whole; empty tables give no
+rows or no matches; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize, partitions
+
 BROADCAST_RULES = 500_000
-SALTS = 16
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -37,9 +41,10 @@ def hosts_above(host: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """entries (rule, category, listed, at) -> rule, category, since, until (null: still): when a rule is listed."""
-    fine = entries.filter("rule is not null and category is not null and at is not null").groupBy("rule", "category", "at").agg(F.min(F.coalesce("listed", F.lit(False))).alias("listed"))
+    own = entries.withColumn("rule", F.lower(F.regexp_replace("rule", r"\.+$", ""))).filter("rule <> '' and category is not null and at is not null")
+    fine = own.groupBy("rule", "category", "at").agg(F.min(F.coalesce("listed", F.lit(False))).alias("listed"))
     after = F.lead("at").over(Window.partitionBy("rule", "category").orderBy("at"))
-    return fine.withColumn("until", after).filter("listed").select(F.lower("rule").alias("rule"), "category", F.col("at").alias("since"), "until")
+    return fine.withColumn("until", after).filter("listed").select("rule", "category", F.col("at").alias("since"), "until")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
@@ -52,9 +57,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     if rules.count() <= BROADCAST_RULES:
         met = keys.join(F.broadcast(rules), "rule").filter(active)
     else:
-        salted = keys.withColumn("salt", F.pmod(F.xxhash64("host", "fetched"), F.lit(SALTS)))
-        copied = rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = salted.join(copied, ["rule", "salt"]).filter(active)
+        # rules with so large a share of the keys: at most as many as a few times the partitions, by their count
+        keys, rules = materialize(keys), materialize(rules)
+        most = max(1, keys.count() // (2 * partitions(captures.sparkSession)))
+        hot = F.broadcast(materialize(keys.groupBy("rule").count().filter(F.col("count") > most).select("rule")))
+        spread = rules.join(hot, "rule", "left_semi")
+        if spread.count() <= BROADCAST_RULES:
+            spread = F.broadcast(spread)
+        near = keys.join(hot, "rule", "left_anti").join(rules, "rule")
+        met = keys.join(spread, "rule").unionByName(near).filter(active)
     verdicts = met.groupBy("host", "fetched").agg(F.count("*").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     out = rows.join(verdicts, ["host", "fetched"], "left")
     return out.select(F.col("id").alias(id_col), "host", "fetched", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("categories", F.lit("")).alias("categories"), F.col("n_rules").isNotNull().alias("blocked"))

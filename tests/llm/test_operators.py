@@ -324,6 +324,22 @@ def test_chat(spark):
     assert chat.conversation_report(turns.limit(0), *args).count() == 0
 
 
+def test_chat_long_runs(spark):
+    """Runs that the tokenizer's pattern would take as one piece, a million long, and roles that look like markers."""
+    public = pytest.importorskip("public_tokenizers")
+    args = public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, "日" * 300_000, "a b\n" * 200_000, "###" * 10_000, "." * 5000 + " \t" * 3000]
+    rows = [(k, t, r, x) for k, x in enumerate(texts) for t, r in enumerate(("a: b", "assistant", "x\\: ###"))]
+    got = {r["conv_id"]: r for r in chat.conversation_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), *args).collect()}
+    for k, x in enumerate(texts):
+        assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for c, _, r, _ in rows if c == k).encode()).hexdigest()
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(x), hashlib.sha256(x.encode()).hexdigest())
+    t = chat.ByteTokenizer(*args)
+    words = " ".join(f"word{k}  {k}\n" for k in range(5000))
+    assert t.encode(words) == t.encoding.encode_ordinary(words)
+    assert all(not re.search(r"(?<!\\)(\\\\)*:", chat.escape(r, True)) and chat.unescape(chat.escape(r, True)) == r for r in ("a: b", "x\\: ###", ":", "\\:"))
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 
 
@@ -353,6 +369,17 @@ def test_url_filters(spark, monkeypatch, rules):
     assert all(r["blocked"] == (r["n_rules"] > 0) for r in got)
 
 
+def test_url_filters_hosts_and_rules(spark):
+    """A rule's case and final dot are no part of it; users, ports and brackets no part of a host; empty tables and long URLs."""
+    entries = spark.createDataFrame([("BAD.org.", "spam", True, 10), ("bad.org", "spam", False, 20), ("[::1]", "adult", True, 1), ("", "spam", True, 1)], "rule string, category string, listed boolean, at int")
+    urls = ["http://a@b@bad.org/", "http://[::1]:80/x", "http://bad.org/" + "x" * 1_000_000, "http://u:p@x.BAD.org:8080?q@r", "http://ok.org/@bad.org"]
+    caps = spark.createDataFrame([(10 * k + i, u, t) for k, u in enumerate(urls) for i, t in enumerate((12, 25))], "page_id long, url string, fetched int")
+    got = {r["page_id"]: (r["host"], r["categories"]) for r in url_filters.filter_urls(caps, entries).collect()}
+    assert got == {0: ("bad.org", "spam"), 1: ("bad.org", ""), 10: ("[::1]", "adult"), 11: ("[::1]", "adult"), 20: ("bad.org", "spam"), 21: ("bad.org", ""), 30: ("x.bad.org", "spam"), 31: ("x.bad.org", ""), 40: ("ok.org", ""), 41: ("ok.org", "")}
+    assert url_filters.filter_urls(caps.limit(0), entries).count() == 0
+    assert not any(r["blocked"] for r in url_filters.filter_urls(caps, entries.limit(0)).collect())
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
@@ -391,6 +418,62 @@ def test_suffix_dedup(spark, length):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def brute_repeats(rows, length):
+    """(n_bytes, n_removed, n_spans, digest) of each (id, text), which are in order."""
+    seen, out = set(), []
+    for _, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                gone[s : s + length] = True
+            seen.add(b[s : s + length])
+        out.append((len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_repeated_rows(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(490), text(300), text(150)
+    got = suffix_dedup.remove_repeats(make(spark, [(1, a), (1, a), (1, a), (2, b + a[:200])])).collect()
+    one, two = brute_repeats([(1, a), (2, b + a[:200])], 100)
+    assert sorted(tuple(r)[1:] for r in got if r[0] == 1) == [one] * 3 and [tuple(r)[1:] for r in got if r[0] == 2] == [two]
+    # one id with different texts: documents of their own, in the order of the texts' hashes
+    odd = [(5, a + b), (5, c + b), (5, c + b), (5, None), (5, "")]
+    order = {t: h for t, h in [(r["text"], r["h"]) for r in spark.createDataFrame(odd, "id long, text string").selectExpr("text", "xxhash64(text) as h").collect()]}
+    rows = [(4, c), *[(5, t) for t in sorted(order, key=order.get)], (6, b)]
+    want = Counter(zip([i for i, _ in rows], brute_repeats(rows, 100), strict=True))
+    want[5, brute_repeats(rows, 100)[[t for _, t in rows].index(c + b)]] += 1
+    got = suffix_dedup.remove_repeats(make(spark, [*odd, (4, c), (6, b)]), with_text=True).collect()
+    assert Counter((r[0], tuple(r)[1:5]) for r in got) == want
+    assert all(len(r["kept_text"].encode()) == r["n_bytes"] - r["n_removed"] for r in got)
+
+
+def test_suffix_dedup_hot_anchors_and_windows(spark, monkeypatch):
+    """One passage that every document continues in its own way, dealt on over many blocks; long texts in windows."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 900)
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(0, 60))) + passage + " ".join(word() for _ in range(rnd.randint(0, 60)))) for i in range(60)]
+    want = brute_repeats(rows, 100)
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(make(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == want
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 150)
+    pieces = [x[2:] for x in suffix_dedup._windows(np.arange(400, dtype=np.int64).astype(np.uint8), np.array([0, 400]), 100)]
+    assert [(p[0], len(p), o.tolist(), at) for p, o, at in pieces] == [(0, 249, [0, 249], 0), (150, 249, [0, 249], 150), (44, 100, [0, 100], 300)]
+
+
+@pytest.mark.parametrize("length", [64, 256, 290, 400])
+def test_suffix_dedup_any_length(spark, length):
+    rnd = random.Random(length)
+    base = ["".join(rnd.choice("abcdef") for _ in range(1500)) for _ in range(3)]
+    rows = list(enumerate([*base, *[b[100:1300] for b in base], *["".join(rnd.choice("abcdef") for _ in range(40)) + b[50:900] for b in base]]))
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(make(spark, rows), length=length).collect()}
+    assert [got[i] for i, _ in rows] == brute_repeats(rows, length)
+
+
 def test_suffix_dedup_long_lengths(spark):
     rnd = random.Random(12)
     texts = ["".join(rnd.choice("abcdefgh") for _ in range(3000)) for _ in range(6)]
