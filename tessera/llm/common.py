@@ -6,7 +6,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.scratch import materialize as materialize  # the operators take it from here
 
@@ -29,6 +31,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Places in the versions of a repeated id with different texts are so far apart.
+VERSION = 1 << 40
+
+
+def with_versions(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """texts (id, text) with base, what is added to places in them, and whether any id has several rows.
+
+    The base is 0 but where an id has different texts: these are numbered in the order of their hashes.
+    """
+    h = F.xxhash64("text")
+    ids = texts.groupBy("id").agg(F.count("*").alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).filter("n > 1")
+    ids = materialize(ids.select("id", F.expr("lo <> hi").alias("differ")))
+    none = F.lit(0).cast("long")
+    if not ids.limit(1).count():
+        return texts.withColumn("base", none), False
+    if not ids.filter("differ").limit(1).count():
+        return texts.withColumn("base", none), True
+    versions = texts.select("id", h.alias("h")).join(ids.filter("differ").select("id"), "id").distinct()
+    versions = materialize(versions.select("id", "h", ((F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1) * F.lit(VERSION)).alias("base")))
+    return texts.withColumn("h", h).join(versions, ["id", "h"], "left").select(*texts.columns, F.coalesce("base", none).alias("base")), True
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], salt: Column, total: int) -> DataFrame:
+    """rows with what keys has for them; keys: one row a key with n, its number of rows.
+
+    A key with a large share of the total is copied, and its rows are dealt out to the copies by the salt, so that no
+    task gets them all. At most some partitions keys are so large.
+    """
+    bound = max(100, total // (2 * partitions(rows.sparkSession)))
+    copies = F.ceil(F.col("n") / F.lit(bound)).cast("int")
+    hot = F.broadcast(keys.filter(F.col("n") > bound).select(*on, copies.alias("_copies")))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.pmod(salt, F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+
+
 # --- hashing ------------------------------------------------------------------------------------
 
 

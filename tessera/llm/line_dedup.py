@@ -1,17 +1,23 @@
-"""Removal of repeated runs of lines, by prefix doubling over the line ids of all documents.
-
-A line's id is a 128-bit hash. A suffix's name is the hash of its first lines: of one line at first, then doubled, two
-names making the name of the run twice as long, until it covers ``min_lines`` (the last step may overlap). Names are
-hashes of names, so that a doubling step needs no exchange. One exchange then deals the suffixes out by name and sorts
-them into a suffix array, cut at that depth (its order among different names is that of the hashes): the intervals of
-suffixes with at least min_lines in common are the runs of equal names. All but the earliest of an interval (smaller
-id, or earlier in the document) are repeats. A longer repeated run is the union of its runs of min_lines lines, and
-the union of a document's repeats is its maximal removed runs. Where ``long_words`` is given, a line of more words than
-that is a run by itself too, under a name of its own kind.
-
-Cases: a null id leaves the row out; null text is left as it is, empty text has one empty line; repeated rows (same id)
-count as one place, so that they don't remove each other; lines are what stands between line feeds, compared whole;
-other columns are kept.
+"""Removal of repeated runs of lines, by a suffix array over the line ids of all documents.
+
+The array is made by distributed prefix doubling. A suffix is a place (id, line number); its rank at depth 1 is that of
+its line's id, a 128-bit hash, among all ids in order. A suffix's rank at depth 2d is that of the pair of its own rank and
+the rank of the suffix d lines on, which a join brings next to it; each round sorts the distinct pairs by ranges, which
+puts the suffixes in their order by the first 2d lines. Suffixes whose pair occurs once are in their final place and leave:
+no run of theirs that is longer can be repeated. The doubling stops at ``min_lines`` (the last step may overlap).
+
+The suffixes that are left with equal ranks are the intervals whose longest common prefix is min_lines at least. All but
+the earliest of an interval (smaller id, or earlier in the document) are repeats. A longer repeated run is the union of
+its runs of min_lines lines, so that the union of a document's repeats is its maximal removed runs. Where ``long_words``
+is given, a line of more words than that counts at depth 1 too.
+
+Only distinct pairs are sorted. A line that a large share of the places have is counted before it is shuffled, and its
+places get their rank from several copies of it.
+
+Cases: a null id leaves the row out; null text is left as it is, empty text has one empty line; repeated rows (same id
+and text) are one place, so that they don't remove each other; rows with the same id and different texts are documents
+one after another, in the order of their texts' hashes; lines are what stands between line feeds, compared whole, however
+long; other columns are kept, but input columns n_lines, n_removed and n_runs give way to those of the result.
 """
 
 from __future__ import annotations
@@ -20,151 +26,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BYTES, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, text_bytes, unpack, word_spans
-
-_SECOND = mix(_BYTES ^ U64(0x5851F42D4C957F2D))
-
-
-def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every line; each row has one more line than line feeds."""
-    feeds = np.flatnonzero(data == 10)
-    row_of_feed = np.searchsorted(off, feeds, side="right") - 1
-    rows = np.arange(len(off) - 1)
-    start, row = np.concatenate([off[:-1], feeds + 1]), np.concatenate([rows, row_of_feed])
-    order = np.lexsort((start, row))
-    start, row = start[order], row[order]
-    end = np.concatenate([feeds, off[1:]])
-    return start, end[np.lexsort((end, np.concatenate([row_of_feed, rows])))], row
-
-
-def run_names(names: np.ndarray, length: int) -> np.ndarray:
-    """Names of the runs of length lines from each line on, by doubling; they mean nothing where a run leaves its row."""
-    done = 1
-    while done < length:
-        step = min(done, length - done)
-        after = np.roll(names, -step)
-        names = mix(names * U64(0x9E3779B97F4A7C15) + mix(after + U64(step)))
-        done += step
-    return names
-
-
-def _mapper(min_lines: int, n_parts: int, long_words: int | None = None):
-    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush():
-            a, b, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((pos, ids, b, a))
-            a, b, ids, pos = a[order], b[order], ids[order], pos[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-            late = (ids != ids[head]) | (pos != pos[head])
-            # the earliest here is compared with others' elsewhere; the rest are repeats whatever is found there
-            blocks = list(deal((a[first] >> U64(40)) % U64(n_parts), n_parts, [x[first] for x in (a, b, ids, pos)])) if len(a) else []
-            blocks += [(-1 - p, v) for p, v in deal(mix(ids[late].view(U64)) % U64(n_parts), n_parts, [ids[late], pos[late]])]
-            return batch(schema, [p for p, _ in blocks], [v for _, v in blocks])
-
-        for b in batches:
-            data, off = text_bytes(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in chunks(off):
-                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                start, end, row = line_spans(part, o)
-                count = np.bincount(row, minlength=j - i)
-                place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-                ok = place + min_lines <= count[row]
-                lines = [span_hashes(prefix_hashes(part, t), start, end) for t in (_BYTES, _SECOND)]
-                # positions are doubled; odd ones are those of single lines
-                held.append((*(run_names(x, min_lines)[ok] for x in lines), ids[i:j][row[ok]], 2 * place[ok].astype(np.int64)))
-                if long_words is not None:
-                    words = np.searchsorted(start, word_spans(part, o)[0], side="right") - 1
-                    long_ = np.bincount(words, minlength=len(start)) > long_words
-                    held.append((*(mix(x[long_] + U64(min_lines)) for x in lines), ids[i:j][row[long_]], 2 * place[long_].astype(np.int64) + 1))
-            if sum(len(h[0]) for h in held) >= 500_000:
-                yield flush()
-        if held:
-            yield flush()
-
-    return run
-
-
-_LATE = pa.schema([("id", pa.int64()), ("pos", pa.int64())])
-
-
-def _reducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blobs: list[bytes] = []
+from .common import VERSION, bound_batches, join_keys, materialize, partitions, with_versions
+
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def _lines(texts: DataFrame, long_words: int | None) -> DataFrame:
+    """-> id, pos, a, b (the line's id), long: whether the line has more than long_words words."""
+    each = texts.filter("text is not null").select("id", "base", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    line = F.col("line")
+    words = F.size(F.filter(F.split(line, _SPACE), lambda w: w != ""))
+    long_ = F.lit(False) if long_words is None else F.when(F.length(line) > 2 * long_words, words > long_words).otherwise(False)
+    return each.select("id", (F.col("base") + F.col("k")).alias("pos"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), long_.alias("long"))
+
+
+def _ranked(keys: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct keys with their numbers in order: sorted by ranges, counted on within each."""
+    return materialize(keys.repartitionByRange(partitions(keys.sparkSession), *on).sortWithinPartitions(*on).withColumn("rank", F.monotonically_increasing_id()))
+
+
+def _tied(rows: DataFrame, on: list[str], *more: Column) -> DataFrame:
+    """rows (id, pos, keys) whose keys occur several times, with n and their ranks."""
+    keys = _ranked(rows.groupBy(*on).agg(F.count("*").alias("n"), *more).filter("n > 1"), on)
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_keys(rows, keys, on, F.xxhash64("id", "pos"), total)
+
+
+def _first() -> Column:
+    return F.min(F.struct("id", "pos")).alias("first")
+
+
+def _doubled(tied: DataFrame, step: int) -> DataFrame:
+    """(id, pos, r1, r2) of the suffixes that have another tied one step lines on."""
+    on = tied.select("id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
+    return tied.select("id", "pos", F.col("rank").alias("r1")).join(on, ["id", "pos"])
+
+
+def late_places(texts: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """texts (id, text) -> id, pos, size: runs of size lines that occur before."""
+    texts, repeats = with_versions(texts)
+    rows = _lines(texts, long_words)
+    late = F.struct("id", "pos") != F.col("first")
+    places = lambda tied, size: tied.filter(late).select("id", "pos", F.lit(size).alias("size"))
+    found = None
+    if long_words is not None and min_lines > 1:
+        found = places(_tied(rows.filter("long"), ["a", "b"], _first()), 1)
+    tied, depth = _tied(rows, ["a", "b"], *([_first()] if min_lines == 1 else [])), 1
+    while depth < min_lines:
+        tied = tied.select("id", "pos", "rank")
+        tied = materialize(tied.distinct() if repeats and depth == 1 else tied)
+        step = min(depth, min_lines - depth)
+        depth += step
+        tied = _tied(materialize(_doubled(tied, step)), ["r1", "r2"], *([_first()] if depth == min_lines else []))
+    return places(tied, min_lines) if found is None else places(tied, min_lines).unionByName(found)
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines of their late runs; runs are doubled places and a mark of those of one line, in pairs."""
     for b in batches:
-        part = b.column(0).to_numpy()
-        blobs += [b.column(1)[int(i)].as_py() for i in np.flatnonzero(part >= 0)]
-        yield batch(_LATE, *unpack((b.column(1)[int(i)].as_py() for i in np.flatnonzero(part < 0)), [np.int64, np.int64]))
-    a, b, ids, pos = unpack(blobs, [U64, U64, np.int64, np.int64])
-    order = np.lexsort((pos, ids, b, a))
-    a, b, ids, pos = a[order], b[order], ids[order], pos[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
-    late = (ids != ids[head]) | (pos != pos[head])
-    yield batch(_LATE, ids[late], pos[late])
-
-
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats of one partition's documents, packed."""
-    t = pa.Table.from_batches(list(batches), _LATE)
-    ids, pos = (t.column(k).to_numpy() for k in (0, 1))
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    first, _ = runs(ids)
-    yield batch(pa.schema([("id", pa.int64()), ("late", pa.binary())]), ids[first], [pos[i:j].tobytes() for i, j in spans_of(first, len(ids))])
-
-
-def _cutter(min_lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, n_lines, n_removed, n_runs = [], [], [], []
-            for text, late in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text is None:
-                    rows = (None, 0, 0, 0)
-                elif late is None:
-                    rows = (text, text.count("\n") + 1, 0, 0)
-                else:
-                    lines = text.split("\n")
-                    gone = np.zeros(len(lines) + 1, np.int64)
-                    pos = np.frombuffer(late, np.int64)
-                    pos, size = pos >> 1, np.where(pos & 1, 1, min_lines)
-                    fits = pos + size <= len(lines)  # a repeated id may be a shorter text
-                    np.add.at(gone, pos[fits], 1)
-                    np.add.at(gone, (pos + size)[fits], -1)
-                    out = np.cumsum(gone)[:-1] > 0
-                    rows = ("\n".join(x for x, o in zip(lines, out, strict=True) if not o), len(lines), int(out.sum()), int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
-                for x, y in zip((kept, n_lines, n_removed, n_runs), rows, strict=True):
-                    x.append(y)
-            more = [pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_removed, n_runs))]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *more], names=[*b.schema.names[2:], "_kept", "_n_lines", "_n_removed", "_n_runs"])
-
-    return run
+        kept, n_lines, n_removed, n_runs = [], [], [], []
+        for text, late in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if text is None:
+                rows = (None, 0, 0, 0)
+            elif not late.is_valid or not len(late):
+                rows = (text, text.count("\n") + 1, 0, 0)
+            else:
+                lines = text.split("\n")
+                gone = np.zeros(len(lines) + 1, np.int64)
+                pos, size = (late.values.field(k).to_numpy() for k in ("pos", "size"))
+                np.add.at(gone, pos, 1)
+                np.add.at(gone, pos + size, -1)
+                out = np.cumsum(gone)[:-1] > 0
+                rows = ("\n".join(x for x, o in zip(lines, out, strict=True) if not o), len(lines), int(out.sum()), int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
+            for x, y in zip((kept, n_lines, n_removed, n_runs), rows, strict=True):
+                x.append(y)
+        more = [pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_removed, n_runs))]
+        yield pa.RecordBatch.from_arrays([*b.columns[2:], *more], names=[*b.schema.names[2:], "_kept", "_n_lines", "_n_removed", "_n_runs"])
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """docs with the kept text in place of the text, and n_lines, n_removed, n_runs; lines of over long_words words also count alone."""
     bound_batches(docs.sparkSession)
-    n_parts = min(60_000, 4 * partitions(docs.sparkSession))
     rows = docs.filter(F.col(id_col).isNotNull())
-    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    late = texts.mapInArrow(_mapper(min_lines, n_parts, long_words), "part int, blob binary").repartition("part").mapInArrow(_reducer, "id long, pos long")
-    packed = materialize(late.repartition("id").mapInArrow(_collect, "id long, late binary"))
+    texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    version = F.floor(F.col("pos") / VERSION)
+    late = late_places(texts, min_lines, long_words)
+    packed = late.groupBy("id", version.alias("version")).agg(F.collect_list(F.struct(F.pmod("pos", F.lit(VERSION)).alias("pos"), "size")).alias("late"))
+    packed = materialize(packed.withColumnRenamed("id", "_id").withColumnRenamed("version", "_version"))
     others = [c for c in docs.columns if c != text_col]
     plain = rows.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    based, _ = with_versions(plain.select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.struct("*").alias("_row")))
+    plain = based.select("_row.*", F.floor(F.col("base") / VERSION).alias("_version"))
     # by shuffle at any size: a broadcast that fits small tables would only change the plan where it counts
-    full = plain.join(packed.withColumnRenamed("id", "_id").hint("merge"), "_id", "left").select("_text", "late", *[f"c{i}" for i in range(len(others))])
+    full = plain.join(packed.hint("merge"), ["_id", "_version"], "left").select("_text", "late", *[f"c{i}" for i in range(len(others))])
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in full.schema[2:]] + ["_kept string, _n_lines long, _n_removed long, _n_runs long"])
-    out = full.mapInArrow(_cutter(min_lines), schema)
+    out = full.mapInArrow(_cutter, schema)
     own = [F.col("_kept").alias(c) if c == text_col else F.col(f"c{others.index(c)}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     return out.select(*own, *[F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs")])
 

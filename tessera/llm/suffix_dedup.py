@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import U64, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack
+from .common import U64, VERSION, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack, with_versions
 
 GRAM = 32
 _POS = U64((1 << 28) - 1)
@@ -40,8 +39,6 @@ _POS = U64((1 << 28) - 1)
 WINDOW = 1 << 26
 HOT_BYTES = 1 << 21
 BROADCAST_ROWS = 1_000_000
-#: Starts in the versions of a repeated id with different texts are so far apart.
-VERSION = 1 << 40
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -391,7 +388,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    texts, place = _with_base(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"))
+    texts, repeats = with_versions(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"))
+    place = np.int64 if repeats else np.uint32
     n_parts = min(60_000, 4 * partitions(spark))
     blocks = texts.mapInArrow(_mapper(length, n_parts, place), "part int, blob binary")
     found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(_reducer(length, place), "kind int, key long, id long, start long, size long"))
@@ -408,14 +406,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, removed array<long>" if with_text else "")
     out = texts.join(merged, "id", "left").select("id", "text", "spans", "base").mapInArrow(_keeper(with_text), schema)
     return out.withColumnRenamed("id", id_col)
-
-
-def _with_base(texts: DataFrame) -> tuple[DataFrame, type]:
-    """texts with base, what is added to starts in them: 0 but in further texts of one id; and the type of the sums."""
-    h = F.xxhash64("text")
-    ids = texts.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("id")
-    if not ids.limit(1).count():
-        return texts.withColumn("base", F.lit(0).cast("long")), np.uint32
-    versions = texts.select("id", h.alias("h")).join(ids, "id").distinct()
-    versions = materialize(versions.select("id", "h", ((F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1) * F.lit(VERSION)).alias("base")))
-    return texts.withColumn("h", h).join(versions, ["id", "h"], "left").select("id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base")), np.int64

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, embedding_dedup, imatch, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, url_filters
 from tessera.llm.components import connected_components
@@ -226,6 +227,48 @@ def test_line_dedup(spark, k):
     assert line_dedup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [4, 7, 40])
+def test_line_dedup_longer_runs(spark, k):
+    """Runs of 2 to 60 lines that occur again, taken from k lines on; a very common line and a long text among them."""
+    rnd = random.Random(k)
+    source = [[f"s{s} {p}" for p in range(80)] for s in range(4)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rnd.randint(1, 4)):
+            n, s = rnd.randint(2, 60), rnd.choice(source)
+            at = rnd.randrange(80 - n)
+            lines += [f"own {i} {rnd.random()}"] * rnd.randint(0, 2) + s[at : at + n] + [""] * rnd.randint(0, 50)
+        rows.append((i, "\n".join(lines)))
+    rows.append((100, "\n".join(f"l{p % 3000}" for p in range(9000))))
+    seen, want = set(), {}
+    for i, t in rows:
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines) - k + 1):
+            w = tuple(lines[p : p + k])
+            if w in seen:
+                gone |= set(range(p, p + k))
+            seen.add(w)
+        want[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone)
+    out = line_dedup.remove_repeated_lines(make(spark, rows).withColumn("n_runs", F.lit("x")), min_lines=k).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in out} == want and all(isinstance(r["n_runs"], int) for r in out)
+
+
+def test_line_dedup_versions(spark):
+    """One id with several texts: documents of their own, in the order of the texts' hashes."""
+    texts = ["a\nb\nc", "x\na\nb", "b\nc\nd\ne"]
+    order = sorted(spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) as h", "t").collect())
+    rows = [(1, r["t"]) for r in order] + [(2, "d\ne\na\nb")]
+    seen, want = set(), []
+    for i, t in rows:
+        lines = t.split("\n")
+        gone = {q for p in range(len(lines) - 1) if tuple(lines[p : p + 2]) in seen for q in (p, p + 1)}
+        seen |= {tuple(lines[p : p + 2]) for p in range(len(lines) - 1)}
+        want.append((i, "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    out = line_dedup.remove_repeated_lines(make(spark, [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[1]), (2, rows[-1][1])])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(want) + Counter([next(w for w, r in zip(want, rows, strict=True) if r[1] == texts[1])])
+
+
 def test_line_dedup_repeated_rows(spark):
     docs = make(spark, [(1, "a\nb"), (1, "a\nb"), (2, "a\nb")])
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_report(docs).collect()) == [(1, 0), (1, 0), (2, 2)]
@@ -519,6 +562,99 @@ def test_fingerprints(spark, monkeypatch):
     assert one["near_next"] == 1.0
 
 
+def xxhash(data):
+    import xxhash as x
+
+    h = x.xxh64_intdigest(data, seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def brute_slots(texts, idf):
+    """{text: {(tier, subset): digest}} by the definition of the fingerprint."""
+    words = [{w for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower(), flags=re.ASCII) if w} for t in texts]
+    df = Counter(w for ws in words for w in ws)
+    n = len(texts)
+    band = {w for w, c in df.items() if n * np.exp(-idf[1]) <= c <= n * np.exp(-idf[0])}
+    number = {w: xxhash_chain(xxhash(w.encode()), 7) for w in band}
+    out = {}
+
+    def slots(text):
+        if text not in out:
+            ws = {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.ASCII) if w} & band
+            by = defaultdict(list)
+            for x in sorted(number[w] for w in ws):
+                u = x % (1 << 64)
+                for tier in range(4):
+                    if (u >> (59 - 2 * tier)) % 4**tier == 0:
+                        by[tier, u >> 59].append(x)
+            out[text] = {}
+            for key, xs in by.items():
+                h = 0
+                for x in xs:
+                    h = xxhash_chain(h, x)
+                out[text][key] = h % 4095 + 1
+        return out[text]
+
+    return slots
+
+
+def xxhash_chain(*values):
+    """The hash of several numbers: each one's with the hash so far as the seed. Numbers of 4 bytes are hashed as such."""
+    import xxhash as x
+
+    seed = 42
+    for k, v in enumerate(values):
+        small = k == 1 and v == 7
+        seed = x.xxh64_intdigest(int(v).to_bytes(4 if small else 8, "little", signed=True), seed=seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def test_fingerprints_by_definition(spark):
+    rows = [(i, (t or "").replace("é", "e")) for i, t in awkward(10, 40)] + [(1000, "Only-once, and: {braces} [w1] w2 w3!"), (1001, "w5 w6 w7 ~ w8")]
+    idf = (0.3, 4.0)
+    slots = brute_slots([t for _, t in rows], idf)
+    got = {r["doc_id"]: r for r in imatch.edit_report(make(spark, rows), idf=idf).collect()}
+
+    def name(t):
+        s = slots(t)
+        if not s:
+            return "t:" + hashlib.sha256(t.encode()).hexdigest()
+        signed = lambda k: k - 32 if k >= 16 else k
+        return "/".join("".join(f"{k * 4096 + s[tier, k]:05x}" for k in sorted((k for t2, k in s if t2 == tier), key=signed)) for tier in range(4))
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        a, b = slots(a), slots(b)
+        tiers = [({k for k in {*a, *b} if k[0] == t}, t) for t in range(4)]
+        for most in (21, 32):
+            some = [k for ks, _ in tiers if len(ks) <= most for k in ks]
+            if some:
+                return sum(a.get(k) == b.get(k) for k in some) / len(some)
+        return 0.0
+
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (name(t), name(edited))
+        assert r["near_edited"] == pytest.approx(like(t, edited)) and r["near_next"] == pytest.approx(like(t, after))
+    own = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(make(spark, rows), idf=idf).collect()}
+    assert own == {i: got[i]["fingerprint"] for i, _ in rows}
+
+
+def test_fingerprints_repeated_ids(spark):
+    rows = [(1, "b one two"), (1, "a one"), (1, "b one two"), (2, "c"), (2, None)]
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in imatch.edit_report(make(spark, rows)).collect())
+    order = sorted((i, t or "") for i, t in rows)
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + order[(k + 1) % 5][1][:half]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 # --- 10 -------------------------------------------------------------------------------------------
 
 
