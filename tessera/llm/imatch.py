@@ -1,17 +1,19 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-A document's terms are the distinct lower-cased words of its text, each as one of 2**18 hash codes. Over all documents
-every code's document frequency is counted; the lexicon holds the codes of a band of inverse document frequencies. The
-lexicon is dealt at random into subsets: tier t keeps one code in 4**t and deals those into 32 subsets. A fingerprint
-is, subset by subset, the hash of the document's sorted terms in it (000 without any), so that the sparse tiers, whose
-subsets hold about a term of the document each, survive edits in the proportion of what is shared, and the dense ones
-only small edits. A text without any lexicon term gets the digest of the text.
-
-The lexicon travels as a bitmap of 2**18 bits, whatever the number of documents.
-
-Cases: null and empty texts have the fingerprint of the empty text; equal texts have equal fingerprints; rows with a
-null id are left out; repeated ids are taken in the order of their texts; a lone document is its own successor; an
-empty table gives no rows.
+A document's terms are the distinct lower-cased words of its text. Over all documents every term's document frequency is
+counted (by its 64-bit hash); the lexicon holds the terms of a band of inverse document frequencies. The lexicon is dealt
+at random into subsets: tier t keeps one term in 4**t and deals those into 32 subsets. A fingerprint is, subset by subset,
+the hash of the document's sorted terms in it, so that the sparse tiers, whose subsets hold about a term of the document
+each, survive edits in the proportion of what is shared, and the dense ones only small edits. A text without any lexicon
+term gets the digest of the text.
+
+A term of the band is in a share of exp(-idf[1]) of the documents at least, so that the lexicon has at most exp(idf[1])
+terms for each distinct term that a document has on average, whatever the number of documents. Terms meet it by a join,
+which broadcasts up to BROADCAST_TERMS of them and shuffles beyond.
+
+Cases: null and empty texts have the fingerprint of the empty text; equal texts have equal fingerprints, however long;
+rows with a null id are left out; repeated ids are taken in the order of their texts, repeated rows after one another; a
+lone document is its own successor; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,107 +24,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CODES = 1 << 18
+from .common import materialize
+
 SUBSETS = 32
 TIERS = 4
 RANGES = 256
 BUCKET_ROWS = 200
-MOST_PARTS = 500
+MOST_PARTS = 4_000
+BROADCAST_TERMS = 2_000_000
+_FOLD = "struct<subset:int,hash:bigint,done:array<int>>"
 
 
-def term_codes(text: Column) -> Column:
+def terms(text: Column) -> Column:
+    """64-bit hashes of the distinct words."""
     words = F.split(F.lower(text), r"[\s\p{Punct}]+")
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(CODES))))
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, text_col: str, idf: tuple[float, float]) -> list[int]:
-    """The band's codes as a bitmap in words of 32 bits."""
+def lexicon(docs: DataFrame, text_col: str, idf: tuple[float, float]) -> DataFrame:
+    """-> term: those whose inverse document frequency is in the band."""
     n = docs.count()
-    counts = docs.select(F.explode(term_codes(F.coalesce(F.col(text_col), F.lit("")))).alias("code")).groupBy("code").count()
-    low, high = n * math.exp(-idf[1]), n * math.exp(-idf[0])
-    words = [0] * (CODES // 32)
-    for r in counts.filter((F.col("count") >= low) & (F.col("count") <= high)).select("code").collect():  # at most CODES rows
-        words[r["code"] // 32] |= 1 << (r["code"] % 32)
-    return words
+    counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").count()
+    return materialize(counts.filter(F.col("count").between(n * math.exp(-idf[1]), n * math.exp(-idf[0]))).select("term"))
 
 
-def add_slots(docs: DataFrame, text_col: str, name: str, bitmap: list[int]) -> DataFrame:
-    """A column with a number for each subset of each tier: the hash of the text's terms in it, 0 without any.
+def _subset(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 59).cast("int")
 
-    Each array that is used more than once is a column of its own, so that it is made once.
-    """
-    lex = F.expr("array(" + ",".join(f"{w}L" for w in bitmap) + ")")
-    known = F.filter(term_codes(F.col(text_col)), lambda c: F.call_function("shiftright", F.element_at(lex, (F.shiftright(c, 5) + 1).cast("int")), (c % 32).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    # a term's random number: its subset in the low 5 bits, its level in those above
-    out = docs.withColumn("_tier0", F.transform(F.array_sort(known), lambda c: F.xxhash64(c, F.lit(7))))
-    for t in range(1, TIERS):
-        out = out.withColumn(f"_tier{t}", F.filter(f"_tier{t - 1}", lambda h: F.shiftright(h, 5).bitwiseAND(F.lit(4**t - 1)) == 0))
-    tiers = [F.transform(_deal(F.col(f"_tier{t}")), _digest) for t in range(TIERS)]
-    return out.withColumn(name, F.concat(*tiers)).drop(*[f"_tier{t}" for t in range(TIERS)])
+
+def _entry(acc: Column) -> Column:
+    """The subset and 12 bits of the hash of its terms, in one number."""
+    return acc["subset"] * 4096 + (F.pmod(acc["hash"], F.lit(4095)) + 1).cast("int")
 
 
-def _deal(terms: Column) -> Column:
-    """The terms of each subset."""
-    return F.array(*[F.filter(terms, lambda h: h.bitwiseAND(F.lit(SUBSETS - 1)) == s) for s in range(SUBSETS)])
+def _digests(numbers: Column) -> Column:
+    """An entry for each subset that has terms: one pass over the terms' numbers, sorted by subset."""
 
+    def add(acc: Column, x: Column) -> Column:
+        same = acc["subset"] == _subset(x)
+        done = F.when(same | (acc["subset"] < 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(_entry(acc))))
+        return F.struct(_subset(x).alias("subset"), F.xxhash64(F.when(same, acc["hash"]).otherwise(F.lit(0).cast("long")), x).alias("hash"), done.alias("done")).cast(_FOLD)
 
-def _digest(terms: Column) -> Column:
-    return F.when(F.size(terms) == 0, F.lit(0)).otherwise((F.pmod(F.xxhash64(terms), F.lit(0xFFF)) + 1).cast("int"))
+    zero = F.struct(F.lit(-1).alias("subset"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<int>").alias("done")).cast(_FOLD)
+    return F.aggregate(F.sort_array(numbers), zero, add, lambda acc: F.when(acc["subset"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(_entry(acc)))))
 
 
-def as_string(slots_: Column, text: Column) -> Column:
-    none = F.array_max(slots_) == 0
-    return F.when(none, F.concat(F.lit("t:"), F.sha2(text, 256))).otherwise(F.array_join(F.transform(slots_, lambda x: F.lower(F.lpad(F.hex(x), 3, "0"))), ""))
+def with_slots(rows: DataFrame, numbers: str, name: str) -> DataFrame:
+    """A column with the entries of each tier, from one with the numbers of the text's lexicon terms.
+
+    A number has its subset in the top 5 bits and its level in the bits below.
+    """
+    out = rows.withColumn("_tier0", F.col(numbers))
+    for t in range(1, TIERS):
+        out = out.withColumn(f"_tier{t}", F.filter(f"_tier{t - 1}", lambda x: F.shiftright(x, 59 - 2 * t).bitwiseAND(F.lit(4**t - 1)) == 0))
+    return out.withColumn(name, F.array(*[_digests(F.col(f"_tier{t}")) for t in range(TIERS)])).drop(*[f"_tier{t}" for t in range(TIERS)])
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
+def as_string(slots: Column, digest: Column) -> Column:
+    none = F.size(slots[0]) == 0
+    return F.when(none, F.concat(F.lit("t:"), digest)).otherwise(F.array_join(F.transform(slots, lambda tier: F.array_join(F.transform(tier, lambda x: F.lower(F.lpad(F.hex(x), 5, "0"))), "")), "/"))
+
+
+def with_likeness(rows: DataFrame, a: str, b: str, same: Column, name: str) -> DataFrame:
     """Equal share of the subsets that either has terms in, over the sparse tiers (all of them if none is sparse)."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    rows = []
-    for t in range(TIERS):
-        tier = F.filter(F.slice(pairs, 1 + t * SUBSETS, SUBSETS), lambda z: (z["a"] != 0) | (z["b"] != 0))
-        rows.append(F.struct(F.size(tier).alias("n"), F.size(F.filter(tier, lambda z: z["a"] == z["b"])).alias("e")))
-    tiers = F.array(*rows)
-    sparse = F.filter(tiers, lambda r: r["n"] <= 2 * SUBSETS // 3)
-    total = lambda rs, f: F.aggregate(rs, F.lit(0), lambda acc, r: acc + r[f])
-    ratio = lambda rs: total(rs, "e") / total(rs, "n")
-    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.when(total(sparse, "n") > 0, ratio(sparse)), F.when(total(tiers, "n") > 0, ratio(tiers)), F.lit(0.0)))
+    subset = lambda x: F.shiftright(x, 12)
+    tiers = [F.struct(F.size(F.array_union(F.transform(F.col(a)[t], subset), F.transform(F.col(b)[t], subset))).alias("n"), F.size(F.array_intersect(F.col(a)[t], F.col(b)[t])).alias("e")) for t in range(TIERS)]
+    total = lambda f, most: F.aggregate("_tiers", F.lit(0), lambda acc, r: acc + F.when(r["n"] <= most, r[f]).otherwise(0))
+    ratio = lambda most: F.when(total("n", most) > 0, total("e", most) / total("n", most))
+    return rows.withColumn("_tiers", F.array(*tiers)).withColumn(name, F.when(same, F.lit(1.0)).otherwise(F.coalesce(ratio(2 * SUBSETS // 3), ratio(SUBSETS), F.lit(0.0)))).drop("_tiers")
+
+
+def _numbered(rows: DataFrame, keys: list[str], texts: list[str], known: DataFrame, own: list[Column]) -> DataFrame:
+    """One row for each of the rows, by keys: own, and the numbers of each text's lexicon terms, n0, n1 and so on."""
+    if known.count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    each = rows.select(*keys, *own, F.posexplode(F.array(*[terms(F.col(t)) for t in texts])).alias("_which", "_terms"))
+    each = each.select(*[c for c in each.columns if c != "_terms"], F.explode_outer("_terms").alias("term"))
+    met = each.join(known.withColumn("_known", F.lit(True)), "term", "left").withColumn("_x", F.when(F.col("_known"), F.xxhash64("term", F.lit(7))))
+    kept = [c for c in each.columns if c not in ("term", "_which", *keys)]
+    numbers = [F.collect_list(F.when(F.col("_which") == k, F.col("_x"))).alias(f"n{k}") for k in range(len(texts))]
+    return met.groupBy(*keys).agg(*[F.first(c).alias(c) for c in kept], *numbers)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: tuple[float, float] = (1.6, 6.2)) -> DataFrame:
-    """-> id, text, slots, fingerprint: the general interface."""
-    bitmap = lexicon(docs, text_col, idf)
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return add_slots(texts, "text", "slots", bitmap).withColumn("fingerprint", as_string(F.col("slots"), F.col("text")))
+    """-> id, slots, fingerprint of each distinct (id, text): the general interface."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
+    own = _numbered(rows.withColumn("digest", F.sha2("text", 256)), ["id", "digest"], ["text"], lexicon(rows, "text", idf), [])
+    return with_slots(own, "n0", "slots").select(F.col("id").alias(id_col), "slots", as_string(F.col("slots"), F.col("digest")).alias("fingerprint"))
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast("array<bigint>")
 
 
 def _bucket(id_: Column, bounds: list[int], parts: int) -> Column:
     """A number that never falls as the id grows: the quantile range of the id, cut into parts of equal width."""
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds])
+    starts = _longs(bounds)
     k = F.size(F.filter(starts, lambda b: b <= id_)) - 1
     lo, hi = F.element_at(starts, k + 1).cast("double"), F.element_at(starts, F.least(k + 2, F.lit(len(bounds)))).cast("double")
     part = F.when(hi > lo, F.floor((id_.cast("double") - lo) / F.when(hi > lo, hi - lo) * parts)).otherwise(0)
     return k.cast("long") * parts + F.least(F.greatest(part.cast("long"), F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, bitmap: list[int]) -> DataFrame:
-    """-> id, text, slots, and next_text, next_slots of the next row by id (ties by text), after the last the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """-> bucket, k, id, text, after: the text of the next row by id (ties by text), after the last the first's.
 
     Rows are dealt into ranges of ids, between RANGES quantiles and finer where there are more rows; each range's first
-    row is also sent to the range before it, so that no task sees more than ranges and their successors.
+    row is also sent to the range before it (there without a text after), so that no task sees more than ranges and their
+    successors. Of rows with one key k goes by id and text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     stats = rows.agg(F.percentile_approx("id", [i / RANGES for i in range(RANGES)] + [1.0], 100_000).alias("q"), F.min("id").alias("lo"), F.count("*").alias("n")).first()
     bounds = sorted({stats["lo"] or 0, *(stats["q"] or [])})
     parts = max(1, min(MOST_PARTS, stats["n"] // (RANGES * BUCKET_ROWS)))
     rows = rows.withColumn("bucket", _bucket(F.col("id"), bounds, parts))
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())  # at most (RANGES + 2) * MOST_PARTS rows
-    back = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    sent = rows.drop("bucket").join(F.broadcast(docs.sparkSession.createDataFrame(back, "id long, bucket long")), "id")
-    both = rows.withColumn("tail", F.lit(0)).unionByName(sent.withColumn("tail", F.lit(1)))
-    both = add_slots(both.repartition("bucket"), "text", "slots", bitmap)
-    after = F.lead(F.struct("text", "slots")).over(Window.partitionBy("bucket").orderBy("tail", "id", "text"))
-    return both.withColumn("after", after).filter("tail = 0").select("id", "text", "slots", F.col("after.text").alias("next_text"), F.col("after.slots").alias("next_slots"))
+    # at most (RANGES + 2) * MOST_PARTS buckets; the one before each follows within its quantile range, or from the ranges' ends
+    firsts = materialize(rows.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("range", F.floor(F.col("bucket") / parts)))
+    ends = [r["last"] for r in firsts.groupBy("range").agg(F.max("bucket").alias("last")).orderBy("range").collect()]  # at most RANGES + 2
+    at = F.size(F.filter(_longs([e // parts for e in ends]), lambda r: r <= F.col("range")))
+    before = F.coalesce(F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket")), F.element_at(_longs(ends[-1:] + ends[:-1]), at))
+    back = firsts.select("id", before.alias("bucket"))
+    sent = rows.drop("bucket").join(F.broadcast(back), "id")
+    both = rows.withColumn("tail", F.lit(0)).unionByName(sent.withColumn("tail", F.lit(1))).repartition("bucket")
+    order = Window.partitionBy("bucket").orderBy("tail", "id", "text")
+    return both.select("bucket", F.row_number().over(order).alias("k"), "id", "text", F.when(F.col("tail") == 0, F.lead("text").over(order)).alias("after"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: tuple[float, float] = (1.6, 6.2)) -> DataFrame:
@@ -130,15 +156,19 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The edited text has its last half replaced by the beginning of the next document.
     """
-    bitmap = lexicon(docs.filter(F.col(id_col).isNotNull()), text_col, idf)
-    n, text, after = F.length("text"), F.col("text"), F.col("next_text")
+    known = lexicon(docs.filter(F.col(id_col).isNotNull()), text_col, idf)
+    n, text, after = F.length("text"), F.col("text"), F.col("after")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - half), F.substring(after, F.lit(1), half))
-    full = with_next(docs, id_col, text_col, bitmap).withColumn("edited", edited)
-    full = add_slots(full, "edited", "edited_slots", bitmap)
+    # a bucket's last row is another's first: it has no text after, and lends its numbers only
+    rows = with_next(docs, id_col, text_col).withColumn("edited", edited)
+    own = ["id", n.cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"), F.sha2("edited", 256).alias("edited_sha256"), (text == after).alias("as_next")]
+    full = _numbered(rows, ["bucket", "k"], ["text", "edited"], known, own)
+    full = with_slots(with_slots(full, "n0", "slots"), "n1", "edited_slots").drop("n0", "n1")
+    full = full.withColumn("next_slots", F.lead("slots").over(Window.partitionBy("bucket").orderBy("k"))).filter("edited_sha256 is not null")
+    full = with_likeness(full, "slots", "edited_slots", F.col("digest") == F.col("edited_sha256"), "near_edited")
+    full = with_likeness(full, "slots", "next_slots", F.col("as_next"), "near_next")
     return full.select(
-        F.col("id").alias(id_col), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        as_string(F.col("slots"), text).alias("fingerprint"), as_string(F.col("edited_slots"), F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("slots"), F.col("edited_slots"), text == F.col("edited")).alias("near_edited"),
-        likeness(F.col("slots"), F.col("next_slots"), text == after).alias("near_next"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", as_string(F.col("slots"), F.col("digest")).alias("fingerprint"),
+        as_string(F.col("edited_slots"), F.col("edited_sha256")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
