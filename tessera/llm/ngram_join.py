@@ -7,13 +7,16 @@ neighbourhoods. A probing set spends the levels its own size asks for: subsets w
 are skipped where the band leaves slack, or paid for by probing a neighbourhood (which counts for two). Candidates are
 verified by their exact sets.
 
-Nothing expands a group of copies: equal sets are one entry; a subset with many sets is tied to its smallest set first,
-and only sets that are still in different components after that, and that the triangle inequality for the Jaccard
-distance can't rule out, are paired (``cross``).
+Nothing expands a group of copies: equal sets are one entry; a subset with many sets is tied to its first set, and only
+sets that are still in different components after that, and that sizes and parity bitmaps don't rule out, are paired, in
+rounds: each set with its closest partners first, then, with what is left, more of them (``_cross``). The sets outside a
+subset's largest component meet all its sets in blocks, a task for each two blocks, so that no subset is one task's work.
 
 Cases: a null id leaves the row out; null, empty or wordless text has the empty set, which links with nothing; repeated
-rows and equal sets are linked; an empty table gives no rows; columns other than the id and the text are not read.
-Sets are compared by 64-bit shingle hashes, and two sets are the same if their 64-bit fingerprints and sizes are.
+rows and equal sets are linked, rows with the same id and different texts are documents of that id; very long texts are
+read whole; an empty table gives no rows; columns other than the id and the text are not read. Thresholds from just
+above 0 to below 1 lose nothing. Sets are compared by 64-bit shingle hashes, and two sets are the same if their 64-bit
+fingerprints and sizes are.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, bound_batches, chunks, deal, materialize, mix, partitions, runs, spread, text_bytes, unpack, word_hashes
+from .common import U64, batch, bound_batches, chunks, deal, join_keys, materialize, mix, partitions, runs, spans_of, spread, text_bytes, unpack, word_hashes
 from .components import connected_components
 
 BROADCAST_IDS = 1_000_000
 SMALL_GROUP = 8
-#: Rounds over the subsets with many sets: the closest partners of each set first, at last all that are left.
-CLOSEST = (2, None)
+#: Rounds over the subsets with many sets: so many of the closest partners of each set first, then so many times as many
+#: (None: all that are left).
+CLOSEST = (2, 8)
+#: Sets in a block of a subset: a sixteenth of the subset within these.
+BLOCK = (512, 8192)
 _STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
 
@@ -326,66 +332,101 @@ def _sieve(num: int, den: int):
     return run
 
 
+def _folded(blobs: list[bytes], words: int) -> np.ndarray:
+    m = _matrix(blobs)
+    while m.shape[1] > words:
+        m = _fold(m)
+    return m
+
+
+def _partners(num: int, den: int, q: tuple[np.ndarray, ...], m: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, member, gap) of the pairs of other components that sizes and bitmaps leave possible; q, m: comp, n, bits."""
+    most = Bands(num, den).most
+    width = [np.array([len(x) // 8 for x in side[2]], np.int64) for side in (q, m)]
+    for wq in np.unique(width[0]):
+        i = np.flatnonzero(width[0] == wq)
+        for wm in np.unique(width[1]):
+            j = np.flatnonzero(width[1] == wm)
+            if num * q[1][i].min() > den * m[1][j].max() or num * m[1][j].min() > den * q[1][i].max():
+                continue
+            words = int(min(wq, wm))
+            x, y = (_folded([side[2][k] for k in at], words) for side, at in ((q, i), (m, j)))
+            step = max(1, 4_000_000 // (len(j) * words))
+            for s in range(0, len(i), step):
+                some = i[s : s + step]
+                na, nb = q[1][some][:, None], m[1][j][None, :]
+                gap = np.zeros((len(some), len(j)), np.int64)
+                for w in range(words):
+                    gap += np.bitwise_count(x[s : s + step, w][:, None] ^ y[:, w][None, :])
+                ok = (gap <= most(na, nb)) & (num * na <= den * nb) & (num * nb <= den * na) & (q[0][some][:, None] != m[0][j][None, :])
+                a, b = np.nonzero(ok)
+                yield some[a], j[b], gap[a, b]
+
+
 def _cross(num: int, den: int, most_each: int | None):
-    """Pairs of sets of one subset that are in different components and that sizes and bitmaps don't rule out.
+    """Pairs (fingerprints) of the sets of two blocks of a subset, the asking ones (ask) with the others.
 
-    The largest component of a subset leaves it to the others to pair up. most_each keeps each set's closest partners;
-    a subset where that left some out is named in a row of its own.
+    most_each keeps each asking set's closest partners; a subset where that left some out is named in a row of its own.
     """
     schema = pa.schema([*_PAIRS, ("sig", pa.int64())])
-    most = Bands(num, den).most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not sum(b.num_rows for b in held):
             return
         t = pa.Table.from_batches(held)
-        key, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "fp", "comp", "n"))
-        bits = t.column("bits").to_pylist()
-        order = np.argsort(key, kind="stable")
-        key, fp, comp, n = (x[order] for x in (key, fp, comp, n))
-        width = np.array([len(bits[i]) // 8 for i in order])
-        starts, _ = runs(key)
-        out: list[np.ndarray] = []
+        sig, i, j, ask, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "i", "j", "ask", "fp", "comp", "n"))
+        bits = t.column("bits")
+        order = np.lexsort((ask, j, i, sig))
+        new = np.ones(len(order), bool)
+        new[1:] = (sig[order][1:] != sig[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         left: set[int] = set()
-        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            at = {}
-            for w in np.unique(np.append(width[s:e], width[s:e] // 2)):  # every member at its own width and at half of it
-                own, wide = s + np.flatnonzero(width[s:e] == w), s + np.flatnonzero(width[s:e] == 2 * w)
-                m = [_matrix([bits[i] for i in order[x]]) for x in (own, wide) if len(x)]
-                if len(wide):
-                    m[-1] = _fold(m[-1])
-                if m:
-                    at[w] = np.concatenate([own, wide]), np.concatenate(m)
-            names, sizes = np.unique(comp[s:e], return_counts=True)
-            for i in s + np.flatnonzero(comp[s:e] != names[sizes.argmax()]):
-                partners, gaps = [], []
-                for w in (width[i], width[i] // 2):
-                    if w not in at:
-                        continue
-                    who, m = at[w]
-                    ok = (num * n[who] <= den * n[i]) & (num * n[i] <= den * n[who]) & (comp[who] != comp[i])
-                    k = np.flatnonzero(ok if w == width[i] else ok & (width[who] == w))
-                    gap = np.bitwise_count(m[k] ^ m[who == i]).sum(1)
-                    fine = gap <= most(n[i], n[who[k]])
-                    partners.append(who[k[fine]])
-                    gaps.append(gap[fine])
-                j, gap = np.concatenate(partners), np.concatenate(gaps)
-                if most_each is not None and len(j) > most_each:
-                    j = j[np.argpartition(gap, most_each)[:most_each]]
-                    left.add(int(key[s]))
-                if len(j):
-                    out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
-            if len(out) > 10_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        if out:
-            p = np.unique(np.concatenate(out), axis=0)
-            yield batch(schema, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()))
+        for s, e in spans_of(np.flatnonzero(new), len(order)):
+            at = order[s:e]
+            who = [at[ask[at]], at[~ask[at]]]
+            if not len(who[0]) or not len(who[1]):
+                continue
+            sides = [(comp[w], n[w], bits.take(pa.array(w)).to_pylist()) for w in who]
+            found = [np.concatenate(x) for x in zip(*_partners(num, den, *sides), strict=True)] or [np.zeros(0, np.int64)] * 3
+            if not len(found[0]):
+                continue
+            q, m, gap = found
+            if most_each is not None:
+                o = np.lexsort((fp[who[1][m]], gap, q))
+                starts, group = runs(q[o])
+                near = np.arange(len(o)) - starts[group] < most_each
+                if not near.all():
+                    left.add(int(sig[at[0]]))
+                q, m = q[o[near]], m[o[near]]
+            x, y = fp[who[0][q]], fp[who[1][m]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        p = np.unique(np.concatenate(out), axis=0)
+        yield batch(schema, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()))
         yield batch(schema, pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int64()), list(left))
 
     return run
 
 
+def _blocks(many: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
+    """many (sig, fp) -> sig, i, j, ask, fp, comp, n, bits: what the tasks of two blocks each compare.
+
+    A subset whose sets are all in one component has no rows. Sets outside the largest component ask: in their block i
+    they go to every block j, and every set of block j to every block i.
+    """
+    placed = materialize(many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("component", "fp").alias("comp")))
+    sizes = placed.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    open_ = materialize(sizes.groupBy("sig").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1"))
+    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
+    blocks = open_.select("sig", "n", "main", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    rows = join_keys(placed, blocks, ["sig"], F.xxhash64("fp"), total).withColumn("own", F.pmod(F.xxhash64("fp", "sig"), F.col("blocks")).cast("int")).drop("n")
+    rows = materialize(rows.join(bits, "fp"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = rows.filter("comp <> main").select("sig", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("ask"), "fp", "comp", "n", "bits")
+    return asking.unionByName(rows.select("sig", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("ask"), "fp", "comp", "n", "bits")).repartition("sig", "i", "j")
+
+
 def _verifier(n: int, num: int, den: int):
     """Links among the pairs, by the exact sets of both texts."""
 
@@ -421,7 +462,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     blocks = texts.mapInArrow(_mapper(n, bands, n_parts), "part int, blob binary")
     found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(_reducer, "kind int, a long, b long, c long"))
     documents = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("fp"))
-    sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc")))
+    sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc"), F.count("*").alias("copies")))
     pairs = found.filter("kind = 1").select("a", "b").distinct()
     many = found.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
 
@@ -443,25 +484,28 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     side = lambda x: some.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
     tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_sieve(num, den), "a long, b long"))
-    links = verified(tested)
-    comps = connected_components(links)
-    for most_each in CLOSEST:
-        placed = many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
-        open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-        rest = placed.join(open_, "sig").join(some.select("fp", "n", "bits"), "fp").select("sig", "fp", "comp", "n", "bits")
-        cross = materialize(rest.repartition("sig").mapInArrow(_cross(num, den, most_each), "a long, b long, sig long"))
+    comps = connected_components(verified(tested))
+    most_each, bits = CLOSEST[0], some.select("fp", "n", "bits")
+    while True:
+        cross = materialize(_blocks(many, comps, bits).mapInArrow(_cross(num, den, most_each), "a long, b long, sig long"))
         fresh = materialize(cross.filter("sig is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         more = verified(fresh)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            comps = connected_components(links)
-        left = cross.filter("sig is not null").select("sig")
+            # what is known goes on as its stars
+            comps = connected_components(more.unionByName(comps.filter("node <> component").toDF("a", "b")))
+        left = cross.filter("sig is not null").select("sig").distinct()
         if not left.limit(1).count():
             break
         tested = tested.unionByName(fresh)
         many = many.join(left, "sig", "left_semi")
-
-    class_of = sets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
-    class_of = class_of.join(class_of.groupBy("class").agg(F.min("doc").alias("component_id")), "class")
-    out = documents.join(class_of.select("fp", "n", "component_id"), ["fp", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        most_each = None if CLOSEST[1] is None else most_each * CLOSEST[1]
+
+    class_of = materialize(sets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")))
+    least = materialize(class_of.groupBy("class").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")))
+    total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    named = join_keys(class_of.select("class", "fp", F.col("n").alias("size"), "copies"), least, ["class"], F.col("fp"), total)
+    named = materialize(named.select("fp", "size", "component_id", F.col("copies").alias("n")))
+    plain = documents.filter("n > 0").withColumnRenamed("n", "size")
+    out = join_keys(plain, named, ["fp", "size"], F.xxhash64("id"), total).select("id", "size", "component_id")
+    none = documents.filter("n = 0").select("id", F.col("n").alias("size"), F.col("id").alias("component_id"))
+    return out.unionByName(none).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

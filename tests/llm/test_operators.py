@@ -70,7 +70,7 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
+@pytest.mark.parametrize("n,num", [(4, 85), (5, 80), (3, 40)])
 def test_ngram_join(spark, n, num):
     rows = awkward(n)
     sets = {i: shingles(t, n) for i, t in rows}
@@ -83,8 +83,10 @@ def test_ngram_join(spark, n, num):
     assert ngram_join.ngram_jaccard_components(docs.limit(0), n=n, num=num).count() == 0
 
 
-def test_ngram_join_closest_rounds_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CLOSEST", (1, None))
+@pytest.mark.parametrize("closest", [(1, None), (1, 2)])
+def test_ngram_join_closest_rounds_lose_nothing(spark, monkeypatch, closest):
+    monkeypatch.setattr(ngram_join, "CLOSEST", closest)
+    monkeypatch.setattr(ngram_join, "BLOCK", (20, 20))
     rnd = random.Random(2)
     base = [f"w{k}" for k in range(40)]
     rows = []
