@@ -3,8 +3,9 @@
 Best fit looks at lengths only, so that one histogram of lengths (at most ``capacity`` of them) decides everything: the
 driver packs counts instead of documents, from the longest length down, each time into the tightest open bins, which a
 segment tree over the remaining capacities finds in logarithmic time. The outcome is what best-fit decreasing gives
-document by document. The plan says for each length which ranks go to which bins; executors rank their pieces within a
-length (dealt into 64 slots, so that no length has to be ranked in one task) and look the place up.
+document by document. The plan says for each length which ranks go to which bins. Every task counts its pieces of a length
+as it cuts them; where a task's ranks begin follows from the counts of the tasks before it, so that pieces are neither
+sorted nor dealt out by length, and a length that most pieces have is no one's work alone.
 
 Cases: a null id leaves the row out; null and empty texts are packed as the end id alone; repeated rows are packed as
 often as they come; an empty table gives no rows; other columns are not read. Very long texts are cut into full pieces.
@@ -19,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, chunks, materialize, prefix_hashes, span_hashes, spread, text_bytes, word_spans
+from .common import bound_batches, chunks, materialize, prefix_hashes, runs, span_hashes, spread, text_bytes, word_spans
 
-SLOTS = 64
+BROADCAST_COUNTS = 1_000_000
 
 
 _LETTER = np.zeros(256, bool)
@@ -239,6 +241,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             tokenizer = tokenizer or kept_tokenizer(path)
             data, off = text_bytes(b.column(1))
@@ -254,8 +257,14 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 at = base[row] + start
                 raw = memoryview(flat).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
-                cols = [pa.array(ids[i:j][row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
+                order = np.argsort(length, kind="stable")
+                first, group = runs(length[order])
+                k = np.empty(len(length), np.int64)
+                k[order] = np.arange(len(length)) - first[group]
+                k += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                cols = [pa.array(ids[i:j][row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(k), task, np.int32)), pa.array(k)]
+                names = ["id", "piece", "start", "length", "ids_crc32", "task", "k"]
                 if with_ids:
                     cols.append(pa.array([flat[a : a + m].tolist() for a, m in zip(at.tolist(), length.tolist(), strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
@@ -264,12 +273,12 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _placer(plan: Plan, before: np.ndarray):
+def _placer(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, slot, k = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "slot", "k"))
-            bins, offset = plan.place(length, before[length, slot] + k - 1)
-            keep = [i for i, c in enumerate(b.schema.names) if c not in ("slot", "k")]
+            length, before, k = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "before", "k"))
+            bins, offset = plan.place(length, before + k)
+            keep = [i for i, c in enumerate(b.schema.names) if c not in ("before", "k")]
             cols = [b.column(i) for i in keep] + [pa.array(bins), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(cols, names=[b.schema.names[i] for i in keep] + ["sequence_id", "offset"])
 
@@ -282,12 +291,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     more = ", ids array<int>" if with_ids else ""
     schema = f"id long, piece int, start long, length long, ids_crc32 long{more}"
-    pieces = materialize(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema).withColumn("slot", F.pmod(F.xxhash64("id", "piece"), F.lit(SLOTS)).cast("int")))
-    # at most capacity * SLOTS rows, whatever the table's size
-    table = np.zeros((capacity + 1, SLOTS), np.int64)
-    for r in pieces.groupBy("length", "slot").count().collect():
-        table[r["length"], r["slot"]] = r["count"]
-    totals = table.sum(axis=1)
-    plan = best_fit_decreasing({int(n): int(totals[n]) for n in np.flatnonzero(totals)}, capacity)
-    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("length", "slot").orderBy("id", "piece", "ids_crc32")))
-    return ranked.mapInArrow(_placer(plan, np.cumsum(table, axis=1) - table), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    numbered = f"id long, piece int, start long, length long, ids_crc32 long, task int, k long{more}"
+    pieces = materialize(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), numbered))
+    counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(counts.select("length", "task", "n", before.alias("before")))
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    starts = counts.select("length", "task", "before")
+    if counts.count() <= BROADCAST_COUNTS:
+        starts = F.broadcast(starts)
+    placed = pieces.join(starts, ["length", "task"]).select(*[f.strip().split(" ")[0] for f in schema.split(", ")], "before", "k")
+    return placed.mapInArrow(_placer(best_fit_decreasing(totals, capacity)), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
