@@ -12,7 +12,8 @@ them by alternate sums and joins with written tables of factors; both give the s
 
 Cases: null or unlisted values of a margin share its OTHER category, whose target is its observed share unless given;
 null and empty texts have no tokens and are kept at their cell's probability; a null id is a value like others; repeated
-rows are drawn together; an empty table gives no rows; other columns are kept.
+rows are drawn together; very long texts count whole; an empty table gives no rows; other columns are kept, but input
+columns n_tokens, probability and weight give way to those of the result.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ DRIVER_CELLS = 200_000
 
 
 def n_tokens(text: Column) -> Column:
-    """Pieces between spaces and line feeds."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    """Words between spaces and the characters 9 to 13."""
+    text = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "[ \t\n\x0B\f\r]+"))).cast("long")
 
 
 @dataclass

@@ -124,6 +124,56 @@ def test_language_id_cases(spark):
     assert language_id.languages(docs.limit(0)).count() == 0
 
 
+def test_language_id_by_definition(spark):
+    """Scores of the model against plain counts of words and n-grams."""
+    rnd = random.Random(11)
+    stems = {"en": ["the", "cat", "sat", "thing", "over"], "de": ["der", "hund", "über", "ding", "katze"], "fr": ["le", "chat", "été", "chose", "sur"]}
+    text = lambda lang, n: " ".join(rnd.choice(stems[lang]) + rnd.choice(["", "", "s", "en", "é", "q1z"]) for _ in range(n))
+    langs = [rnd.choice(list(stems)) for _ in range(120)]
+    rows = [(i, text(lang, rnd.randint(1, 30))) for i, lang in enumerate(langs)]
+    rows.append((200, text("en", 60_000)))
+    docs = make(spark, [*rows, rows[0], rows[0]], [*langs, "en", langs[0], langs[0]]).withColumn("score", F.lit("mine"))
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = defaultdict(Counter)
+    for (_, t), lang in zip([*rows, rows[0], rows[0]], [*langs, "en", langs[0], langs[0]], strict=True):
+        for w in words(t):
+            counts[0][lang, w] += 1
+            for n in range(1, 6):
+                m = f"<{w}>" if n > 1 else w
+                for k in range(len(m) - n + 1):
+                    counts[n][lang, m[k : k + n]] += 1
+    names = sorted(stems)
+    known = {n: {e for _, e in c} for n, c in counts.items()}
+    sums = {n: {lang: sum(v for (x, _), v in c.items() if x == lang) for lang in names} for n, c in counts.items()}
+    log = lambda n, lang, e: np.log((counts[n][lang, e] + 0.5) / (sums[n][lang] + 0.5 * len(known[n])))
+
+    def score(t):
+        vectors = []
+        for w in words(t):
+            if w in known[0]:
+                vectors.append([log(0, lang, w) for lang in names])
+                continue
+            for n in (5, 4, 3, 2, 1):
+                m = f"<{w}>" if n > 1 else w
+                hits = [m[k : k + n] for k in range(len(m) - n + 1) if m[k : k + n] in known[n]]
+                if hits:
+                    vectors.append([np.mean([log(n, lang, g) for g in hits]) for lang in names])
+                    break
+        if not words(t):
+            return "und", 0.0
+        total = np.sum(vectors, axis=0) if vectors else np.zeros(len(names))
+        mean = total / max(len(vectors), 1)
+        return names[int(np.argmax(np.round(total, 9)))], 1 / np.exp(mean - mean.max()).sum()
+
+    model = language_id.train(docs, sample_rows=10_000)
+    new = [(300 + k, t) for k, t in enumerate(["hundcat überding", "xyz the", "ж", "", None, "chatsur katzen's 12", "q " * 500])]
+    for r in language_id.predict_languages(make(spark, [*rows, *new]), model).collect():
+        want = score(r["text"])
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-9)
+    out = language_id.languages(docs).collect()
+    assert len(out) == len(rows) + 2 and all(isinstance(r["score"], float) for r in out)
+
+
 def test_language_id_backs_off(spark):
     docs = make(spark, [(1, "abcde"), (2, "vwxyz")], ["en", "de"])
     model = language_id.train(docs)
@@ -341,6 +391,51 @@ def test_mix_documents_same_on_driver_and_cluster(spark, monkeypatch):
     assert any(w > 1 for _, w in here.values()) or any(p < 1 for p, _ in here.values())
 
 
+def test_mix_documents_by_definition(spark):
+    """Cells raked to the roots of the margins' tokens by plain loops, the rate by bisection, the draw by the hash of the id."""
+    rnd = random.Random(7)
+    rows = [(k, rnd.choice([" ", "\n", "\t "]).join(["wörd"] * int(rnd.choice([3, 300, 1500]) * rnd.random())), rnd.choice(["en", "en", "de", None]), rnd.choice(["hot", "hot", "a", "b", None]), None, 0, "x", 0) for k in range(400)]
+    rows += [(1000, None, "en", "hot", None, 0, "x", 0), (1001, "  ", "en", "a", None, 0, "x", 0), (1002, "x " * 100_000, "fr", "long", None, 0, "x", 0), rows[0], rows[0]]
+    topic = lambda n: "note" if n < 500 else "short" if n < 2000 else "article" if n < 8000 else "long"
+    cell_of = lambda r: (r[3], r[2], topic(len(r[1] or "")))
+    tokens = lambda r: len((r[1] or "").split())
+    cells = Counter()
+    for r in rows:
+        cells[cell_of(r)] += tokens(r)
+    cells = {c: n for c, n in cells.items() if n}
+    total = sum(cells.values())
+    goals = []
+    for axis in range(3):
+        own = Counter()
+        for c, n in cells.items():
+            own[c[axis]] += n
+        rest = own[None] / total
+        roots = sum(n**0.5 for v, n in own.items() if v is not None)
+        goals.append({v: rest if v is None else n**0.5 / roots * (1 - rest) for v, n in own.items()})
+    share = {c: n / total for c, n in cells.items()}
+    for _ in range(3000):
+        for axis, goal in enumerate(goals):
+            own = Counter()
+            for c, x in share.items():
+                own[c[axis]] += x
+            share = {c: x * goal[c[axis]] / own[c[axis]] for c, x in share.items()}
+    lo, hi = 0.0, 1e12
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(n, mid * share[c]) for c, n in cells.items()) < 0.5 * total else (lo, mid)
+    want = Counter()
+    for r in rows:
+        c = cell_of(r)
+        raw = hi * share[c] / cells[c] if c in cells else 0.5
+        u = xxhash_chain(r[0], 0, small=(1,)) % (1 << 53) / (1 << 53)
+        assert abs(u - min(1, raw)) > 1e-5
+        if u < raw:
+            want[r[0], tokens(r), round(min(1, raw), 5), round(max(1, raw) if c in cells else 1, 5)] += 1
+    docs = spark.createDataFrame(rows, DOCS).withColumn("weight", F.lit("x"))
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["probability"], 5), round(r["weight"], 5)) for r in mixing.mix_documents(docs).collect())
+    assert got == want
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 
@@ -577,7 +672,7 @@ def brute_slots(texts, idf):
     df = Counter(w for ws in words for w in ws)
     n = len(texts)
     band = {w for w, c in df.items() if n * np.exp(-idf[1]) <= c <= n * np.exp(-idf[0])}
-    number = {w: xxhash_chain(xxhash(w.encode()), 7) for w in band}
+    number = {w: xxhash_chain(xxhash(w.encode()), 7, small=(1,)) for w in band}
     out = {}
 
     def slots(text):
@@ -600,14 +695,13 @@ def brute_slots(texts, idf):
     return slots
 
 
-def xxhash_chain(*values):
-    """The hash of several numbers: each one's with the hash so far as the seed. Numbers of 4 bytes are hashed as such."""
+def xxhash_chain(*values, small=()):
+    """The hash of several numbers: each one's with the hash so far as the seed; small: the places of those of 4 bytes."""
     import xxhash as x
 
     seed = 42
     for k, v in enumerate(values):
-        small = k == 1 and v == 7
-        seed = x.xxh64_intdigest(int(v).to_bytes(4 if small else 8, "little", signed=True), seed=seed)
+        seed = x.xxh64_intdigest(int(v).to_bytes(4 if k in small else 8, "little", signed=True), seed=seed)
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
