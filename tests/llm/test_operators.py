@@ -774,6 +774,27 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_exact_and_blocks(spark, monkeypatch):
+    """All pairs by one-bit substrings, in blocks; doubles that floats can't tell apart; repeated ids; a hot vector."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 8))
+    v = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.3, base[:30] * (1 + 1e-12), np.repeat(base[:1], 250, axis=0)])
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<double>")
+    for args in ({"exact": True}, {"width": 6}):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(rows, **args).collect()}
+        found = np.array([got[i]["n_links"] for i in range(len(v))])
+        assert (found == links.sum(axis=1)).all() if "exact" in args else ((found <= links.sum(axis=1)).all() and found.sum() >= 0.98 * links.sum())
+        if "exact" in args:
+            want = groups(range(len(v)), zip(*np.nonzero(links), strict=True))
+            assert {i: r["component_id"] for i, r in got.items()} == want
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in embedding_dedup.near_vectors(two, exact=True).collect()} == {(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)}
+
+
 @pytest.mark.parametrize("width,mean", [(12, 0.6), (16, 0.6), (16, 0.75)])
 def test_near_vectors_off_centre_at_any_width(spark, width, mean):
     rng = np.random.default_rng(width)
