@@ -99,11 +99,14 @@ def _numbered(rows: DataFrame, keys: list[str], texts: list[str], known: DataFra
     if known.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
     each = rows.select(*keys, *own, F.posexplode(F.array(*[terms(F.col(t)) for t in texts])).alias("_which", "_terms"))
-    each = each.select(*[c for c in each.columns if c != "_terms"], F.explode_outer("_terms").alias("term"))
+    kept = [c for c in each.columns if c not in ("_which", "_terms", *keys)]
+    each = each.select(*[c for c in each.columns if c != "_terms"], F.posexplode_outer("_terms").alias("_at", "term"))
     met = each.join(known.withColumn("_known", F.lit(True)), "term", "left").withColumn("_x", F.when(F.col("_known"), F.xxhash64("term", F.lit(7))))
-    kept = [c for c in each.columns if c not in ("term", "_which", *keys)]
+    # one row of each takes along what is its own; the others stay if their term is known
+    lead = (F.col("_which") == 0) & (F.coalesce("_at", F.lit(0)) == 0)
+    slim = met.filter(lead | F.col("_x").isNotNull()).select(*keys, "_which", "_x", *[F.when(lead, F.col(c)).alias(c) for c in kept])
     numbers = [F.collect_list(F.when(F.col("_which") == k, F.col("_x"))).alias(f"n{k}") for k in range(len(texts))]
-    return met.groupBy(*keys).agg(*[F.first(c).alias(c) for c in kept], *numbers)
+    return slim.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept], *numbers)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: tuple[float, float] = (1.6, 6.2)) -> DataFrame:
