@@ -52,7 +52,8 @@ def shift(point: Column, towards: Column, factor: float) -> Column:
 def softmax(a: Column) -> Column:
     high = F.array_max(_double(a))
     e = F.transform(a, lambda x: F.exp(x.cast("double") - high))
-    return F.transform(e, lambda x: x / _sum(e))
+    # the sum is bound once, as the only element of an array
+    return F.element_at(F.transform(F.array(_sum(e)), lambda total: F.transform(e, lambda x: x / total)), 1)
 
 
 def kl_divergence(good: Column, other: Column) -> Column:
@@ -81,6 +82,38 @@ def nan_lowest_desc(x: Column) -> list[Column]:
     return [F.coalesce(F.isnan(x), F.lit(True)).asc(), x.desc()]
 
 
+def nan_highest(x: Column) -> list[Column]:
+    """Sort keys: ascending, NaN (and null) last, as the highest."""
+    return [(F.isnan(x) | x.isNull()).asc(), x.asc()]
+
+
+def finite(x: Column, what: str = "relevance") -> Column:
+    """The number, which must be finite; anything else is an error."""
+    x = x.cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x).otherwise(F.raise_error(F.lit(f"{what} is not finite")).cast("double"))
+
+
+def whole_days(seconds: Column) -> Column:
+    """A duration as it is stored: its whole days, the rest is cut off."""
+    return F.floor(seconds / SECONDS_PER_DAY).cast("long")
+
+
+def seconds_of_days(days: Column) -> Column:
+    return days.cast("long") * int(SECONDS_PER_DAY)
+
+
+def approx_equal(a: Column, b: Column, epsilon: float = 0.0, ulps: int = 2) -> Column:
+    """Vectors of single precision that agree: each entry within epsilon or so many roundings, or both NaN."""
+
+    def one(x: Column, y: Column) -> Column:
+        gap, size = F.abs(x.cast("double") - y.cast("double")), F.greatest(F.abs(x.cast("double")), F.abs(y.cast("double")))
+        # the distance of neighbours in single precision: 2 ** (exponent - 23), from 2 ** -149 on
+        ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-300)))) - 23, F.lit(-149)).cast("double"))
+        return (F.isnan(x) & F.isnan(y)) | F.coalesce(x == y, F.lit(False)) | F.coalesce((gap <= epsilon) | (gap <= ulps * ulp), F.lit(False))
+
+    return (F.size(a) == F.size(b)) & F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: one(z["x"], z["y"]))
+
+
 def clean_key_phrase(text: Column) -> Column:
     """Symbols and punctuation become a space, runs of separators one space; trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{S}\p{P}]+\p{Z}*", " "), r"\p{Z}+", " "))

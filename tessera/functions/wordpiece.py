@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 CONTRACTIONS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
 _CHUNK = re.compile("[^ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+")
+COLUMNS = ("ids", "type_ids", "tokens", "word_indices", "offsets", "special_tokens_mask", "attention_mask")
 PART = {"ids": "array<int>", "type_ids": "array<int>", "tokens": "array<string>", "word_indices": "array<int>", "offsets": "array<struct<start:int,end:int>>", "special_tokens_mask": "array<int>", "attention_mask": "array<int>"}
 ENCODING = f"{', '.join(f'{k} {t}' for k, t in PART.items())}, overflowing array<struct<{','.join(f'{k}:{t}' for k, t in PART.items())}>>"
 
@@ -40,13 +41,36 @@ class Encoding:
     special_tokens_mask: list[int] = field(default_factory=list)
     attention_mask: list[int] = field(default_factory=list)
     overflowing: list[Encoding] = field(default_factory=list)
+    #: Where each of several joined sequences lies; one alone has none.
+    ranges: list[tuple[int, int]] = field(default_factory=list)
 
     def add(self, id_: int, token: str, word: int | None, at: tuple[int, int], special: int = 0, attention: int = 1) -> None:
         for column, value in ((self.ids, id_), (self.type_ids, 0), (self.tokens, token), (self.word_indices, word), (self.offsets, at), (self.special_tokens_mask, special), (self.attention_mask, attention)):
             column.append(value)
 
+    def joined(self, other: Encoding, growing_offsets: bool = False) -> Encoding:
+        """Both, one behind the other: columns chained, the sequences' ranges moved, and every part with every part of the other.
+
+        growing_offsets: the other's offsets go on from where the last one ends.
+        """
+        more = (self.offsets[-1][1] if self.offsets else 0) if growing_offsets else 0
+        out = Encoding(*(getattr(self, c) + ([(s + more, e + more) for s, e in other.offsets] if c == "offsets" else getattr(other, c)) for c in COLUMNS))
+        own = self.ranges or [(0, len(self.ids))]
+        out.ranges = own + [(s + len(self.ids), e + len(self.ids)) for s, e in other.ranges or [(0, len(other.ids))]]
+        late = [(a, b) for a in self.overflowing for b in (other, *other.overflowing)] + [(self, b) for b in other.overflowing]
+        out.overflowing = [a.joined(b, growing_offsets) for a, b in late] or self.overflowing
+        return out
+
+    @classmethod
+    def merge(cls, encodings: Iterable[Encoding], growing_offsets: bool = False) -> Encoding:
+        """Several, one behind the other, from an empty one on."""
+        out = cls()
+        for e in encodings:
+            out = out.joined(e, growing_offsets)
+        return out
+
     def slice(self, i: int, j: int) -> Encoding:
-        return Encoding(*(getattr(self, c)[i:j] for c in ("ids", "type_ids", "tokens", "word_indices", "offsets", "special_tokens_mask", "attention_mask")))
+        return Encoding(*(getattr(self, c)[i:j] for c in COLUMNS))
 
 
 @dataclass
@@ -253,9 +277,86 @@ def decode_words(text: str, encoding: Encoding) -> list[str]:
     return [raw[s:e].decode() for _, (s, e) in sorted(spans.items())]
 
 
+def spoken_words(text: str, encoding: Encoding) -> list[str]:
+    """The lower-cased words as white space parts them, punctuation included; one for each token that begins a word.
+
+    The last word may go on in the parts that were cut off: it is taken whole.
+    """
+    raw = text.encode()
+    spans: list[list[int]] = []
+    for at, part in enumerate((encoding, *encoding.overflowing)):
+        for s, e in part.offsets:
+            if s == e:
+                continue  # a special token
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], e)
+            elif at == 0:
+                spans.append([s, e])
+            else:
+                return [raw[i:j].decode().lower() for i, j in spans]
+    return [raw[i:j].decode().lower() for i, j in spans]
+
+
+# --- patterns and ranges ------------------------------------------------------------------------
+
+
+def find_matches(pattern: str | re.Pattern | Callable[[str], bool], text: str) -> list[tuple[tuple[int, int], bool]]:
+    """The text from end to end as byte ranges, each with whether it is a match.
+
+    A pattern is a text, a compiled expression or a predicate on characters, of which each match is one character.
+    """
+    if not text or pattern == "":
+        return [((0, len(text.encode())), False)]
+    if callable(pattern):
+        found = [(i, i + 1) for i, c in enumerate(text) if pattern(c)]
+    else:
+        found = [m.span() for m in re.finditer(re.escape(pattern) if isinstance(pattern, str) else pattern, text)]
+    edges = sorted({0, len(text), *(x for span in found for x in span)})
+    matched = {i for i, _ in found}
+    at = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in text)])
+    return [((int(at[i]), int(at[j])), i in matched) for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def to_original(aligned: list[tuple[str, int, int]], start: int, end: int) -> tuple[int, int] | None:
+    """Bytes of the original text for bytes [start, end) of the normalised one; None if they aren't in it or in reverse.
+
+    aligned: characters with the original bytes each stands for, as ``WordPiece.normalise`` gives them.
+    """
+    each = [(s, e) for c, s, e in aligned for _ in c.encode("utf-8", "surrogatepass")]
+    if start == end:
+        return (start, end)
+    if start > end or end > len(each):
+        return None
+    return each[start][0], each[end - 1][1]
+
+
+def to_normalised(aligned: list[tuple[str, int, int]], start: int, end: int) -> tuple[int, int] | None:
+    """Bytes of the normalised text for bytes [start, end) of the original one: what begins and ends within them.
+
+    Where nothing begins there, the place where it would end, and the other way round; None where neither is.
+    """
+    if start == end:
+        return (start, end)
+    if start > end:
+        return None
+    each = np.array([(s, e) for c, s, e in aligned for _ in c.encode("utf-8", "surrogatepass")], np.int64).reshape(-1, 2)
+    within = int(np.argmax(each[:, 1] > end)) if (each[:, 1] > end).any() else len(each)
+    head = each[:within]
+    begins = np.flatnonzero((head[:, 0] >= start) & (head[:, 0] != head[:, 1]))
+    first, last = (int(begins[0]) if len(begins) else None), (within or None)
+    if first is None and last is None:
+        return None
+    return (last if first is None else first, first if last is None else last)
+
+
 # --- poolers and encoders -----------------------------------------------------------------------
 
 
+def pool_none(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """All tokens, as they are."""
+    return tokens
+
+
 def pool_first(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return tokens[0]
 
@@ -319,19 +420,45 @@ class OnnxEncoder:
     tokenizer: WordPiece
     size: int = 128
     pooler: Callable[[np.ndarray, np.ndarray], np.ndarray] = pool_average
+    batch: int = 32
 
-    def encode(self, texts: list[str]) -> np.ndarray:
-        import onnxruntime
-
+    def tokens(self, texts: list[str]) -> list[tuple[Encoding, np.ndarray]]:
+        """Each text's encoding and the embeddings of its tokens; ``batch`` texts, filled up to the longest, in a call."""
         if not hasattr(self, "_session"):
+            import onnxruntime
+
             self._session = onnxruntime.InferenceSession(self.model_path)
-        names = [i.name for i in self._session.get_inputs()]
+        names, out = [i.name for i in self._session.get_inputs()], []
+        for i in range(0, len(texts), self.batch):
+            some = [self.tokenizer.encode(t) for t in texts[i : i + self.batch]]
+            full = np.zeros((3, len(some), max(len(e.ids) for e in some)), np.int64)
+            full[0] = self.tokenizer.vocab.get(self.tokenizer.pad, 0)
+            for k, e in enumerate(some):
+                full[:, k, : len(e.ids)] = e.ids, e.attention_mask, e.type_ids
+            found = self._session.run(None, dict(zip(names, full, strict=False)))[0]
+            out += [(e, found[k, : len(e.ids)]) for k, e in enumerate(some)]
+        return out
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        pooled = [self.pooler(x, np.array(e.attention_mask)) for e, x in self.tokens(texts)]
+        return np.array(pooled).reshape(-1, self.size)
+
+
+@dataclass
+class ContextEncoder:
+    """A stand-in for a model that embeds tokens in their context: seeded vectors of the ids, mixed with their neighbours'."""
+
+    tokenizer: WordPiece
+    size: int = 128
+    seed: int = 0
+
+    def tokens(self, texts: list[str]) -> list[tuple[Encoding, np.ndarray]]:
         out = []
-        for e in map(self.tokenizer.encode, texts):
-            mask = np.array(e.attention_mask)
-            feed = dict(zip(names, (np.array([x], np.int64) for x in (e.ids, e.attention_mask, e.type_ids)), strict=False))
-            out.append(self.pooler(self._session.run(None, feed)[0][0], mask))
-        return np.array(out).reshape(-1, self.size)
+        for t in texts:
+            e = self.tokenizer.encode(t)
+            x = np.stack([np.random.default_rng([self.seed, i]).standard_normal(self.size) for i in e.ids])
+            out.append((e, (np.roll(x, 1, axis=0) + 2 * x + np.roll(x, -1, axis=0)) / 4))
+        return out
 
 
 def encode_column(encoder: Encoder, text: Column) -> Column:

@@ -6,6 +6,7 @@ Learning is order-dependent, one fold per user: a grouped map over each user's e
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from dataclasses import dataclass, field
 
@@ -191,23 +192,34 @@ def feedback_events(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_closest(cois: list[Coi]) -> list[Coi]:
-    """Merge the closest pair below MERGE_DISTANCE (ties by ids) until none is left; a merged one has the smaller id."""
-    cois = list(cois)
-    dist = lambda a, b: float(np.linalg.norm(a.point - b.point))
-    pairs = [(dist(a, b), a.id, b.id, a, b) if a.id < b.id else (dist(a, b), b.id, a.id, b, a) for i, a in enumerate(cois) for b in cois[:i] if a.id != b.id]
-    pairs = [p for p in pairs if p[0] < MERGE_DISTANCE]
-    while pairs:
-        _, _, _, a, b = min(pairs, key=lambda p: p[:3])
-        gone = {a.id, b.id}
-        cois = [c for c in cois if c.id not in gone]
-        pairs = [p for p in pairs if not gone & {p[1], p[2]}]
-        views = [t for t in (a.last_view, b.last_view) if t is not None]
-        m = Coi(a.id, (a.point + b.point) / 2, a.count + b.count, a.time + b.time, max(views) if views else None)
-        for c in cois:
-            if (d := dist(m, c)) < MERGE_DISTANCE:
-                pairs.append((d, m.id, c.id, m, c) if m.id < c.id else (d, c.id, m.id, c, m))
-        cois.append(m)
-    return cois
+    """Merge the closest pair below MERGE_DISTANCE (ties by ids) until none is left; a merged one has the smaller id.
+
+    Pairs wait in a heap under the numbers of their interests; a merged interest gets a new number, so that pairs of what
+    is gone are known when they come up.
+    """
+    there = dict(enumerate(cois))
+    waiting: list[tuple[float, str, str, int, int]] = []
+
+    def meet(k: int, others: list[int]) -> None:
+        if others:
+            gaps = np.linalg.norm(np.stack([there[i].point for i in others]) - there[k].point, axis=1)
+            for at in np.flatnonzero(gaps < MERGE_DISTANCE):
+                low, high = sorted((there[k], there[others[at]]), key=lambda c: c.id)
+                if low.id != high.id:
+                    heapq.heappush(waiting, (float(gaps[at]), low.id, high.id, k, others[at]))
+
+    for k in list(there):
+        meet(k, list(range(k)))
+    fresh = len(cois)
+    while waiting:
+        _, low, _, i, j = heapq.heappop(waiting)
+        if i in there and j in there:
+            pair = there.pop(i), there.pop(j)
+            seen = [c.last_view for c in pair if c.last_view is not None]
+            there[fresh] = Coi(low, (pair[0].point + pair[1].point) / 2, sum(c.count for c in pair), sum(c.time for c in pair), max(seen, default=None))
+            meet(fresh, [k for k in there if k != fresh])
+            fresh += 1
+    return list(there.values())
 
 
 def merge(interests: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.layers import PhraseScorer
-from ..functions.wordpiece import Encoder
+from ..functions.wordpiece import ContextEncoder, Encoder, Encoding, OnnxEncoder, spoken_words, word_starts
 
+# Words of a phrase, tokens of a text, at most.
 MAX_WORDS = 5
+MAX_TOKENS = 512
 
 
 def ngrams(words: Column, longest: int = MAX_WORDS) -> Column:
@@ -124,28 +126,51 @@ def select_for_interests(phrases: DataFrame, interests: DataFrame, most: int = 3
     return rows.groupBy("user_id", "coi_id").applyInPandas(of_coi, "user_id long, coi_id string, words string, relevance double")
 
 
-def extract(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder, scorer: PhraseScorer, max_count: int | None = None, min_score: float | None = None) -> DataFrame:
+def phrase_masks(encoding: Encoding, text: str, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of an encoded text: the mask of tokens that begin a word, its distinct phrases, and which run is a mention of which.
+
+    Runs go by length and position; phrases in the order of their first run.
+    """
+    words = spoken_words(text, encoding)
+    runs = [" ".join(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1)]
+    phrases = list(dict.fromkeys(runs))
+    place = {p: k for k, p in enumerate(phrases)}
+    active = np.zeros((len(phrases), len(runs)), bool)
+    active[[place[r] for r in runs], np.arange(len(runs))] = True
+    return np.array(word_starts(encoding.offsets), bool), phrases, active
+
+
+def extract(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder | OnnxEncoder | ContextEncoder, scorer: PhraseScorer, max_count: int | None = None, min_score: float | None = None) -> DataFrame:
     """-> id, position, phrase, score of each document's best phrases; documents of too few words have none.
 
-    Words are encoded, all runs of one to five scored in Arrow batches; ranking is a window.
+    An encoder of tokens reads the text as one, its tokens in their context, and the tokens that begin a word go on; one
+    that only encodes texts gets the words one by one. All runs of one to five are scored in Arrow batches, a phrase by its
+    best mention; ranking is a window.
     """
     if max_count is not None and max_count < 1:
         raise ValueError("max_count must be positive")
     if min_score is not None and not np.isfinite(min_score):
         raise ValueError("min_score must be finite")
+    in_context = hasattr(encoder, "tokens")
+    if in_context and not 2 <= (encoder.tokenizer.max_length or MAX_TOKENS) <= MAX_TOKENS:
+        raise ValueError(f"texts need a length of 2 to {MAX_TOKENS} tokens")
+
+    def scored(text: str) -> list[tuple[str, float]]:
+        if in_context:
+            encoding, tokens = encoder.tokens([text])[0]
+            valid, phrases, active = phrase_masks(encoding, text, scorer.lengths)
+            words = tokens[valid]
+        else:
+            own = text.split()
+            runs = [" ".join(own[i : i + n]) for n in scorer.lengths for i in range(len(own) - n + 1)]
+            phrases, active, words = runs, np.eye(len(runs), dtype=bool), encoder.encode(own) if own else np.zeros((0, 1))
+        if len(words) < max(scorer.lengths):
+            return []
+        return list(zip(phrases, np.where(active, scorer.scores(words)[None, :], -np.inf).max(axis=1).tolist(), strict=True))
 
     @F.pandas_udf("array<struct<phrase:string,score:double>>")
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            words = (text or "").split()
-            if len(words) < max(scorer.lengths):
-                out.append([])
-                continue
-            scores = scorer.scores(encoder.encode(words))
-            phrases = [" ".join(words[i : i + n]) for n in scorer.lengths for i in range(len(words) - n + 1)]
-            out.append([{"phrase": p, "score": float(s)} for p, s in zip(phrases, scores, strict=True)])
-        return pd.Series(out, dtype=object)
+        return pd.Series([[{"phrase": p, "score": s} for p, s in scored(t or "")] for t in texts], dtype=object)
 
     mentions = docs.select(F.col(id_col), F.explode(run(F.col(text_col))).alias("m")).select(id_col, "m.phrase", "m.score")
     return rank_phrases(mentions, id_col, max_count, min_score)

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.scratch import materialize
 
 # Sizes of the network and of its groups.
 N_FEATURES, N_DOCUMENTS, CHUNK = 50, 10, 5
@@ -207,21 +208,89 @@ def evaluate(net: ListNet, samples: DataFrame) -> float:
     return cost / n if n else float("nan")
 
 
-def train(samples: DataFrame, epochs: int = 1, batch_size: int = 32, rate: float = 0.1, seed: int = 0, net: ListNet | None = None, evaluation: DataFrame | None = None) -> tuple[ListNet, list[float]]:
+@dataclass
+class MiniBatchSgd:
+    """Steps against the mean gradient of a batch."""
+
+    rate: float = 0.1
+
+    def apply(self, net: ListNet, gradients: np.ndarray) -> ListNet:
+        return net.step(ListNet.of_flat(gradients).params, self.rate)
+
+
+@dataclass
+class SampleSource:
+    """Batches of samples, dealt anew for each epoch by a hash of their ids; an incomplete last batch is dropped.
+
+    The order of an epoch is made by a sort over all partitions, whose rows are counted, not gathered; it is written, so
+    that a batch is a filter over a table and not the plan of the whole order.
+    """
+
+    samples: DataFrame
+    size: int = 32
+    seed: int = 0
+
+    def batches(self, epoch: int) -> Iterator[DataFrame]:
+        n = self.samples.count()
+        size = self.size or n
+        if not n or n < size:
+            return
+        if n // size == 1:
+            yield self.samples
+            return
+        u = F.xxhash64("sample_id", F.lit(self.seed), F.lit(epoch))
+        sorted_ = self.samples.withColumn("_u", u).repartitionByRange("_u", "sample_id").sortWithinPartitions("_u", "sample_id").withColumn("_k", F.monotonically_increasing_id())
+        sorted_ = materialize(sorted_.withColumn("_part", F.shiftright("_k", 33)))
+        before, starts = 0, []
+        for r in sorted_.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
+            starts.append((r["_part"], before))
+            before += r["count"]
+        placed = sorted_.join(F.broadcast(self.samples.sparkSession.createDataFrame(starts, "_part long, _before long")), "_part")
+        dealt = materialize(placed.withColumn("_b", F.floor((F.col("_before") + F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))) / size)).drop("_u", "_k", "_part", "_before"))
+        for b in range(n // size):
+            yield dealt.filter(F.col("_b") == b).drop("_b")
+
+
+@dataclass
+class Controller:
+    """What is done around training: tell costs, dump networks every so many batches, stop early."""
+
+    dump: Callable[[str, ListNet], None] | None = None
+    every: int = 1
+    tell: Callable[[str], None] | None = None
+
+    def start(self, net: ListNet) -> None:
+        if self.dump:
+            self.dump("initial", net)
+
+    def batch_done(self, epoch: int, batch: int, net: ListNet, mean_cost: float) -> None:
+        if self.tell:
+            self.tell(f"epoch {epoch} batch {batch}: mean cost {mean_cost:.6g}")
+        if self.dump and (batch + 1) % self.every == 0:
+            self.dump(f"{epoch}-{batch}", net)
+
+    def epoch_done(self, epoch: int, net: ListNet, evaluation: float | None) -> bool:
+        """Whether to go on."""
+        if self.tell and evaluation is not None:
+            self.tell(f"epoch {epoch}: evaluation cost {evaluation:.6g}")
+        return True
+
+
+def train(samples: DataFrame, epochs: int = 1, batch_size: int = 32, rate: float = 0.1, seed: int = 0, net: ListNet | None = None, evaluation: DataFrame | None = None, controller: Controller | None = None, optimizer: MiniBatchSgd | None = None) -> tuple[ListNet, list[float]]:
     """Mini-batch descent; each epoch deals the samples anew, an incomplete last batch is dropped, 0 takes all at once."""
-    net = net or ListNet.random(seed)
-    n, costs = samples.count(), []
-    size = batch_size or n
+    net, controller, optimizer = net or ListNet.random(seed), controller or Controller(), optimizer or MiniBatchSgd(rate)
+    source, costs = SampleSource(samples, batch_size, seed), []
+    controller.start(net)
     for epoch in range(epochs):
-        batches = max(n // size, 0) if size else 0
-        place = F.row_number().over(Window.orderBy(F.xxhash64("sample_id", F.lit(seed), F.lit(epoch)), "sample_id")) - 1 if batches > 1 else F.lit(0)
-        dealt = samples.withColumn("_b", F.floor(place / size)) if batches > 1 else samples.withColumn("_b", F.lit(0))
-        for b in range(batches):
-            g, _, k = _sums(net, dealt.filter(F.col("_b") == b))
+        for b, rows in enumerate(source.batches(epoch)):
+            g, cost, k = _sums(net, rows)
             if k:
-                net = net.step(ListNet.of_flat(g / k).params, rate)
+                net = optimizer.apply(net, g / k)
+                controller.batch_done(epoch, b, net, cost / k)
         if evaluation is not None:
             costs.append(evaluate(net, evaluation))
+        if not controller.epoch_done(epoch, net, costs[-1] if costs else None):
+            break
     return net, costs
 
 

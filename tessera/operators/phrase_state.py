@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vector import finite
 from .interests import Config
 from .keyphrase import select_phrases, unify
 from .ranking import top_key_phrases
@@ -59,6 +60,25 @@ def take_top(phrases: DataFrame, interests: DataFrame, as_of: Column, top: int,
     return chosen, after
 
 
+def insert(phrases: DataFrame, more: DataFrame) -> DataFrame:
+    """The state with further phrases (as PHRASES); of one that is there, the new row counts. Relevances must be finite."""
+    new = more.withColumn("relevance", finite(F.col("relevance"))).dropDuplicates(KEYS)
+    return phrases.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new.select(*phrases.columns))
+
+
+def remove(phrases: DataFrame, cois: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The phrases of some interests (user_id, coi_id), and the state without them."""
+    on = ["user_id", "coi_id"]
+    return phrases.join(cois.select(*on).distinct(), on, "left_semi"), phrases.join(cois.select(*on).distinct(), on, "left_anti")
+
+
+def replace(phrases: DataFrame, relevances: DataFrame) -> DataFrame:
+    """The state with new relevances (user_id, coi_id, relevance) of interests; all their phrases get them."""
+    on = ["user_id", "coi_id"]
+    new = relevances.select(*on, finite(F.col("relevance")).alias("_new"))
+    return phrases.join(new, on, "left").withColumn("relevance", F.coalesce("_new", "relevance")).select(*phrases.columns)
+
+
 def of_interests(relevances: DataFrame, cois: DataFrame) -> DataFrame:
     """Relevances of some interests (user_id, coi_id), the least first."""
     return relevances.join(cois, ["user_id", "coi_id"], "left_semi").orderBy("user_id", "relevance", "coi_id")

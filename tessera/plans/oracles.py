@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from ..operators.listnet import ListNet
+
 ORACLE_SQL: dict[str, str] = {}
 
 HIST = """
@@ -32,9 +36,9 @@ NEXT = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 ORACLE_SQL["vec_l2_norm"] = "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings"
 ORACLE_SQL["vec_l2_distance_pairs"] = f"SELECT a.vec_id, round(list_distance({A}, {B}), 6) AS distance, round(list_cosine_similarity({A}, {B}), 6) AS cosine FROM {NEXT}"
-ORACLE_SQL["vec_mean_shift"] = f"SELECT a.vec_id, round((({A})[1] + ({B})[1]) / 2, 6) AS mid1, round(({A})[2] * 0.9 + ({B})[2] * 0.1, 6) AS shift2 FROM {NEXT}"
+ORACLE_SQL["vec_mean_shift"] = f"SELECT a.vec_id, round((({A})[1] + ({B})[1]) / 2, 6) AS mid1, round(({A})[2] * 0.9 + ({B})[2] * 0.1, 6) AS shift2, round(list_sum([(({A})[i] + ({B})[i]) / 2 * i for i in range(1, 65)]), 6) AS mid_weighted, round(list_sum([(({A})[i] * 0.9 + ({B})[i] * 0.1) * i for i in range(1, 65)]), 6) AS shift_weighted FROM {NEXT}"
 ORACLE_SQL["vec_softmax_kl"] = f"""
-    WITH e AS (SELECT a.vec_id, i, exp(({A})[i]) AS x, exp(({B})[i]) AS y FROM {NEXT}, range(1, 9) t(i)),
+    WITH e AS (SELECT a.vec_id, i, exp(({A})[i]) AS x, exp(({B})[i]) AS y FROM {NEXT}, range(1, 65) t(i)),
     p AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS p, y / sum(y) OVER (PARTITION BY vec_id) AS q FROM e)
     SELECT vec_id, round(max(p) FILTER (i = 1), 6) AS p1, round(sum(p * ln(p / q)), 6) AS kl FROM p GROUP BY vec_id"""
 COIS = """
@@ -110,7 +114,16 @@ ORACLE_SQL["sync_append"] = f"""
     SELECT * FROM local
     UNION ALL SELECT c.polarity, c.label + n.n, c.coi_id, c.view_count + 100 FROM cois c JOIN n ON n.polarity = c.polarity WHERE c.label % 2 = 1"""
 
-ORACLE_SQL["coi_close_pairs"] = f"WITH {COIS} SELECT a.polarity, a.coi_id AS id0, b.coi_id AS id1, round(list_distance(a.point, b.point), 6) AS distance FROM cois a JOIN cois b ON a.polarity = b.polarity AND a.coi_id < b.coi_id"
+ORACLE_SQL["coi_close_pairs"] = f"""
+    WITH p AS (SELECT a.label AS user_id, 'v' || lpad(CAST(a.vec_id AS VARCHAR), 9, '0') AS id0, 'v' || lpad(CAST(b.vec_id AS VARCHAR), 9, '0') AS id1, 4 * list_distance({A}, {B}) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+    SELECT user_id, id0, id1, round(d, 6) AS distance FROM p WHERE d < 4.5"""
+ORACLE_SQL["feedback_faults"] = """
+    WITH lost AS (SELECT vec_id // 20 AS request_id FROM embeddings GROUP BY 1 HAVING count(*) FILTER (vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) = 0)
+    SELECT 0 AS user_id, request_id, stage, code FROM lost, (VALUES ('coi', 'NoMatchingDocuments'), ('analytics', 'NoRelevantHistoricInfo')) f(stage, code)"""
+ORACLE_SQL["feedback_events"] = """
+    SELECT (e.vec_id // 20) || '/' || e.vec_id AS event_id, e.vec_id % 20 + CASE WHEN l.quality + 1 - l.toxic = 0 THEN 1099511627776 ELSE 0 END AS seq,
+        CASE WHEN l.quality + 1 - l.toxic = 0 THEN 'dislike' ELSE 'like' END AS kind
+    FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id"""
 ORACLE_SQL["encoder_agreement"] = f"""
     WITH e AS (SELECT a.vec_id, abs(({A})[i] - ({B})[i]) AS x FROM {NEXT}, range(1, 65) t(i)),
     m AS (SELECT vec_id, avg(x) AS mae, avg(x * x) AS mse FROM e GROUP BY vec_id)
@@ -245,13 +258,91 @@ ORACLE_SQL["ranked_phrases"] = f"""
     b AS (SELECT item_id, phrase, max(round(1.0 / (p + 1), 6)) AS score FROM m GROUP BY item_id, phrase)
     SELECT * FROM (SELECT item_id, phrase, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, phrase) AS position FROM b WHERE score >= 0.01) WHERE position <= 5"""
 
+# --- spans, samples, shown phrases -----------------------------------------------------------------
+
+SPANS = f"""{HIST},
+    starts AS (
+        SELECT a.user_id, a.hist_pos + 1 AS stop, coalesce(max(b.hist_pos) FILTER (b.session <> a.session AND b.query_count <> a.query_count) + 1, 0) AS start
+        FROM hist a JOIN hist b ON b.user_id = a.user_id AND b.hist_pos <= a.hist_pos GROUP BY a.user_id, a.hist_pos),
+    known AS (SELECT s.*, (SELECT max(h.relevance) FROM hist h WHERE h.user_id = s.user_id AND h.hist_pos >= s.start AND h.hist_pos < s.stop) > 0 AS fine FROM starts s),
+    back AS (
+        SELECT k.* FROM known k JOIN (SELECT user_id, count(*) AS n FROM hist GROUP BY user_id) u ON u.user_id = k.user_id AND u.n = k.stop
+        UNION ALL SELECT k.* FROM back p JOIN known k ON k.user_id = p.user_id AND k.stop = p.start WHERE NOT p.fine),
+    spans AS (SELECT user_id, start, stop FROM back WHERE fine)"""
+ORACLE_SQL["sample_spans"] = f"WITH RECURSIVE {SPANS} SELECT user_id, start, stop FROM spans"
+ORACLE_SQL["training_samples"] = f"""
+    WITH RECURSIVE {SPANS},
+    q AS (SELECT h.* FROM hist h JOIN spans s ON s.user_id = h.user_id AND h.hist_pos >= s.start AND h.hist_pos < s.stop),
+    fine AS (SELECT user_id, count(*) AS n FROM q GROUP BY user_id HAVING count(*) = count(DISTINCT rank) AND max(rank) = count(*) - 1 AND count(DISTINCT (session, query_id)) = 1),
+    s AS (SELECT q.user_id AS sample_id, f.n, q.rank, (f.n - q.rank - 1) / CAST(f.n AS DOUBLE) + q.relevance AS s FROM q JOIN fine f ON f.user_id = q.user_id)
+    SELECT sample_id, n, rank, round(exp(s) / sum(exp(s)) OVER (PARTITION BY sample_id), 6) AS target FROM s"""
+ORACLE_SQL["phrases_taken"] = f"""
+    WITH shown AS ({ORACLE_SQL["top_key_phrases"]}),
+    rows AS (SELECT 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, 'phrase ' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS words FROM embeddings WHERE label < 5)
+    SELECT r.coi_id, r.words, s.words IS NOT NULL AS cleaned FROM rows r LEFT JOIN shown s ON s.coi_id = r.coi_id AND s.words = r.words"""
+
+# --- the network, with its seeded weights; requests of at most ten documents -----------------------
+
+
+def _literal(a: np.ndarray) -> str:
+    return "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in a.tolist()) + "]" if a.ndim == 1 else "[" + ", ".join(map(_literal, a)) + "]"
+
+
+def _dense(name: str, x: str, relu: bool) -> str:
+    """A layer over a list: each output is the product with its column of weights, plus its bias."""
+    p = ListNet.random(7).params
+    out = f"list_dot_product({x}, ({_literal(p[f'{name}/weights'].T)})[j]) + ({_literal(p[f'{name}/bias'])})[j]"
+    return f"[{f'greatest(0, {out})' if relu else out} for j in range(1, {p[f'{name}/bias'].size + 1})]"
+
+
+ORACLE_SQL["listnet_ltr_scores"] = f"""
+    {FEATURES},
+    f AS (SELECT d.user_id, d.rank, [{', '.join(f'CAST({e} AS DOUBLE)' for e in _ALL)}] AS x {_JOINS}),
+    h1 AS (SELECT user_id, rank, {_dense("dense1", "x", True)} AS x FROM f),
+    h2 AS (SELECT user_id, rank, {_dense("dense2", "x", True)} AS x FROM h1),
+    s AS (SELECT user_id, rank, ({_dense("scores", "x", False)})[1] AS s FROM h2),
+    lists AS (SELECT user_id, list(s ORDER BY rank) AS l FROM s GROUP BY user_id),
+    filled AS (SELECT user_id, len(l) AS n, [coalesce(l[i], l[len(l)]) for i in range(1, 11)] AS x FROM lists),
+    logits AS (SELECT user_id, n, {_dense("prob_dist", "x", False)} AS z FROM filled),
+    e AS (SELECT user_id, n, [exp(v - list_max(z)) for v in z] AS e FROM logits)
+    SELECT user_id, unnest(range(n)) AS rank, round(unnest(e[1:n]) / list_sum(e), 6) AS ltr_score FROM e"""
+
+# --- hashed n-grams of bytes ------------------------------------------------------------------------
+
+WRAP = "18446744073709551615::UHUGEINT"
+
+
+def _hash_step(h: str, b: str) -> str:
+    """One byte into a 64-bit hash, modulo 2**64, then the high bits into the low ones."""
+    return f"(xor({h}, {b}) * 11400714819323198485::UHUGEINT) & {WRAP}"
+
+
+ORACLE_SQL["qa_distance"] = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN role ELSE text END, role, '') AS text, coalesce(text, '') AS query FROM conversations),
+    firsts AS (SELECT conv_id, arg_min(query, turn) AS query FROM t GROUP BY conv_id),
+    texts AS (SELECT DISTINCT text FROM (SELECT text FROM t UNION ALL SELECT query FROM firsts)),
+    padded AS (SELECT text, CASE WHEN text = '' THEN '' ELSE repeat('00', greatest(0, 3 - strlen(text))) || hex(encode(text)) END AS x FROM texts),
+    grams AS (SELECT text, x, unnest(range(len(x) // 2 - 2)) AS i FROM padded WHERE x <> ''),
+    bytes AS (SELECT text, {', '.join(f"CAST(CAST('0x' || substr(x, 2 * i + {2 * k + 1}, 2) AS INTEGER) AS UHUGEINT) AS b{k}" for k in range(3))} FROM grams),
+    m0 AS (SELECT text, b1, b2, {_hash_step("0::UHUGEINT", "b0")} AS h FROM bytes), g0 AS (SELECT text, b1, b2, xor(h, h >> 29) AS h FROM m0),
+    m1 AS (SELECT text, b2, {_hash_step("h", "b1")} AS h FROM g0), g1 AS (SELECT text, b2, xor(h, h >> 29) AS h FROM m1),
+    m2 AS (SELECT text, {_hash_step("h", "b2")} AS h FROM g1), g2 AS (SELECT text, xor(h, h >> 29) & 31::UHUGEINT AS place FROM m2),
+    counts AS (SELECT text, place, count(*) AS n FROM g2 GROUP BY text, place),
+    pairs AS (SELECT t.conv_id, t.turn, t.text, f.query FROM t JOIN firsts f ON f.conv_id = t.conv_id),
+    joint AS (
+        SELECT p.conv_id, p.turn, c.place, c.n FROM pairs p JOIN counts c ON c.text = p.text
+        UNION ALL SELECT p.conv_id, p.turn, c.place, -c.n FROM pairs p JOIN counts c ON c.text = p.query),
+    gaps AS (SELECT conv_id, turn, place, sum(n) AS g FROM joint GROUP BY conv_id, turn, place),
+    sums AS (SELECT conv_id, turn, sqrt(sum(CAST(g AS DOUBLE) * g)) AS s FROM gaps GROUP BY conv_id, turn)
+    SELECT t.conv_id AS request_id, t.conv_id || '-' || t.turn AS id, round(coalesce(s.s, 0), 6) AS similarity FROM t LEFT JOIN sums s ON s.conv_id = t.conv_id AND s.turn = t.turn"""
+
 # --- column types -------------------------------------------------------------------------------
 
 #: Columns of the results: b BIGINT, d DOUBLE, s VARCHAR, t BOOLEAN.
 SCHEMAS = """
 vec_l2_norm: vec_id b, norm d
 vec_l2_distance_pairs: vec_id b, distance d, cosine d
-vec_mean_shift: vec_id b, mid1 d, shift2 d
+vec_mean_shift: vec_id b, mid1 d, shift2 d, mid_weighted d, shift_weighted d
 vec_softmax_kl: vec_id b, p1 d, kl d
 vec_cosine_topk: id b, coi_pos b, cosine d, place b
 coi_assign: request_id b, id b, coi_id s, pos_similarity d, neg_similarity d
@@ -283,7 +374,14 @@ seasonality: user_id b, domain s, seasonality d
 terms_variety: user_id b, rank b, terms_variety b
 target_distribution: user_id b, rank b, target d
 cumulated_features: user_id b, rank b, cum_skip d, cum_click1 d, cum_click2 d
-coi_close_pairs: polarity s, id0 s, id1 s, distance d
+coi_close_pairs: user_id b, id0 s, id1 s, distance d
+feedback_faults: user_id b, request_id b, stage s, code s
+feedback_events: event_id s, seq b, kind s
+sample_spans: user_id b, start b, stop b
+training_samples: sample_id b, n b, rank b, target d
+phrases_taken: coi_id s, words s, cleaned t
+listnet_ltr_scores: user_id b, rank b, ltr_score d
+qa_distance: request_id b, id s, similarity d
 encoder_agreement: mae d, mse d, mean_cosine d
 clean_key_phrase: item_id b, cleaned s
 ngram_candidates: item_id b, n b, phrase s, first_pos b, mentions b

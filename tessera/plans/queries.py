@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as v
 from ..functions.layers import PhraseScorer
-from ..functions.wordpiece import ByteEncoder, NgramEncoder, WordPiece
+from ..functions.wordpiece import NgramEncoder, WordPiece
 from ..operators import features as ft
 from ..operators import history as hs
 from ..operators import interests as it
@@ -21,6 +21,7 @@ from ..operators import samples as sm
 from ..operators.listnet import ListNet, listnet_scores
 from ..sources.scratch import materialize
 from . import derived as d
+from . import rerank as plans
 from .rerank import Mode, qa_distances, rerank
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,15 +71,20 @@ def vec_l2_distance_pairs(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("vec_id", _r(v.l2_distance(F.col("embedding"), F.col("other"))).alias("distance"), _r(v.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
 
 
+def _weighted(c: Column) -> Column:
+    """All entries in one number: each times its place."""
+    return F.aggregate(F.transform(c, lambda x, i: x * (i + 1.0)), F.lit(0.0), lambda acc, x: acc + x)
+
+
 @query
 def vec_mean_shift(spark, sf_dir):
-    n = _neighbours(spark, sf_dir)
-    return n.select("vec_id", _r(F.element_at(v.midpoint(F.col("embedding"), F.col("other")), 1)).alias("mid1"), _r(F.element_at(v.shift(F.col("embedding"), F.col("other"), 0.1), 2)).alias("shift2"))
+    n = _neighbours(spark, sf_dir).select("vec_id", v.midpoint(F.col("embedding"), F.col("other")).alias("mid"), v.shift(F.col("embedding"), F.col("other"), 0.1).alias("shift"))
+    return n.select("vec_id", _r(F.element_at("mid", 1)).alias("mid1"), _r(F.element_at("shift", 2)).alias("shift2"), _r(_weighted(F.col("mid"))).alias("mid_weighted"), _r(_weighted(F.col("shift"))).alias("shift_weighted"))
 
 
 @query
 def vec_softmax_kl(spark, sf_dir):
-    n = _neighbours(spark, sf_dir).select("vec_id", v.softmax(F.slice("embedding", 1, 8)).alias("a"), v.softmax(F.slice("other", 1, 8)).alias("b"))
+    n = _neighbours(spark, sf_dir).select("vec_id", v.softmax(F.col("embedding")).alias("a"), v.softmax(F.col("other")).alias("b"))
     return n.select("vec_id", _r(F.element_at("a", 1)).alias("p1"), _r(v.kl_divergence(F.col("a"), F.col("b"))).alias("kl"))
 
 
@@ -87,7 +93,7 @@ def vec_cosine_topk(spark, sf_dir):
     """The three interests closest to each vector."""
     from pyspark.sql.window import Window
 
-    pairs = d.requests(spark, sf_dir).join(F.broadcast(d.interests(spark, sf_dir).select("user_id", "coi_pos", "point")), "user_id")
+    pairs = d.requests(spark, sf_dir).join(d.interests(spark, sf_dir).select("user_id", "coi_pos", "point"), "user_id")
     pairs = pairs.select("id", "coi_pos", _r(v.cosine(F.col("embedding"), F.col("point"))).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "coi_pos"))
     return pairs.withColumn("place", place).filter("place <= 3")
@@ -230,10 +236,27 @@ def rerank_faults(spark, sf_dir):
     return done.faults
 
 
+def _label_history(spark, sf_dir):
+    return d.table(spark, sf_dir, "labels").select(F.lit(0).cast("long").alias("user_id"), F.col("doc_id").alias("id"), F.lit(0).alias("hist_pos"), (F.col("quality") + 1 - F.col("toxic")).alias("relevance"), F.lit(2).alias("user_feedback"))
+
+
+@query
+def feedback_faults(spark, sf_dir):
+    """Requests of which the history, here of toxic documents, knows none: nothing to learn from, and no analytics."""
+    toxic = d.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return plans.feedback_faults(_news(spark, sf_dir), _label_history(spark, sf_dir).join(toxic, "id", "left_semi"))
+
+
+@query
+def feedback_events(spark, sf_dir):
+    """What the ranked requests' users are taught by the history, in its order."""
+    matched = hs.matching_documents(_label_history(spark, sf_dir), _news(spark, sf_dir), ["user_id", "id"]).withColumn("at", _as_of())
+    return it.feedback_events(matched, ["request_id", "id"]).select("event_id", "seq", "kind")
+
+
 @query
 def ndcg_at_2(spark, sf_dir):
-    h = d.table(spark, sf_dir, "labels").select(F.lit(0).cast("long").alias("user_id"), F.col("doc_id").alias("id"), F.lit(0).alias("hist_pos"), (F.col("quality") + 1 - F.col("toxic")).alias("relevance"))
-    a = rk.analytics(_news(spark, sf_dir), h)
+    a = rk.analytics(_news(spark, sf_dir), _label_history(spark, sf_dir))
     return a.select("request_id", *[_r(c).alias(c) for c in a.columns if c.startswith("ndcg")])
 
 
@@ -327,7 +350,10 @@ def initial_ranking(spark, sf_dir):
 
 @query
 def coi_close_pairs(spark, sf_dir):
-    return it.close_pairs(d.interests(spark, sf_dir), 1e9).select("polarity", "id0", "id1", _r("distance").alias("distance"))
+    """Every label's vectors, four times as long, as interests of a user."""
+    e = d.table(spark, sf_dir, "embeddings")
+    own = e.select(F.col("label").cast("long").alias("user_id"), F.lit("pos").alias("polarity"), F.format_string("v%09d", "vec_id").alias("coi_id"), F.transform("embedding", lambda x: x.cast("double") * 4).alias("point"))
+    return it.close_pairs(own).select("user_id", "id0", "id1", _r("distance").alias("distance"))
 
 
 @query
@@ -338,7 +364,7 @@ def encoder_agreement(spark, sf_dir):
     return a.select(*[_r(c).alias(c) for c in ("mae", "mse", "mean_cosine")])
 
 
-# --- without SQL --------------------------------------------------------------------------------
+# --- learning, networks, encoders --------------------------------------------------------------------------------
 
 
 def _reactions(spark, sf_dir):
@@ -367,7 +393,10 @@ def coi_merge(spark, sf_dir):
 
 @query
 def kp_mmr_select(spark, sf_dir):
-    return kp.select_for_interests(_phrases(spark, sf_dir), d.interests(spark, sf_dir)).withColumn("relevance", _r("relevance"))
+    """Each hundred vectors are a user's phrases, the first of a label its interest: an interest has few phrases at any size."""
+    own = _phrases(spark, sf_dir).withColumn("user_id", F.expr("vec_id div 100"))
+    first = own.groupBy("user_id", "coi_id").agg(F.min_by("point", "vec_id").alias("point")).withColumn("polarity", F.lit("pos"))
+    return kp.select_for_interests(own.drop("vec_id"), first).withColumn("relevance", _r("relevance"))
 
 
 @query
@@ -398,13 +427,14 @@ def sample_spans(spark, sf_dir):
 
 @query
 def training_samples(spark, sf_dir):
-    return sm.training_samples(materialize(d.history(spark, sf_dir))).select("sample_id", F.size("inputs").alias("n"), F.transform("target", lambda x: F.round(x, 6)).alias("target"))
+    s = sm.training_samples(materialize(d.history(spark, sf_dir)))
+    return s.select("sample_id", F.size("inputs").alias("n"), F.posexplode("target").alias("rank", "t")).select("sample_id", "n", "rank", _r("t").alias("target"))
 
 
 @query
 def key_phrase_extraction(spark, sf_dir):
     docs = d.table(spark, sf_dir, "benchmark")
-    return kp.extract(docs, "item_id", "text", ByteEncoder(16), PhraseScorer.random(16), 5).withColumn("score", _r("score"))
+    return kp.extract(docs, "item_id", "text", NgramEncoder(16), PhraseScorer.random(16), 5).withColumn("score", _r("score"))
 
 
 @query

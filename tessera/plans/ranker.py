@@ -7,10 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layers import PhraseScorer
 from ..functions.wordpiece import Encoder
 from ..operators import phrase_state
 from ..operators.interests import INTERESTS, Config, assign, learn
+from ..operators.keyphrase import extract
 from ..operators.ranking import rank_documents
+from ..sources.tables import load_state, save_state
+
+
+def mapped(documents: DataFrame, id: str = "id", embedding: str = "embedding", published: str = "published") -> DataFrame:
+    """Documents of any column names as the ranker reads them; the other columns are kept under their own names."""
+    names = {id: "id", embedding: "embedding", published: "published"}
+    missing = [c for c in names if c not in documents.columns]
+    if missing:
+        raise ValueError(f"documents lack {missing}")
+    clash = [c for c in documents.columns if c in names.values() and c not in names]
+    if clash:
+        raise ValueError(f"other columns have the names {clash}")
+    return documents.withColumnsRenamed(names)
 
 
 @dataclass
@@ -18,22 +33,46 @@ class Ranker:
     """State is two tables, interests and phrases; every method that changes it replaces them by new plans.
 
     Reactions are user_id, seq, event_id, feedback (0 relevant, 1 irrelevant, 2 not given), embedding, at and candidates
-    (an array of phrases); views are user_id, seq, event_id, feedback, embedding, seconds, at.
+    (an array of phrases) or a snippet, whose phrases are extracted; views are user_id, seq, event_id, feedback, embedding,
+    seconds, at.
     """
 
     interests: DataFrame
     phrases: DataFrame
     encoder: Encoder
     config: Config = Config()
+    phrase_encoder: Encoder | None = None
+    scorer: PhraseScorer | None = None
+    most_phrases: int | None = None
+    least_score: float | None = None
+
+    @classmethod
+    def empty(cls, spark, encoder: Encoder, config: Config = Config(), **more) -> Ranker:  # noqa: B008
+        return cls(spark.createDataFrame([], INTERESTS), spark.createDataFrame([], phrase_state.PHRASES), encoder, config, **more)
+
+    def save(self, folder: str) -> None:
+        """Interests and phrases, each a versioned table."""
+        save_state(self.interests, f"{folder}/interests")
+        save_state(self.phrases, f"{folder}/phrases")
 
     @classmethod
-    def empty(cls, spark, encoder: Encoder, config: Config = Config()) -> Ranker:  # noqa: B008
-        return cls(spark.createDataFrame([], INTERESTS), spark.createDataFrame([], phrase_state.PHRASES), encoder, config)
+    def restore(cls, spark, folder: str, encoder: Encoder, config: Config = Config(), **more) -> Ranker:  # noqa: B008
+        return cls(load_state(spark, f"{folder}/interests"), load_state(spark, f"{folder}/phrases", phrases=True), encoder, config, **more)
+
+    def _with_candidates(self, reactions: DataFrame) -> DataFrame:
+        if "candidates" in reactions.columns:
+            return reactions
+        if self.scorer is None or self.phrase_encoder is None:
+            raise ValueError("snippets need a phrase encoder and a scorer")
+        keyed = reactions.withColumn("_k", F.struct("user_id", "seq"))
+        found = extract(keyed, "_k", "snippet", self.phrase_encoder, self.scorer, self.most_phrases, self.least_score)
+        lists = found.groupBy("_k").agg(F.collect_list("phrase").alias("candidates"))
+        return keyed.join(lists, "_k", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>"))).drop("_k")
 
     def log_reactions(self, reactions: DataFrame) -> None:
         """Relevant reactions teach positive interests and their phrases, irrelevant ones negative interests."""
         kind = F.when(F.col("feedback") == 0, "like").when(F.col("feedback") == 1, "dislike")
-        events = reactions.withColumn("kind", kind).filter("kind is not null").withColumn("seconds", F.lit(0.0))
+        events = self._with_candidates(reactions).withColumn("kind", kind).filter("kind is not null").withColumn("seconds", F.lit(0.0))
         self.interests = learn(self.interests, events.select("user_id", "seq", "event_id", "kind", "embedding", "seconds", "at"), self.config)
         liked = events.filter("kind = 'like'").select("user_id", "embedding", "candidates")
         met = assign(liked, self.interests).filter("coi_id is not null")

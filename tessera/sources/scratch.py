@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,17 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where none is named (tests)."""
+    """The folder of spark.checkpoint.dir; a folder of our own only where none is named and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_AT_EXIT: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and its folder is then the cluster's to clear
+        clear_scratch(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
+    """Write a table to the shared folder and read it back: lineage is cut and lost executors lose nothing.
+
+    The tables of an application stand in one folder, which goes when the driver's program ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
+    folder = _own_folder(spark)
+    if folder not in _AT_EXIT:
+        _AT_EXIT.add(folder)
+        atexit.register(_clear_at_exit, spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.wordpiece import read_vocabulary
 
@@ -22,22 +23,24 @@ def synthetic_id(base: Column, sub_id: Column, second: int = 0xD006A685) -> Colu
 
 
 def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Histories of users, one CSV file each; anything malformed is an error, other files are passed over."""
+    """Histories of users, one CSV file each, hist_pos in the file's order; anything malformed is an error, other files are passed over."""
     raw = spark.read.schema(HISTORY_CSV).option("header", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.csv").csv(folder)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("_file", "_block", "_row")) - 1
     ok = F.when(F.col("position") < 1, F.raise_error(F.lit("positions start at 1")).cast("int")).otherwise(F.col("position") - 1)
     return raw.select(
-        "user_id", F.col("session_id").alias("session"), F.col("query_counter").alias("query_count"), "query_id", F.replace("query_words", F.lit(","), F.lit(" ")).alias("query_words"), "url", "domain",
+        "user_id", place.cast("long").alias("hist_pos"), F.col("session_id").alias("session"), F.col("query_counter").alias("query_count"), "query_id", F.replace("query_words", F.lit(","), F.lit(" ")).alias("query_words"), "url", "domain",
         (F.col("day") % 7).alias("day"), "relevance", F.lit(2).alias("user_feedback"), ok.alias("rank"), synthetic_id(F.col("session_id"), F.col("query_counter") * 256 + F.col("position")).alias("id"),
     )
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded calls, one JSON document a file; the state comes out of base64."""
-    return spark.read.schema(CALL).option("multiLine", True).json(path).withColumn("state", F.unbase64("serialized_state")).drop("serialized_state")
+    """Recorded calls, one JSON document a file, with the file's name; the state comes out of base64."""
+    return spark.read.schema(CALL).option("multiLine", True).json(path).withColumn("file", F.input_file_name()).withColumn("state", F.unbase64("serialized_state")).drop("serialized_state")
 
 
 def write_calls(calls: DataFrame, path: str) -> None:
-    calls.withColumn("serialized_state", F.base64("state")).drop("state").write.mode("overwrite").json(path)
+    calls.withColumn("serialized_state", F.base64("state")).drop("state", "file").write.mode("overwrite").json(path)
 
 
 def read_vocabulary_file(spark: SparkSession, path: str) -> dict[str, int]:
@@ -75,11 +78,15 @@ def migrate(state: DataFrame, version: int) -> DataFrame:
 
 
 def save_state(interests: DataFrame, path: str) -> None:
+    """Interests or phrases, as a table of the present version."""
     interests.withColumn("schema_version", F.lit(STATE_VERSION)).write.mode("overwrite").parquet(path)
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame:
+def load_state(spark: SparkSession, path: str, phrases: bool = False) -> DataFrame:
+    """What was saved, brought to the present version; phrases have not changed since they are kept."""
     rows = spark.read.parquet(path)
+    if phrases:
+        return rows.drop("schema_version")
     versions = [r[0] for r in rows.select("schema_version").distinct().limit(STATE_VERSION + 2).collect()]
     out = None
     for v in versions or [STATE_VERSION]:
@@ -88,6 +95,42 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+#: A service's state as one document: interests and the last ranking.
+INTEREST_STATE = "polarity string, coi_pos int, coi_id string, point array<double>, view_count long, view_time double, last_view_micros long"
+PREVIOUS_STATE = "request_id long, doc_pos int, id string, rank int, embedding array<double>, ltr_score double, context double, final_rank int"
+STATE = f"schema_version int, interests array<struct<{INTEREST_STATE.replace(' ', ':').replace(',:', ', ')}>>, previous array<struct<{PREVIOUS_STATE.replace(' ', ':').replace(',:', ', ')}>>"
+
+
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [(c.split(" ")[0], c.split(" ", 1)[1]) for c in schema.split(", ")]
+
+
+def state_to_bytes(interests: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """-> user_id, state: each user's interests and, for a service that goes on, its last ranking, in versioned bytes."""
+    rows = interests.withColumn("last_view_micros", F.unix_micros("last_view"))
+    own = lambda frame, schema: F.struct(*[(F.col(c) if c in frame.columns else F.lit(None)).cast(t).alias(c) for c, t in _columns(schema)])
+    lists = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(own(rows, INTEREST_STATE))).alias("interests"))
+    if previous is not None:
+        ranked = previous.groupBy("user_id").agg(F.sort_array(F.collect_list(own(previous, PREVIOUS_STATE))).alias("previous"))
+        lists = lists.join(ranked, "user_id", "full")
+    else:
+        lists = lists.withColumn("previous", F.lit(None).cast(STATE.split("previous ")[1]))
+    none = F.coalesce("interests", F.array().cast(lists.schema["interests"].dataType))
+    return lists.select("user_id", F.to_json(F.struct(F.lit(STATE_VERSION).alias("schema_version"), none.alias("interests"), "previous")).cast("binary").alias("state"))
+
+
+def state_from_bytes(states: DataFrame, needed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """states (user_id, state) -> interests and last rankings. Null and empty bytes are a service that knows nothing.
+
+    needed: they are an error instead, as for what devices exchange. Bytes of another form or version always are one.
+    """
+    rows = states.withColumn("_s", F.from_json(F.col("state").cast("string"), STATE)).withColumn("_empty", F.coalesce(F.length("state") == 0, F.lit(True)))
+    fine = F.when(F.col("_empty"), F.lit(not needed)).otherwise(F.coalesce(F.col("_s.schema_version") == STATE_VERSION, F.lit(False)))
+    rows = rows.filter(F.when(fine, True).otherwise(F.raise_error(F.lit("no state of this version")).cast("boolean"))).filter("not _empty")
+    interests = rows.select("user_id", F.inline("_s.interests")).withColumn("last_view", F.timestamp_micros("last_view_micros")).drop("last_view_micros")
+    return interests, rows.select("user_id", F.inline("_s.previous"))
+
+
 def synthetic_calls(spark: SparkSession, users: int, queries: int = 5, documents: int = 10, seed: int = 0) -> DataFrame:
     """A generated history: ranked results with clicks that favour good ranks."""
     rows = spark.range(users * queries * documents).select(
