@@ -254,6 +254,27 @@ def test_packing(spark):
     assert packing.pack_documents(make(spark, rows).limit(0), path).count() == 0
 
 
+def test_packing_repeated_rows_and_long_texts(spark):
+    """Repeated rows are packed as often as they come; a length that nearly all pieces have is ranked over many tasks."""
+    path, t = tokenizer()
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (2, None), (2, None), (3, "word " * 20_000), *[(10 + k, "same length here") for k in range(300)]]
+    docs = make(spark, rows).repartition(7).withColumn("k", F.lit("x")).withColumn("task", F.lit(1))
+    got = packing.pack_documents(docs, path, capacity=64).collect()
+    count = Counter((r["doc_id"], r["start"], r["length"]) for r in got)
+    size = lambda x: len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    want = Counter()
+    for i, x in rows:
+        n = size(x)
+        want.update((i, s, min(64, n - s)) for s in range(0, n, 64))
+    assert count == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(np.cumsum([n for _, n in parts]) - [n for _, n in parts]) and sum(n for _, n in parts) <= 64
+
+
 # --- 4 --------------------------------------------------------------------------------------------
 
 

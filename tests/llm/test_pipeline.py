@@ -95,6 +95,25 @@ def test_stages_take_empty_tables(spark, docs):
         assert stage(spark, frame.limit(0), path).count() == 0
 
 
+def test_stages_take_odd_rows(spark, docs):
+    """Repeated rows, very long texts, nulls in any column and further columns with the operators' own names."""
+    path, frame = docs
+    given = [tuple(r) for r in frame.collect()][:60]
+    long_ = " ".join(LANGS["en"].split()[k % 10] + "x" * (k % 7) for k in range(60_000)), "\n".join(f"the {k} of and" for k in range(5000))
+    given += [given[0], given[0], (950, long_[0], "en", "src0", None), (951, long_[1], None, None, 7), (None, "the of and to", "en", None, None), (952, "the of and in", None, None, None)]
+    names = ["score", "lang_pred", "n_lines", "n_removed", "n_tokens", "weight", "base", "_text", "id", "row"]
+    now = spark.createDataFrame([(*r, *[f"{n} of {r[0]}" for n in names]) for r in given], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, path)
+        assert now.columns == before.columns
+        kept = [tuple(r) for r in now.collect()]
+        assert kept and all(r[5:] == tuple(f"{n} of {r[0]}" for n in names) for r in kept) and {r[0] for r in kept} <= {r[0] for r in given}
+        now = spark.createDataFrame(kept, now.schema)
+    ids = [r["doc_id"] for r in now.collect()]
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, path).collect()
+    assert sorted(r["doc_id"] for r in packed if r["start"] == 0) == sorted(ids)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, sf_dir, name):
     import duckdb
