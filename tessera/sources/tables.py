@@ -132,16 +132,24 @@ def state_from_bytes(states: DataFrame, needed: bool = False) -> tuple[DataFrame
 
 
 def synthetic_calls(spark: SparkSession, users: int, queries: int = 5, documents: int = 10, seed: int = 0) -> DataFrame:
-    """A generated history: ranked results with clicks that favour good ranks."""
+    """A generated history: ranked results with clicks that favour good ranks.
+
+    A query's results are read down to its last click: what isn't clicked above it was skipped, what comes below was
+    missed; without a click all were missed. Its first click is of high relevance, others of medium or high. Half the
+    results get no feedback, three in ten are found irrelevant, two in ten relevant.
+    """
     rows = spark.range(users * queries * documents).select(
-        F.floor(F.col("id") / (queries * documents)).alias("user_id"), (F.floor(F.col("id") / documents) % queries).alias("q"), (F.col("id") % documents).cast("int").alias("rank"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), "id"
+        F.floor(F.col("id") / (queries * documents)).alias("user_id"), (F.floor(F.col("id") / documents) % queries).alias("q"), (F.col("id") % documents).cast("int").alias("rank"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), F.rand(seed + 2).alias("w"), "id"
     )
-    clicked = F.col("u") < 1.0 / (F.col("rank") + 2)
-    relevance = F.when(clicked, F.when(F.col("v") < 0.5, 1).otherwise(2)).otherwise(0)
+    own = Window.partitionBy("user_id", "q")
+    rows = rows.withColumn("clicked", F.col("u") < 1.0 / (F.col("rank") + 2))
+    place = F.when(F.col("clicked"), F.col("rank"))
+    rows = rows.withColumn("first", F.min(place).over(own)).withColumn("last", F.max(place).over(own))
+    relevance = F.when(~F.col("clicked"), 0).when((F.col("rank") == F.col("first")) | (F.col("v") < 0.5), 2).otherwise(1)
     return rows.select(
         "user_id", (F.col("q") * documents + F.col("rank")).alias("hist_pos"), F.col("id").cast("string").alias("id"), F.floor(F.col("q") / 3).alias("session"), (F.col("q") % 3).alias("query_count"), (F.col("q") % 7).alias("query_id"),
         F.concat(F.lit("w"), F.col("q") % 7).alias("query_words"), "rank", F.concat(F.lit("u"), F.col("id") % 97).alias("url"), F.concat(F.lit("d"), F.col("id") % 13).alias("domain"), (F.col("id") % 7).cast("int").alias("day"),
-        relevance.alias("relevance"), F.lit(2).alias("user_feedback"), F.when(clicked, 2).otherwise(1).alias("user_action"),
+        relevance.alias("relevance"), F.when(F.col("w") < 0.5, 2).when(F.col("w") < 0.8, 1).otherwise(0).alias("user_feedback"), F.when(F.col("clicked"), 2).when(F.col("rank") < F.col("last"), 1).otherwise(0).alias("user_action"),
     )
 
 

@@ -137,6 +137,20 @@ def test_histories_go_by_their_files_order(spark, tmp_path):
     assert [(r["session"], r["rank"] + 1) for r in got] == rows and [r["hist_pos"] for r in got] == list(range(5))
 
 
+def test_generated_histories(spark):
+    rows = tables.synthetic_calls(spark, 40, seed=5).collect()
+    assert rows == tables.synthetic_calls(spark, 40, seed=5).collect() and len(rows) == 2000
+    by = {}
+    for r in rows:
+        by.setdefault((r["user_id"], r["hist_pos"] // 10), []).append(r)
+    for own in by.values():
+        clicks = [r["rank"] for r in own if r["user_action"] == 2]
+        assert all(r["user_action"] == (2 if r["rank"] in clicks else 1 if r["rank"] < max(clicks, default=-1) else 0) and (r["relevance"] > 0) == (r["rank"] in clicks) for r in own)
+        assert not clicks or next(r for r in own if r["rank"] == min(clicks))["relevance"] == 2
+    share = [sum(r["user_feedback"] == k for r in rows) / 2000 for k in (2, 1, 0)]
+    assert np.allclose(share, [0.5, 0.3, 0.2], atol=0.04)
+
+
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     own = scratch.materialize(spark.range(3))
     assert own.count() == 3 and spark.sparkContext.applicationId in own.inputFiles()[0]
