@@ -38,6 +38,7 @@ SMALL_GROUP = 8
 CLOSEST = (2, 8)
 #: Sets in a block of a subset: a sixteenth of the subset within these.
 BLOCK = (512, 8192)
+ANSWERS, ASKS, BOTH = 0, 1, 2
 _STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
 
@@ -364,7 +365,7 @@ def _partners(num: int, den: int, q: tuple[np.ndarray, ...], m: tuple[np.ndarray
 
 
 def _cross(num: int, den: int, most_each: int | None):
-    """Pairs (fingerprints) of the sets of two blocks of a subset, the asking ones (ask) with the others.
+    """Pairs (fingerprints) of the sets of two blocks of a subset, the asking ones with those that answer.
 
     most_each keeps each asking set's closest partners; a subset where that left some out is named in a row of its own.
     """
@@ -375,16 +376,16 @@ def _cross(num: int, den: int, most_each: int | None):
         if not sum(b.num_rows for b in held):
             return
         t = pa.Table.from_batches(held)
-        sig, i, j, ask, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "i", "j", "ask", "fp", "comp", "n"))
+        sig, i, j, role, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "i", "j", "role", "fp", "comp", "n"))
         bits = t.column("bits")
-        order = np.lexsort((ask, j, i, sig))
+        order = np.lexsort((fp, j, i, sig))
         new = np.ones(len(order), bool)
         new[1:] = (sig[order][1:] != sig[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
         out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         left: set[int] = set()
         for s, e in spans_of(np.flatnonzero(new), len(order)):
             at = order[s:e]
-            who = [at[ask[at]], at[~ask[at]]]
+            who = [at[role[at] != ANSWERS], at[role[at] != ASKS]]
             if not len(who[0]) or not len(who[1]):
                 continue
             sides = [(comp[w], n[w], bits.take(pa.array(w)).to_pylist()) for w in who]
@@ -409,7 +410,7 @@ def _cross(num: int, den: int, most_each: int | None):
 
 
 def _blocks(many: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
-    """many (sig, fp) -> sig, i, j, ask, fp, comp, n, bits: what the tasks of two blocks each compare.
+    """many (sig, fp) -> sig, i, j, role, fp, comp, n, bits: what the tasks of two blocks each compare.
 
     A subset whose sets are all in one component has no rows. Sets outside the largest component ask: in their block i
     they go to every block j, and every set of block j to every block i.
@@ -420,11 +421,16 @@ def _blocks(many: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
     total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
     blocks = open_.select("sig", "n", "main", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-    rows = join_keys(placed, blocks, ["sig"], F.xxhash64("fp"), total).withColumn("own", F.pmod(F.xxhash64("fp", "sig"), F.col("blocks")).cast("int")).drop("n")
-    rows = materialize(rows.join(bits, "fp"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = rows.filter("comp <> main").select("sig", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("ask"), "fp", "comp", "n", "bits")
-    return asking.unionByName(rows.select("sig", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("ask"), "fp", "comp", "n", "bits")).repartition("sig", "i", "j")
+    rows = join_keys(placed, blocks, ["sig"], F.xxhash64("fp"), total).drop("n").join(bits, "fp")
+    asks = F.col("comp") != F.col("main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "sig"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
+    spot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
+    spots = F.concat(
+        F.array(spot(F.col("own"), F.col("own"), F.when(asks, BOTH).otherwise(ANSWERS))), F.transform(others, lambda x: spot(x, F.col("own"), F.lit(ANSWERS))),
+        F.transform(F.when(asks, others).otherwise(F.array().cast("array<int>")), lambda x: spot(F.col("own"), x, F.lit(ASKS))),
+    )
+    return rows.select("sig", "fp", "comp", "n", "bits", F.explode(spots).alias("s")).select("sig", "s.i", "s.j", "s.role", "fp", "comp", "n", "bits").repartition("sig", "i", "j")
 
 
 def _verifier(n: int, num: int, den: int):
