@@ -125,9 +125,9 @@ ORACLE_SQL["feedback_events"] = """
         CASE WHEN l.quality + 1 - l.toxic = 0 THEN 'dislike' ELSE 'like' END AS kind
     FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id"""
 ORACLE_SQL["encoder_agreement"] = f"""
-    WITH e AS (SELECT a.vec_id, abs(({A})[i] - ({B})[i]) AS x FROM {NEXT}, range(1, 65) t(i)),
-    m AS (SELECT vec_id, avg(x) AS mae, avg(x * x) AS mse FROM e GROUP BY vec_id)
-    SELECT round(avg(m.mae), 6) AS mae, round(avg(m.mse), 6) AS mse, round(avg(list_cosine_similarity({A}, {B})), 6) AS mean_cosine FROM {NEXT} JOIN m ON m.vec_id = a.vec_id"""
+    WITH e AS (SELECT a.vec_id, abs(({A})[i] - ({B})[i]) AS x, CASE WHEN ({A})[i] = 0 THEN abs(({B})[i]) ELSE abs((({A})[i] - ({B})[i]) / ({A})[i]) END AS y FROM {NEXT}, range(1, 65) t(i)),
+    m AS (SELECT vec_id, avg(x) AS mae, avg(y) AS mre, avg(x * x) AS mse FROM e GROUP BY vec_id)
+    SELECT round(avg(m.mae), 6) AS mae, round(avg(m.mre), 6) AS mre, round(avg(m.mse), 6) AS mse, round(avg(list_cosine_similarity({A}, {B})), 6) AS mean_cosine FROM {NEXT} JOIN m ON m.vec_id = a.vec_id"""
 
 ORACLE_SQL["history_actions"] = f"WITH {HIST} SELECT user_id, hist_pos, action, action >= 3 AS clicked, 2 AS n_terms FROM hist"
 ORACLE_SQL["history_runs"] = f"WITH {HRUN} SELECT user_id, hist_pos, run_id, click_index, run_clicks FROM h"
@@ -382,7 +382,7 @@ training_samples: sample_id b, n b, rank b, target d
 phrases_taken: coi_id s, words s, cleaned t
 listnet_ltr_scores: user_id b, rank b, ltr_score d
 qa_distance: request_id b, id s, similarity d
-encoder_agreement: mae d, mse d, mean_cosine d
+encoder_agreement: mae d, mre d, mse d, mean_cosine d
 clean_key_phrase: item_id b, cleaned s
 ngram_candidates: item_id b, n b, phrase s, first_pos b, mentions b
 ranked_phrases: item_id b, phrase s, score d, position b

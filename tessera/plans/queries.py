@@ -361,7 +361,7 @@ def encoder_agreement(spark, sf_dir):
     n = _neighbours(spark, sf_dir)
     wide = lambda c: F.transform(c, lambda x: x.cast("double"))
     a = sm.agreement(n.select(wide("embedding").alias("want"), wide("other").alias("got")))
-    return a.select(*[_r(c).alias(c) for c in ("mae", "mse", "mean_cosine")])
+    return a.select(*[_r(c).alias(c) for c in ("mae", "mre", "mse", "mean_cosine")])
 
 
 # --- learning, networks, encoders --------------------------------------------------------------------------------

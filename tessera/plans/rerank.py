@@ -6,6 +6,7 @@ the stage's neutral values by coalesce and a row in ``faults``. Nothing is tried
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import IntEnum
 from functools import reduce
@@ -74,27 +75,43 @@ def with_ltr(documents: DataFrame, history: DataFrame | None, net: ListNet | Non
     return documents.join(scores, ["user_id", "rank" if strict_alignment else "doc_pos"], "left")
 
 
-def rerank(mode: Mode, documents: DataFrame, interests: DataFrame | None = None, history: DataFrame | None = None, encoder: Encoder | None = None, net: ListNet | None = None, strict_alignment: bool = True) -> Outcome:
+@dataclass(frozen=True)
+class Systems:
+    """The stages of a service, each a function of frames that another may take the place of.
+
+    embed adds the embedding to documents that have none; without it they must have one where a mode is personalised.
+    """
+
+    embed: Callable[[DataFrame], DataFrame] | None = None
+    assign: Callable[[DataFrame, DataFrame], DataFrame] = assign
+    similarity: Callable[[DataFrame, Encoder], DataFrame] = qa_distances
+    ltr: Callable[[DataFrame, DataFrame | None, ListNet | None, bool], DataFrame] = with_ltr
+    context: Callable[[DataFrame], DataFrame] = context
+    learn: Callable[[DataFrame, DataFrame, Config], DataFrame] = learn
+    analytics: Callable[[DataFrame, DataFrame], DataFrame] = analytics
+
+
+def rerank(mode: Mode, documents: DataFrame, interests: DataFrame | None = None, history: DataFrame | None = None, encoder: Encoder | None = None, net: ListNet | None = None, strict_alignment: bool = True, systems: Systems = Systems()) -> Outcome:  # noqa: B008
     """documents (user_id, request_id, doc_pos, id, rank; embedding if personalised; texts and query_words if searched)."""
     spark = documents.sparkSession
     faults = spark.createDataFrame([], FAULTS)
     rows = documents
     if mode.personalized:
-        rows = assign(rows, interests)
+        rows = systems.assign(systems.embed(rows) if systems.embed and "embedding" not in rows.columns else rows, interests)
         missing = rows.filter("coi_id is null").select(*REQUEST).distinct()
         faults = faults.unionByName(missing.select(*REQUEST, F.lit("coi").alias("stage"), F.lit("NoCoi").alias("code")))
         rows = rows.withColumn("neg_similarity", F.when(F.col("coi_id").isNull(), 0.0).otherwise(F.col("neg_similarity"))).withColumn("pos_similarity", F.coalesce("pos_similarity", F.lit(0.0))).withColumn("coi_id", F.coalesce("coi_id", F.lit(NIL)))
     else:
         rows = rows.withColumns({"coi_id": F.lit(NIL), "pos_similarity": F.lit(0.0), "neg_similarity": F.lit(0.0)})
-    rows = qa_distances(rows, encoder) if mode.search else rows.withColumn("similarity", F.lit(NEUTRAL_SIMILARITY))
-    rows = with_ltr(rows, history, net, strict_alignment) if mode.personalized else rows.withColumn("ltr_score", F.lit(NEUTRAL_LTR))
+    rows = systems.similarity(rows, encoder) if mode.search else rows.withColumn("similarity", F.lit(NEUTRAL_SIMILARITY))
+    rows = systems.ltr(rows, history, net, strict_alignment) if mode.personalized else rows.withColumn("ltr_score", F.lit(NEUTRAL_LTR))
     if mode.personalized and net is not None and history is not None:
         # a request with a document that the network gave no finite score is neutral as a whole
         failed = F.max((F.col("ltr_score").isNull() | F.isnan("ltr_score")).cast("int")).over(Window.partitionBy(*REQUEST)) == 1
         rows = rows.withColumn("_failed", failed)
         faults = faults.unionByName(rows.filter("_failed").select(*REQUEST).distinct().select(*REQUEST, F.lit("ltr").alias("stage"), F.lit("LtrFailed").alias("code")))
         rows = rows.withColumn("ltr_score", F.when(F.col("_failed"), NEUTRAL_LTR).otherwise(F.col("ltr_score"))).drop("_failed")
-    rows = context(rows)
+    rows = systems.context(rows)
     rows = rank_by_identity(rows) if mode is Mode.STANDARD_NEWS else rank_by_context(rows)
     return Outcome(rows, faults)
 
@@ -174,6 +191,7 @@ class Reranker:
     previous: DataFrame | None = None
     analytics: DataFrame | None = None
     faults: DataFrame | None = None
+    systems: Systems = Systems()
 
     def rerank(self, mode: Mode, history: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:
         faults = documents.sparkSession.createDataFrame([], FAULTS)
@@ -183,10 +201,10 @@ class Reranker:
             matched = matching_documents(history, self.previous, ["user_id", "id"])
             events = feedback_events(matched.withColumn("at", as_of), ["request_id", "id"])
             # written, as the next call's plans start from it
-            self.interests = materialize(learn(self.interests, events, self.config))
+            self.interests = materialize(self.systems.learn(self.interests, events, self.config))
             if "context" in self.previous.columns:
-                self.analytics = analytics(self.previous, history)
-        done = rerank(mode, documents, self.interests, history if self.net is not None else None, self.encoder, self.net)
+                self.analytics = self.systems.analytics(self.previous, history)
+        done = rerank(mode, documents, self.interests, history if self.net is not None else None, self.encoder, self.net, systems=self.systems)
         self.faults = faults.unionByName(done.faults)
         self.previous = materialize(done.ranked.select(*REQUEST, *[c for c in PREVIOUS if c in done.ranked.columns])) if mode.personalized else None
         return outcomes(done.ranked, mode)

@@ -18,7 +18,7 @@ from tessera.operators import listnet as ln
 from tessera.operators import phrase_state as ps
 from tessera.plans import derived
 from tessera.plans.ranker import Ranker, mapped
-from tessera.plans.rerank import Mode, Reranker, feedback_faults, outcomes, rerank
+from tessera.plans.rerank import Mode, Reranker, Systems, feedback_faults, outcomes, rerank
 from tessera.sources import scratch, tables
 
 from .test_models_and_plans import piece
@@ -66,6 +66,22 @@ def test_network_failure_is_a_fault(spark, sf_dir):
     assert {r[0] for r in done.ranked.select("ltr_score").collect()} == {0.5}
 
 
+def test_systems_can_be_exchanged(spark, sf_dir):
+    docs, history = first_request(spark, sf_dir)
+    bare = docs.drop("embedding").withColumns({"title": F.col("id"), "snippet": F.lit(""), "query_words": F.lit("q")})
+    systems = Systems(
+        embed=lambda d: d.join(docs.select("id", "embedding"), "id"), similarity=lambda d, e: d.withColumn("similarity", F.lit(0.25)),
+        ltr=lambda d, h, n, s: d.withColumn("ltr_score", F.col("rank") / 20.0), context=lambda d: d.withColumn("context", F.col("ltr_score") + F.col("similarity")),
+    )
+    done = rerank(Mode.PERSONALIZED_SEARCH, bare, derived.interests(spark, sf_dir), systems=systems)
+    assert [(r["rank"], r["context"]) for r in done.ranked.orderBy("final_rank").collect()] == [(k, pytest.approx(k / 20 + 0.25)) for k in range(19, -1, -1)]
+    told = []
+    service = Reranker(derived.interests(spark, sf_dir), systems=Systems(learn=lambda i, e, c: told.append(e.count()) or i, analytics=lambda p, h: p.limit(1)))
+    for _ in range(2):
+        service.rerank(Mode.PERSONALIZED_NEWS, history, docs, F.lit(NOW).cast("timestamp"))
+    assert told == [20] and service.analytics.count() == 1
+
+
 def test_outcomes_are_aligned_with_documents(spark, sf_dir):
     docs, _ = first_request(spark, sf_dir)
     ranked = rerank(Mode.PERSONALIZED_NEWS, docs, derived.interests(spark, sf_dir)).ranked
