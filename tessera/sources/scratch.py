@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -35,9 +35,12 @@ def clear_scratch(spark: SparkSession) -> None:
 _AT_EXIT: set[str] = set()
 
 
-def _clear_at_exit(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended, and its folder is then the cluster's to clear
+def _clear_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
         clear_scratch(spark)
+    except Exception:  # the session has ended: what the driver can't reach itself is the cluster's to clear
+        if folder.startswith("file://"):
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     folder = _own_folder(spark)
     if folder not in _AT_EXIT:
         _AT_EXIT.add(folder)
-        atexit.register(_clear_at_exit, spark)
+        atexit.register(_clear_at_exit, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
