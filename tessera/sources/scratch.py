@@ -39,7 +39,7 @@ def _clear_at_exit(spark: SparkSession, folder: str) -> None:
     try:
         clear_scratch(spark)
     except Exception:  # the session has ended: what the driver can't reach itself is the cluster's to clear
-        if folder.startswith("file://"):
+        if "://" not in folder or folder.startswith("file://"):
             shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
