@@ -36,8 +36,9 @@ SMALL_GROUP = 8
 #: Rounds over the subsets with many sets: so many of the closest partners of each set first, then so many times as many
 #: (None: all that are left).
 CLOSEST = (2, 8)
-#: Sets in a block of a subset: a sixteenth of the subset within these.
-BLOCK = (512, 8192)
+#: Sets in a block of a subset: a sixteenth of the subset within these. Smaller subsets are one block, so that nothing is
+#: copied for them.
+BLOCK = (8192, 65_536)
 ANSWERS, ASKS, BOTH = 0, 1, 2
 _STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
