@@ -353,16 +353,19 @@ def _partners(num: int, den: int, q: tuple[np.ndarray, ...], m: tuple[np.ndarray
                 continue
             words = int(min(wq, wm))
             x, y = (_folded([side[2][k] for k in at], words) for side, at in ((q, i), (m, j)))
-            step = max(1, 4_000_000 // (len(j) * words))
+            # a part of the bitmaps differs no more than all of it: most pairs need no further look
+            head, top = -(-words // 4), int(most(q[1][i].max(), m[1][j].max()))
+            step = max(1, 2_000_000 // (len(j) * words))
             for s in range(0, len(i), step):
                 some = i[s : s + step]
-                na, nb = q[1][some][:, None], m[1][j][None, :]
-                gap = np.zeros((len(some), len(j)), np.int64)
-                for w in range(words):
-                    gap += np.bitwise_count(x[s : s + step, w][:, None] ^ y[:, w][None, :])
-                ok = (gap <= most(na, nb)) & (num * na <= den * nb) & (num * nb <= den * na) & (q[0][some][:, None] != m[0][j][None, :])
-                a, b = np.nonzero(ok)
-                yield some[a], j[b], gap[a, b]
+                part = np.zeros((len(some), len(j)), np.uint32)
+                for w in range(head):
+                    part += np.bitwise_count(x[s : s + step, w][:, None] ^ y[:, w][None, :])
+                a, b = np.nonzero(part <= top)
+                gap = part[a, b].astype(np.int64) + np.bitwise_count(x[s + a, head:] ^ y[b, head:]).sum(1, dtype=np.int64)
+                na, nb = q[1][some[a]], m[1][j[b]]
+                ok = (gap <= most(na, nb)) & (num * na <= den * nb) & (num * nb <= den * na) & (q[0][some[a]] != m[0][j[b]])
+                yield some[a[ok]], j[b[ok]], gap[ok]
 
 
 def _cross(num: int, den: int, most_each: int | None):
@@ -378,7 +381,8 @@ def _cross(num: int, den: int, most_each: int | None):
             return
         t = pa.Table.from_batches(held)
         sig, i, j, role, fp, comp, n = (t.column(c).to_numpy() for c in ("sig", "i", "j", "role", "fp", "comp", "n"))
-        bits = t.column("bits")
+        # one array: from chunks, each take would join all of them again
+        bits = t.column("bits").cast(pa.large_binary()).combine_chunks()
         order = np.lexsort((fp, j, i, sig))
         new = np.ones(len(order), bool)
         new[1:] = (sig[order][1:] != sig[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,47 @@ def test_ngram_join_closest_rounds_lose_nothing(spark, monkeypatch, closest):
     assert got == groups(sets, links)
 
 
+def blocks_of_subsets(subsets, each, seed=4):
+    """Rows of blocks as _cross gets them, and the sets by fingerprint."""
+    rnd = np.random.default_rng(seed)
+    sets, rows = {}, []
+    for s in range(subsets):
+        base = rnd.integers(0, 1 << 62, 300).astype(np.uint64)
+        for _ in range(each):
+            h = base.copy()
+            h[rnd.integers(0, 300, rnd.integers(0, 60))] = rnd.integers(0, 1 << 62)
+            h, fp = np.unique(h[: rnd.integers(200, 301)]), len(sets)
+            sets[fp] = h
+            rows.append((s, 0, 0, ngram_join.BOTH, fp, fp, len(h), ngram_join.bitmap(h)))
+    names = ["sig", "i", "j", "role", "fp", "comp", "n", "bits"]
+    return sets, pa.table([pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names=names)
+
+
+def test_ngram_join_blocks_pair_by_bitmaps():
+    sets, t = blocks_of_subsets(4, 40)
+    got = {p for b in ngram_join._cross(85, 100, None)(iter(t.to_batches(max_chunksize=7))) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    size = {f: len(h) for f, h in sets.items()}
+    bits = {f: ngram_join.bitmap(h) for f, h in sets.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 40 == b // 40 and 85 * max(size[a], size[b]) <= 100 * min(size[a], size[b])]
+    low = ngram_join.least_difference([bits[a] for a, _ in pairs], [bits[b] for _, b in pairs])
+    assert got == {(a, b) for (a, b), d in zip(pairs, low.tolist(), strict=True) if d <= (size[a] + size[b]) * 15 // 185} and got
+
+
+def test_ngram_join_blocks_in_many_batches():
+    """A task's time follows from its rows, not from its subsets times its bytes."""
+    rows = [(k // 2, 0, 0, ngram_join.ASKS if k % 2 else ngram_join.ANSWERS, k, k, 20 if k % 2 else 10, bytes(4096)) for k in range(4000)]
+    names = ["sig", "i", "j", "role", "fp", "comp", "n", "bits"]
+    t = pa.table([pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names=names)
+
+    def took(batches):
+        start = time.process_time()
+        assert sum(b.num_rows for b in ngram_join._cross(85, 100, None)(iter(batches))) == 0
+        return time.process_time() - start
+
+    one = took(t.combine_chunks().to_batches())
+    assert took(t.to_batches(max_chunksize=50)) < 2.5 * one + 0.5
+
+
 # --- 2 --------------------------------------------------------------------------------------------
 
 
