@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bound_batches, materialize, mix, powers, spread
+from .common import U64, bound_batches, materialize, mix, powers, spread, tidy
 
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
@@ -215,7 +215,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         sizes = F.broadcast(sizes)
     chosen = rows.select(lang_col, text_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("_u")).join(sizes, F.col(lang_col) == F.col("_lang"))
     chosen = chosen.filter(F.col("_u") < part).select(lang_col, text_col)
-    counts = chosen.mapInArrow(_counter, "lang string, kind int, entry long, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(tidy(_counter), "lang string, kind int, entry long, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     t = counts.toArrow()  # entries of the sample
     if not t.num_rows:
         return Model([], {})
@@ -249,7 +249,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     names = [c for c in docs.columns if c != text_col]
     plain = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string", "score double"])
-    out = plain.mapInArrow(run, fields)
+    out = plain.mapInArrow(tidy(run), fields)
     own = [F.col("_text").alias(text_col) if c == text_col else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
     return out.select(*own, "lang_pred", "score")
 

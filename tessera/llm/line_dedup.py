@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import VERSION, bound_batches, join_keys, materialize, partitions, with_versions
+from .common import VERSION, bound_batches, join_keys, materialize, partitions, tidy, with_versions
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -123,7 +123,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # by shuffle at any size: a broadcast that fits small tables would only change the plan where it counts
     full = plain.join(packed.hint("merge"), ["_id", "_version"], "left").select("_text", "late", *[f"c{i}" for i in range(len(others))])
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in full.schema[2:]] + ["_kept string, _n_lines long, _n_removed long, _n_runs long"])
-    out = full.mapInArrow(_cutter, schema)
+    out = full.mapInArrow(tidy(_cutter), schema)
     own = [F.col("_kept").alias(c) if c == text_col else F.col(f"c{others.index(c)}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     return out.select(*own, *[F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs")])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, bound_batches, chunks, deal, join_keys, materialize, mix, partitions, runs, spans_of, spread, text_bytes, unpack, word_hashes
+from .common import U64, batch, bound_batches, chunks, deal, join_keys, materialize, mix, partitions, runs, spans_of, spread, text_bytes, tidy, unpack, word_hashes
 from .components import connected_components
 
 BROADCAST_IDS = 1_000_000
@@ -470,8 +470,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     bands = Bands(num, den)
     n_parts = min(60_000, 4 * partitions(spark))
-    blocks = texts.mapInArrow(_mapper(n, bands, n_parts), "part int, blob binary")
-    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(_reducer, "kind int, a long, b long, c long"))
+    blocks = texts.mapInArrow(tidy(_mapper(n, bands, n_parts)), "part int, blob binary")
+    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(tidy(_reducer), "kind int, a long, b long, c long"))
     documents = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("fp"))
     sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc"), F.count("*").alias("copies")))
     pairs = found.filter("kind = 1").select("a", "b").distinct()
@@ -482,7 +482,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     some = texts.join(needed, texts["_id"] == needed["doc"]).select("fp", "n", "_text")
-    some = materialize(some.mapInArrow(_sketcher(n), "fp long, n long, text string, bits binary"))
+    some = materialize(some.mapInArrow(tidy(_sketcher(n)), "fp long, n long, text string, bits binary"))
 
     def verified(able: DataFrame) -> DataFrame:
         ends = able.select(F.col("a").alias("fp")).unionByName(able.select(F.col("b").alias("fp"))).distinct()
@@ -490,15 +490,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             ends = F.broadcast(ends)
         own = some.join(ends, "fp", "left_semi")
         side = lambda x: own.select(F.col("fp").alias(x), F.col("text").alias(f"t{x}"))
-        return materialize(able.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_verifier(n, num, den), "a long, b long"))
+        return materialize(able.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(tidy(_verifier(n, num, den)), "a long, b long"))
 
     side = lambda x: some.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_sieve(num, den), "a long, b long"))
+    tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidy(_sieve(num, den)), "a long, b long"))
     comps = connected_components(verified(tested))
     most_each, bits = CLOSEST[0], some.select("fp", "n", "bits")
     while True:
-        cross = materialize(_blocks(many, comps, bits).mapInArrow(_cross(num, den, most_each), "a long, b long, sig long"))
+        cross = materialize(_blocks(many, comps, bits).mapInArrow(tidy(_cross(num, den, most_each)), "a long, b long, sig long"))
         fresh = materialize(cross.filter("sig is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         more = verified(fresh)
         if more.limit(1).count():

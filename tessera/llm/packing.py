@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, chunks, materialize, prefix_hashes, runs, span_hashes, spread, text_bytes, word_spans
+from .common import bound_batches, chunks, materialize, prefix_hashes, runs, span_hashes, spread, text_bytes, tidy, word_spans
 
 BROADCAST_COUNTS = 1_000_000
 
@@ -292,7 +292,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     more = ", ids array<int>" if with_ids else ""
     schema = f"id long, piece int, start long, length long, ids_crc32 long{more}"
     numbered = f"id long, piece int, start long, length long, ids_crc32 long, task int, k long{more}"
-    pieces = materialize(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), numbered))
+    pieces = materialize(texts.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id, with_ids)), numbered))
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = materialize(counts.select("length", "task", "n", before.alias("before")))
@@ -301,4 +301,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     if counts.count() <= BROADCAST_COUNTS:
         starts = F.broadcast(starts)
     placed = pieces.join(starts, ["length", "task"]).select(*[f.strip().split(" ")[0] for f in schema.split(", ")], "before", "k")
-    return placed.mapInArrow(_placer(best_fit_decreasing(totals, capacity)), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidy(_placer(best_fit_decreasing(totals, capacity))), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, embedding_dedup, imatch, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, url_filters
+from tessera.llm.common import tidy
 from tessera.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, _text string, fp long"
@@ -584,6 +586,20 @@ def test_url_filters_hosts_and_rules(spark):
     assert not any(r["blocked"] for r in url_filters.filter_urls(caps, entries.limit(0)).collect())
 
 
+def test_tasks_give_freed_memory_back():
+    anon = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    kept = []
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(1000)]  # 96 MB, in pieces that stand on the heap
+        kept.append(np.ones(12_000))
+        yield from batches
+        assert len(held) == 1000
+
+    before = anon()
+    assert list(tidy(run)(iter([]))) == [] and anon() - before < 40
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
