@@ -13,7 +13,9 @@ are independent of each other. The strings of one anchor occurrence overlap and
 
 An anchor with very many different stretches (a passage that many documents share, each going on in its own way) would
 be one block's work: its strings are dealt on by their own hash, which again depends on the string alone, into as many
-blocks as its bytes ask for.
+blocks as their bytes ask for once every string stands alone, the most that this can come to. Pieces that are equal as a
+whole are settled as stretches are, in the task that cuts them and again in the block, so that a string which all
+stretches share isn't one block's work either.
 
 Cases: a null id leaves the row out; null and empty texts have no bytes and the hash of nothing; repeated rows (same id
 and text) are one place, so that they don't remove each other, and each gets the same result; rows with the same id and
@@ -28,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, VERSION, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, unpack, with_versions
+from .common import U64, VERSION, batch, bound_batches, chunks, deal, materialize, mix, partitions, prefix_hashes, runs, span_hashes, spans_of, spread, text_bytes, tidy, unpack, with_versions
 
 GRAM = 32
 _POS = U64((1 << 28) - 1)
 #: Bytes of a text that are looked at together, and of one anchor's stretches from which its strings are dealt on.
 WINDOW = 1 << 26
 HOT_BYTES = 1 << 21
+#: Bytes of such an anchor's pieces that are held to be settled before they go on.
+HELD_BYTES = 1 << 23
 BROADCAST_ROWS = 1_000_000
 
 
@@ -265,7 +270,28 @@ def repeated_starts(parts: list[bytes], ids: np.ndarray, starts: np.ndarray, len
     return where[later], start[later]
 
 
-_CUT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
+#: size 0: a stretch or piece for its key's transform; else a repeat, bytes [start, start + size)
+_CUT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("text", pa.binary())])
+
+
+class Settler:
+    """The earliest place of each piece (key, text), and the later ones, which are repeats throughout."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.first: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.repeats: list[tuple[int, int, int]] = []
+        self.bytes = 0
+
+    def add(self, key: int, text: bytes, place: tuple[int, int]) -> None:
+        now = self.first.setdefault((key, text), place)
+        if now is place:
+            self.bytes += len(text)
+        elif now != place:  # a repeated row has the same place
+            self.first[key, text] = min(now, place)
+            self.repeats.append((*max(now, place), len(text)))
 
 
 def _deal_on(raw: bytes, parts: int, length: int) -> list[tuple[int, int, int]]:
@@ -280,10 +306,19 @@ def _deal_on(raw: bytes, parts: int, length: int) -> list[tuple[int, int, int]]:
 def _cutter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches asked of each document; those of anchors in several blocks by the blocks of their strings."""
+        dealt = Settler()
+
+        def settled():
+            # repeats need no block: any key of their own will do
+            late = [(int(mix(np.array([i], np.int64).view(U64)).view(np.int64)[0]), i, s, n, None) for i, s, n in dealt.repeats]
+            out = [*late, *((k, *place, 0, text) for (k, text), place in dealt.first.items())]
+            dealt.clear()
+            return batch(_CUT, *([x[c] for x in out] for c in range(5)))
+
         for b in batches:
             data, off = text_bytes(b.column(1))
             raw = data.tobytes()
-            ids, base = b.column(0).to_numpy(), b.column(2).to_numpy()
+            ids, base = b.column(0).to_pylist(), b.column(2).to_numpy()
             out: list[tuple] = []
             for k, want in enumerate(b.column(3).to_pylist()):
                 for w in want:
@@ -292,12 +327,15 @@ def _cutter(length: int):
                     at = off[k] + w["start"] - base[k]
                     text = raw[at : at + w["size"]]
                     if w["parts"] == 1:
-                        out.append((w["key"], ids[k], w["start"], text))
-                    else:
-                        for p, i, j in _deal_on(text, w["parts"], length):
-                            key = int(mix(np.array([w["key"]], np.int64).view(U64) + U64(p + 1)).view(np.int64)[0])
-                            out.append((key, ids[k], w["start"] + i, text[i:j]))
-            yield batch(_CUT, *([x[c] for x in out] for c in range(4)))
+                        out.append((w["key"], ids[k], w["start"], 0, text))
+                        continue
+                    keys = mix(np.array([w["key"]], np.int64).view(U64) + np.arange(1, w["parts"] + 1, dtype=U64)).view(np.int64)
+                    for p, i, j in _deal_on(text, w["parts"], length):
+                        dealt.add(int(keys[p]), text[i:j], (ids[k], w["start"] + i))
+                    if dealt.bytes + 24 * len(dealt.repeats) >= HELD_BYTES:
+                        yield settled()
+            yield batch(_CUT, *([x[c] for x in out] for c in range(5)))
+        yield settled()
 
     return run
 
@@ -305,22 +343,29 @@ def _cutter(length: int):
 def _expander(length: int, limit: int = 1 << 17):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors arrive in order; as many as fit in limit bytes share a transform, and one anchor is never split."""
-        held: list[tuple[int, int, int, bytes]] = []
-        size = 0
+        held, last = Settler(), None
+
+        def spans(ids, start, size):
+            return batch(_SPANS, np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64), ids, start, size)
 
         def work():
-            ids, start = repeated_starts([h[3] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]), length)
-            return batch(_SPANS, np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64), ids, start, np.full(len(ids), length))
+            yield spans(*([x[c] for x in held.repeats] for c in range(3)))
+            ids, starts = (np.array([p[c] for p in held.first.values()], np.int64) for c in range(2))
+            ids, start = repeated_starts([text for _, text in held.first], ids, starts, length)
+            yield spans(ids, start, np.full(len(ids), length))
+            held.clear()
 
         for b in batches:
-            for k, i, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= limit and k != held[-1][0]:
-                    yield work()
-                    held, size = [], 0
-                held.append((k, i, s, t))
-                size += len(t)
-        if held:
-            yield work()
+            late = b.filter(pc.greater(b.column(3), 0))
+            if late.num_rows:
+                yield spans(late.column(1), late.column(2), late.column(3))
+            for k, i, s, t in zip(*(c.to_pylist() for c in b.filter(pc.equal(b.column(3), 0)).select(["key", "id", "start", "text"]).columns), strict=True):
+                if held.bytes >= limit and k != last:
+                    yield from work()
+                held.add(k, t, (i, s))
+                last = k
+        if held.first:
+            yield from work()
 
     return run
 
@@ -391,18 +436,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts, repeats = with_versions(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"))
     place = np.int64 if repeats else np.uint32
     n_parts = min(60_000, 4 * partitions(spark))
-    blocks = texts.mapInArrow(_mapper(length, n_parts, place), "part int, blob binary")
-    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(_reducer(length, place), "kind int, key long, id long, start long, size long"))
+    blocks = texts.mapInArrow(tidy(_mapper(length, n_parts, place)), "part int, blob binary")
+    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(tidy(_reducer(length, place)), "kind int, key long, id long, start long, size long"))
     mixed = found.filter("kind = 1")
-    hot = mixed.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > HOT_BYTES).select("key", F.ceil(F.col("bytes") / HOT_BYTES).cast("int").alias("parts"))
-    hot = materialize(hot)
+    alone = F.sum((F.col("size") - length + 1) * length)  # bytes of the strings, each by itself
+    hot = mixed.groupBy("key").agg(F.sum("size").alias("bytes"), alone.alias("alone")).filter(F.col("bytes") > HOT_BYTES)
+    hot = materialize(hot.select("key", F.greatest(F.ceil(F.col("alone") / HOT_BYTES), F.lit(2)).cast("int").alias("parts")))
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     asked = mixed.join(hot, "key", "left").groupBy("id").agg(F.collect_list(F.struct("key", "start", "size", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("want"))
-    cut = texts.join(asked, "id").select("id", "text", "base", "want").mapInArrow(_cutter(length), "key long, id long, start long, text binary")
-    late = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_expander(length), "kind int, key long, id long, start long, size long")
+    cut = texts.join(asked, "id").select("id", "text", "base", "want").mapInArrow(tidy(_cutter(length)), "key long, id long, start long, size long, text binary")
+    late = cut.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_expander(length)), "kind int, key long, id long, start long, size long")
     spans = found.filter("kind = 0").select("id", "start", "size").unionByName(late.select("id", "start", "size"))
-    merged = materialize(spans.repartition("id").mapInArrow(_merge, "id long, spans binary"))
+    merged = materialize(spans.repartition("id").mapInArrow(tidy(_merge), "id long, spans binary"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, removed array<long>" if with_text else "")
-    out = texts.join(merged, "id", "left").select("id", "text", "spans", "base").mapInArrow(_keeper(with_text), schema)
+    out = texts.join(merged, "id", "left").select("id", "text", "spans", "base").mapInArrow(tidy(_keeper(with_text)), schema)
     return out.withColumnRenamed("id", id_col)

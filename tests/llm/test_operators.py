@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, on small tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -685,6 +686,37 @@ def test_suffix_dedup_hot_anchors_and_windows(spark, monkeypatch):
     assert [(p[0], len(p), o.tolist(), at) for p, o, at in pieces] == [(0, 249, [0, 249], 0), (150, 249, [0, 249], 150), (44, 100, [0, 100], 300)]
 
 
+def test_suffix_dedup_hot_anchors_blocks_are_bounded(spark, monkeypatch, tmp_path):
+    """Strings dealt on come to more bytes than their stretches; one that all share comes many times."""
+    bound = 20_000
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", bound)
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(120)
+    rows = [(i, text(50) + passage + text(50)) for i in range(400)]
+    expander, plain = suffix_dedup._expander, suffix_dedup.repeated_starts
+
+    def watched(length):
+        run = expander(length, 1)
+
+        def seen(parts, *rest):
+            with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+                f.write(f"{sum(map(len, parts))}\n")
+            return plain(parts, *rest)
+
+        def task(batches):
+            run.__globals__["repeated_starts"] = seen
+            yield from run(batches)
+
+        return task
+
+    monkeypatch.setattr(suffix_dedup, "_expander", watched)
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(make(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_repeats(rows, 100)
+    sizes = [int(x) for f in tmp_path.iterdir() for x in f.read_text().split()]
+    assert len(sizes) > 1 and max(sizes) < 2 * bound
+
+
 @pytest.mark.parametrize("length", [64, 256, 290, 400])
 def test_suffix_dedup_any_length(spark, length):
     rnd = random.Random(length)
