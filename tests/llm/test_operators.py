@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, embedding_dedup, imatch, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, url_filters
-from tessera.llm.common import tidy
+from tessera.llm.common import materialize, tidy
 from tessera.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, _text string, fp long"
@@ -601,6 +601,23 @@ def test_tasks_give_freed_memory_back():
     assert list(tidy(run)(iter([]))) == [] and anon() - before < 40
 
 
+def test_materialize_gives_back_what_the_driver_has_freed(spark):
+    pid = int(spark._jvm.org.apache.spark.util.Utils.getProcessName().split("@")[0])
+    anon = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    field = spark._jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    native, size = field.get(None), 100_000
+    materialize(spark.range(10))
+    before = anon()
+    held = [native.allocateMemory(size) for _ in range(3000)]  # 286 MB of the JVM outside its heap
+    for at in held:
+        native.setMemory(at, size, 1)
+    for at in held[:-1]:
+        native.freeMemory(at)
+    assert materialize(spark.range(10)).count() == 10 and anon() - before < 140
+    native.freeMemory(held[-1])
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
