@@ -195,19 +195,28 @@ def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every run of bytes other than 0x20 and 0x09-0x0D; no word crosses rows."""
-    word = ~_SPACE[data]
-    first = np.zeros(len(data), dtype=bool)
+    return class_spans(~_SPACE[data], off)
+
+
+def class_spans(word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of marked bytes; no run crosses rows."""
+    first = np.zeros(len(word), dtype=bool)
     rows = off[:-1][np.diff(off) > 0]
     first[rows] = True
-    before = np.empty(len(data), dtype=bool)
-    if len(data):
+    before = np.empty(len(word), dtype=bool)
+    if len(word):
         before[0] = False
         before[1:] = word[:-1]
     start = np.flatnonzero(word & (~before | first))
-    last = np.ones(len(data), dtype=bool)
-    if len(data):
+    last = np.ones(len(word), dtype=bool)
+    if len(word):
         last[:-1] = ~word[1:] | first[1:]
     end = np.flatnonzero(word & last) + 1
     row = np.searchsorted(off, start, side="right") - 1

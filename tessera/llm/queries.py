@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import conversation_report
 from .common import read
+from .divergence import divergence
 from .embedding_dedup import near_vectors
 from .imatch import edit_report
 from .language_id import languages
@@ -17,6 +18,7 @@ from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
 from .url_filters import filter_pages
+from .whitening import whitening_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,4 +162,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT h.page_id, h.host, CAST(h.fetched AS VARCHAR) AS fetched, coalesce(s.n, 0) AS n_rules, coalesce(s.c, '') AS categories, s.n IS NOT NULL AS blocked
         FROM hosts h LEFT JOIN sums s ON s.page_id = h.page_id
     """,
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents),
+        terms AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        sizes AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k ON k.lang = g.lang GROUP BY g.lang),
+        counts AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM terms t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+        totals AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM groups g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+        shares AS (
+            SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (t.n + 5 * s.v) AS p
+            FROM totals t JOIN sizes s ON s.lang = t.lang JOIN kept k ON k.lang = t.lang
+            LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        whole AS (
+            SELECT s.lang, s.term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(s.n) + 5)) // (any_value(w.n) + 5 * any_value(z.v)) AS q
+            FROM shares s JOIN (SELECT lang, sum(n) AS n FROM totals GROUP BY lang) w ON w.lang = s.lang JOIN sizes z ON z.lang = s.lang
+            GROUP BY s.lang, s.term),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+            GROUP BY a.lang, a.source, b.source),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        over AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, s.p - w.q AS value FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.n > 0 AND s.p > w.q),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
