@@ -6,10 +6,12 @@ p = 1 + floor(10**9 (count + 5) / (N + 5 V)), an integer, and the language gives
 
 The difference of two groups is summed over all kept terms, also those that neither has, by a heavy-light split:
 
+A pair of groups starts with the number of kept terms times the difference of their shares of a missing term.
+
 * **Heavy** terms, present in many groups, go into dense numpy tiles: a tile is a block of terms against two blocks of
-  sources, filled with the groups' shares of a missing term and then with what there is.
-* **Light** terms are sparse. A pair of groups starts with the light terms' number times the difference z of their shares
-  of a missing term. What a group's own light terms change against a group without them depends on their shares alone, so
+  sources, filled with the groups' shares of a missing term and then with what there is. Its sum replaces the start of
+  those of its terms that one of the sources has.
+* **Light** terms are sparse, and only change the start. What a group's own light terms change against a group without them depends on their shares alone, so
   that a histogram of shares, handled in the tile, is enough. Where both groups have a term, its posting list of at most
   ``light_groups`` groups gives a correction to each pair of them, summed in the task.
 
@@ -118,10 +120,11 @@ def _tile(t: pa.Table) -> pa.Table:
     lang, i, j, side = (t.column(c)[0].as_py() for c in ("lang", "i", "j", "side"))
     own = kind == 0
     order = np.argsort(idx[own])
-    ids, z, light = idx[own][order], p[own][order], m[own][order]
+    ids, z = idx[own][order], p[own][order]
     at = np.searchsorted(ids, idx)
     left, right = np.flatnonzero(ids // side == i), np.flatnonzero(ids // side == j)
-    out = light.max(initial=0) * np.abs(z[left][:, None] - z[right])
+    apart = np.abs(z[left][:, None] - z[right])
+    out = m[own].max(initial=0) * apart
     heavy = kind == 1
     if heavy.any():
         code = t.column("term").filter(pa.array(heavy)).combine_chunks().dictionary_encode()
@@ -129,6 +132,7 @@ def _tile(t: pa.Table) -> pa.Table:
         dense[at[heavy], code.indices.to_numpy()] = p[heavy]
         for row, s in enumerate(left):
             out[row] += np.abs(dense[right] - dense[s]).sum(axis=1)
+        out -= len(code.dictionary) * apart
     sparse = kind == 2
     for one, other, turned in ((left, right, False), (right, left, True)):
         mine = sparse & np.isin(at, one)
@@ -198,15 +202,15 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     groups = groups.join(langs, "lang", "left").join(spread_over, "lang", "left").join(of_group, ["lang", "idx"], "left").withColumns(zero("terms", "lang_n", "n_heavy", "n_hist", "group_n"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n_heavy") / tile_terms), F.ceil(F.col("n_hist") / (64 * tile_terms)))
     z = F.coalesce(_share(F.lit(0), "group_n", "terms"), F.lit(0).cast("long"))
-    groups = materialize(groups.withColumns({"tiles": tiles.cast("int"), "z": z, "blocks": F.ceil(F.col("size") / side).cast("int"), "n_light": F.col("terms") - F.col("n_heavy")}))
+    groups = materialize(groups.withColumns({"tiles": tiles.cast("int"), "z": z, "blocks": F.ceil(F.col("size") / side).cast("int")}))
     shares = kept.join(groups.select("lang", "idx", "terms", "group_n", "lang_n", "z", "tiles", "blocks"), ["lang", "idx"])
     shares = shares.withColumns({"p": _share("n", "group_n", "terms"), "q": _share("q_n", "lang_n", "terms")})
 
     # pairs of sources
     none, no_term = F.lit(0).cast("long"), F.lit(None).cast("string")
     chunk = lambda *by: F.pmod(F.xxhash64(*by), F.col("tiles")).cast("int")
-    parts = groups.select("lang", "idx", "blocks", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("chunk"), F.lit(0).alias("kind"), no_term.alias("term"), F.col("z").alias("p"), "n_light")
-    parts = parts.select("lang", "idx", "blocks", "chunk", "kind", "term", "p", F.when(F.col("chunk") == 0, F.col("n_light")).otherwise(none).alias("m"))
+    parts = groups.select("lang", "idx", "blocks", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("chunk"), F.lit(0).alias("kind"), no_term.alias("term"), F.col("z").alias("p"), "terms")
+    parts = parts.select("lang", "idx", "blocks", "chunk", "kind", "term", "p", F.when(F.col("chunk") == 0, F.col("terms")).otherwise(none).alias("m"))
     dense = shares.filter("heavy").select("lang", "idx", "blocks", chunk("term").alias("chunk"), F.lit(1).alias("kind"), "term", "p", none.alias("m"))
     light = shares.filter(~F.col("heavy"))
     hist = light.groupBy("lang", "idx", "blocks", "tiles", "p").agg(F.count("*").alias("m"))

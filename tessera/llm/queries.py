@@ -16,6 +16,7 @@ from .line_dedup import line_report
 from .mixing import mix_documents
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
+from .secret_scan import secret_report
 from .suffix_dedup import remove_repeats
 from .url_filters import filter_pages
 from .whitening import whitening_report
@@ -82,6 +83,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(read(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
