@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.layers import PhraseScorer
 from ..functions.wordpiece import Encoder
-from ..operators import phrase_state
-from ..operators.interests import INTERESTS, Config, assign, learn
+from ..operators.interests import Config
 from ..operators.keyphrase import extract
 from ..operators.ranking import rank_documents
+from ..operators.user_state import advance, interests_of, no_states, phrases_of, states_of
+from ..sources.scratch import materialize
 from ..sources.tables import load_state, save_state
 
 
@@ -30,34 +31,51 @@ def mapped(documents: DataFrame, id: str = "id", embedding: str = "embedding", p
 
 @dataclass
 class Ranker:
-    """State is two tables, interests and phrases; every method that changes it replaces them by new plans.
+    """State is a table with a row for each user, written after every method that changes it.
 
     Reactions are user_id, seq, event_id, feedback (0 relevant, 1 irrelevant, 2 not given), embedding, at and candidates
     (an array of phrases) or a snippet, whose phrases are extracted; views are user_id, seq, event_id, feedback, embedding,
-    seconds, at.
+    seconds, at. Events of a call are taken one after the other: each finds interests and phrases as those before left
+    them. keep_stale: whether leftover phrases keep the relevance they had (``operators.phrase_book``).
     """
 
-    interests: DataFrame
-    phrases: DataFrame
+    state: DataFrame
     encoder: Encoder
     config: Config = Config()
     phrase_encoder: Encoder | None = None
     scorer: PhraseScorer | None = None
     most_phrases: int | None = None
     least_score: float | None = None
+    keep_stale: bool = True
 
     @classmethod
     def empty(cls, spark, encoder: Encoder, config: Config = Config(), **more) -> Ranker:  # noqa: B008
-        return cls(spark.createDataFrame([], INTERESTS), spark.createDataFrame([], phrase_state.PHRASES), encoder, config, **more)
+        return cls(no_states(spark), encoder, config, **more)
+
+    @classmethod
+    def of(cls, interests: DataFrame, phrases: DataFrame, encoder: Encoder, config: Config = Config(), **more) -> Ranker:  # noqa: B008
+        """A ranker that begins with interests and phrases from elsewhere."""
+        return cls(materialize(states_of(interests, phrases)), encoder, config, **more)
+
+    @property
+    def interests(self) -> DataFrame:
+        return interests_of(self.state)
+
+    @property
+    def phrases(self) -> DataFrame:
+        return phrases_of(self.state)
 
     def save(self, folder: str) -> None:
-        """Interests and phrases, each a versioned table."""
-        save_state(self.interests, f"{folder}/interests")
-        save_state(self.phrases, f"{folder}/phrases")
+        """The users' state, a versioned table."""
+        save_state(self.state, f"{folder}/users")
 
     @classmethod
     def restore(cls, spark, folder: str, encoder: Encoder, config: Config = Config(), **more) -> Ranker:  # noqa: B008
-        return cls(load_state(spark, f"{folder}/interests"), load_state(spark, f"{folder}/phrases", phrases=True), encoder, config, **more)
+        """From what was saved, also as two tables, interests and phrases, as earlier versions did."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/users")
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return cls(spark.read.parquet(f"{folder}/users").drop("schema_version"), encoder, config, **more)
+        return cls.of(load_state(spark, f"{folder}/interests"), load_state(spark, f"{folder}/phrases", phrases=True), encoder, config, **more)
 
     def _with_candidates(self, reactions: DataFrame) -> DataFrame:
         if "candidates" in reactions.columns:
@@ -69,25 +87,26 @@ class Ranker:
         lists = found.groupBy("_k").agg(F.collect_list("phrase").alias("candidates"))
         return keyed.join(lists, "_k", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>"))).drop("_k")
 
+    def _advance(self, events: DataFrame) -> DataFrame:
+        encoder = self.encoder
+        done = materialize(advance(self.state, events, lambda words: encoder.encode([words])[0], self.config, self.keep_stale))
+        self.state = done.drop("shown")
+        return done
+
     def log_reactions(self, reactions: DataFrame) -> None:
         """Relevant reactions teach positive interests and their phrases, irrelevant ones negative interests."""
         kind = F.when(F.col("feedback") == 0, "like").when(F.col("feedback") == 1, "dislike")
-        events = self._with_candidates(reactions).withColumn("kind", kind).filter("kind is not null").withColumn("seconds", F.lit(0.0))
-        self.interests = learn(self.interests, events.select("user_id", "seq", "event_id", "kind", "embedding", "seconds", "at"), self.config)
-        liked = events.filter("kind = 'like'").select("user_id", "embedding", "candidates")
-        met = assign(liked, self.interests).filter("coi_id is not null")
-        encoder = self.encoder
-        encode = lambda words: encoder.encode([words])[0]
-        self.phrases = phrase_state.update(self.phrases, met.select("user_id", "coi_id", "candidates"), self.interests, encode, self.config)
+        self._advance(self._with_candidates(reactions).withColumn("kind", kind).filter("kind is not null"))
 
     def log_views(self, views: DataFrame) -> None:
         """Viewing time goes to the closest positive interest unless the document was found irrelevant."""
-        events = views.filter("feedback <> 1").withColumn("kind", F.lit("view"))
-        self.interests = learn(self.interests, events.select("user_id", "seq", "event_id", "kind", "embedding", "seconds", "at"), self.config)
+        self._advance(views.filter("feedback <> 1").withColumn("kind", F.lit("view")))
 
     def rank(self, documents: DataFrame, as_of: Column) -> DataFrame:
         return rank_documents(documents, self.interests, as_of, self.config)
 
     def select_top_key_phrases(self, top: int, as_of: Column) -> DataFrame:
-        chosen, self.phrases = phrase_state.take_top(self.phrases, self.interests, as_of, top, self.config)
-        return chosen
+        """-> user_id, position, coi_id, words, score: each user's best phrases, which count as shown from now on."""
+        shows = self.state.select("user_id", F.lit(0).alias("seq"), F.lit("show").alias("event_id"), F.lit("show").alias("kind"), F.lit(top).alias("top"), as_of.alias("at"))
+        done = self._advance(shows)
+        return done.select("user_id", F.inline("shown")).select("user_id", "position", "coi_id", "words", "score")
