@@ -138,6 +138,9 @@ ORACLE_SQL["user_action_inference"] = f"""
     SELECT user_id, hist_pos, CASE WHEN relevance > 0 THEN 2
         WHEN coalesce(max(relevance) OVER (PARTITION BY user_id, run ORDER BY hist_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) > 0 THEN 1 ELSE 0 END AS inferred_action
     FROM b"""
+ORACLE_SQL["history_runs_by_segments"] = ORACLE_SQL["history_runs"]
+ORACLE_SQL["user_action_inference_by_segments"] = ORACLE_SQL["user_action_inference"]
+ORACLE_SQL["clicks_so_far"] = f"WITH {HIST} SELECT user_id, hist_pos, count(*) FILTER (action >= 3) OVER (PARTITION BY user_id ORDER BY hist_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clicks FROM hist"
 ORACLE_SQL["feedback_classification"] = f"WITH {HIST} SELECT user_id, count(*) FILTER (relevance = 0 AND user_feedback IN (1, 2)) AS n_negative, count(*) FILTER (NOT (relevance = 0 AND user_feedback IN (1, 2))) AS n_positive FROM hist GROUP BY user_id"
 ORACLE_SQL["last_query_start"] = f"""
     WITH {HIST}, e AS (SELECT user_id, arg_max(session, hist_pos) AS s, arg_max(query_count, hist_pos) AS q FROM hist GROUP BY user_id)
@@ -362,6 +365,9 @@ sync_append: polarity s, coi_pos b, coi_id s, view_count b
 history_actions: user_id b, hist_pos b, action b, clicked t, n_terms b
 history_runs: user_id b, hist_pos b, run_id b, click_index b, run_clicks b
 user_action_inference: user_id b, hist_pos b, inferred_action b
+history_runs_by_segments: user_id b, hist_pos b, run_id b, click_index b, run_clicks b
+user_action_inference_by_segments: user_id b, hist_pos b, inferred_action b
+clicks_so_far: user_id b, hist_pos b, clicks b
 feedback_classification: user_id b, n_negative b, n_positive b
 last_query_start: user_id b, start b
 mrr_by_url: user_id b, url s, mrr d, mrr_miss d, mrr_skip d, mrr_click d

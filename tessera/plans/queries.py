@@ -18,6 +18,8 @@ from ..operators import keyphrase as kp
 from ..operators import phrase_state as ps
 from ..operators import ranking as rk
 from ..operators import samples as sm
+from ..operators import segments as sg
+from ..operators import user_state as us
 from ..operators.listnet import ListNet, listnet_scores
 from ..sources.scratch import materialize
 from . import derived as d
@@ -117,6 +119,24 @@ def user_action_inference(spark, sf_dir):
     return hs.infer_actions(d.history(spark, sf_dir)).select("user_id", "hist_pos", "inferred_action")
 
 
+@query
+def history_runs_by_segments(spark, sf_dir):
+    """Runs of histories too long for a task each; here segments of forty results."""
+    return sg.with_runs(hs.with_actions(d.history(spark, sf_dir)), 40).select("user_id", "hist_pos", "run_id", "click_index", "run_clicks")
+
+
+@query
+def user_action_inference_by_segments(spark, sf_dir):
+    return sg.infer_actions(d.history(spark, sf_dir), 40).select("user_id", "hist_pos", "inferred_action")
+
+
+@query
+def clicks_so_far(spark, sf_dir):
+    """How many clicks each result's user made before it."""
+    h = hs.with_actions(d.history(spark, sf_dir))
+    return sg.cumulative_sum(h, F.col("clicked").cast("long"), "clicks", 40).select("user_id", "hist_pos", "clicks")
+
+
 @query
 def feedback_classification(spark, sf_dir):
     return d.history(spark, sf_dir).groupBy("user_id").agg(F.sum(hs.is_negative().cast("int")).alias("n_negative"), F.sum((~hs.is_negative()).cast("int")).alias("n_positive"))
@@ -391,6 +411,29 @@ def coi_merge(spark, sf_dir):
     return _shown(it.merge(_learned(spark, sf_dir)))
 
 
+def _advanced(spark, sf_dir):
+    """Forty vectors are a user's reactions, one after the other, with phrases; now and then phrases are shown."""
+    e = d.table(spark, sf_dir, "embeddings")
+    at = F.expr("vec_id % 40")
+    kind = F.when(at % 10 == 9, "show").when(F.col("label") < 7, "like").when(F.col("label") < 9, "dislike").otherwise("view")
+    words = F.array(F.concat(F.lit("topic "), "label"), F.concat(F.lit("word "), F.col("vec_id") % 7), F.concat(F.lit("thing! "), F.col("vec_id") % 3))
+    events = e.select(F.expr("vec_id div 40").alias("user_id"), F.col("vec_id").cast("long").alias("seq"), F.col("vec_id").cast("string").alias("event_id"), kind.alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), words.alias("candidates"), F.lit(5.0).alias("seconds"), F.lit(3).alias("top"), F.timestamp_seconds(F.col("vec_id") * 3600 + 1_700_000_000).alias("at"))
+    encoder = NgramEncoder(64)
+    return us.advance(us.no_states(spark), events, lambda words: encoder.encode([words])[0])
+
+
+@query
+def reactions_in_order(spark, sf_dir):
+    """Phrases of interests as reactions and showings, one after the other, have left them."""
+    rows = _advanced(spark, sf_dir).select("user_id", F.posexplode("phrases").alias("place", "p"))
+    return rows.select("user_id", "place", "p.coi_id", "p.words", "p.standing", _r("p.relevance").alias("relevance"))
+
+
+@query
+def phrases_shown_in_order(spark, sf_dir):
+    return _advanced(spark, sf_dir).select("user_id", F.inline("shown")).withColumn("score", _r("score"))
+
+
 @query
 def kp_mmr_select(spark, sf_dir):
     """Each hundred vectors are a user's phrases, the first of a label its interest: an interest has few phrases at any size."""
