@@ -21,12 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch, beyond which it takes no further row.
+BATCH_BYTES = 4 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of at most so many rows from now on, as rows may hold long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of at most so many rows and about BATCH_BYTES from now on, as rows may hold long texts."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        number = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < number <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:

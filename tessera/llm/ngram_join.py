@@ -368,6 +368,20 @@ def _partners(num: int, den: int, q: tuple[np.ndarray, ...], m: tuple[np.ndarray
                 yield some[a[ok]], j[b[ok]], gap[ok]
 
 
+#: Pairs that a task of two blocks holds before it keeps the closest ones only, or passes them on.
+HELD_PAIRS = 1_000_000
+
+
+def _closest(found: list[tuple[np.ndarray, ...]], names: np.ndarray, most_each: int) -> tuple[tuple[np.ndarray, ...], bool]:
+    """(query, member, gap): each query's closest partners (ties by name), and whether there were more."""
+    q, m, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+    o = np.lexsort((names[m], gap, q))
+    starts, group = runs(q[o])
+    near = np.arange(len(o)) - starts[group] < most_each
+    o = o[near]
+    return (q[o], m[o], gap[o]), not near.all()
+
+
 def _cross(num: int, den: int, most_each: int | None):
     """Pairs (fingerprints) of the sets of two blocks of a subset, the asking ones with those that answer.
 
@@ -375,6 +389,11 @@ def _cross(num: int, den: int, most_each: int | None):
     """
     schema = pa.schema([*_PAIRS, ("sig", pa.int64())])
 
+    def passed(found: list, mine: np.ndarray, theirs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for q, m, _ in found:
+            x, y = mine[q], theirs[m]
+            yield batch(schema, np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not sum(b.num_rows for b in held):
@@ -386,7 +405,6 @@ def _cross(num: int, den: int, most_each: int | None):
         order = np.lexsort((fp, j, i, sig))
         new = np.ones(len(order), bool)
         new[1:] = (sig[order][1:] != sig[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
-        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         left: set[int] = set()
         for s, e in spans_of(np.flatnonzero(new), len(order)):
             at = order[s:e]
@@ -394,21 +412,28 @@ def _cross(num: int, den: int, most_each: int | None):
             if not len(who[0]) or not len(who[1]):
                 continue
             sides = [(comp[w], n[w], bits.take(pa.array(w)).to_pylist()) for w in who]
-            found = [np.concatenate(x) for x in zip(*_partners(num, den, *sides), strict=True)] or [np.zeros(0, np.int64)] * 3
-            if not len(found[0]):
-                continue
-            q, m, gap = found
-            if most_each is not None:
-                o = np.lexsort((fp[who[1][m]], gap, q))
-                starts, group = runs(q[o])
-                near = np.arange(len(o)) - starts[group] < most_each
-                if not near.all():
+            mine, theirs = fp[who[0]], fp[who[1]]
+            found, size = [], 0
+            for part in _partners(num, den, *sides):
+                found.append(part)
+                size += len(part[0])
+                if size < HELD_PAIRS:
+                    continue
+                if most_each is None:
+                    yield from passed(found, mine, theirs)
+                    found, size = [], 0
+                else:
+                    kept, more = _closest(found, theirs, most_each)
+                    found, size = [kept], len(kept[0])
+                    if more:
+                        left.add(int(sig[at[0]]))
+            if found and most_each is not None:
+                kept, more = _closest(found, theirs, most_each)
+                found = [kept]
+                if more:
                     left.add(int(sig[at[0]]))
-                q, m = q[o[near]], m[o[near]]
-            x, y = fp[who[0][q]], fp[who[1][m]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        p = np.unique(np.concatenate(out), axis=0)
-        yield batch(schema, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()))
+            if found:
+                yield from passed(found, mine, theirs)
         yield batch(schema, pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int64()), list(left))
 
     return run
@@ -435,7 +460,7 @@ def _blocks(many: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
         F.array(spot(F.col("own"), F.col("own"), F.when(asks, BOTH).otherwise(ANSWERS))), F.transform(others, lambda x: spot(x, F.col("own"), F.lit(ANSWERS))),
         F.transform(F.when(asks, others).otherwise(F.array().cast("array<int>")), lambda x: spot(F.col("own"), x, F.lit(ASKS))),
     )
-    return rows.select("sig", "fp", "comp", "n", "bits", F.explode(spots).alias("s")).select("sig", "s.i", "s.j", "s.role", "fp", "comp", "n", "bits").repartition("sig", "i", "j")
+    return rows.select("sig", "fp", "comp", "n", "bits", F.explode(spots).alias("s")).select("sig", "s.i", "s.j", "s.role", "fp", "comp", "n", "bits").repartition(partitions(many.sparkSession), "sig", "i", "j")
 
 
 def _verifier(n: int, num: int, den: int):
@@ -471,7 +496,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     bands = Bands(num, den)
     n_parts = min(60_000, 4 * partitions(spark))
     blocks = texts.mapInArrow(tidy(_mapper(n, bands, n_parts)), "part int, blob binary")
-    found = materialize(blocks.repartition(F.pmod("part", F.lit(n_parts))).mapInArrow(tidy(_reducer), "kind int, a long, b long, c long"))
+    found = materialize(blocks.repartition(partitions(spark), F.pmod("part", F.lit(n_parts))).mapInArrow(tidy(_reducer), "kind int, a long, b long, c long"))
     documents = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("fp"))
     sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc"), F.count("*").alias("copies")))
     pairs = found.filter("kind = 1").select("a", "b").distinct()
