@@ -28,13 +28,17 @@ KEEP = 0.8
 
 
 def _packed(docs: DataFrame, *own: str) -> DataFrame:
-    """The rows as one column, so that no column of theirs clashes with an operator's, and the columns it reads."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+    """The rows but for their texts as one column, so that no column of theirs clashes with an operator's, and what it reads.
+
+    The text is always among that: it goes along once.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), *own)
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     """The columns of docs from rows, some of them changed."""
-    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    own = lambda c: F.col("text") if c == "text" else F.col("row").getField(c)
+    return rows.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of two or more lines, and the lines of over 50 words, that occur before; those with nothing else left go."""
     out = remove_repeated_lines(_packed(docs, "doc_id", "text"), min_lines=2, long_words=LONG_WORDS)
     left = out.filter("n_removed < n_lines or n_removed = 0")
-    return _unpacked(left, docs, text=F.col("text"), n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))
+    return _unpacked(left, docs, n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
