@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,33 +56,9 @@ def tidy(run: Task) -> Task:
     return tidied
 
 
-def release_driver(spark: SparkSession) -> None:
-    """Give back what the driver's Python and its JVM outside the heap have freed: threads of many queries leave much of it."""
-    release()
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-
-    def array(kind, *values):
-        out = gateway.new_array(kind, len(values))
-        for k, v in enumerate(values):
-            out[k] = v
-        return out
-
-    lang, manage = jvm.java.lang, jvm.javax.management
-    try:
-        kinds = [lang.Class.forName(k) for k in ("javax.management.MBeanServer", "javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
-        # by the interface, as the server's own class isn't open
-        invoke = kinds[0].getMethod("invoke", array(lang.Class, *kinds[1:]))
-        command = manage.ObjectName("com.sun.management:type=DiagnosticCommand")
-        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, command, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
-    except Py4JError:  # before Java 17.0.9, or not glibc
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back; what the driver has freed goes back to the system."""
-    out = scratch.materialize(df)
-    release_driver(df.sparkSession)
-    return out
+def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back; narrow as for scratch.materialize."""
+    return scratch.materialize(df, narrow)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,14 +76,14 @@ def with_versions(texts: DataFrame) -> tuple[DataFrame, bool]:
     """
     h = F.xxhash64("text")
     ids = texts.groupBy("id").agg(F.count("*").alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).filter("n > 1")
-    ids = materialize(ids.select("id", F.expr("lo <> hi").alias("differ")))
+    ids = materialize(ids.select("id", F.expr("lo <> hi").alias("differ")), narrow=True)
     none = F.lit(0).cast("long")
     if not ids.limit(1).count():
         return texts.withColumn("base", none), False
     if not ids.filter("differ").limit(1).count():
         return texts.withColumn("base", none), True
     versions = texts.select("id", h.alias("h")).join(ids.filter("differ").select("id"), "id").distinct()
-    versions = materialize(versions.select("id", "h", ((F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1) * F.lit(VERSION)).alias("base")))
+    versions = materialize(versions.select("id", "h", ((F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1) * F.lit(VERSION)).alias("base")), narrow=True)
     return texts.withColumn("h", h).join(versions, ["id", "h"], "left").select(*texts.columns, F.coalesce("base", none).alias("base")), True
 
 

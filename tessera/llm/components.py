@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbour is found by an aggregation that starts before the shuffle, and the edges of a node with a large share of
     them meet it in several tasks. The number of steps grows with the logarithm of the longest chain.
     """
-    now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
     while (total := _open(now)) is not None:
-        now = materialize(_step(_step(now, True, 2 * total), False, 2 * total).distinct())
+        now = materialize(_step(_step(now, True, 2 * total), False, 2 * total).distinct(), narrow=True)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

@@ -181,7 +181,7 @@ def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str, lea
     rows = docs.select(names(lang_col).alias("lang"), names(source_col).alias("source"), F.col(f"`{text_col}`").alias("text"))
     by_lang = Window.partitionBy("lang")
     groups = rows.select("lang", "source").distinct().withColumn("size", F.count("*").over(by_lang)).withColumn("idx", F.row_number().over(by_lang.orderBy("source")).cast("long") - 1)
-    groups = materialize(groups)
+    groups = materialize(groups, narrow=True)
     counts = rows.mapInArrow(tidy(_counter), "lang string, source string, term string, n long, docs long")
     term = Window.partitionBy("lang", "term")
     sums = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -202,7 +202,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     groups = groups.join(langs, "lang", "left").join(spread_over, "lang", "left").join(of_group, ["lang", "idx"], "left").withColumns(zero("terms", "lang_n", "n_heavy", "n_hist", "group_n"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n_heavy") / tile_terms), F.ceil(F.col("n_hist") / (64 * tile_terms)))
     z = F.coalesce(_share(F.lit(0), "group_n", "terms"), F.lit(0).cast("long"))
-    groups = materialize(groups.withColumns({"tiles": tiles.cast("int"), "z": z, "blocks": F.ceil(F.col("size") / side).cast("int")}))
+    groups = materialize(groups.withColumns({"tiles": tiles.cast("int"), "z": z, "blocks": F.ceil(F.col("size") / side).cast("int")}), narrow=True)
     shares = kept.join(groups.select("lang", "idx", "terms", "group_n", "lang_n", "z", "tiles", "blocks"), ["lang", "idx"])
     shares = shares.withColumns({"p": _share("n", "group_n", "terms"), "q": _share("q_n", "lang_n", "terms")})
 
@@ -222,7 +222,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     sums = rows.groupBy("lang", "i", "j", "chunk").applyInArrow(_tile, pair_type)
     lists = light.groupBy("lang", "term").agg(F.collect_list(F.struct("idx", "p", "z")).alias("groups")).filter(F.size("groups") > 1)
     fixes = lists.select("lang", "groups").mapInArrow(_postings, pair_type)
-    pairs = materialize(sums.unionByName(fixes).groupBy("lang", "a", "b").agg(F.sum("v").alias("value")))
+    pairs = materialize(sums.unionByName(fixes).groupBy("lang", "a", "b").agg(F.sum("v").alias("value")), narrow=True)
     both = pairs.unionByName(pairs.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     named = lambda key, name: groups.select("lang", F.col("idx").alias(key), F.col("source").alias(name))
     both = both.join(named("a", "source"), ["lang", "a"]).join(named("b", "item"), ["lang", "b"])

@@ -143,7 +143,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = max(1, min(MOST_PARTS, stats["n"] // (RANGES * BUCKET_ROWS)))
     rows = rows.withColumn("bucket", _bucket(F.col("id"), bounds, parts))
     # at most (RANGES + 2) * MOST_PARTS buckets; the one before each follows within its quantile range, or from the ranges' ends
-    firsts = materialize(rows.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("range", F.floor(F.col("bucket") / parts)))
+    firsts = materialize(rows.groupBy("bucket").agg(F.min("id").alias("id")).withColumn("range", F.floor(F.col("bucket") / parts)), narrow=True)
     ends = [r["last"] for r in firsts.groupBy("range").agg(F.max("bucket").alias("last")).orderBy("range").collect()]  # at most RANGES + 2
     at = F.size(F.filter(_longs([e // parts for e in ends]), lambda r: r <= F.col("range")))
     before = F.coalesce(F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket")), F.element_at(_longs(ends[-1:] + ends[:-1]), at))

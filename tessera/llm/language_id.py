@@ -207,7 +207,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Learned on about sample_rows rows in equal parts, or lang_rows for each language if that is more; a language with fewer gives all."""
     bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = materialize(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows")))
+    sizes = materialize(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows")), narrow=True)
     n_langs = sizes.count()
     most = max(lang_rows, sample_rows // max(n_langs, 1))
     part = F.floor(F.lit(most * (1 << 30)) / F.col("_rows")).cast("long")  # of 1 << 30; all rows of a language that has no more

@@ -45,7 +45,7 @@ def _lines(texts: DataFrame, long_words: int | None) -> DataFrame:
 
 def _ranked(keys: DataFrame, on: list[str]) -> DataFrame:
     """Distinct keys with their numbers in order: sorted by ranges, counted on within each."""
-    return materialize(keys.repartitionByRange(partitions(keys.sparkSession), *on).sortWithinPartitions(*on).withColumn("rank", F.monotonically_increasing_id()))
+    return materialize(keys.repartitionByRange(partitions(keys.sparkSession), *on).sortWithinPartitions(*on).withColumn("rank", F.monotonically_increasing_id()), narrow=True)
 
 
 def _tied(rows: DataFrame, on: list[str], *more: Column) -> DataFrame:
@@ -77,10 +77,10 @@ def late_places(texts: DataFrame, min_lines: int, long_words: int | None = None)
     tied, depth = _tied(rows, ["a", "b"], *([_first()] if min_lines == 1 else [])), 1
     while depth < min_lines:
         tied = tied.select("id", "pos", "rank")
-        tied = materialize(tied.distinct() if repeats and depth == 1 else tied)
+        tied = materialize(tied.distinct() if repeats and depth == 1 else tied, narrow=True)
         step = min(depth, min_lines - depth)
         depth += step
-        tied = _tied(materialize(_doubled(tied, step)), ["r1", "r2"], *([_first()] if depth == min_lines else []))
+        tied = _tied(materialize(_doubled(tied, step), narrow=True), ["r1", "r2"], *([_first()] if depth == min_lines else []))
     return places(tied, min_lines) if found is None else places(tied, min_lines).unionByName(found)
 
 
@@ -115,7 +115,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     version = F.floor(F.col("pos") / VERSION)
     late = late_places(texts, min_lines, long_words)
     packed = late.groupBy("id", version.alias("version")).agg(F.collect_list(F.struct(F.pmod("pos", F.lit(VERSION)).alias("pos"), "size")).alias("late"))
-    packed = materialize(packed.withColumnRenamed("id", "_id").withColumnRenamed("version", "_version"))
+    packed = materialize(packed.withColumnRenamed("id", "_id").withColumnRenamed("version", "_version"), narrow=True)
     others = [c for c in docs.columns if c != text_col]
     plain = rows.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     based, _ = with_versions(plain.select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.struct("*").alias("_row")))

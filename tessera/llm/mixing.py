@@ -206,7 +206,7 @@ def mix_tempered(docs: DataFrame, margins: Mapping[str, Column], power: float =
     """docs in the sample, drawn to shares in proportion to a power of each margin value's tokens; null keeps its share."""
     keys = [f"_m{i}" for i in range(len(margins))]
     marked = _marked(docs, [F.coalesce(m.cast("string"), F.lit(OTHER)) for m in margins.values()], n_tokens(F.col(text_col)), id_col, seed)
-    cells = materialize(marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).filter("n > 0"))
+    cells = materialize(marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).filter("n > 0"), narrow=True)
     n_cells = cells.count()
     if not n_cells:
         known = cells.select(*keys, F.lit(float(keep)).alias("_p"), F.lit(1.0).alias("_w"))

@@ -445,9 +445,9 @@ def _blocks(many: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
     A subset whose sets are all in one component has no rows. Sets outside the largest component ask: in their block i
     they go to every block j, and every set of block j to every block i.
     """
-    placed = materialize(many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("component", "fp").alias("comp")))
+    placed = materialize(many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("component", "fp").alias("comp")), narrow=True)
     sizes = placed.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    open_ = materialize(sizes.groupBy("sig").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1"))
+    open_ = materialize(sizes.groupBy("sig").agg(F.sum("c").alias("n"), F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1"), narrow=True)
     total = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
     blocks = open_.select("sig", "n", "main", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
@@ -498,7 +498,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     blocks = texts.mapInArrow(tidy(_mapper(n, bands, n_parts)), "part int, blob binary")
     found = materialize(blocks.repartition(partitions(spark), F.pmod("part", F.lit(n_parts))).mapInArrow(tidy(_reducer), "kind int, a long, b long, c long"))
     documents = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("fp"))
-    sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc"), F.count("*").alias("copies")))
+    sets = materialize(documents.filter("n > 0").groupBy("fp", "n").agg(F.min("id").alias("doc"), F.count("*").alias("copies")), narrow=True)
     pairs = found.filter("kind = 1").select("a", "b").distinct()
     many = found.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
 
@@ -519,12 +519,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     side = lambda x: some.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidy(_sieve(num, den)), "a long, b long"))
+    tested = materialize(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidy(_sieve(num, den)), "a long, b long"), narrow=True)
     comps = connected_components(verified(tested))
     most_each, bits = CLOSEST[0], some.select("fp", "n", "bits")
     while True:
         cross = materialize(_blocks(many, comps, bits).mapInArrow(tidy(_cross(num, den, most_each)), "a long, b long, sig long"))
-        fresh = materialize(cross.filter("sig is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        fresh = materialize(cross.filter("sig is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), narrow=True)
         more = verified(fresh)
         if more.limit(1).count():
             # what is known goes on as its stars
@@ -536,11 +536,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         many = many.join(left, "sig", "left_semi")
         most_each = None if CLOSEST[1] is None else most_each * CLOSEST[1]
 
-    class_of = materialize(sets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")))
-    least = materialize(class_of.groupBy("class").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")))
+    class_of = materialize(sets.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")), narrow=True)
+    least = materialize(class_of.groupBy("class").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")), narrow=True)
     total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     named = join_keys(class_of.select("class", "fp", F.col("n").alias("size"), "copies"), least, ["class"], F.col("fp"), total)
-    named = materialize(named.select("fp", "size", "component_id", F.col("copies").alias("n")))
+    named = materialize(named.select("fp", "size", "component_id", F.col("copies").alias("n")), narrow=True)
     plain = documents.filter("n > 0").withColumnRenamed("n", "size")
     out = join_keys(plain, named, ["fp", "size"], F.xxhash64("id"), total).select("id", "size", "component_id")
     none = documents.filter("n = 0").select("id", F.col("n").alias("size"), F.col("id").alias("component_id"))
