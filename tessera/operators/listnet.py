@@ -109,6 +109,28 @@ class ListNet:
         }
         return g, kl_divergence(target, out)
 
+    def sums(self, x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+        """Sums of the gradients (flat) and divergences of samples: x [samples, documents, features], target [samples, documents]."""
+        p = self.params
+        z1 = self._layer("dense1", x)
+        y1 = np.maximum(z1, 0)
+        z2 = self._layer("dense2", y1)
+        y2 = np.maximum(z2, 0)
+        s = self._layer("scores", y2)[..., 0]
+        out = softmax(self._layer("prob_dist", s))
+        d_out = (out - target) * ((out >= EPSILON32) & (out <= 1))
+        d_s = d_out @ p["prob_dist/weights"].T
+        d2 = (d_s[..., None] * p["scores/weights"][:, 0]) * ~np.signbit(z2)
+        d1 = (d2 @ p["dense2/weights"].T) * ~np.signbit(z1)
+        wide = lambda a, b: np.tensordot(a, b, axes=(range(a.ndim - 1), range(b.ndim - 1)))
+        g = {
+            "prob_dist/weights": wide(s, d_out), "prob_dist/bias": d_out.sum(axis=0),
+            "scores/weights": wide(y2, d_s[..., None]), "scores/bias": d_s.sum(keepdims=True).reshape(1),
+            "dense2/weights": wide(y1, d2), "dense2/bias": d2.sum(axis=(0, 1)),
+            "dense1/weights": wide(x, d1), "dense1/bias": d1.sum(axis=(0, 1)),
+        }
+        return ListNet(g).flat(), kl_divergence(target, out)
+
     def step(self, gradients: dict[str, np.ndarray], rate: float) -> ListNet:
         return ListNet({k: v - rate * gradients[k] for k, v in self.params.items()})
 
@@ -179,7 +201,14 @@ def split_samples(samples: DataFrame, evaluation: float = 0.2) -> tuple[DataFram
     at = n - round(n * evaluation)
     if at >= n:
         return samples, samples.limit(0)
-    bound = samples.select("sample_id").sort("sample_id").offset(at).limit(1).first()[0]
+    # ids by ranges, whose sizes are counted: the one at the split is read from its range
+    ids = samples.select("sample_id").repartitionByRange("sample_id").sortWithinPartitions("sample_id").withColumn("_k", F.monotonically_increasing_id())
+    ids = materialize(ids)
+    for r in ids.groupBy(F.shiftright("_k", 33).alias("part")).count().orderBy("part").collect():  # one row a partition
+        if at < r["count"]:
+            bound = ids.filter(F.col("_k") == (r["part"] << 33) + at).first()["sample_id"]
+            break
+        at -= r["count"]
     return samples.filter(F.col("sample_id") < bound), samples.filter(F.col("sample_id") >= bound)
 
 
@@ -190,9 +219,9 @@ def _sums(net: ListNet, samples: DataFrame) -> tuple[np.ndarray, float, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, total, cost, n = ListNet(params), 0, 0.0, 0
         for b in batches:
-            for r in b.itertuples(index=False):
-                g, c = own.gradients(np.array([list(v) for v in r.inputs], float), np.asarray(r.target, float))
-                total, cost, n = total + ListNet(g).flat(), cost + c, n + 1
+            if len(b):
+                g, c = own.sums(np.array([np.stack(v) for v in b["inputs"]], float), np.stack(b["target"]).astype(float))
+                total, cost, n = total + g, cost + c, n + len(b)
         if n:
             yield pd.DataFrame({"g": [total], "cost": [cost], "n": [n]})
 

@@ -17,9 +17,10 @@ CALL = f"rerank_mode int, histories array<struct<{HISTORY.replace(' ', ':').repl
 STATE_VERSION = 3
 
 
-def synthetic_id(base: Column, sub_id: Column, second: int = 0xD006A685) -> Column:
-    """A 128-bit id in UUID form: second, fixed middle, and two numbers."""
-    return F.format_string("%08x-eb92-4d36-%04x-%012x", F.lit(second), base.bitwiseAND(F.lit(0xFFFF)), sub_id.bitwiseAND(F.lit((1 << 48) - 1)))
+def synthetic_id(sub_id: Column, second: Column | int = 0xD006A685) -> Column:
+    """A 128-bit id in UUID form: a second number of 32 bits, a fixed middle, and a number of 64 bits."""
+    second = second if isinstance(second, Column) else F.lit(second).cast("long")
+    return F.format_string("%08x-eb92-4d36-%04x-%012x", second.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(sub_id, 48), sub_id.bitwiseAND(F.lit((1 << 48) - 1)))
 
 
 def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +31,7 @@ def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
     ok = F.when(F.col("position") < 1, F.raise_error(F.lit("positions start at 1")).cast("int")).otherwise(F.col("position") - 1)
     return raw.select(
         "user_id", place.cast("long").alias("hist_pos"), F.col("session_id").alias("session"), F.col("query_counter").alias("query_count"), "query_id", F.replace("query_words", F.lit(","), F.lit(" ")).alias("query_words"), "url", "domain",
-        (F.col("day") % 7).alias("day"), "relevance", F.lit(2).alias("user_feedback"), ok.alias("rank"), synthetic_id(F.col("session_id"), F.col("query_counter") * 256 + F.col("position")).alias("id"),
+        (F.col("day") % 7).alias("day"), "relevance", F.lit(2).alias("user_feedback"), ok.alias("rank"), synthetic_id(F.col("user_id"), place.cast("long")).alias("id"),
     )
 
 
