@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vector import dot, l2_distance
 
@@ -223,10 +224,18 @@ def merge_closest(cois: list[Coi]) -> list[Coi]:
 
 
 def merge(interests: DataFrame) -> DataFrame:
+    """Closest interests merged, user by user; only users who have a close pair are folded, the others stay."""
+    from ..sources.scratch import materialize
+
     def of_user(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return to_rows(key[0], merge_closest(from_rows(rows, "pos")), merge_closest(from_rows(rows, "neg")))
 
-    return interests.groupBy("user_id").applyInPandas(of_user, INTERESTS)
+    names = [c.split(" ")[0] for c in INTERESTS.split(", ")]
+    rows = interests.select(*names)
+    able = materialize(close_pairs(rows).select("user_id").distinct())
+    merged = rows.join(able, "user_id", "left_semi").groupBy("user_id").applyInPandas(of_user, INTERESTS)
+    place = F.row_number().over(Window.partitionBy("user_id", "polarity").orderBy("coi_pos")) - 1
+    return merged.unionByName(rows.join(able, "user_id", "left_anti").withColumn("coi_pos", place.cast("int")).select(*names))
 
 
 def append_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -241,8 +250,29 @@ def synchronize(local: DataFrame, remote: DataFrame) -> DataFrame:
     return merge(append_remote(local, remote))
 
 
-def close_pairs(interests: DataFrame, below: float = MERGE_DISTANCE) -> DataFrame:
-    """-> user_id, polarity, id0 < id1, distance of interests nearer to each other than ``below``."""
-    one = lambda k: interests.select("user_id", "polarity", F.col("coi_id").alias(f"id{k}"), F.col("point").alias(f"p{k}"))
-    pairs = one(0).join(one(1), ["user_id", "polarity"]).filter("id0 < id1")
-    return pairs.select("user_id", "polarity", "id0", "id1", l2_distance(F.col("p0"), F.col("p1")).alias("distance")).filter(F.col("distance") < below)
+def close_pairs(interests: DataFrame, below: float = MERGE_DISTANCE, most_pivots: int = 32, every: int = 64) -> DataFrame:
+    """-> user_id, polarity, id0 < id1, distance of interests nearer to each other than ``below``.
+
+    The interests of a user and polarity are dealt to pivots, some of them by a hash: one for each ``every``, at most
+    most_pivots. An interest is at home with its nearest pivot and a guest of those it could have a partner with: by the
+    triangle inequality a partner at home with another pivot is nearer to that one than 2 * below plus the distance from
+    home. At a pivot two interests meet only if their distances from it differ by less than below, in bands of that width,
+    and are compared only if this holds for every pivot.
+    """
+    key = ["user_id", "polarity"]
+    few = interests.select(*key, "coi_id", F.transform("point", lambda x: x.cast("double")).alias("point"))
+    sizes = few.groupBy(*key).agg(F.least(F.lit(most_pivots), F.ceil(F.count("*") / every)).cast("int").alias("k"))
+    placed = few.select(*key, "coi_id", "point", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("coi_id"), "coi_id")).alias("n"))
+    pivots = placed.join(sizes, key).filter("n <= k").groupBy(*key).agg(F.collect_list("point").alias("pivots"))
+    rows = few.join(pivots, key).withColumn("gaps", F.transform("pivots", lambda p: l2_distance(F.col("point"), p))).drop("pivots")
+    rows = rows.withColumn("home", F.array_position("gaps", F.array_min("gaps")).cast("int") - 1)
+    homes = rows.withColumn("cell", F.col("home")).withColumn("gap", F.element_at("gaps", F.col("home") + 1))
+    band = F.floor(F.col("gap") / below)
+    # a guest goes to pivots before its home only: a pair of two homes meets once
+    visits = F.filter(F.transform("gaps", lambda g, i: F.struct(i.alias("cell"), g.alias("gap"))), lambda v: (v["cell"] < F.col("home")) & (v["gap"] <= F.array_min("gaps") + 2 * below))
+    guests = homes.select(*key, "coi_id", "point", "gaps", "home", "cell", "gap").unionByName(rows.withColumn("v", F.explode(visits)).select(*key, "coi_id", "point", "gaps", "home", "v.cell", "v.gap"))
+    hosts = homes.select(*key, "cell", band.alias("band"), F.col("coi_id").alias("a"), F.col("point").alias("pa"), F.col("gaps").alias("ga"))
+    guests = guests.select(*key, "cell", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("coi_id").alias("b"), F.col("point").alias("pb"), F.col("gaps").alias("gb"), "home")
+    met = hosts.join(guests, [*key, "cell", "band"]).filter(((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b"))) & F.forall(F.arrays_zip("ga", "gb"), lambda g: F.abs(g["ga"] - g["gb"]) < below))
+    pairs = met.select(*key, F.least("a", "b").alias("id0"), F.greatest("a", "b").alias("id1"), l2_distance(F.col("pa"), F.col("pb")).alias("distance"))
+    return pairs.filter((F.col("distance") < below) & (F.col("id0") != F.col("id1")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,16 +34,25 @@ def current_and_past(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return rows.filter("_q = _last").drop("_q", "_last"), rows.filter("_q < _last").drop("_q", "_last")
 
 
+#: The requests are dealt to so many users in turn.
+USERS = 4
+
+
+def user_of(id: str) -> Column:
+    """The user of a vector's request."""
+    return F.expr(f"({id} div 20) % {USERS}").cast("long")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as documents of requests of twenty, all of one user."""
+    """Embeddings as documents of requests of twenty, of several users."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.lit(0).cast("long").alias("user_id"), F.expr("vec_id div 20").alias("request_id"), (F.col("vec_id") % 20).cast("int").alias("doc_pos"), F.col("vec_id").alias("id"), (F.col("vec_id") % 20).cast("int").alias("rank"), "embedding", "label")
+    return e.select(user_of("vec_id").alias("user_id"), F.expr("vec_id div 20").alias("request_id"), (F.col("vec_id") % 20).cast("int").alias("doc_pos"), F.col("vec_id").alias("id"), (F.col("vec_id") % 20).cast("int").alias("rank"), "embedding", "label")
 
 
 def interests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first embedding of each label; labels up to 4 are liked, the others disliked."""
-    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("point"))
+    """Each user's first embedding of each label; labels up to 4 are liked, the others disliked."""
+    e = table(spark, sf_dir, "embeddings").groupBy(user_of("vec_id").alias("user_id"), "label").agg(F.min_by("embedding", "vec_id").alias("point"))
     return e.select(
-        F.lit(0).cast("long").alias("user_id"), F.when(F.col("label") < 5, "pos").otherwise("neg").alias("polarity"), F.col("label").cast("int").alias("coi_pos"), F.format_string("coi%02d", "label").alias("coi_id"),
+        "user_id", F.when(F.col("label") < 5, "pos").otherwise("neg").alias("polarity"), F.col("label").cast("int").alias("coi_pos"), F.format_string("coi%02d", "label").alias("coi_id"),
         F.transform("point", lambda x: x.cast("double")).alias("point"), (F.col("label") + 1).cast("long").alias("view_count"), (F.col("label") * 10.0).alias("view_time"), F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.col("label") * 86400 * 3).alias("last_view"),
     )

@@ -42,14 +42,14 @@ ORACLE_SQL["vec_softmax_kl"] = f"""
     p AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS p, y / sum(y) OVER (PARTITION BY vec_id) AS q FROM e)
     SELECT vec_id, round(max(p) FILTER (i = 1), 6) AS p1, round(sum(p * ln(p / q)), 6) AS kl FROM p GROUP BY vec_id"""
 COIS = """
-    firsts AS (SELECT label, arg_min(embedding, vec_id) AS point FROM embeddings GROUP BY label),
-    cois AS (SELECT label, CAST(point AS DOUBLE[]) AS point, CASE WHEN label < 5 THEN 'pos' ELSE 'neg' END AS polarity, 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, label + 1 AS view_count, label * 10.0 AS view_time, label * 3 AS days FROM firsts)"""
+    firsts AS (SELECT (vec_id // 20) % 4 AS user_id, label, arg_min(embedding, vec_id) AS point FROM embeddings GROUP BY ALL),
+    cois AS (SELECT user_id, label, CAST(point AS DOUBLE[]) AS point, CASE WHEN label < 5 THEN 'pos' ELSE 'neg' END AS polarity, 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, label + 1 AS view_count, label * 10.0 AS view_time, label * 3 AS days FROM firsts)"""
 DECAY = "greatest(0, (exp(-3.0) - exp(-0.1 * {days})) / (exp(-3.0) - 1 - 1.1920928955078125e-07))"
 ORACLE_SQL["vec_cosine_topk"] = f"""
-    WITH {COIS}, p AS (SELECT e.vec_id AS id, c.label AS coi_pos, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point), 6) AS cosine FROM embeddings e, cois c)
+    WITH {COIS}, p AS (SELECT e.vec_id AS id, c.label AS coi_pos, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point), 6) AS cosine FROM embeddings e JOIN cois c ON c.user_id = (e.vec_id // 20) % 4)
     SELECT id, coi_pos, cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, coi_pos) AS place FROM p) WHERE place <= 3"""
 ASSIGNED = f"""{COIS},
-    sims AS (SELECT e.vec_id AS id, c.label, c.polarity, c.coi_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point) AS s FROM embeddings e, cois c),
+    sims AS (SELECT e.vec_id AS id, c.label, c.polarity, c.coi_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point) AS s FROM embeddings e JOIN cois c ON c.user_id = (e.vec_id // 20) % 4),
     assigned AS (
         SELECT id // 20 AS request_id, id, id % 20 AS doc_pos, arg_max(coi_id, (s, -label)) FILTER (polarity = 'pos') AS coi_id,
             max(s) FILTER (polarity = 'pos') AS ps, coalesce(max(s) FILTER (polarity = 'neg'), -1) AS ns
@@ -62,7 +62,7 @@ ORACLE_SQL["coi_assign"] = f"WITH {ASSIGNED} SELECT request_id, id, coi_id, roun
 ORACLE_SQL["context_score"] = f"WITH {ASSIGNED} SELECT request_id, id, round(context, 6) AS context FROM scored"
 ORACLE_SQL["rerank_personalized_news"] = f"WITH {ASSIGNED} SELECT request_id, id, coi_id, round(context, 6) AS context, final_rank FROM ranked"
 ORACLE_SQL["rerank_standard_news"] = "SELECT vec_id // 20 AS request_id, vec_id AS id, 0.6 AS context, vec_id % 20 AS final_rank FROM embeddings"
-ORACLE_SQL["rerank_faults"] = "SELECT DISTINCT 0 AS user_id, vec_id // 20 AS request_id, 'coi' AS stage, 'NoCoi' AS code FROM embeddings"
+ORACLE_SQL["rerank_faults"] = "SELECT DISTINCT (vec_id // 20) % 4 AS user_id, vec_id // 20 AS request_id, 'coi' AS stage, 'NoCoi' AS code FROM embeddings"
 ORACLE_SQL["initial_ranking"] = "SELECT vec_id // 20 AS request_id, vec_id AS id, vec_id % 20 AS final_rank FROM embeddings"
 NDCG = "CASE WHEN e.g = 0 THEN {0} ELSE {0} / e.g END"
 ORACLE_SQL["ndcg_at_2"] = f"""
@@ -77,17 +77,17 @@ ORACLE_SQL["ndcg_at_2"] = f"""
         FROM placed GROUP BY request_id)
     SELECT request_id, {', '.join(f"round(CASE WHEN g = 0 THEN {c} ELSE {c} / g END, 6) AS {n}" for c, n in (("d0", "ndcg_ltr"), ("d1", "ndcg_context"), ("d2", "ndcg_final_ranking"), ("d0", "ndcg_initial_ranking")))}
     FROM sums"""
-ORACLE_SQL["coi_decay"] = f"WITH {COIS} SELECT coi_id, round({DECAY.format(days='days')}, 6) AS decay FROM cois"
+ORACLE_SQL["coi_decay"] = f"WITH {COIS} SELECT user_id, coi_id, round({DECAY.format(days='days')}, 6) AS decay FROM cois"
 REL = f"""
     rel AS (
         SELECT *, {DECAY.format(days='days')} AS decay,
-            greatest(0, (view_count / (sum(view_count) OVER () + 1.1920928955078125e-07) + view_time / (sum(view_time) OVER () + 1.1920928955078125e-07)) * {DECAY.format(days='days')}) AS relevance
+            greatest(0, (view_count / (sum(view_count) OVER (PARTITION BY user_id) + 1.1920928955078125e-07) + view_time / (sum(view_time) OVER (PARTITION BY user_id) + 1.1920928955078125e-07)) * {DECAY.format(days='days')}) AS relevance
         FROM cois WHERE polarity = 'pos')"""
-ORACLE_SQL["coi_relevance"] = f"WITH {COIS}, {REL} SELECT coi_id, round(relevance, 6) AS relevance FROM rel"
-RELALL = REL.replace("FROM cois WHERE polarity = 'pos')", "FROM cois)").replace("OVER ()", "FILTER (polarity = 'pos') OVER ()")
+ORACLE_SQL["coi_relevance"] = f"WITH {COIS}, {REL} SELECT user_id, coi_id, round(relevance, 6) AS relevance FROM rel"
+RELALL = REL.replace("FROM cois WHERE polarity = 'pos')", "FROM cois)").replace("OVER (P", "FILTER (polarity = 'pos') OVER (P")
 ORACLE_SQL["ranker_score"] = f"""
     WITH {COIS}, {RELALL},
-    sims AS (SELECT e.vec_id AS id, c.label, c.polarity, c.decay, c.relevance, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point) AS s FROM embeddings e, rel c),
+    sims AS (SELECT e.vec_id AS id, c.label, c.polarity, c.decay, c.relevance, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point) AS s FROM embeddings e JOIN rel c ON c.user_id = (e.vec_id // 20) % 4),
     best AS (SELECT *, row_number() OVER (PARTITION BY id, polarity ORDER BY s DESC, label) AS n FROM sims)
     SELECT p.id, round(p.s * p.decay + p.relevance - q.s * q.decay, 6) AS score
     FROM best p JOIN best q ON p.id = q.id AND p.polarity = 'pos' AND q.polarity = 'neg' AND p.n = 1 AND q.n = 1"""
@@ -105,21 +105,21 @@ ORACLE_SQL["ranker_rank"] = f"""
 ORACLE_SQL["rank_by_date_fallback"] = "SELECT vec_id // 20 AS request_id, vec_id AS id, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id % 97 DESC, vec_id) - 1 AS position FROM embeddings"
 ORACLE_SQL["top_key_phrases"] = f"""
     WITH {COIS}, {REL},
-    placed AS (SELECT 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, 'phrase ' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS words, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS place FROM embeddings WHERE label < 5),
-    scores AS (SELECT p.coi_id, p.words, p.place, r.relevance, r.relevance * [1.0, 0.75, 0.66][p.place] AS score FROM placed p JOIN rel r ON r.coi_id = p.coi_id WHERE p.place <= 3)
-    SELECT position, coi_id, words, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, relevance, coi_id, place) AS position FROM scores) WHERE position <= 10"""
+    placed AS (SELECT (vec_id // 20) % 4 AS user_id, 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, 'phrase ' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS words, row_number() OVER (PARTITION BY (vec_id // 20) % 4, label ORDER BY vec_id DESC) AS place FROM embeddings),
+    scores AS (SELECT p.user_id, p.coi_id, p.words, p.place, r.relevance, r.relevance * [1.0, 0.75, 0.66][p.place] AS score FROM placed p JOIN rel r ON r.user_id = p.user_id AND r.coi_id = p.coi_id WHERE p.place <= 3)
+    SELECT user_id, position, coi_id, words, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, relevance, coi_id, place) AS position FROM scores) WHERE position <= 10"""
 ORACLE_SQL["sync_append"] = f"""
-    WITH {COIS}, local AS (SELECT polarity, label AS coi_pos, coi_id, view_count FROM cois WHERE label % 2 = 0),
-    n AS (SELECT polarity, max(coi_pos) + 1 AS n FROM local GROUP BY polarity)
+    WITH {COIS}, local AS (SELECT user_id, polarity, label AS coi_pos, coi_id, view_count FROM cois WHERE label % 2 = 0),
+    n AS (SELECT user_id, polarity, max(coi_pos) + 1 AS n FROM local GROUP BY ALL)
     SELECT * FROM local
-    UNION ALL SELECT c.polarity, c.label + n.n, c.coi_id, c.view_count + 100 FROM cois c JOIN n ON n.polarity = c.polarity WHERE c.label % 2 = 1"""
+    UNION ALL SELECT c.user_id, c.polarity, c.label + coalesce(n.n, 0), c.coi_id, c.view_count + 100 FROM cois c LEFT JOIN n ON n.user_id = c.user_id AND n.polarity = c.polarity WHERE c.label % 2 = 1"""
 
 ORACLE_SQL["coi_close_pairs"] = f"""
     WITH p AS (SELECT a.label AS user_id, 'v' || lpad(CAST(a.vec_id AS VARCHAR), 9, '0') AS id0, 'v' || lpad(CAST(b.vec_id AS VARCHAR), 9, '0') AS id1, 4 * list_distance({A}, {B}) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
     SELECT user_id, id0, id1, round(d, 6) AS distance FROM p WHERE d < 4.5"""
 ORACLE_SQL["feedback_faults"] = """
     WITH lost AS (SELECT vec_id // 20 AS request_id FROM embeddings GROUP BY 1 HAVING count(*) FILTER (vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) = 0)
-    SELECT 0 AS user_id, request_id, stage, code FROM lost, (VALUES ('coi', 'NoMatchingDocuments'), ('analytics', 'NoRelevantHistoricInfo')) f(stage, code)"""
+    SELECT request_id % 4 AS user_id, request_id, stage, code FROM lost, (VALUES ('coi', 'NoMatchingDocuments'), ('analytics', 'NoRelevantHistoricInfo')) f(stage, code)"""
 ORACLE_SQL["feedback_events"] = """
     SELECT (e.vec_id // 20) || '/' || e.vec_id AS event_id, e.vec_id % 20 + CASE WHEN l.quality + 1 - l.toxic = 0 THEN 1099511627776 ELSE 0 END AS seq,
         CASE WHEN l.quality + 1 - l.toxic = 0 THEN 'dislike' ELSE 'like' END AS kind
@@ -281,8 +281,8 @@ ORACLE_SQL["training_samples"] = f"""
     SELECT sample_id, n, rank, round(exp(s) / sum(exp(s)) OVER (PARTITION BY sample_id), 6) AS target FROM s"""
 ORACLE_SQL["phrases_taken"] = f"""
     WITH shown AS ({ORACLE_SQL["top_key_phrases"]}),
-    rows AS (SELECT 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, 'phrase ' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS words FROM embeddings WHERE label < 5)
-    SELECT r.coi_id, r.words, s.words IS NOT NULL AS cleaned FROM rows r LEFT JOIN shown s ON s.coi_id = r.coi_id AND s.words = r.words"""
+    rows AS (SELECT (vec_id // 20) % 4 AS user_id, 'coi' || lpad(CAST(label AS VARCHAR), 2, '0') AS coi_id, 'phrase ' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS words FROM embeddings)
+    SELECT r.user_id, r.coi_id, r.words, s.words IS NOT NULL AS cleaned FROM rows r LEFT JOIN shown s ON s.user_id = r.user_id AND s.coi_id = r.coi_id AND s.words = r.words"""
 
 # --- the network, with its seeded weights; requests of at most ten documents -----------------------
 
@@ -320,10 +320,10 @@ def _hash_step(h: str, b: str) -> str:
     return f"(xor({h}, {b}) * 11400714819323198485::UHUGEINT) & {WRAP}"
 
 
-ORACLE_SQL["qa_distance"] = f"""
-    WITH t AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN role ELSE text END, role, '') AS text, coalesce(text, '') AS query FROM conversations),
-    firsts AS (SELECT conv_id, arg_min(query, turn) AS query FROM t GROUP BY conv_id),
-    texts AS (SELECT DISTINCT text FROM (SELECT text FROM t UNION ALL SELECT query FROM firsts)),
+QA = f"""
+    t AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN role ELSE text END, role, '') AS text, coalesce(text, '') AS query FROM conversations),
+    asked AS (SELECT conv_id, arg_min(query, turn) AS query FROM t GROUP BY conv_id),
+    texts AS (SELECT DISTINCT text FROM (SELECT text FROM t UNION ALL SELECT query FROM asked)),
     padded AS (SELECT text, CASE WHEN text = '' THEN '' ELSE repeat('00', greatest(0, 3 - strlen(text))) || hex(encode(text)) END AS x FROM texts),
     grams AS (SELECT text, x, unnest(range(len(x) // 2 - 2)) AS i FROM padded WHERE x <> ''),
     bytes AS (SELECT text, {', '.join(f"CAST(CAST('0x' || substr(x, 2 * i + {2 * k + 1}, 2) AS INTEGER) AS UHUGEINT) AS b{k}" for k in range(3))} FROM grams),
@@ -331,13 +331,26 @@ ORACLE_SQL["qa_distance"] = f"""
     m1 AS (SELECT text, b2, {_hash_step("h", "b1")} AS h FROM g0), g1 AS (SELECT text, b2, xor(h, h >> 29) AS h FROM m1),
     m2 AS (SELECT text, {_hash_step("h", "b2")} AS h FROM g1), g2 AS (SELECT text, xor(h, h >> 29) & 31::UHUGEINT AS place FROM m2),
     counts AS (SELECT text, place, count(*) AS n FROM g2 GROUP BY text, place),
-    pairs AS (SELECT t.conv_id, t.turn, t.text, f.query FROM t JOIN firsts f ON f.conv_id = t.conv_id),
+    pairs AS (SELECT t.conv_id, t.turn, t.text, f.query FROM t JOIN asked f ON f.conv_id = t.conv_id),
     joint AS (
         SELECT p.conv_id, p.turn, c.place, c.n FROM pairs p JOIN counts c ON c.text = p.text
         UNION ALL SELECT p.conv_id, p.turn, c.place, -c.n FROM pairs p JOIN counts c ON c.text = p.query),
     gaps AS (SELECT conv_id, turn, place, sum(n) AS g FROM joint GROUP BY conv_id, turn, place),
-    sums AS (SELECT conv_id, turn, sqrt(sum(CAST(g AS DOUBLE) * g)) AS s FROM gaps GROUP BY conv_id, turn)
-    SELECT t.conv_id AS request_id, t.conv_id || '-' || t.turn AS id, round(coalesce(s.s, 0), 6) AS similarity FROM t LEFT JOIN sums s ON s.conv_id = t.conv_id AND s.turn = t.turn"""
+    sums AS (SELECT conv_id, turn, sqrt(sum(CAST(g AS DOUBLE) * g)) AS s FROM gaps GROUP BY conv_id, turn),
+    qa AS (SELECT t.conv_id, t.turn, t.conv_id || '-' || t.turn AS id, coalesce(s.s, 0) AS similarity FROM t LEFT JOIN sums s ON s.conv_id = t.conv_id AND s.turn = t.turn)"""
+ORACLE_SQL["qa_distance"] = f"WITH {QA} SELECT conv_id AS request_id, id, round(similarity, 6) AS similarity FROM qa"
+_SIMILAR = "7 * CASE WHEN avg(similarity) OVER r > 0 THEN 1 / (1 + similarity / avg(similarity) OVER r) ELSE 0.5 END"
+_RANKED = "SELECT conv_id AS request_id, id, round(context, 6) AS context, row_number() OVER (PARTITION BY conv_id ORDER BY context DESC, turn) - 1 AS final_rank FROM scored"
+ORACLE_SQL["rerank_standard_search"] = f"""
+    WITH {QA}, scored AS (SELECT *, ({_SIMILAR} + 1.0 + 1.0 + 0.5) / 10 AS context FROM qa WINDOW r AS (PARTITION BY conv_id)) {_RANKED}"""
+ORACLE_SQL["rerank_personalized_search"] = f"""
+    WITH {QA}, {COIS},
+    met AS (SELECT q.*, c.polarity, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.point) AS s FROM qa q JOIN embeddings e ON e.vec_id = (q.conv_id * 7 + q.turn) % (SELECT count(*) FROM embeddings) JOIN cois c ON c.user_id = q.conv_id % 4),
+    near AS (SELECT conv_id, turn, id, similarity, max(s) FILTER (polarity = 'pos') AS ps, coalesce(max(s) FILTER (polarity = 'neg'), -1) AS ns FROM met GROUP BY ALL),
+    scored AS (
+        SELECT *, ({_SIMILAR} + CASE WHEN avg(ps) OVER r > 0 THEN 1 / (1 + ps / avg(ps) OVER r) ELSE 1 END + 1 / (1 + max(ns) OVER r - ns) + 0.5) / 10 AS context
+        FROM near WINDOW r AS (PARTITION BY conv_id))
+    {_RANKED}"""
 
 # --- column types -------------------------------------------------------------------------------
 
@@ -355,13 +368,13 @@ rerank_standard_news: request_id b, id b, context d, final_rank b
 rerank_faults: user_id b, request_id b, stage s, code s
 initial_ranking: request_id b, id b, final_rank b
 ndcg_at_2: request_id b, ndcg_ltr d, ndcg_context d, ndcg_final_ranking d, ndcg_initial_ranking d
-coi_decay: coi_id s, decay d
-coi_relevance: coi_id s, relevance d
+coi_decay: user_id b, coi_id s, decay d
+coi_relevance: user_id b, coi_id s, relevance d
 ranker_score: id b, score d
 ranker_rank: request_id b, id b, score d
 rank_by_date_fallback: request_id b, id b, position b
-top_key_phrases: position b, coi_id s, words s, score d
-sync_append: polarity s, coi_pos b, coi_id s, view_count b
+top_key_phrases: user_id b, position b, coi_id s, words s, score d
+sync_append: user_id b, polarity s, coi_pos b, coi_id s, view_count b
 history_actions: user_id b, hist_pos b, action b, clicked t, n_terms b
 history_runs: user_id b, hist_pos b, run_id b, click_index b, run_clicks b
 user_action_inference: user_id b, hist_pos b, inferred_action b
@@ -385,9 +398,11 @@ feedback_faults: user_id b, request_id b, stage s, code s
 feedback_events: event_id s, seq b, kind s
 sample_spans: user_id b, start b, stop b
 training_samples: sample_id b, n b, rank b, target d
-phrases_taken: coi_id s, words s, cleaned t
+phrases_taken: user_id b, coi_id s, words s, cleaned t
 listnet_ltr_scores: user_id b, rank b, ltr_score d
 qa_distance: request_id b, id s, similarity d
+rerank_standard_search: request_id b, id s, context d, final_rank b
+rerank_personalized_search: request_id b, id s, context d, final_rank b
 encoder_agreement: mae d, mre d, mse d, mean_cosine d
 clean_key_phrase: item_id b, cleaned s
 ngram_candidates: item_id b, n b, phrase s, first_pos b, mentions b

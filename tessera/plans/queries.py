@@ -257,7 +257,7 @@ def rerank_faults(spark, sf_dir):
 
 
 def _label_history(spark, sf_dir):
-    return d.table(spark, sf_dir, "labels").select(F.lit(0).cast("long").alias("user_id"), F.col("doc_id").alias("id"), F.lit(0).alias("hist_pos"), (F.col("quality") + 1 - F.col("toxic")).alias("relevance"), F.lit(2).alias("user_feedback"))
+    return d.table(spark, sf_dir, "labels").select(d.user_of("doc_id").alias("user_id"), F.col("doc_id").alias("id"), F.lit(0).alias("hist_pos"), (F.col("quality") + 1 - F.col("toxic")).alias("relevance"), F.lit(2).alias("user_feedback"))
 
 
 @query
@@ -282,12 +282,12 @@ def ndcg_at_2(spark, sf_dir):
 
 @query
 def coi_decay(spark, sf_dir):
-    return d.interests(spark, sf_dir).select("coi_id", _r(v.decay(30.0, _as_of(), F.col("last_view"))).alias("decay"))
+    return d.interests(spark, sf_dir).select("user_id", "coi_id", _r(v.decay(30.0, _as_of(), F.col("last_view"))).alias("decay"))
 
 
 @query
 def coi_relevance(spark, sf_dir):
-    return rk.coi_relevance(d.interests(spark, sf_dir).filter("polarity = 'pos'"), _as_of()).select("coi_id", _r("relevance").alias("relevance"))
+    return rk.coi_relevance(d.interests(spark, sf_dir).filter("polarity = 'pos'"), _as_of()).select("user_id", "coi_id", _r("relevance").alias("relevance"))
 
 
 def _scored(spark, sf_dir):
@@ -344,21 +344,21 @@ def ranked_phrases(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    e = d.table(spark, sf_dir, "embeddings").filter("label < 5")
-    return e.select(F.lit(0).cast("long").alias("user_id"), F.format_string("coi%02d", "label").alias("coi_id"), F.concat(F.lit("phrase "), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("words"), F.col("embedding").alias("point"), "vec_id")
+    e = d.table(spark, sf_dir, "embeddings")
+    return e.select(d.user_of("vec_id").alias("user_id"), F.format_string("coi%02d", "label").alias("coi_id"), F.concat(F.lit("phrase "), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("words"), F.col("embedding").alias("point"), "vec_id")
 
 
 @query
 def top_key_phrases(spark, sf_dir):
     t = rk.top_key_phrases(_phrases(spark, sf_dir), d.interests(spark, sf_dir).filter("polarity = 'pos'"), _as_of(), 10)
-    return t.select(F.col("position").cast("long").alias("position"), "coi_id", "words", _r("score").alias("score"))
+    return t.select("user_id", F.col("position").cast("long").alias("position"), "coi_id", "words", _r("score").alias("score"))
 
 
 @query
 def sync_append(spark, sf_dir):
     local = d.interests(spark, sf_dir).filter("coi_pos % 2 = 0")
     remote = d.interests(spark, sf_dir).withColumn("view_count", F.col("view_count") + 100)
-    return it.append_remote(local, remote).select("polarity", "coi_pos", "coi_id", "view_count")
+    return it.append_remote(local, remote).select("user_id", "polarity", "coi_pos", "coi_id", "view_count")
 
 
 @query
@@ -390,7 +390,7 @@ def encoder_agreement(spark, sf_dir):
 def _reactions(spark, sf_dir):
     e = d.table(spark, sf_dir, "embeddings")
     kind = F.when(F.col("label") < 5, "like").when(F.col("label") < 9, "dislike").otherwise("view")
-    return e.select((F.col("vec_id") % 50).cast("long").alias("user_id"), F.col("vec_id").cast("long").alias("seq"), F.col("vec_id").alias("event_id"), kind.alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit(5.0).alias("seconds"), F.timestamp_seconds(F.col("vec_id") + 1_700_000_000).alias("at"))
+    return e.select(F.expr("vec_id div 40").alias("user_id"), F.col("vec_id").cast("long").alias("seq"), F.col("vec_id").alias("event_id"), kind.alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit(5.0).alias("seconds"), F.timestamp_seconds(F.col("vec_id") + 1_700_000_000).alias("at"))
 
 
 def _learned(spark, sf_dir):
@@ -457,10 +457,31 @@ def wordpiece_encode(spark, sf_dir):
     return rows.select("doc_id", F.col("parts")[0].alias("ids"), F.slice("parts", 2, 1 << 30).alias("overflowing"))
 
 
+def _conversations(spark, sf_dir):
+    """Turns as the documents of a conversation's request, its first text the query."""
+    c = d.table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") % d.USERS).alias("user_id"), F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("doc_pos"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").cast("int").alias("rank"), F.col("role").alias("title"), F.col("text").alias("snippet"), F.col("text").alias("query_words"))
+
+
 @query
 def qa_distance(spark, sf_dir):
-    c = d.table(spark, sf_dir, "conversations").select(F.lit(0).cast("long").alias("user_id"), F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("doc_pos"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").cast("int").alias("rank"), F.col("role").alias("title"), F.col("text").alias("snippet"), F.col("text").alias("query_words"))
-    return qa_distances(c, NgramEncoder(32)).select("request_id", "id", _r("similarity").alias("similarity"))
+    return qa_distances(_conversations(spark, sf_dir), NgramEncoder(32)).select("request_id", "id", _r("similarity").alias("similarity"))
+
+
+@query
+def rerank_standard_search(spark, sf_dir):
+    done = rerank(Mode.STANDARD_SEARCH, _conversations(spark, sf_dir), encoder=NgramEncoder(32))
+    return done.ranked.select("request_id", "id", _r("context").alias("context"), "final_rank")
+
+
+@query
+def rerank_personalized_search(spark, sf_dir):
+    """Each turn has a vector of the table as its embedding; the conversation's user has interests."""
+    e = d.table(spark, sf_dir, "embeddings")
+    docs = _conversations(spark, sf_dir).withColumn("_v", (F.col("request_id") * 7 + F.col("doc_pos")) % e.count())
+    docs = docs.join(e.select(F.col("vec_id").alias("_v"), "embedding"), "_v").drop("_v")
+    done = rerank(Mode.PERSONALIZED_SEARCH, docs, d.interests(spark, sf_dir), encoder=NgramEncoder(32))
+    return done.ranked.select("request_id", "id", _r("context").alias("context"), "final_rank")
 
 
 @query
@@ -485,4 +506,4 @@ def phrases_taken(spark, sf_dir):
     """Phrases left after the top ten were shown."""
     rows = _phrases(spark, sf_dir).select("user_id", "coi_id", "words", F.transform("point", lambda x: x.cast("double")).alias("point"), F.lit(0.5).alias("relevance"), F.lit(False).alias("cleaned"))
     _, after = ps.take_top(rows, d.interests(spark, sf_dir), _as_of(), 10)
-    return after.select("coi_id", "words", "cleaned")
+    return after.select("user_id", "coi_id", "words", "cleaned")

@@ -67,6 +67,50 @@ def test_close_pairs(spark):
     assert [(r["id0"], r["id1"], r["distance"]) for r in got] == [("a", "b", 3.0)]
 
 
+@pytest.mark.parametrize("spread,every", [(0.5, 8), (30.0, 8), (30.0, 1), (5.0, 3)])
+def test_close_pairs_by_pivots(spark, spread, every):
+    """Against all pairs, on interests in clusters, alone and all near each other."""
+    rng = np.random.default_rng(int(spread))
+    rows = []
+    for user, n in ((1, 120), (2, 5), (3, 1)):
+        centres = rng.normal(scale=spread, size=(6, 4))
+        points = centres[rng.integers(0, 6, n)] + rng.normal(size=(n, 4))
+        rows += [(user, "pos" if k % 4 else "neg", k, f"c{k}", points[k].tolist(), 1, 0.0, datetime(2024, 1, 1)) for k in range(n)]
+    rows.append((2, "pos", 5, "same", rows[121][4], 1, 0.0, datetime(2024, 1, 1)))
+    got = it.close_pairs(spark.createDataFrame(rows, it.INTERESTS), every=every).collect()
+    want = {(a[0], a[1], *sorted((a[3], b[3]))) for a in rows for b in rows if a[:2] == b[:2] and a[3] < b[3] and np.linalg.norm(np.subtract(a[4], b[4])) < it.MERGE_DISTANCE}
+    assert len(got) == len(want) and {tuple(r)[:4] for r in got} == want
+
+
+def test_pivots_spare_comparisons(spark):
+    """In clusters far from each other, far fewer than all pairs are compared."""
+    rng = np.random.default_rng(0)
+    n, centres = 1_000, rng.normal(scale=200, size=(40, 8))
+    rows = [(1, "pos", k, f"c{k:04d}", (centres[k % 40] + rng.normal(scale=0.5, size=8)).tolist(), 1, 0.0, datetime(2024, 1, 1)) for k in range(n)]
+    pairs = it.close_pairs(spark.createDataFrame(rows, it.INTERESTS), every=16)
+    assert pairs.count() == 40 * 25 * 24 // 2
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    assert isinstance(pairs, Classic)
+    done = pairs._jdf.queryExecution()
+    pairs._jdf.collectToPython()
+    found, todo = [], [done.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    assert found and max(found) < n * n / 10
+
+
 def history(spark, queries):
     """queries: (session, count, relevances)."""
     rows, pos = [], 0
