@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .functions.wordpiece import NgramEncoder
 from .operators.history import infer_actions
-from .operators.listnet import Controller, ListNet, evaluate, prepare_inputs, split_samples, train, train_federated
+from .operators.listnet import Controller, ListNet, evaluate, prepare_inputs, train_federated
 from .operators.samples import training_samples
+from .operators.training import numbered, split_sizes, train_by_epochs
 from .plans.rerank import run_calls
 from .sources import tables
+from .sources.scratch import materialize
 
 
 #: What the program ends with: all fine, and results with faults.
@@ -49,13 +51,15 @@ def main(args: list[str] | None = None) -> int:
         rows = infer_actions(raw).withColumnRenamed("inferred_action", "user_action")
         tables.write_samples(training_samples(rows), a.out, append=False)
     elif a.command == "train":
-        fit, held = split_samples(prepare_inputs(tables.read_samples(spark, a.samples)), a.evaluation_split)
+        rows = materialize(numbered(prepare_inputs(tables.read_samples(spark, a.samples)), "sample_id"))
+        n, n_held = split_sizes(rows.count(), a.evaluation_split)
+        fit, held = rows.filter(F.col("number") < n), rows.filter(F.col("number") >= n)
         if a.rounds:
             net = train_federated(fit, "sample_id", a.rounds, a.users_each_round, a.epochs, a.rate, a.seed)
             costs = [evaluate(net, held)]
         else:
             control = Controller(dump=(lambda name, n: np.savez(f"{a.out}-{name}", **n.params)) if a.dump_every else None, every=a.dump_every or 1, tell=print)
-            net, costs = train(fit, a.epochs, a.batch_size, a.rate, a.seed, evaluation=held, controller=control)
+            net, costs = train_by_epochs(fit, n, a.epochs, a.batch_size, a.rate, a.seed, evaluation=held if n_held else None, controller=control)
         np.savez(a.out, **net.params)
         print("evaluation costs by epoch:", costs)
     elif a.command == "evaluate":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +27,43 @@ class Params:
     def save(self, path: str) -> None:
         np.savez(path, **self.arrays)
 
+    def to_bytes(self) -> bytes:
+        """All arrays flattened: their number, then each one's name, shape and entries of single precision.
+
+        Numbers are of 64 bits, little-endian; names, shapes and entries have their lengths before them.
+        """
+        out = [struct.pack("<Q", len(self.arrays))]
+        for name, a in self.arrays.items():
+            key = name.encode()
+            out += [struct.pack("<Q", len(key)), key, struct.pack(f"<Q{a.ndim}Q", a.ndim, *a.shape), struct.pack("<Q", a.size), np.ascontiguousarray(a, "<f4").tobytes()]
+        return b"".join(out)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Params:
+        """Of flattened arrays; one whose entries aren't as many as its shape asks for is an error, and so is anything left over."""
+        at, arrays = 0, {}
+
+        def take(size: int) -> bytes:
+            nonlocal at
+            if size > len(data) - at:
+                raise ValueError(f"{size} bytes expected, {len(data) - at} are left")
+            at += size
+            return data[at - size : at]
+
+        number = lambda: struct.unpack("<Q", take(8))[0]
+        for _ in range(number()):
+            name = take(number()).decode()
+            shape = [number() for _ in range(number())]
+            size, expected = number(), math.prod(shape)
+            if size != expected:
+                raise ValueError(f"{name} has {size} entries, its shape {shape} asks for {expected}")
+            if name in arrays:
+                raise ValueError(f"{name} is there twice")
+            arrays[name] = np.frombuffer(take(4 * size), "<f4").astype(float).reshape(shape)
+        if at != len(data):
+            raise ValueError(f"{len(data) - at} bytes are left over")
+        return cls(arrays)
+
     def with_scope(self, name: str) -> Params:
         return Params(self.arrays, f"{self.scope}{name}/")
 

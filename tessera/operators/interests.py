@@ -7,6 +7,7 @@ Learning is order-dependent, one fold per user: a grouped map over each user's e
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -82,6 +83,69 @@ def with_nearest(documents: DataFrame, lists: DataFrame, *more: str) -> DataFram
     return rows.select(*documents.columns, *found)
 
 
+#: A user's interests are one array up to so many; more are kept in blocks.
+MOST_LISTED = 4_096
+
+
+def _cosine(a: Column, b: Column, norms: Column) -> Column:
+    return F.when(norms == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
+
+
+def interest_blocks(interests: DataFrame, block: int = 512) -> DataFrame:
+    """interests of one polarity -> user_id, b, pivot, radius, items: blocks of at most so many, around some of a user's interests.
+
+    The radius is the largest angle of an item from the pivot; a block with an item of no length, which is as similar to
+    everything as can be, reaches everywhere.
+    """
+    item = F.struct("coi_pos", "coi_id", "point", F.col("_norm").alias("norm"), "last_view")
+    own = interests.withColumn("_norm", F.sqrt(dot(F.col("point"), F.col("point"))))
+    ordered = own.filter("_norm > 0").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.xxhash64("coi_id"), "coi_id")))
+    sizes = ordered.groupBy("user_id").agg(F.ceil(F.count("*") / block).alias("_k"))
+    pivots = ordered.join(sizes, "user_id").filter("_n <= _k").groupBy("user_id").agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("point").alias("point"), F.col("_norm").alias("norm"))).alias("_pivots"))
+    near = F.array_max(F.transform("_pivots", lambda p: F.struct(_cosine(F.col("point"), p["point"], F.col("_norm") * p["norm"]).alias("s"), p["n"].alias("n"), p["point"].alias("point"))))
+    homes = own.join(pivots, "user_id", "left").withColumn("_home", near).drop("_pivots")
+    place = F.row_number().over(Window.partitionBy("user_id", "_home.n").orderBy("coi_pos", "coi_id"))
+    cells = homes.withColumn("_part", F.floor((place - 1) / block)).withColumn("_angle", F.when(F.col("_norm") > 0, F.acos("_home.s")).otherwise(F.lit(math.pi)))
+    blocks = cells.groupBy("user_id", F.coalesce("_home.n", F.lit(0)).alias("n"), "_part").agg(F.first("_home.point").alias("pivot"), F.max("_angle").alias("radius"), F.collect_list(item).alias("items"))
+    return blocks.select("user_id", F.struct("n", "_part").alias("b"), F.coalesce("pivot", F.element_at("items", 1)["point"]).alias("pivot"), "radius", "items")
+
+
+def nearest_in_blocks(documents: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of documents (which have user_id and embedding) and _best, their users' most similar interest.
+
+    A document first looks through the block whose pivot is nearest, then through those only that can hold a closer one: no
+    item of a block is nearer to a document than the pivot's angle less the block's radius.
+    """
+    heads = blocks.groupBy("user_id").agg(F.collect_list(F.struct("b", "pivot", "radius")).alias("_heads"))
+    rows = documents.select(*keys, *[c for c in ("user_id", "embedding") if c not in keys]).withColumn("_norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).join(heads, "user_id")
+
+    def bound(h: Column) -> Column:
+        angle = F.acos(_cosine(F.col("embedding"), h["pivot"], F.col("_norm") * F.sqrt(dot(h["pivot"], h["pivot"]))))
+        most = F.when((F.col("_norm") == 0) | (h["radius"] >= angle), F.lit(1.0)).otherwise(F.cos(angle - h["radius"]))
+        return F.struct((-angle).alias("near"), most.alias("most"), h["b"].alias("b"))
+
+    rows = rows.withColumn("_heads", F.transform("_heads", bound)).withColumn("b", F.array_max("_heads")["b"])
+    items = blocks.select("user_id", "b", "items")
+    best = lambda frame: frame.join(items, ["user_id", "b"]).withColumn("_best", nearest(F.col("items"), F.col("embedding"), F.col("_norm"))).drop("items")
+    first = best(rows)
+    able = F.filter("_heads", lambda h: (h["b"] != F.col("b")) & (h["most"] >= F.col("_best.similarity") - 1e-9))
+    more = best(first.withColumn("b", F.explode(F.transform(able, lambda h: h["b"]))).drop("_best"))
+    both = first.select(*keys, "_best").unionByName(more.select(*keys, "_best"))
+    return both.groupBy(*keys).agg(F.max("_best").alias("_best"))
+
+
+def with_nearest_of_many(documents: DataFrame, interests: DataFrame, keys: list[str], most_listed: int = MOST_LISTED, block: int = 512) -> DataFrame:
+    """As with_nearest; users with more than most_listed interests keep them in blocks, all others in arrays."""
+    sizes = interests.groupBy("user_id").agg(F.count("*").alias("_n"))
+    many = sizes.filter(F.col("_n") > most_listed).select("user_id")
+    out = with_nearest(documents, interest_lists(interests.join(many, "user_id", "left_anti")))
+    for p in ("pos", "neg"):
+        own = interests.filter(F.col("polarity") == p).join(many, "user_id", "left_semi")
+        found = nearest_in_blocks(documents.join(many, "user_id", "left_semi"), interest_blocks(own, block), keys)
+        out = out.join(found, keys, "left").withColumn(f"_{p}", F.coalesce(f"_{p}", "_best")).drop("_best")
+    return out
+
+
 def assign(documents: DataFrame, interests: DataFrame) -> DataFrame:
     """documents with coi_id, pos_similarity, neg_similarity; null coi_id where a user has no positive interest."""
     return with_nearest(documents, interest_lists(interests)).select(

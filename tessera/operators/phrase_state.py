@@ -26,7 +26,7 @@ KEYS = ["user_id", "coi_id", "words"]
 def update(phrases: DataFrame, candidates: DataFrame, interests: DataFrame, encode: Callable[[str], np.ndarray], config: Config = Config()) -> DataFrame:  # noqa: B008
     """The phrases after new candidates (user_id, coi_id, candidates array): of both, each interest keeps the best.
 
-    Interests without candidates keep their phrases as they are.
+    Interests without candidates keep their phrases as they are; phrases that were taken out go with what is replaced.
     """
     points = interests.filter("polarity = 'pos'").select("user_id", "coi_id", F.col("point").alias("coi_point"))
     news = candidates.groupBy("user_id", "coi_id").agg(F.flatten(F.collect_list("candidates")).alias("new")).join(points, ["user_id", "coi_id"])
@@ -39,8 +39,7 @@ def update(phrases: DataFrame, candidates: DataFrame, interests: DataFrame, enco
         known = {r.words: np.asarray(r.point, float) for r in live.itertuples()}
         both = unify(known, sorted(new["new"].iloc[0]), encode)
         chosen = select_phrases(both, np.asarray(new["coi_point"].iloc[0], float), most, gamma)
-        rows = pd.DataFrame([(*key, w, both[w].tolist(), r, False) for w, r in chosen], columns=old.columns)
-        return pd.concat([old[old["cleaned"].astype(bool)], rows]) if len(old) else rows
+        return pd.DataFrame([(*key, w, both[w].tolist(), r, False) for w, r in chosen], columns=old.columns)
 
     return phrases.groupBy("user_id", "coi_id").cogroup(news.groupBy("user_id", "coi_id")).applyInPandas(of_coi, PHRASES)
 

@@ -1,6 +1,7 @@
 """The network, tokenizer, layers, sources, state, plans, streaming and the registered queries."""
 
 import numpy as np
+import struct
 from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,23 @@ def test_layers(tmp_path):
     q.check_empty()
 
 
+def test_flattened_arrays():
+    rng = np.random.default_rng(0)
+    arrays = {"a/w": rng.random((2, 3)), "é": rng.random(4), "none": np.zeros((0, 5)), "one": np.array(7.0), "turned": rng.random((3, 2)).T}
+    data = layers.Params(dict(arrays)).to_bytes()
+    back = layers.Params.from_bytes(data).arrays
+    assert list(back) == list(arrays) and all(back[k].shape == a.shape and np.allclose(back[k], a) for k, a in arrays.items())
+    assert layers.Params.from_bytes(layers.Params({}).to_bytes()).arrays == {}
+    good = layers.Params({"w": np.ones((2, 2))}).to_bytes()
+    head = good[:8] + good[8:17]  # one array, named w
+    wrong = head + struct.pack("<QQQQ", 2, 2, 3, 4) + good[-16:]
+    for bad, message in ((wrong, "w has 4 entries, its shape"), (good[:-1], "bytes expected"), (good + b"x", "left over"), (b"\2" + good[1:] + good[8:], "twice"), (b"", "8 bytes expected")):
+        with pytest.raises(ValueError, match=message):
+            layers.Params.from_bytes(bad)
+    with pytest.raises(ValueError, match="dimensions"):
+        layers.Params.from_bytes(good).take("w", 1)
+
+
 def test_history_csv(spark, tmp_path):
     head = "session_id,user_id,query_id,day,query_words,url,domain,relevance,position,query_counter\n"
     (tmp_path / "u.csv").write_text(head + '1,2,3,9,"a,b",u,d,1,1,0\n')

@@ -43,7 +43,7 @@ def test_update_phrases(spark):
     old = state(spark, [("c0", "old", False), ("c0", "gone", True), ("c1", "same", False)])
     new = spark.createDataFrame([(0, "c0", ["new!", "old", "other"])], "user_id long, coi_id string, candidates array<string>")
     got = {(r["coi_id"], r["words"], r["cleaned"]) for r in ps.update(old, new, two_interests(spark), lambda w: np.ones(2)).collect()}
-    assert got == {("c0", "old", False), ("c0", "new", False), ("c0", "other", False), ("c0", "gone", True), ("c1", "same", False)}
+    assert got == {("c0", "old", False), ("c0", "new", False), ("c0", "other", False), ("c1", "same", False)}
     rel = spark.createDataFrame([(0, "c0", 0.3), (0, "c1", 0.1), (0, "c2", 0.2)], "user_id long, coi_id string, relevance double")
     assert [r["coi_id"] for r in ps.of_interests(rel, two_interests(spark).select("user_id", "coi_id")).collect()] == ["c1", "c0"]
 
@@ -82,6 +82,25 @@ def test_close_pairs_by_pivots(spark, spread, every):
     assert len(got) == len(want) and {tuple(r)[:4] for r in got} == want
 
 
+@pytest.mark.parametrize("scale,n,block", [(0.0, 400, 16), (6.0, 10_000, 512)])
+def test_nearest_of_many_is_the_full_scan(spark, scale, n, block):
+    """One user with very many interests, some of no length, some twice; others with few and none."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(scale=scale, size=(12, 6))
+    point = lambda k: (centres[k % 12] + rng.normal(size=6)).tolist()
+    rows = [(1, "pos" if k % 5 else "neg", k, f"c{k}", point(k), 1, 0.0, datetime(2024, 1, 1 + k % 9)) for k in range(n)]
+    rows += [(1, "pos", n + k, f"d{k}", rows[k + 1][4], 1, 0.0, datetime(2024, 1, 1)) for k in range(5)] + [(2, p, 0, f"{p}", point(0), 1, 0.0, None) for p in ("pos", "neg")]
+    if not scale:
+        rows.append((1, "neg", n + 9, "zero", [0.0] * 6, 1, 0.0, None))
+    interests = spark.createDataFrame(rows, it.INTERESTS)
+    docs = spark.createDataFrame([(1 + k % 3, 0, k, point(k) if k else [0.0] * 6) for k in range(60)], "user_id long, request_id long, doc_pos int, embedding array<double>")
+    keys = ["user_id", "request_id", "doc_pos"]
+    shown = lambda f: sorted((r["doc_pos"], *((b["coi_id"], round(b["similarity"], 12), b["last_view"]) if b else None for b in (r["_pos"], r["_neg"]))) for r in f.collect())
+    assert shown(it.with_nearest_of_many(docs, interests, keys, 100, block)) == shown(it.with_nearest(docs, it.interest_lists(interests)))
+    blocks = it.interest_blocks(interests.filter("polarity = 'pos' and user_id = 1"), block)
+    assert blocks.filter(F.size("items") > block).count() == 0 and blocks.agg(F.sum(F.size("items"))).first()[0] == interests.filter("polarity = 'pos' and user_id = 1").count()
+
+
 def test_pivots_spare_comparisons(spark):
     """In clusters far from each other, far fewer than all pairs are compared."""
     rng = np.random.default_rng(0)
