@@ -120,6 +120,13 @@ ORACLE_SQL["coi_close_pairs"] = f"""
 ORACLE_SQL["feedback_faults"] = """
     WITH lost AS (SELECT vec_id // 20 AS request_id FROM embeddings GROUP BY 1 HAVING count(*) FILTER (vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) = 0)
     SELECT request_id % 4 AS user_id, request_id, stage, code FROM lost, (VALUES ('coi', 'NoMatchingDocuments'), ('analytics', 'NoRelevantHistoricInfo')) f(stage, code)"""
+ORACLE_SQL["streamed_ndcg_at_2"] = ORACLE_SQL["ndcg_at_2"]
+ORACLE_SQL["streamed_feedback_faults"] = ORACLE_SQL["feedback_faults"]
+ORACLE_SQL["csv_history_scan"] = f"""
+    WITH {HIST} SELECT user_id, hist_pos, format('{{:08x}}-eb92-4d36-0000-{{:012x}}', hist_pos, user_id) AS id, session, query_count, query_id, query_words, url, domain, day, relevance, rank FROM hist"""
+ORACLE_SQL["state_migrations"] = f"""
+    WITH {COIS} SELECT user_id, polarity, label AS coi_pos, coi_id || 'v' || v AS coi_id, CASE WHEN v = 3 THEN view_count ELSE 1 END AS view_count, CASE WHEN v = 3 THEN view_time ELSE 0 END AS view_time,
+        CASE WHEN v = 3 THEN epoch(TIMESTAMP '2024-06-01 00:00:00') - 86400 * days ELSE 0 END AS last_view FROM cois, range(4) t(v)"""
 ORACLE_SQL["feedback_events"] = """
     SELECT (e.vec_id // 20) || '/' || e.vec_id AS event_id, e.vec_id % 20 + CASE WHEN l.quality + 1 - l.toxic = 0 THEN 1099511627776 ELSE 0 END AS seq,
         CASE WHEN l.quality + 1 - l.toxic = 0 THEN 'dislike' ELSE 'like' END AS kind
@@ -396,6 +403,10 @@ cumulated_features: user_id b, rank b, cum_skip d, cum_click1 d, cum_click2 d
 coi_close_pairs: user_id b, id0 s, id1 s, distance d
 feedback_faults: user_id b, request_id b, stage s, code s
 feedback_events: event_id s, seq b, kind s
+streamed_ndcg_at_2: request_id b, ndcg_ltr d, ndcg_context d, ndcg_final_ranking d, ndcg_initial_ranking d
+streamed_feedback_faults: user_id b, request_id b, stage s, code s
+csv_history_scan: user_id b, hist_pos b, id s, session b, query_count b, query_id b, query_words s, url s, domain s, day b, relevance b, rank b
+state_migrations: user_id b, polarity s, coi_pos b, coi_id s, view_count b, view_time d, last_view b
 sample_spans: user_id b, start b, stop b
 training_samples: sample_id b, n b, rank b, target d
 phrases_taken: user_id b, coi_id s, words s, cleaned t

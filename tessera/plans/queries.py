@@ -21,7 +21,9 @@ from ..operators import samples as sm
 from ..operators import segments as sg
 from ..operators import user_state as us
 from ..operators.listnet import ListNet, listnet_scores
-from ..sources.scratch import materialize
+from ..sources import tables
+from ..sources.scratch import materialize, scratch_folder
+from ..streaming.feedback import completed_requests, settle_stream
 from . import derived as d
 from . import rerank as plans
 from .rerank import Mode, qa_distances, rerank
@@ -280,6 +282,57 @@ def ndcg_at_2(spark, sf_dir):
     return a.select("request_id", *[_r(c).alias(c) for c in a.columns if c.startswith("ndcg")])
 
 
+def _streamed(spark, sf_dir, history, what):
+    """The news and the reactions to them as two streams, each from written files; rows from long after let the last requests go."""
+    paths = {k: scratch_folder(spark) for k in ("shown", "reactions", "faults", "ndcg", "checkpoint")}
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    shown = _news(spark, sf_dir).select(*rk.REQUEST, at.alias("shown_at"), "doc_pos", "id", "rank", F.col("ltr_score").cast("double").alias("ltr_score"), "context", "final_rank")
+    reactions = history.select("user_id", "id", (at + F.expr("INTERVAL 1 HOUR")).alias("at"), F.col("hist_pos").cast("long").alias("hist_pos"), F.col("relevance").cast("int").alias("relevance"), "user_feedback")
+    later, nobody = at + F.expr("INTERVAL 400 DAYS"), F.lit(-1).cast("long")
+    streams = []
+    for name, rows, time in (("shown", shown, "shown_at"), ("reactions", reactions, "at")):
+        rows.write.parquet(f"{paths[name]}/now")
+        rows.limit(1).withColumns({"user_id": nobody, time: later}).write.parquet(f"{paths[name]}/later")
+        streams.append(spark.readStream.schema(rows.schema).parquet(f"{paths[name]}/*"))
+    running = settle_stream(completed_requests(*streams), paths["faults"], paths["ndcg"], paths["checkpoint"])
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.parquet(paths[what]).filter("user_id >= 0")
+
+
+@query
+def streamed_ndcg_at_2(spark, sf_dir):
+    a = _streamed(spark, sf_dir, _label_history(spark, sf_dir), "ndcg")
+    return a.select("request_id", *[_r(c).alias(c) for c in a.columns if c.startswith("ndcg")])
+
+
+@query
+def streamed_feedback_faults(spark, sf_dir):
+    toxic = d.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return _streamed(spark, sf_dir, _label_history(spark, sf_dir).join(toxic, "id", "left_semi"), "faults").select(*rk.REQUEST, "stage", "code")
+
+
+@query
+def csv_history_scan(spark, sf_dir):
+    """Each user's history from the CSV files that it was written to."""
+    h, folder = d.history(spark, sf_dir), scratch_folder(spark)
+    records = h.select(F.col("session").alias("session_id"), "user_id", "query_id", "day", F.replace("query_words", F.lit(" "), F.lit(",")).alias("query_words"), "url", "domain", "relevance", (F.col("rank") + 1).alias("position"), F.col("query_count").alias("query_counter"), "hist_pos")
+    records.repartition("user_id").sortWithinPartitions("user_id", "hist_pos").drop("hist_pos").write.option("header", True).csv(folder)
+    return tables.read_history_csv(spark, folder).select("user_id", "hist_pos", "id", "session", "query_count", "query_id", "query_words", "url", "domain", "day", "relevance", "rank")
+
+
+@query
+def state_migrations(spark, sf_dir):
+    """Interests as every version of the state kept them, brought to the present one."""
+    now, folder = d.interests(spark, sf_dir), scratch_folder(spark)
+    for version in range(tables.STATE_VERSION + 1):
+        old = now if version == tables.STATE_VERSION else now.drop("view_count", "view_time", "last_view")
+        old = old.withColumns({"alpha": F.lit(1.1), "beta": F.lit(0.9)}) if version < 2 else old
+        old.withColumns({"coi_id": F.concat("coi_id", F.lit(f"v{version}")), "schema_version": F.lit(version)}).write.parquet(f"{folder}/part={version}")
+    out = tables.load_state(spark, folder)
+    return out.select("user_id", "polarity", "coi_pos", "coi_id", "view_count", _r("view_time").alias("view_time"), F.unix_timestamp("last_view").alias("last_view"))
+
+
 @query
 def coi_decay(spark, sf_dir):
     return d.interests(spark, sf_dir).select("user_id", "coi_id", _r(v.decay(30.0, _as_of(), F.col("last_view"))).alias("decay"))

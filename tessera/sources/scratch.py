@@ -35,6 +35,15 @@ def clear_scratch(spark: SparkSession) -> None:
 _AT_EXIT: set[str] = set()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the application's folder, which goes when the driver's program ends."""
+    folder = _own_folder(spark)
+    if folder not in _AT_EXIT:
+        _AT_EXIT.add(folder)
+        atexit.register(_clear_at_exit, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def _clear_at_exit(spark: SparkSession, folder: str) -> None:
     try:
         clear_scratch(spark)
@@ -57,11 +66,7 @@ def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     tasks read their rows one by one.
     """
     spark = df.sparkSession
-    folder = _own_folder(spark)
-    if folder not in _AT_EXIT:
-        _AT_EXIT.add(folder)
-        atexit.register(_clear_at_exit, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     few = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
-    few.write.options(**(_PLAIN_MOUNTED if folder.startswith("file:") else _PLAIN)).parquet(path)
+    few.write.options(**(_PLAIN_MOUNTED if path.startswith("file:") else _PLAIN)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -72,7 +72,7 @@ def migrate(state: DataFrame, version: int) -> DataFrame:
     """Interests of an older version: 0 and 1 held alpha and beta, up to 2 had no statistics (count 1, no time, the epoch)."""
     if not 0 <= version <= STATE_VERSION:
         raise ValueError(f"unknown state version {version}")
-    out = state.drop("alpha", "beta") if version < 2 else state
+    out = state.drop("alpha", "beta")
     if version < 3:
         out = out.withColumn("view_count", F.lit(1).cast("long")).withColumn("view_time", F.lit(0.0)).withColumn("last_view", F.lit(0).cast("timestamp"))
     return out
@@ -85,7 +85,7 @@ def save_state(interests: DataFrame, path: str) -> None:
 
 def load_state(spark: SparkSession, path: str, phrases: bool = False) -> DataFrame:
     """What was saved, brought to the present version; phrases have not changed since they are kept."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.option("mergeSchema", True).parquet(path)  # files of several versions have different columns
     if phrases:
         return rows.drop("schema_version")
     versions = [r[0] for r in rows.select("schema_version").distinct().limit(STATE_VERSION + 2).collect()]
