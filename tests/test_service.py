@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -167,6 +168,16 @@ def test_generated_histories(spark):
     assert np.allclose(share, [0.5, 0.3, 0.2], atol=0.04)
 
 
+def test_intermediate_tables_are_plain_files(spark):
+    """No markers and no checksum files beside them; narrow tables are a few files, whatever the shuffle's partitions."""
+    rows = spark.range(1_000).repartition(40)
+    files = lambda t: list(Path(t.inputFiles()[0].removeprefix("file://")).parent.iterdir())
+    wide, narrow = scratch.materialize(rows), scratch.materialize(rows, narrow=True)
+    assert len(files(wide)) == 40 and len(files(narrow)) == 2 * spark.sparkContext.defaultParallelism
+    assert all(f.name.startswith("part-") for t in (wide, narrow) for f in files(t))
+    assert sorted(r[0] for r in narrow.collect()) == list(range(1_000)) == sorted(r[0] for r in wide.collect())
+
+
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     own = scratch.materialize(spark.range(3))
     assert own.count() == 3 and spark.sparkContext.applicationId in own.inputFiles()[0]
