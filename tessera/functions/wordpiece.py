@@ -6,18 +6,21 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code point ranges that are isolated as words of their own, and the clean-ups of decoded English, in order.
 CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B920, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 CONTRACTIONS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
-_CHUNK = re.compile("[^ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+")
+_WHITE = " \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_CHUNK, _SPACES = re.compile(f"[^{_WHITE}]+"), f"[{_WHITE}]+"
 COLUMNS = ("ids", "type_ids", "tokens", "word_indices", "offsets", "special_tokens_mask", "attention_mask")
 PART = {"ids": "array<int>", "type_ids": "array<int>", "tokens": "array<string>", "word_indices": "array<int>", "offsets": "array<struct<start:int,end:int>>", "special_tokens_mask": "array<int>", "attention_mask": "array<int>"}
 ENCODING = f"{', '.join(f'{k} {t}' for k, t in PART.items())}, overflowing array<struct<{','.join(f'{k}:{t}' for k, t in PART.items())}>>"
@@ -94,7 +97,12 @@ class WordPiece:
 
     def __post_init__(self) -> None:
         self._known: dict[str, list] = {}
-        self._known_ids: dict[str, np.ndarray] = {}
+        self._known_ids: dict[str, list[int]] = {}
+        self._spaced = _Spaced(self)
+        self._longest = max(map(len, self.vocab))
+        inner = {t.removeprefix(self.prefix): i for t, i in self.vocab.items() if t.startswith(self.prefix)}
+        #: Tokens at a word's beginning and within it, each with the lengths to try by first character.
+        self._outer, self._inner = (self.vocab, _lengths(self.vocab)), (inner, _lengths(inner))
         for name in (self.unknown, self.cls, self.sep, *([self.pad] if self.padding else [])):
             if name not in self.vocab:
                 raise ValueError(f"the vocabulary lacks {name}")
@@ -127,7 +135,7 @@ class WordPiece:
         words, now = [], []
         for x in self.normalise(text):
             c = x[0]
-            punctuation = unicodedata.category(c)[0] == "P" or (ord(c) < 128 and not c.isalnum() and not c.isspace() and c.isprintable())
+            punctuation = _punctuation(c)
             if c.isspace() or punctuation:
                 if now:
                     words.append(now)
@@ -145,7 +153,7 @@ class WordPiece:
             return [whole]
         out, i, chars = [], 0, "".join(x[0] for x in word)
         while i < len(word):
-            for j in range(len(word), i, -1):
+            for j in range(min(len(word), i + self._longest), i, -1):
                 t = (self.prefix if i else "") + chars[i:j]
                 if t in self.vocab:
                     out.append((t, word[i][1], word[j - 1][2]))
@@ -221,47 +229,109 @@ class WordPiece:
 
         return run(text)
 
-    def encode_ids(self, text: str | None) -> list[np.ndarray]:
-        """The ids of all parts as in encode, without what else an encoding holds."""
-        pieces = [np.zeros(0, np.int32)]
-        for m in _CHUNK.finditer(text or ""):
-            chunk = m[0]
-            if chunk not in self._known_ids:
-                if len(self._known_ids) >= 200_000:
-                    self._known_ids.clear()
-                self._known_ids[chunk] = np.array([self.vocab[t] for w in self.words(chunk) for t, _, _ in self.pieces(w)], np.int32)
-            pieces.append(self._known_ids[chunk])
-        ids = np.concatenate(pieces)
-        room = len(ids) if self.max_length is None else self.max_length - 2
-        starts = range(0, len(ids), room - self.stride) if 0 < room < len(ids) else [0]
-        out = []
-        for i in starts:
-            own = ids[i : i + room]
-            size = max(len(own) + 2, self.max_length if self.padding and self.max_length else 0)
-            part = np.full(size, self.vocab[self.pad] if size > len(own) + 2 else 0, np.int32)
-            part[0], part[1 : len(own) + 1], part[len(own) + 1] = self.vocab[self.cls], own, self.vocab[self.sep]
-            out.append(part)
-            if i + room >= len(ids):
-                break
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of a normalised word's pieces."""
+        if len(word) > self.max_chars:
+            return [self.vocab[self.unknown]]
+        out, i, (known, lengths) = [], 0, self._outer
+        while i < len(word):
+            for n in lengths.get(word[i], ()):
+                if (x := known.get(word[i : i + n])) is not None:
+                    out.append(x)
+                    i, (known, lengths) = min(i + n, len(word)), self._inner
+                    break
+            else:
+                return [self.vocab[self.unknown]]
         return out
 
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """The ids of a text without white space; remembered, as chunks come again."""
+        ids = self._known_ids.get(chunk)
+        if ids is None:
+            if len(self._known_ids) >= 200_000:
+                self._known_ids.clear()
+            ids = self._known_ids[chunk] = [x for w in chunk.translate(self._spaced).split(" ") if w for x in self.word_ids(w)]
+        return ids
+
+    def encode_ids(self, texts: pa.Array) -> pa.Array:
+        """The ids of all parts of each text as in encode, without what else an encoding holds: lists of lists.
+
+        Chunks between white space are looked up once for each different one of the batch, and all parts of all texts are
+        laid out at once.
+        """
+        split = pc.split_pattern_regex(texts.fill_null(""), _SPACES)
+        seen = split.flatten().dictionary_encode()
+        ids = [self.chunk_ids(c) for c in seen.dictionary.to_pylist()]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        places = np.cumsum(counts) - counts
+        which = seen.indices.to_numpy(zero_copy_only=False)
+        n = counts[which]
+        ends = np.append(0, np.cumsum(n))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))[_ranges(places[which], n)]
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        starts = ends[offsets - offsets[0]]  # of each text's ids in flat
+
+        size = np.diff(starts)
+        room = None if self.max_length is None else self.max_length - 2
+        step = room - self.stride if room else 1
+        parts = np.ones(len(size), np.int64)
+        if room:
+            parts += np.maximum(-(-(size - room) // step), 0)
+        of = np.repeat(np.arange(len(size)), parts)
+        first = _ranges(np.zeros(len(size), np.int64), parts) * step
+        own = size[of] - first if room is None else np.minimum(size[of] - first, room)
+        width = np.maximum(own + 2, self.max_length) if self.padding and self.max_length else own + 2
+        begin = np.append(0, np.cumsum(width))
+        out = np.full(int(begin[-1]), self.vocab[self.pad] if self.padding else 0, np.int32)
+        out[begin[:-1]] = self.vocab[self.cls]
+        out[begin[:-1] + own + 1] = self.vocab[self.sep]
+        out[_ranges(begin[:-1] + 1, own)] = flat[_ranges(starts[of] + first, own)]
+        inner = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(out))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(parts)), pa.int32()), inner)
+
     def ids_column(self, text: Column) -> Column:
         """The ids of all parts, an array for each."""
 
         @F.arrow_udf("array<array<int>>")
         def run(texts: pa.Array) -> pa.Array:
-            flat, size, count = [np.zeros(0, np.int32)], [0], [0]
-            for t in texts:
-                parts = self.encode_ids(t.as_py())
-                flat += parts
-                size += map(len, parts)
-                count.append(len(parts))
-            inner = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(np.concatenate(flat)))
-            return pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), inner)
+            return self.encode_ids(texts)
 
         return run(text)
 
 
+def _punctuation(c: str) -> bool:
+    return unicodedata.category(c)[0] == "P" or (ord(c) < 128 and not c.isalnum() and not c.isspace() and c.isprintable())
+
+
+class _Spaced(dict):
+    """For str.translate: a character as the tokenizer normalises it, with its words between single spaces.
+
+    Normalising looks at one character at a time, so that each is worked out once.
+    """
+
+    def __init__(self, tokenizer: WordPiece):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        found = [c for c, _, _ in self.tokenizer.normalise(chr(code))]
+        self[code] = "".join(" " if c.isspace() else f" {c} " if _punctuation(c) else c for c in found)
+        return self[code]
+
+
+def _lengths(tokens: Iterable[str]) -> dict[str, list[int]]:
+    """The lengths of the tokens that begin with a character, falling."""
+    out: dict[str, set[int]] = {}
+    for t in filter(None, tokens):
+        out.setdefault(t[0], set()).add(len(t))
+    return {c: sorted(n, reverse=True) for c, n in out.items()}
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range of n integers, one range after another."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 def word_starts(offsets: list[tuple[int, int]]) -> list[bool]:
     """Tokens that begin a word: they start behind the end of the one before, or at 0 with some extent."""
     ends = [0, *(e for _, e in offsets[:-1])]

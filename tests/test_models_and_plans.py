@@ -1,6 +1,9 @@
 """The network, tokenizer, layers, sources, state, plans, streaming and the registered queries."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import struct
 from datetime import datetime, timedelta
 import pytest
@@ -118,6 +121,19 @@ def test_overflowing_parts_are_columns(spark):
                 assert (row["ids"], row["tokens"], row["word_indices"], [tuple(o) for o in row["offsets"]]) == (p.ids, p.tokens, p.word_indices, p.offsets)
 
 
+def test_ids_of_a_batch_equal_the_encodings():
+    """Odd spaces, control and combining characters, sliced and empty batches; every choice of the tokenizer."""
+    rnd = random.Random(3)
+    parts = [*"ab foxyz.,ABé'!", "\u00a0", "\u3000", "\t", "\n", "\x0b", "\x1c", "\x85", "\0", "中", "e\u0301", "foo", "bar", "a" * 120]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(200)] + [None, "", " "]
+    column = pa.array(texts, pa.string())
+    for more in ({"max_length": 8, "stride": 2}, {"max_length": 5, "padding": False}, {"max_length": 2}, {}, {"max_length": 9, "stride": 6, "chinese": True, "accents": True, "lowercase": False}, {"cleanup": False, "max_length": 7, "max_chars": 4}):
+        w = piece(**more)
+        want = [[p.ids for p in (e, *e.overflowing)] for e in map(w.encode, texts)]
+        assert w.encode_ids(column).to_pylist() == want
+        assert w.encode_ids(column[7:60]).to_pylist() == want[7:60] and len(w.encode_ids(column[:0])) == 0
+
+
 def test_wordpiece_query_keeps_whole_texts(spark, sf_dir):
     rows = {r["doc_id"]: r for r in entry.queries()["wordpiece_encode"](spark, sf_dir).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect():
