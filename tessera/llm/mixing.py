@@ -6,7 +6,7 @@ the expected sample has ``keep`` of all tokens; cells that would be wanted more
 documents carry the rest as a weight. A document is in the sample if a hash of its id falls below its probability.
 
 With given targets (``mix_sources``) there are at most as many cells as the targets have combinations (each margin with
-one cell more for all other values and null), so that fitting on the driver is bounded by the targets, not by the table.
+one cell more for all other values and null); only those that occur are fitted, on the driver.
 ``mix_tempered`` has a target for every value that there is: up to DRIVER_CELLS cells are raked on the driver, more of
 them by alternate sums and joins with written tables of factors; both give the same shares.
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,29 +46,38 @@ class Fit:
     gap: float
 
 
-def rake(table: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-10, most: int = 1000) -> Fit:
-    """Scale a table of non-negative numbers, axis by axis, until its sums along the others are the targets (shares).
+def rake_cells(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, most: int = 1000) -> Fit:
+    """Scale the tokens of the cells that there are, margin by margin, until each margin's sums are its targets (shares).
 
-    A category without any mass can't get its share; what the targets ask for it is spread over the axis's others.
+    codes: for each margin the value of each cell. A value without any tokens can't get its share; what the targets ask
+    for it is spread over the margin's others.
     """
-    x = table / table.sum()
-    goals = []
-    for axis, t in enumerate(targets):
-        has = x.sum(axis=tuple(k for k in range(x.ndim) if k != axis)) > 0
-        t = np.where(has, t, 0.0)
-        goals.append(t / t.sum() if t.sum() > 0 else has / has.sum())
+    x = tokens / tokens.sum()
+    axes = []
+    for code, t in zip(codes, targets, strict=True):
+        has = np.bincount(code, weights=x, minlength=len(t)) > 0
+        goal = np.where(has, t, 0.0)
+        axes.append((code, goal / goal.sum() if goal.sum() > 0 else has / has.sum()))
     gap = np.inf
     for done in range(1, most + 1):
-        for axis, goal in enumerate(goals):
-            own = x.sum(axis=tuple(k for k in range(x.ndim) if k != axis))
-            factor = np.divide(goal, own, out=np.zeros_like(goal), where=own > 0)
-            x = x * factor.reshape([-1 if k == axis else 1 for k in range(x.ndim)])
-        gap = max(np.abs(x.sum(axis=tuple(k for k in range(x.ndim) if k != axis)) - g).max() for axis, g in enumerate(goals))
+        for code, goal in axes:
+            own = np.bincount(code, weights=x, minlength=len(goal))
+            x = x * np.divide(goal, own, out=np.zeros_like(goal), where=own > 0)[code]
+        gap = max(np.abs(np.bincount(code, weights=x, minlength=len(goal)) - goal).max() for code, goal in axes)
         if gap < tolerance:
             break
     return Fit(x, done, float(gap))
 
 
+def rake(table: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-10, most: int = 1000) -> Fit:
+    """The same for a whole table, an axis for each margin."""
+    at = np.nonzero(table)
+    fit = rake_cells(table[at], list(at), targets, tolerance, most)
+    shares = np.zeros(table.shape)
+    shares[at] = fit.shares
+    return Fit(shares, fit.rounds, fit.gap)
+
+
 def probabilities(tokens: np.ndarray, shares: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
     """Inclusion probability and weight by cell: expected tokens are min(1, p) of the cell's, keep of all in sum."""
     want = keep * tokens.sum()
@@ -114,24 +124,19 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], mar
     count = n_tokens(F.col(text_col)) if tokens is None else tokens
     marked = _marked(docs, cells, count, id_col, seed)
     keys = [f"_m{i}" for i in range(len(names))]
-    table = np.zeros([len(v) for v in values])
-    for r in marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect():  # at most one row for each combination
-        table[tuple(v.index(r[k]) for v, k in zip(values, keys, strict=True))] = r["n"] or 0
-    if table.sum() > 0:
-        goals = []
-        for axis, (m, v) in enumerate(zip(names, values, strict=True)):
-            seen = table.sum(axis=tuple(k for k in range(table.ndim) if k != axis)) / table.sum()
-            t = np.array([targets[m].get(x, np.nan) for x in v], float)
-            rest = seen[-1] if np.isnan(t[-1]) else t[-1]
-            t[:-1] *= (1 - rest) / max(t[:-1].sum(), 1e-300)
-            t[-1] = rest
-            goals.append(t)
-        p, w = probabilities(table, rake(table, goals).shares, keep)
-    else:
-        p, w = np.full(table.shape, keep), np.ones(table.shape)
-    rows = [(*(v[i] for v, i in zip(values, at, strict=True)), float(p[tuple(at)]), float(w[tuple(at)])) for at in np.argwhere(table > 0)]
-    schema = ", ".join([f"{k} string" for k in keys] + ["_p double, _w double"])
-    known = docs.sparkSession.createDataFrame(rows, schema)
+    # only combinations that occur: at most as many as the targets have, and as the table has
+    cells = marked.groupBy(*keys).agg(F.sum("_tokens").alias("n")).filter("n > 0").toArrow()
+    n = cells.column("n").to_numpy().astype(float)
+    codes = [pc.index_in(cells.column(k), pa.array(v)).to_numpy().astype(np.int64) for k, v in zip(keys, values, strict=True)]
+    goals = []
+    for m, v, code in zip(names, values, codes, strict=True):
+        t = np.array([targets[m].get(x, np.nan) for x in v], float)
+        if np.isnan(t[-1]):
+            t[-1] = n[code == len(v) - 1].sum() / max(n.sum(), 1.0)
+        t[:-1] *= (1 - t[-1]) / max(t[:-1].sum(), 1e-300)
+        goals.append(t)
+    p, w = probabilities(n, rake_cells(n, codes, goals).shares, keep) if len(n) else (n, n)
+    known = docs.sparkSession.createDataFrame(pa.table([*(cells.column(k).cast(pa.string()) for k in keys), pa.array(p, pa.float64()), pa.array(w, pa.float64())], names=[*keys, "_p", "_w"]))
     return _draw(docs, marked, F.broadcast(known), keys, keep)
 
 

@@ -432,6 +432,23 @@ def test_mix_sources(spark):
     assert sum(r["n_tokens"] for r in out) == pytest.approx(0.3 * sum(len((r[1] or "").split(" ")) if r[1] else 0 for r in rows), rel=0.06)
     assert {tuple(r) for r in out} == {tuple(r) for r in mixing.mix_sources(docs, targets, keep=0.3).collect()}
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix_documents(docs).count() > 0
+    assert mixing.mix_sources(docs.limit(0), targets).count() == 0
+
+
+def test_mix_sources_fits_only_what_occurs(spark):
+    """20,000 sources by 500 languages would be a table of ten million cells; 60 occur."""
+    rows = [(k, "x " * (1 + k % 5), f"l{k % 20}", f"s{k % 30}", None, k, "x", k) for k in range(6000)]
+    targets = {"source": {f"s{i}": 1.0 + (i % 3) for i in range(20_000)}, "lang": {f"l{i}": 1.0 for i in range(500)}}
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOCS), targets, keep=0.4).collect()
+    want = Counter()
+    for r in rows:
+        want[r[3], r[2]] += len(r[1].split())
+    assert len(want) == 60
+    share = Counter()
+    cells = {(r["source"], r["lang"]): r["probability"] * r["weight"] * want[r["source"], r["lang"]] for r in out}
+    for (s, _), x in cells.items():
+        share[int(s[1:]) % 3] += x / sum(cells.values())
+    assert len(cells) == 60 and [share[i] for i in range(3)] == pytest.approx([1 / 6, 2 / 6, 3 / 6], rel=1e-6)
 
 
 @pytest.mark.parametrize("most", [200_000, 0])
