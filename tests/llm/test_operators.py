@@ -941,3 +941,19 @@ def test_near_vectors_off_centre_at_any_width(spark, width, mean):
     rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<float>")
     found = np.array([r["n_links"] for r in embedding_dedup.near_vectors(rows, width=width).orderBy("vec_id").collect()])
     assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.98 * links.sum() > 0
+
+
+def test_near_vectors_of_the_table_drawn_to_neighbours(spark, sf_dir):
+    """The table's vectors, which have no links, and each drawn towards the next one of its label, so far that it has one or just has none."""
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("label", "vec_id").toPandas()
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(np.stack(t["embedding"]).astype(float))
+    after = np.roll(np.arange(len(a)), -1)
+    u = unit(a[after] - (a[after] * a).sum(axis=1, keepdims=True) * a)
+    cos = np.random.default_rng(1).uniform(0.89, 0.93, len(a))[:, None]
+    x = unit(np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * u]).astype(np.float32).astype(float))
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    found = np.array([r["n_links"] for r in embedding_dedup.near_vectors(rows).orderBy("vec_id").collect()])
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.97 * links.sum() > 0
