@@ -9,15 +9,20 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from ..functions.vector import dot, l2_distance
+from ..functions.vector import dot, is_finite, l2_distance
 
 # Interests nearer than this merge; the similarity to no interest.
 MERGE_DISTANCE = 4.5
@@ -314,29 +319,127 @@ def synchronize(local: DataFrame, remote: DataFrame) -> DataFrame:
     return merge(append_remote(local, remote))
 
 
+#: So many doubles of points are a group of close pairs at least, of one user and polarity; two groups meet in one call.
+GROUP_VALUES = 1 << 19
+#: Interests of a tile, of which two are compared at once; doubles of the pairs whose distances are worked out at once.
+TILE, EXACT_VALUES = 1_024, 1 << 20
+
+
+def _tiles(cells: np.ndarray, points: np.ndarray) -> list[tuple[int, int, np.ndarray, float]]:
+    """start, stop, centre and radius of runs of the same cell, at most TILE long."""
+    cuts = np.flatnonzero(np.diff(cells)) + 1
+    found = []
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
+        for a in range(start, stop, TILE):
+            own = points[a : min(a + TILE, stop)]
+            centre = own.mean(axis=0)
+            found.append((a, a + len(own), centre, float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))))
+    return found
+
+
+def _close(a: np.ndarray, b: np.ndarray, below: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of the pairs of two tiles that are nearer than below; same: of one tile, each pair once.
+
+    A product of matrices finds them with room for its rounding; their distances are then summed up dimension by dimension.
+    """
+    norms = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    far = norms[0][:, None] + norms[1] - 2 * (a @ b.T) > below * below + 1e-12 * (a.shape[1] + 1) * (norms[0].max() + norms[1].max() + below * below)
+    i, j = np.nonzero(np.triu(~far, 1) if same else ~far)
+    step = max(1, EXACT_VALUES // max(1, a.shape[1]))
+    for k in range(0, len(i), step):
+        x, y = i[k : k + step], j[k : k + step]
+        d = np.zeros(len(x))
+        for c in range(a.shape[1]):
+            d += (a[x, c] - b[y, c]) ** 2
+        d = np.sqrt(d)
+        near = d < below
+        yield x[near], y[near], d[near]
+
+
+def _close_in_groups(below: float, schema: pa.Schema) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, polarity, dim, group, met = (k.as_py() for k in key)
+        rows = pa.Table.from_batches(list(batches))
+        rows = rows.take(pc.sort_indices(rows, [("side", "ascending"), ("cell", "ascending")])).combine_chunks()
+        ids, side, cells = rows["coi_id"].combine_chunks(), rows["side"].to_numpy(), rows["cell"].to_numpy()
+        points = rows["point"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
+        first = int(np.searchsorted(side, 1))
+        here = _tiles(cells[:first], points[:first])
+        alone = group == met
+        there = here if alone else [(x + first, y + first, *more) for x, y, *more in _tiles(cells[first:], points[first:])]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for n, (a, a1, centre, radius) in enumerate(here):
+                for b, b1, other, reach in there[n:] if alone else there:
+                    # two balls with nothing between them closer than below; what isn't a number is compared
+                    if np.linalg.norm(centre - other) - radius - reach > below + 1e-9 * (below + radius + reach + np.abs(centre).max(initial=0) + np.abs(other).max(initial=0)):
+                        continue
+                    for x, y, d in _close(points[a:a1], points[b:b1], below, a == b):
+                        if len(d):
+                            yield pa.record_batch([pa.array([user] * len(d), schema.field(0).type), pa.array([polarity] * len(d), schema.field(1).type), ids.take(pa.array(x + a)), ids.take(pa.array(y + b)), pa.array(d)], schema=schema)
+
+    return compare
+
+
+def _pairs_of_few(rows: DataFrame, below: float) -> DataFrame:
+    """Pairs of users with no more interests than one pivot has: all of them are compared."""
+    one, two = (rows.select("user_id", "polarity", "dim", F.col("coi_id").alias(i), F.col("point").alias(p)) for i, p in (("a", "pa"), ("b", "pb")))
+    met = one.join(two, ["user_id", "polarity", "dim"]).filter("a < b").withColumn("distance", l2_distance(F.col("pa"), F.col("pb")))
+    return met.filter(F.col("distance") < below).select("user_id", "polarity", "a", "b", "distance")
+
+
 def close_pairs(interests: DataFrame, below: float = MERGE_DISTANCE, most_pivots: int = 32, every: int = 64) -> DataFrame:
     """-> user_id, polarity, id0 < id1, distance of interests nearer to each other than ``below``.
 
     The interests of a user and polarity are dealt to pivots, some of them by a hash: one for each ``every``, at most
-    most_pivots. An interest is at home with its nearest pivot and a guest of those it could have a partner with: by the
-    triangle inequality a partner at home with another pivot is nearer to that one than 2 * below plus the distance from
-    home. At a pivot two interests meet only if their distances from it differ by less than below, in bands of that width,
-    and are compared only if this holds for every pivot.
+    most_pivots. Those at home with one pivot are a cell, or several by their distance from it. Two cells can hold a pair
+    only if for every pivot their ranges of distances are nearer to each other than below. Neighbouring cells are a group
+    of bounded size; interests are sent to the pairs of groups where a cell can meet one, and compared there by products of
+    matrices, tile by tile. Points that aren't finite are near nothing.
     """
-    key = ["user_id", "polarity"]
-    few = interests.select(*key, "coi_id", F.transform("point", lambda x: x.cast("double")).alias("point"))
+    from ..sources.scratch import materialize
+
+    key = ["user_id", "polarity", "dim"]
+    fine = F.coalesce(is_finite(F.col("point")), F.lit(False)) & F.col("user_id").isNotNull() & F.col("polarity").isNotNull() & F.col("coi_id").isNotNull()
+    few = interests.filter(fine).select("user_id", "polarity", F.size("point").alias("dim"), "coi_id", F.transform("point", lambda x: x.cast("double")).alias("point"))
     sizes = few.groupBy(*key).agg(F.least(F.lit(most_pivots), F.ceil(F.count("*") / every)).cast("int").alias("k"))
-    placed = few.select(*key, "coi_id", "point", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("coi_id"), "coi_id")).alias("n"))
-    pivots = placed.join(sizes, key).filter("n <= k").groupBy(*key).agg(F.collect_list("point").alias("pivots"))
-    rows = few.join(pivots, key).withColumn("gaps", F.transform("pivots", lambda p: l2_distance(F.col("point"), p))).drop("pivots")
-    rows = rows.withColumn("home", F.array_position("gaps", F.array_min("gaps")).cast("int") - 1)
-    homes = rows.withColumn("cell", F.col("home")).withColumn("gap", F.element_at("gaps", F.col("home") + 1))
-    band = F.floor(F.col("gap") / below)
-    # a guest goes to pivots before its home only: a pair of two homes meets once
-    visits = F.filter(F.transform("gaps", lambda g, i: F.struct(i.alias("cell"), g.alias("gap"))), lambda v: (v["cell"] < F.col("home")) & (v["gap"] <= F.array_min("gaps") + 2 * below))
-    guests = homes.select(*key, "coi_id", "point", "gaps", "home", "cell", "gap").unionByName(rows.withColumn("v", F.explode(visits)).select(*key, "coi_id", "point", "gaps", "home", "v.cell", "v.gap"))
-    hosts = homes.select(*key, "cell", band.alias("band"), F.col("coi_id").alias("a"), F.col("point").alias("pa"), F.col("gaps").alias("ga"))
-    guests = guests.select(*key, "cell", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("coi_id").alias("b"), F.col("point").alias("pb"), F.col("gaps").alias("gb"), "home")
-    met = hosts.join(guests, [*key, "cell", "band"]).filter(((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b"))) & F.forall(F.arrays_zip("ga", "gb"), lambda g: F.abs(g["ga"] - g["gb"]) < below))
-    pairs = met.select(*key, F.least("a", "b").alias("id0"), F.greatest("a", "b").alias("id1"), l2_distance(F.col("pa"), F.col("pb")).alias("distance"))
-    return pairs.filter((F.col("distance") < below) & (F.col("id0") != F.col("id1")))
+    # the bound by a number is passed on to the tasks before the shuffle
+    placed = few.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("coi_id"), "coi_id"))).filter(F.col("n") <= most_pivots)
+    pivots = placed.join(sizes.filter("k > 1"), key).filter("n <= k").groupBy(*key).agg(F.collect_list("point").alias("pivots"))
+    # left joins, so that Spark broadcasts the small tables or none, and never the interests
+    rows = materialize(few.join(pivots, key, "left").withColumn("gaps", F.transform("pivots", lambda p: l2_distance(F.col("point"), p))).drop("pivots"))
+
+    many = rows.filter("gaps is not null").withColumn("home", F.array_position("gaps", F.array_min("gaps")).cast("int")).withColumn("gap", F.array_min("gaps"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(GROUP_VALUES) / F.greatest("dim", F.lit(1))))
+    homes = many.groupBy(*key, "home").agg(F.ceil(F.count("*") / room).alias("slices"), F.min("gap").alias("low"), F.max("gap").alias("high"))
+    width = F.greatest(F.lit(below), (F.col("high") - F.col("low")) / F.col("slices"))
+    cut = many.join(homes, [*key, "home"], "left").withColumn("slice", F.least(F.col("slices") - 1, F.floor((F.col("gap") - F.col("low")) / width))).drop("slices", "low", "high", "gap")
+    ends = [f(F.get("gaps", F.lit(i))).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(most_pivots)]
+    slices = cut.groupBy(*key, "home", "slice").agg(F.count("*").alias("n"), *ends)
+    ranges = F.array(*[F.struct(F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high")) for i in range(most_pivots)])
+    slices = slices.select(*key, "home", "slice", "n", F.ceil(F.col("n") / room).alias("parts"), ranges.alias("ranges"))
+    # a slice that is too large, as copies are in one place, is dealt out by a hash
+    cells = slices.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    along = Window.partitionBy(*key).orderBy(F.col("ranges")[0]["low"], "home", "slice", "part")
+    before = F.coalesce(F.sum(F.col("n") / F.col("parts")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    cells = materialize(cells.select(*key, "home", "slice", "part", "parts", "ranges", F.row_number().over(along).alias("cell"), F.floor(before / room).alias("grp")))
+
+    one, two = (cells.select(*key, F.struct("home", "slice", "part").alias(f"at{s}"), F.col("cell").alias(f"cell{s}"), F.col("grp").alias(f"g{s}"), F.col("ranges").alias(f"r{s}")) for s in (0, 1))
+
+    def ruled_out(x: Column, y: Column) -> Column:
+        gap, high = F.greatest(x["low"], y["low"]) - F.least(x["high"], y["high"]), F.greatest(x["high"], y["high"])
+        return F.coalesce(~F.isnan(gap) & (gap > below + 1e-9 * (below + high)), F.lit(False))
+
+    apart = F.exists(F.zip_with("r0", "r1", ruled_out), lambda x: x)
+    able = one.join(two, key).filter((F.col("cell0") <= F.col("cell1")) & ~apart)
+    ends = F.array(*[F.struct(F.col(f"at{s}").alias("at"), F.col(f"cell{s}").alias("cell"), F.when(F.col("g0") == F.col("g1"), 0).otherwise(s).alias("side")) for s in (0, 1)])
+    sent = able.select(*key, F.col("g0").alias("i"), F.col("g1").alias("j"), F.explode(ends).alias("e")).select(*key, "i", "j", "e.at.*", "e.cell", "e.side").distinct()
+
+    dealt = cut.join(slices.select(*key, "home", "slice", "parts"), [*key, "home", "slice"], "left").withColumn("part", F.pmod(F.xxhash64("coi_id"), "parts"))
+    met = dealt.select(*key, "home", "slice", "part", "coi_id", "point").join(sent, [*key, "home", "slice", "part"], "left")
+    pair = [*key, "i", "j"]
+    kinds = rows.schema
+    schema = T.StructType([kinds["user_id"], kinds["polarity"], *[T.StructField(c, kinds["coi_id"].dataType) for c in "ab"], T.StructField("distance", T.DoubleType())])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.select(*pair, "side", "cell", "coi_id", "point").repartition(n, *pair).groupBy(*pair).applyInArrow(_close_in_groups(below, to_arrow_schema(schema)), schema)
+    pairs = _pairs_of_few(rows.filter("gaps is null"), below).unionByName(found).filter("a != b")
+    return pairs.select("user_id", "polarity", F.least("a", "b").alias("id0"), F.greatest("a", "b").alias("id1"), "distance")

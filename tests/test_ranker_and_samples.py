@@ -130,6 +130,54 @@ def test_pivots_spare_comparisons(spark):
     assert found and max(found) < n * n / 10
 
 
+def joined_rows(frame):
+    """Rows out of the largest join of a frame's plan, once it has run."""
+    done = frame._jdf.queryExecution()
+    frame._jdf.collectToPython()
+    found, todo = [0], [done.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return max(found)
+
+
+@pytest.mark.parametrize("values", [1 << 19, 4_000])
+def test_close_pairs_where_pivots_rule_out_nothing(spark, monkeypatch, values):
+    """Points about as far from each other as from every pivot, and many copies: no join has a row for each pair."""
+    monkeypatch.setattr(it, "GROUP_VALUES", values)
+    rng = np.random.default_rng(3)
+    n, dim = 900, 16
+    points = rng.normal(size=(n, dim))
+    points[500:700] = points[500]
+    rows = [(1, "pos", k, f"c{k:04d}", points[k].tolist(), 1, 0.0, datetime(2024, 1, 1)) for k in range(n)]
+    pairs = it.close_pairs(spark.createDataFrame(rows, it.INTERESTS), below=4.0)
+    gaps = np.linalg.norm(points[:, None] - points[None], axis=2)
+    want = {(f"c{a:04d}", f"c{b:04d}"): gaps[a, b] for a, b in zip(*np.nonzero(np.triu(gaps < 4.0, 1)), strict=True)}
+    got = pairs.collect()
+    assert len(got) == len(want) > 200 * 199 // 2 and {(r["id0"], r["id1"]) for r in got} == set(want)
+    assert all(r["distance"] == pytest.approx(want[r["id0"], r["id1"]], abs=1e-9) for r in got)
+    assert joined_rows(pairs) < n * n / 10
+
+
+@pytest.mark.parametrize("n", [12, 200])
+def test_close_pairs_pass_over_points_that_are_not_finite(spark, n):
+    """Whether they would be pivots or not; points of other widths are near nothing either."""
+    rows = [(1, "pos", k, f"c{k:03d}", [10.0 * (k // 2), k % 2 * 1.0] if k % 3 else [[float("nan"), 0.0], [None, 1.0], [0.0], None, [float("inf"), 0.0]][k // 3 % 5], 1, 0.0, None) for k in range(n)]
+    want = {(f"c{k:03d}", f"c{k + 1:03d}") for k in range(0, n, 2) if k % 3 and (k + 1) % 3}
+    narrow = [f"c{k:03d}" for k in range(0, n, 3) if k // 3 % 5 == 2]
+    want |= {(a, b) for a in narrow for b in narrow if a < b}
+    assert {(r["id0"], r["id1"]) for r in it.close_pairs(spark.createDataFrame(rows, it.INTERESTS)).collect()} == want
+
+
 def history(spark, queries):
     """queries: (session, count, relevances)."""
     rows, pos = [], 0
