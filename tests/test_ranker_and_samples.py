@@ -198,6 +198,49 @@ def test_sample_spans_pass_over_irrelevant_queries(spark):
     assert [tuple(r) for r in sm.sample_spans(history(spark, [(1, 0, [1]), (2, 1, [1]), (2, 2, [0])])).collect()] == [(3, 1, 3)]
 
 
+def spans_one_by_one(rows):
+    """By user, from rows (user, hist_pos, session, query_count, relevance): each entry looked at in turn."""
+    found = {}
+    for user in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == user)
+        stop = len(own)
+        while stop:
+            other = [k for k in range(stop) if own[k][1] != own[stop - 1][1] and own[k][2] != own[stop - 1][2]]
+            start = other[-1] + 1 if other else 0
+            if any((r[3] or 0) > 0 for r in own[start:stop]):
+                found[user] = (own[start][0], own[stop - 1][0] + 1)
+                break
+            stop = start
+    return found
+
+
+def test_sample_spans_of_mixed_runs(spark):
+    """Sessions and counts that change alone, together and back again; positions with gaps; users without a hit."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for user in range(150):
+        pos = np.cumsum(rng.integers(1, 3, int(rng.integers(1, 25))))
+        rows += [(user, int(p), int(rng.integers(0, 3)), int(rng.integers(0, 3)), int(rng.random() < 0.15) if rng.random() < 0.9 else None) for p in pos]
+    h = spark.createDataFrame(rows, "user_id long, hist_pos long, session long, query_count long, relevance int")
+    want = spans_one_by_one(rows)
+    assert 20 < len(want) < 150 and {r["user_id"]: (r["start"], r["stop"]) for r in sm.sample_spans(h).collect()} == want
+    plan = sm.sample_spans(h)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan and plan.count("hashpartitioning(user_id#") == 1
+
+
+def test_only_histories_of_samples_are_aggregated(spark, monkeypatch):
+    """Users without a list of ranks have no sample; their histories don't reach the features' sums, and none is read twice."""
+    kept = []
+    monkeypatch.setattr(sm, "features_50", lambda before, documents, f=sm.features_50: (kept.append(before), f(before, documents))[1])
+    h = history(spark, [(1, 0, [0, 1]), (2, 1, [2, 0, 0])])
+    bad = history(spark, [(1, 0, [0, 1]), (2, 1, [2, 0, 0])]).withColumns({"user_id": F.lit(4).cast("long"), "rank": F.lit(0)})
+    samples = sm.training_samples(h.unionByName(bad))
+    assert [r["sample_id"] for r in samples.collect()] == [3]
+    assert sorted((r["user_id"], r["hist_pos"]) for r in kept[0].collect()) == [(3, 0), (3, 1)]
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan and "Scan ExistingRDD" not in plan
+
+
 def test_agreement(spark):
     r = sm.agreement(spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([2.0, 0.0], [1.0, 0.0])], "want array<double>, got array<double>")).first()
     assert (r["mae"], r["mre"], r["mse"], r["mean_cosine"]) == pytest.approx((0.25, 0.125, 0.25, 1.0))
